@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ladderlens.llm.chunking import op4_chunk_fingerprints
 from ladderlens.llm.langid import op1_language_id
+from ladderlens.llm.simhash import op5_simhash_near_dedup
 
-QUERIES = {"op1_language_id": op1_language_id}
+QUERIES = {"op1_language_id": op1_language_id, "op4_chunk_fingerprints": op4_chunk_fingerprints, "op5_simhash_near_dedup": op5_simhash_near_dedup}
 ORACLES: dict[str, str] = {}
