@@ -5,9 +5,20 @@ from __future__ import annotations
 from ladderlens.llm.chunking import op4_chunk_fingerprints
 from ladderlens.llm.flac import op7_flac_media
 from ladderlens.llm.langid import op1_language_id
+from ladderlens.llm.mixing import OP2_SQL, op2_source_mixing
+from ladderlens.llm.packing import op9_packing
 from ladderlens.llm.pii import op10_pii
 from ladderlens.llm.records import op3_token_records
 from ladderlens.llm.simhash import op5_simhash_near_dedup
 
-QUERIES = {"op3_token_records": op3_token_records, "op10_pii": op10_pii, "op7_flac_media": op7_flac_media, "op1_language_id": op1_language_id, "op4_chunk_fingerprints": op4_chunk_fingerprints, "op5_simhash_near_dedup": op5_simhash_near_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_token_records": op3_token_records,
+    "op4_chunk_fingerprints": op4_chunk_fingerprints,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_flac_media": op7_flac_media,
+    "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
+}
+ORACLES = {"op2_source_mixing": OP2_SQL}
