@@ -10,6 +10,7 @@ from ladderlens.llm.packing import op9_packing
 from ladderlens.llm.pii import op10_pii
 from ladderlens.llm.records import op3_token_records
 from ladderlens.llm.simhash import op5_simhash_near_dedup
+from ladderlens.llm.suffixes import op6_suffix_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_token_records": op3_token_records,
     "op4_chunk_fingerprints": op4_chunk_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_flac_media": op7_flac_media,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
