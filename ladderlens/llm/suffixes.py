@@ -25,18 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import documents, shared_dir, staged, text_blocks
-from ladderlens.llm.records import _store
+from ladderlens.llm.common import documents, shared_dir, staged
+from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_parts, write_parts
 
 LENGTH, SEED = 50, 18
 REACH = LENGTH - SEED  # from a window's start to its last seed's start
 POSITION_BITS = 28
-NO_ID = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LEVELS = SEEDS, PAIRS, WINDOWS = 1, 2, 3
 RANKS = "part int, h long, n long, least long, most long"
@@ -212,65 +209,9 @@ def repeated(ranks: DataFrame, level: int) -> DataFrame:
     return totals.where("least != most").select("part", F.lit(level).alias("level"), "h", "n", "least")
 
 
-def _file(folder: str, part: int) -> tuple:
-    store, base = _store(folder)
-    return store, f"{base}/part-{part:06d}.parquet"
-
-
-def _ids(column) -> np.ndarray:
-    return np.array([NO_ID if x is None else x for x in column.to_pylist()], dtype=np.int64)
-
-
-def write_parts(docs: DataFrame, folder: str) -> DataFrame:
-    """Write each partition's documents to a file of its own and return the ranks of its seeds."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        part, tally, out = context.partitionId(), Tally(), None
-        store, name = _file(folder, part)
-        for batch, texts in text_blocks(batches):
-            if out is None:
-                store.create_dir(name.rpartition("/")[0], recursive=True)
-                sink = store.open_output_stream(f"{name}.{context.taskAttemptId()}")
-                out = pq.ParquetWriter(sink, pa.schema([("doc_id", pa.int64()), ("text", pa.binary())]), compression="zstd", use_dictionary=False)
-            out.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"]))
-            tally.add(Block(texts, _ids(batch.column("doc_id"))).seeds())
-        if out is not None:
-            out.close(), sink.close()
-            store.move(f"{name}.{context.taskAttemptId()}", name)
-        yield from tally.batches(part)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, RANKS)
-
-
-def over_parts(ranks: DataFrame, parts: int, folder: str, work, schema: str) -> DataFrame:
-    """Run ``work(part, levels, blocks)`` for each part: its ranks by level and its blocks of texts."""
-    spark = ranks.sparkSession
-    markers = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("least"))
-    dealt = ranks.union(markers).repartitionById(parts, F.col("part"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: dict[str, list[np.ndarray]] = {x: [] for x in ("part", "level", "h", "n", "least")}
-        for batch in batches:
-            for x in columns:
-                columns[x].append(batch.column(x).to_numpy())
-        if not columns["part"]:
-            return
-        now = {x: np.concatenate(y) for x, y in columns.items()}
-        for part in np.unique(now["part"]).tolist():
-            store, name = _file(folder, part)
-            from pyarrow import fs
-
-            if store.get_file_info(name).type == fs.FileType.NotFound:
-                continue  # a partition without documents
-            levels = {}
-            for level in LEVELS:
-                at = (now["part"] == part) & (now["level"] == level)
-                levels[level] = Ranks(now["h"][at], now["n"][at], now["least"][at])
-            with store.open_input_file(name) as source:
-                yield from work(part, levels, text_blocks(pq.ParquetFile(source).iter_batches(256)))
-
-    return dealt.mapInArrow(run, schema)
+def _levels(rows: pa.Table) -> dict[int, Ranks]:
+    level, h, n, least = (rows.column(x).to_numpy() for x in ("level", "h", "n", "least"))
+    return {x: Ranks(h[level == x], n[level == x], least[level == x]) for x in LEVELS}
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -282,22 +223,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     folder, parts = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}", max(docs.rdd.getNumPartitions(), 1)
-    ranks = staged(repeated(write_parts(docs, folder), SEEDS), "seeds")
 
-    def pairs(part, levels, blocks) -> Iterator[pa.RecordBatch]:
+    def seeds(part: int, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch, texts in blocks:
-            block = Block(texts, _ids(batch.column("doc_id")))
+            tally.add(Block(texts, ids_of(batch)).seeds())
+        yield from tally.batches(part)
+
+    ranks = staged(repeated(write_parts(docs, folder, seeds, RANKS), SEEDS), "seeds")
+
+    def pairs(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.RecordBatch]:
+        tally, levels = Tally(), _levels(rows)
+        for batch, texts in blocks:
+            block = Block(texts, ids_of(batch))
             block.look_at(levels[SEEDS])
             tally.add(block.pairs())
         yield from tally.batches(part)
 
     ranks = ranks.union(staged(repeated(over_parts(ranks, parts, folder, pairs, RANKS), PAIRS), "pairs"))
 
-    def windows(part, levels, blocks) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+    def windows(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.RecordBatch]:
+        tally, levels = Tally(), _levels(rows)
         for batch, texts in blocks:
-            block = Block(texts, _ids(batch.column("doc_id")))
+            block = Block(texts, ids_of(batch))
             block.look_at(levels[SEEDS])
             block.decide(levels[PAIRS])
             tally.add(block.windows())
@@ -305,18 +253,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ranks = ranks.union(staged(repeated(over_parts(ranks, parts, folder, windows, RANKS), WINDOWS), "windows"))
 
-    def cut(part, levels, blocks) -> Iterator[pa.RecordBatch]:
+    def cut(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.RecordBatch]:
+        levels = _levels(rows)
         for batch, texts in blocks:
-            block = Block(texts, _ids(batch.column("doc_id")))
+            block = Block(texts, ids_of(batch))
             block.look_at(levels[SEEDS])
             block.decide(levels[PAIRS])
-            gone, rows, low = block.removed(levels[WINDOWS]), [], 0
+            gone, out, low = block.removed(levels[WINDOWS]), [], 0
             for text, high in zip(texts, block.ends.tolist()):
                 one = gone[low:high]
                 kept = block.data[low:high][~one].tobytes()
-                rows.append((len(text), int(one.sum()), int((one[1:] & ~one[:-1]).sum() + one[:1].sum()), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((len(text), int(one.sum()), int((one[1:] & ~one[:-1]).sum() + one[:1].sum()), hashlib.sha256(kept).hexdigest(), kept))
                 low = high
-            n, removed, spans, digest, kept = zip(*rows)
+            n, removed, spans, digest, kept = zip(*out)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return over_parts(ranks, parts, folder, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
