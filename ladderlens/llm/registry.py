@@ -7,6 +7,7 @@ from ladderlens.llm.flac import op7_flac_media
 from ladderlens.llm.langid import op1_language_id
 from ladderlens.llm.mixing import OP2_SQL, op2_source_mixing
 from ladderlens.llm.packing import op9_packing
+from ladderlens.llm.passages import op8_near_passages
 from ladderlens.llm.pii import op10_pii
 from ladderlens.llm.records import op3_token_records
 from ladderlens.llm.simhash import op5_simhash_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_flac_media": op7_flac_media,
+    "op8_near_passages": op8_near_passages,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
