@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ def _tables() -> tuple[np.ndarray, list[list[int]]]:
 
 
 BY_DISTANCE, MOVE = _tables()
+ROW = np.arange(CHUNK - 1, -1, -1, dtype=np.int32) * 256  # where each byte's row of the table starts
 
 
 def masked_crc32c(data: list[bytes]) -> list[int]:
@@ -58,9 +60,9 @@ def masked_crc32c(data: list[bytes]) -> list[int]:
         raw[end - n : end] = np.frombuffer(x, dtype=np.uint8)
         raw[end - n : end - n + 4] ^= 255  # the initial value, all ones
     crc = np.empty(len(flat), dtype=np.uint32)
-    back = np.arange(CHUNK - 1, -1, -1)
-    for low in range(0, len(flat), 256):
-        crc[low : low + 256] = np.bitwise_xor.reduce(BY_DISTANCE[back, flat[low : low + 256]], axis=1)
+    table = BY_DISTANCE.ravel()
+    for low in range(0, len(flat), 64):
+        np.bitwise_xor.reduce(table.take(flat[low : low + 64] + ROW), axis=1, out=crc[low : low + 64])
     out, at, parts = [], 0, crc.tolist()
     m0, m1, m2, m3 = MOVE
     for n in chunks.tolist():
@@ -73,9 +75,13 @@ def masked_crc32c(data: list[bytes]) -> list[int]:
     return out
 
 
+@lru_cache(1 << 16)
+def _length_crc(n: int) -> int:
+    return masked_crc32c([n.to_bytes(8, "little")])[0]
+
+
 def framed(data: list[bytes]) -> list[bytes]:
-    lengths = [len(x).to_bytes(8, "little") for x in data]
-    return [n + a.to_bytes(4, "little") + x + b.to_bytes(4, "little") for n, a, x, b in zip(lengths, masked_crc32c(lengths), data, masked_crc32c(data))] if data else []
+    return [len(x).to_bytes(8, "little") + _length_crc(len(x)).to_bytes(4, "little") + x + crc.to_bytes(4, "little") for x, crc in zip(data, masked_crc32c(data) if data else ())]
 
 
 def unframed(raw: bytes, sizes: list[int]) -> list[bytes]:
@@ -89,7 +95,7 @@ def unframed(raw: bytes, sizes: list[int]) -> list[bytes]:
         at += FRAME + n
     if at != len(raw) or any(int.from_bytes(x, "little") != n for x, n in zip(lengths, sizes)):
         raise CorruptRecord("a record's length is not the index's")
-    for (a, b), x, y in zip(marks, masked_crc32c(lengths), masked_crc32c(data)):
+    for (a, b), x, y in zip(marks, map(_length_crc, sizes), masked_crc32c(data)):
         if int.from_bytes(a, "little") != x or int.from_bytes(b, "little") != y:
             raise CorruptRecord("a record's checksum is wrong")
     return data

@@ -7,6 +7,8 @@ of texts is encoded together.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 END_ID = 2
@@ -58,7 +60,7 @@ class WordEncoder:
         fresh = list({core for _, core, _ in plain if core not in cores})
         texts = [" ".join(fresh[i : i + 500]) for i in range(0, len(fresh), 500)]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        ids = np.array([x for e in found for x in e.ids], dtype=self.kind)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype=self.kind)
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(fresh):
             raise ValueError("the tokenizer does not close each word once")
@@ -83,10 +85,10 @@ class WordEncoder:
             split.append(words)
             if words:
                 new.update(words)
-        new.difference_update(self.words.keys() & new)
+        new = [x for x in new if x not in self.words]
         if len(self.words) + len(new) > KEPT_WORDS:
             self.words, self.cores = {}, {}
-            new = {w for words in split if words for w in words}
+            new = list({w for words in split if words for w in words})
         self._learn(new)
         out, known = [], self.words.__getitem__
         for text, words in zip(texts, split):
