@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
+_held: dict[str, dict] = {}
+
+
+def claim(owner: str) -> dict:
+    """What a worker keeps for ``owner`` between tasks (models, caches); what others kept is let go, so a
+    worker that serves several operators in turn holds one operator's memory at a time."""
+    for name in [x for x in _held if x != owner]:
+        del _held[name]
+    return _held.setdefault(owner, {})
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -38,8 +49,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", owner: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about BLOCK_BYTES of text, and their texts as UTF-8 (null: empty)."""
+    claim(owner)
     for batch in batches:
         texts = batch.column(column)
         sizes = np.asarray([len(x) if x is not None else 0 for x in (y.as_buffer() if y.is_valid else None for y in texts)], dtype=np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import joined, text_blocks
+from ladderlens.llm.common import claim, joined, text_blocks
 
 ORDER = 3
 #: Labelled rows per language that the trees are counted from, by ascending hash of their text.
@@ -24,7 +24,7 @@ ROWS_PER_LANG = 400
 START = b"\n" * ORDER
 HAS_LETTER = r"\p{L}"
 
-_models: dict[str, "Model"] = {}
+OWNER = "langid"
 
 
 class Model:
@@ -152,11 +152,12 @@ def identify(docs: DataFrame, counts, columns: list[str]) -> DataFrame:
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(shipped.value) if shipped.value else None
-        model = _models[key]
-        for part, texts in text_blocks(batches, "__text"):
+        models = claim(OWNER)
+        if key not in models:
+            models.clear()
+            models[key] = Model(shipped.value) if shipped.value else None
+        model = models[key]
+        for part, texts in text_blocks(batches, "__text", OWNER):
             lettered = np.array(part.column("__lettered").to_pylist(), dtype=bool)
             if model:
                 bits = model.bits(texts)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import documents, staged
+from ladderlens.llm.common import claim, documents, staged
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -112,6 +112,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
         for batch in batches:
             ids, entities, terms, contexts = [], [], [], []
             for i, text in zip(batch.column("doc_id"), batch.column("text")):
@@ -219,6 +220,7 @@ def find(docs: DataFrame) -> DataFrame:
         return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
         for batch in batches:
             counts, digests, spans = {x: [] for x in KINDS}, [], []
             for text, flagged in zip(batch.column("text"), _flags(batch.column("flagged"))):
@@ -238,6 +240,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     columns = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
         for batch in batches:
             texts = []
             for text, flagged in zip(batch.column("text").to_pylist(), _flags(batch.column("flagged"))):

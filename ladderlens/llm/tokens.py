@@ -11,13 +11,15 @@ from itertools import chain
 
 import numpy as np
 
+from ladderlens.llm.common import claim
+
 END_ID = 2
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 #: Characters that Python's split takes for white space and the tokenizer doesn't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 TAIL = ".,!?;:"
 
-_encoders: dict[str, "WordEncoder"] = {}
+OWNER = "tokens"
 
 
 def default_path() -> str:
@@ -28,9 +30,10 @@ def default_path() -> str:
 
 def encoder(path: str) -> "WordEncoder":
     """The worker's own encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    kept = claim(OWNER)
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 class WordEncoder:
