@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ladderlens.plans import book_queries, event_queries
+
+ALL = event_queries.QUERIES | book_queries.QUERIES
+QUERIES = {name: query for name, (query, _) in ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in ALL.items() if sql}
+FLAGSHIP = "b12_depth_liquidity"
