@@ -54,7 +54,7 @@ def liquidity_bars(seconds: DataFrame, series: list[str], bar: int, step: int =
     slots and whether any slot is missing. Slots are ``step`` seconds long."""
     usable = F.col("quality").isin("VALID", "DEGRADED")
     rows = seconds.withColumns({"bar_start": floor_to("ts", bar), "usable": usable})
-    before = F.lag(F.when(F.col("usable"), F.col("ts")), ignorenulls=True).over(Window.partitionBy(*series, "bar_start").orderBy("ts"))
+    before = F.last(F.when(F.col("usable"), F.col("ts")), ignorenulls=True).over(Window.partitionBy(*series, "bar_start").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("gap", F.when(F.col("usable"), F.expr("ts") - F.coalesce(before, F.col("bar_start") - step) - step))
     channels = [_candle(F.expr(e), F.col("usable"), F.col("ts")).alias(c) for c, e in CHANNELS.items()]
     bars = rows.groupBy(*series, "bar_start").agg(*channels, F.max("gap").alias("gap"), F.max(F.when(F.col("usable"), F.col("ts"))).alias("last_usable"), F.max("ts").alias("last_ts"), F.max_by("quality", "ts").alias("last_quality"), F.count("*").alias("observed"), F.count_if("usable").alias("valid"), F.bool_or(F.col("quality") == "DEGRADED").alias("degraded"))

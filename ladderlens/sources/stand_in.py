@@ -76,7 +76,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.union(again)
 
 
-TRADES = """one AS (SELECT event_type AS symbol, event_id AS trade_id, event_id AS ordinal, epoch_ms(ts) AS trade_ms, epoch_us(ts) * 1000 AS received_ns,
+TRADES = """one AS (SELECT event_type AS symbol, event_id AS trade_id, event_id AS ordinal, epoch_us(ts) // 1000 AS trade_ms, epoch_us(ts) * 1000 AS received_ns,
  CAST(value AS DECIMAL(18,8)) AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS qty FROM events),
  trades AS (SELECT * FROM one UNION ALL SELECT * REPLACE (ordinal + 1000000000 AS ordinal) FROM one WHERE trade_id % 50 = 0)"""
 
@@ -84,13 +84,13 @@ TRADES = """one AS (SELECT event_type AS symbol, event_id AS trade_id, event_id
 def market_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(market, ts, bid, ask, quality, reason): one row per market and hour that has any event; an hour
     with one side only is invalid and carries no values."""
-    sums = table(spark, sf_dir, "events").selectExpr("user_id % 3 AS market", "unix_seconds(CAST(ts AS TIMESTAMP)) div 3600 * 3600 AS ts", "event_type IN ('view', 'click') AS is_bid", "CAST(value AS DECIMAL(18,2)) AS v")
+    sums = table(spark, sf_dir, "events").selectExpr("user_id % 3 AS market", "unix_seconds(CAST(ts AS TIMESTAMP)) div 3600 * 3600 AS ts", "event_type IN ('view', 'click') AS is_bid", "CAST(round(value * 100) AS BIGINT) AS v")
     sums = sums.groupBy("market", "ts").agg(F.sum(F.expr("CASE WHEN is_bid THEN v END")).alias("b"), F.sum(F.expr("CASE WHEN NOT is_bid THEN v END")).alias("a"))
     return sums.selectExpr("market", "ts", "CASE WHEN a IS NOT NULL THEN b END AS bid", "CASE WHEN b IS NOT NULL THEN a END AS ask", "CASE WHEN a IS NULL OR b IS NULL THEN 'INVALID' ELSE 'VALID' END AS quality", "CASE WHEN b IS NULL THEN 'empty_bid' WHEN a IS NULL THEN 'empty_ask' END AS reason")
 
 
-SECONDS = """sums AS (SELECT user_id % 3 AS market, CAST(epoch(ts) AS BIGINT) // 3600 * 3600 AS ts, sum(CAST(value AS DECIMAL(18,2))) FILTER (event_type IN ('view', 'click')) AS b,
- sum(CAST(value AS DECIMAL(18,2))) FILTER (event_type NOT IN ('view', 'click')) AS a FROM events GROUP BY ALL),
+SECONDS = """sums AS (SELECT user_id % 3 AS market, epoch_us(ts) // 1000000 // 3600 * 3600 AS ts, CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (event_type IN ('view', 'click')) AS BIGINT) AS b,
+ CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (event_type NOT IN ('view', 'click')) AS BIGINT) AS a FROM events GROUP BY ALL),
  seconds AS (SELECT market, ts, CASE WHEN a IS NOT NULL THEN b END AS bid, CASE WHEN b IS NOT NULL THEN a END AS ask,
  CASE WHEN a IS NULL OR b IS NULL THEN 'INVALID' ELSE 'VALID' END AS quality, CASE WHEN b IS NULL THEN 'empty_bid' WHEN a IS NULL THEN 'empty_ask' END AS reason FROM sums)"""
 
