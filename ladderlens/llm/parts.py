@@ -81,3 +81,52 @@ def over_parts(rows: DataFrame, parts: int, folder: str, work: Callable[[int, pa
                 yield from work(part, table.filter(pa.array((numbers == part) & real)), text_blocks(pq.ParquetFile(source).iter_batches(256)))
 
     return dealt.mapInArrow(run, schema)
+
+
+def _saved(folder: str, name: str, part: int) -> tuple:
+    store, base = _store(folder)
+    return store, f"{base}/{name}-{part:06d}.parquet"
+
+
+def save_rows(rows: DataFrame, parts: int, folder: str, name: str) -> int:
+    """Write rows (with ``part``) to one file a part, for passes that need them more than once; returns their number."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        numbers, attempt = table.column("part").to_numpy(), TaskContext.get().taskAttemptId()
+        for part in np.unique(numbers).tolist():
+            store, path = _saved(folder, name, part)
+            with store.open_output_stream(f"{path}.{attempt}") as sink:
+                pq.write_table(table.filter(pa.array(numbers == part)).drop_columns(["part"]), sink, compression="zstd", use_dictionary=False)
+            store.move(f"{path}.{attempt}", path)
+        yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64())], names=["n"])
+
+    return rows.select(*columns).repartitionById(parts, F.col("part")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def over_saved(spark, parts: int, folder: str, names: list[str], work: Callable[[int, dict[str, pa.Table | None], Blocks], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run ``work(part, saved, blocks)`` for every part: its saved rows by name (None: it has none), and its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def read(store, path: str):
+            return None if store.get_file_info(path).type == fs.FileType.NotFound else store.open_input_file(path)
+
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                source = read(*_file(folder, part))
+                if source is None:
+                    continue  # a partition without documents
+                saved = {}
+                for name in names:
+                    rows = read(*_saved(folder, name, part))
+                    saved[name] = pq.read_table(rows) if rows is not None else None
+                with source:
+                    yield from work(part, saved, text_blocks(pq.ParquetFile(source).iter_batches(256)))
+
+    return spark.range(0, parts, 1, parts).mapInArrow(run, schema)

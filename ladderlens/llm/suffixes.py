@@ -11,10 +11,11 @@ ranked, and a rank is named by the smallest document that has it:
    covers the window, and of where the next anchors inside stand. If a smaller document has the same
    pair, it has the window. If the pair occurs as often as the window's own anchor, every place that
    has the window has the pair, and so the pair's rank is the window's.
-3. *Windows.* What is left (near the ends of repeated passages) is ranked by all LENGTH bytes.
+3. *Windows.* What is left (near the ends of repeated passages) is ranked by all LENGTH bytes. Windows
+   around one anchor are sent as one run of bytes to the anchor's task and spread out there.
 
-Each level is one sort of (rank, part) rows, aggregated before the shuffle; texts are written once and
-never shuffled. Strings are named by 64-bit hashes.
+Each level sorts (rank, part) rows, aggregated before the shuffle; texts are written once and never
+shuffled. Strings are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import documents, shared_dir, staged
-from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_parts, write_parts
+from ladderlens.llm.common import documents, shared_dir
+from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_saved, save_rows, write_parts
 
 LENGTH, SEED = 50, 18
 REACH = LENGTH - SEED  # from a window's start to its last seed's start
 POSITION_BITS = 28
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LEVELS = SEEDS, PAIRS, WINDOWS = 1, 2, 3
+LEVELS = SEEDS, PAIRS, WINDOWS = "seeds", "pairs", "windows"
+#: Runs that one numpy pass spreads out; a longer group of one anchor is spread out as a whole.
+RUNS_AT_ONCE = 200_000
+RUNS = "m long, part int, least long, most long, bytes binary"
 RANKS = "part int, h long, n long, least long, most long"
 
 _rng = np.random.default_rng(20)
@@ -69,13 +73,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Block:
     """The anchors and windows of a block of texts, as positions in their concatenation."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray):
+    def __init__(self, texts: list[bytes], ids: np.ndarray, windows: bool = True):
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.ends = np.cumsum([len(x) for x in texts])
         n = len(self.data)
         up, self.down = _power(n)
         with np.errstate(over="ignore"):
             self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE[self.data] * up[:n], dtype=np.uint64)])
+        if not windows:
+            return  # only hashes are asked for
         room = np.repeat(self.ends, np.diff(self.ends, prepend=0)) - np.arange(n)
         self.p = np.flatnonzero(room >= LENGTH)
         self.id_of = np.repeat(ids, np.diff(self.ends, prepend=0))
@@ -128,7 +134,8 @@ class Block:
         step = (self.a[np.minimum(self.left + 1, len(self.a) - 1)] - low << 32 | high - self.a[np.maximum(self.right - 1, 0)]).astype(np.uint64)
         with np.errstate(over="ignore"):
             self.pair = _mixed(self.hash(low, high + SEED) + step * np.uint64(0xA0761D6478BD642F))
-        self.p, self.own, self.pair_of = self.p[shared], n[self.own[shared]], self.pair_of[shared]
+        self.p, self.anchor, self.pair_of = self.p[shared], self.own[shared], self.pair_of[shared]
+        self.own = n[self.anchor]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         return self.pair, self.id_of[self.a[self.left]] if len(self.pair) else self.pair.astype(np.int64)
@@ -143,8 +150,14 @@ class Block:
         self.open = np.flatnonzero(~self.gone & ~closed)
         self.open_hash = self.hash(self.p[self.open], self.p[self.open] + LENGTH)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.open_hash, self.id_of[self.p[self.open]] if len(self.open) else self.open
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """Open windows as runs around one anchor: the anchor's rank, the run's hash, id, start and end."""
+        q, a = self.p[self.open], self.anchor[self.open]
+        new = np.ones(len(q), dtype=bool)
+        new[1:] = (q[1:] != q[:-1] + 1) | (a[1:] != a[:-1])
+        first = np.flatnonzero(new)
+        start, end = q[first], q[np.append(first[1:], len(q)) - 1] + LENGTH if len(q) else q
+        return self.seed[a[first]], self.hash(start, end), self.id_of[start] if len(start) else start, start, end
 
     def removed(self, windows: "Ranks") -> np.ndarray:
         """Which bytes a window covers that a smaller document has."""
@@ -201,17 +214,88 @@ class Tally:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[to]), part, dtype=np.int32)), pa.array(h[to].view(np.int64)), *[pa.array(x[to].astype(np.int64)) for x in rest]], names=["part", "h", "n", "least", "most"])
 
 
-def repeated(ranks: DataFrame, level: int) -> DataFrame:
+class Runs:
+    """The runs of a part, equal ones once, with the smallest and largest documents that have them."""
+
+    def __init__(self):
+        self.found, self.bytes = [], []
+
+    def add(self, block: Block) -> None:
+        m, h, ids, start, end = block.runs()
+        if not len(m):
+            return
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        pick = order[first]
+        self.found.append((h[first], m[pick], np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)))
+        self.bytes += [block.data[x:y].tobytes() for x, y in zip(start[pick].tolist(), end[pick].tolist())]
+
+    def batches(self, part: int) -> Iterator[pa.RecordBatch]:
+        if not self.found:
+            return
+        h, m, least, most = map(np.concatenate, zip(*self.found))
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        least, most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+        pick = order[first]
+        for low in range(0, len(pick), 1 << 15):
+            at = pick[low : low + (1 << 15)]
+            yield pa.RecordBatch.from_arrays([pa.array(m[at].view(np.int64)), pa.array(np.full(len(at), part, dtype=np.int32)), pa.array(least[low : low + len(at)].astype(np.int64)), pa.array(most[low : low + len(at)].astype(np.int64)), pa.array([self.bytes[i] for i in at.tolist()], pa.binary())], names=["m", "part", "least", "most", "bytes"])
+
+
+def ranked_windows(runs: DataFrame) -> DataFrame:
+    """(part, h, n, least) of the windows that a smaller document has, for the parts whose documents have them.
+    Equal windows have equal anchors, so they meet in the task of their anchor's rank."""
+
+    def spread(group: pa.Table) -> pa.RecordBatch:
+        texts = group.column("bytes").to_pylist()
+        part, least, most = (group.column(x).to_numpy() for x in ("part", "least", "most"))
+        block = Block(texts, least, windows=False)
+        count = np.array([len(x) for x in texts]) - LENGTH + 1
+        row = np.repeat(np.arange(len(texts)), count)
+        p = np.arange(len(row)) + row * (LENGTH - 1)
+        h = block.hash(p, p + LENGTH)
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        lowest = np.repeat(np.minimum.reduceat(least[row[order]], first), size)
+        hit = order[lowest < most[row[order]]]
+        key = np.empty(len(h), dtype=np.int64)
+        key[order] = lowest
+        _, once = np.unique(np.stack([h[hit].view(np.int64), part[row[hit]].astype(np.int64)]), axis=1, return_index=True) if len(hit) else (None, hit)
+        hit = hit[once]
+        return pa.RecordBatch.from_arrays([pa.array(part[row[hit]].astype(np.int32)), pa.array(h[hit].view(np.int64)), pa.array(np.full(len(hit), 2)), pa.array(key[hit])], names=["part", "h", "n", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            if table.num_rows < RUNS_AT_ONCE:
+                continue
+            m = table.column("m").to_numpy()
+            cut = int(np.searchsorted(m, m[-1]))  # the last anchor's group may go on
+            if cut:
+                yield spread(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield spread(table)
+
+    return runs.repartition("m").sortWithinPartitions("m").mapInArrow(run, "part int, h long, n long, least long")
+
+
+def repeated(ranks: DataFrame) -> DataFrame:
     """Of rows (part, h, n, least, most), those whose string more than one document has, with the totals
     over all parts. A string has at most one row a part, whatever the number of its copies."""
     same = Window.partitionBy("h")
     totals = ranks.select("part", "h", F.sum("n").over(same).alias("n"), F.min("least").over(same).alias("least"), F.max("most").over(same).alias("most"))
-    return totals.where("least != most").select("part", F.lit(level).alias("level"), "h", "n", "least")
+    return totals.where("least != most").select("part", "h", "n", "least")
 
 
-def _levels(rows: pa.Table) -> dict[int, Ranks]:
-    level, h, n, least = (rows.column(x).to_numpy() for x in ("level", "h", "n", "least"))
-    return {x: Ranks(h[level == x], n[level == x], least[level == x]) for x in LEVELS}
+def _ranks(rows: pa.Table | None) -> Ranks:
+    empty = np.zeros(0, dtype=np.int64)
+    return Ranks(*(rows.column(x).to_numpy() for x in ("h", "n", "least"))) if rows is not None else Ranks(empty, empty, empty)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -230,36 +314,36 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             tally.add(Block(texts, ids_of(batch)).seeds())
         yield from tally.batches(part)
 
-    ranks = staged(repeated(write_parts(docs, folder, seeds, RANKS), SEEDS), "seeds")
+    save_rows(repeated(write_parts(docs, folder, seeds, RANKS)), parts, folder, SEEDS)
 
-    def pairs(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.RecordBatch]:
-        tally, levels = Tally(), _levels(rows)
+    def pairs(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
+        tally, known = Tally(), _ranks(saved[SEEDS])
         for batch, texts in blocks:
             block = Block(texts, ids_of(batch))
-            block.look_at(levels[SEEDS])
+            block.look_at(known)
             tally.add(block.pairs())
         yield from tally.batches(part)
 
-    ranks = ranks.union(staged(repeated(over_parts(ranks, parts, folder, pairs, RANKS), PAIRS), "pairs"))
+    save_rows(repeated(over_saved(spark, parts, folder, [SEEDS], pairs, RANKS)), parts, folder, PAIRS)
 
-    def windows(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.RecordBatch]:
-        tally, levels = Tally(), _levels(rows)
+    def runs(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
+        found, known = Runs(), {x: _ranks(y) for x, y in saved.items()}
         for batch, texts in blocks:
             block = Block(texts, ids_of(batch))
-            block.look_at(levels[SEEDS])
-            block.decide(levels[PAIRS])
-            tally.add(block.windows())
-        yield from tally.batches(part)
+            block.look_at(known[SEEDS])
+            block.decide(known[PAIRS])
+            found.add(block)
+        yield from found.batches(part)
 
-    ranks = ranks.union(staged(repeated(over_parts(ranks, parts, folder, windows, RANKS), WINDOWS), "windows"))
+    save_rows(ranked_windows(over_saved(spark, parts, folder, [SEEDS, PAIRS], runs, RUNS)), parts, folder, WINDOWS)
 
-    def cut(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.RecordBatch]:
-        levels = _levels(rows)
+    def cut(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
+        known = {x: _ranks(y) for x, y in saved.items()}
         for batch, texts in blocks:
             block = Block(texts, ids_of(batch))
-            block.look_at(levels[SEEDS])
-            block.decide(levels[PAIRS])
-            gone, out, low = block.removed(levels[WINDOWS]), [], 0
+            block.look_at(known[SEEDS])
+            block.decide(known[PAIRS])
+            gone, out, low = block.removed(known[WINDOWS]), [], 0
             for text, high in zip(texts, block.ends.tolist()):
                 one = gone[low:high]
                 kept = block.data[low:high][~one].tobytes()
@@ -268,7 +352,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             n, removed, spans, digest, kept = zip(*out)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return over_parts(ranks, parts, folder, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return over_saved(spark, parts, folder, list(LEVELS), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_suffix_dedup(spark, sf_dir):
