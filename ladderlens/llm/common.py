@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +55,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", owner:
     claim(owner)
     for batch in batches:
         texts = batch.column(column)
-        sizes = np.asarray([len(x) if x is not None else 0 for x in (y.as_buffer() if y.is_valid else None for y in texts)], dtype=np.int64)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
         at = 0
-        while at < len(sizes):
-            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK_BYTES, side="right")))
+        while at < len(ends):
+            done = int(ends[at - 1]) if at else 0
+            n = max(1, int(np.searchsorted(ends, done + BLOCK_BYTES, side="right")) - at)
             part = batch.slice(at, n)
-            yield part, [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(column)]
+            yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
             at += n
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from ladderlens.llm.common import claim
 
 END_ID = 2
-KEPT_WORDS = 400_000
+KEPT_WORDS = 550_000
 #: Characters that Python's split takes for white space and the tokenizer doesn't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 TAIL = ".,!?;:"
