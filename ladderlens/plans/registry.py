@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ladderlens.plans import bar_queries, book_queries, catalog_queries, event_queries, live_queries
+from ladderlens.plans import bar_queries, book_queries, catalog_queries, event_queries, live_queries, source_queries
 
-ALL = event_queries.QUERIES | book_queries.QUERIES | bar_queries.QUERIES | catalog_queries.QUERIES | live_queries.QUERIES
+ALL = event_queries.QUERIES | book_queries.QUERIES | bar_queries.QUERIES | catalog_queries.QUERIES | live_queries.QUERIES | source_queries.QUERIES
 QUERIES = {name: query for name, (query, _) in ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in ALL.items() if sql}
 FLAGSHIP = "b12_depth_liquidity"
