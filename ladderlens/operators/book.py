@@ -73,12 +73,14 @@ def best_prices(sampled: DataFrame, levels: DataFrame) -> DataFrame:
     return out.withColumns({"bid_levels": F.coalesce("bid_levels", F.lit(0)), "ask_levels": F.coalesce("ask_levels", F.lit(0)), "quality": F.when(F.col("structure") == "NORMAL", "VALID").otherwise("INVALID"), "reason": reason})
 
 
-def depth(topped: DataFrame, levels: DataFrame, bands: DataFrame) -> DataFrame:
-    """Liquidity of each NORMAL sample in each band (band, lower, upper as fractions of the best price):
-    the notional of bids in [best (1 - upper), best (1 - lower)] and of asks in [best (1 + lower),
-    best (1 + upper)], both ends included; imbalance is null where there is none."""
-    normal = topped.where("structure = 'NORMAL'").select("market", "slot", "n", "epoch", "valid", "best_bid", "best_ask")
-    met = _meeting(normal, levels).crossJoin(F.broadcast(bands))
+def depth(sampled: DataFrame, levels: DataFrame, bands: DataFrame) -> DataFrame:
+    """Liquidity of each valid sample with a NORMAL book in each band (band, lower, upper as fractions of
+    the best price): the notional of bids in [best (1 - upper), best (1 - lower)] and of asks in
+    [best (1 + lower), best (1 + upper)], both ends included; imbalance is null where there is none.
+    Samples meet levels once; the best prices come from a window over a sample's own levels."""
+    own = Window.partitionBy("market", "slot")
+    met = _meeting(sampled, levels).withColumns({"best_bid": F.max(F.when(F.col("side") == "bid", F.col("price"))).over(own), "best_ask": F.min(F.when(F.col("side") == "ask", F.col("price"))).over(own)})
+    met = met.where("best_bid < best_ask").crossJoin(F.broadcast(bands))
     bid = (F.col("side") == "bid") & F.col("price").between(F.col("best_bid") * (1 - F.col("upper")), F.col("best_bid") * (1 - F.col("lower")))
     ask = (F.col("side") == "ask") & F.col("price").between(F.col("best_ask") * (1 + F.col("lower")), F.col("best_ask") * (1 + F.col("upper")))
     notional = F.col("price") * F.col("qty")

@@ -45,8 +45,8 @@ def topped(spark, d):
 
 
 def depth(spark, d):
-    t, lives = topped(spark, d)
-    return B.depth(t, lives, spark.createDataFrame(BANDS, "band int, lower double, upper double"))
+    r, changes = _live(spark, d)
+    return B.depth(B.samples(r, SLOT), B.lifetimes(changes), spark.createDataFrame(BANDS, "band int, lower double, upper double"))
 
 
 def checkpoints(spark, d):

@@ -63,7 +63,7 @@ def test_depth_bounds_are_inclusive(spark):
     sampled = spark.createDataFrame([(0, 7, 1, 1, True)], "market long, slot long, n long, epoch long, valid boolean")
     top = book.best_prices(sampled, levels)
     assert top.first()["structure"] == "NORMAL"
-    row = book.depth(top, levels, spark.createDataFrame([(0, 0.0, 0.1)], "band int, lower double, upper double")).first()
+    row = book.depth(sampled, levels, spark.createDataFrame([(0, 0.0, 0.1)], "band int, lower double, upper double")).first()
     assert (row["bid"], row["ask"], row["bid_levels"]) == (380, 110 * 2 + 121 * 2 if row["ask_levels"] == 2 else 220, 2)
 
 
