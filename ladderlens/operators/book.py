@@ -50,7 +50,7 @@ def samples(replayed: DataFrame, interval: int) -> DataFrame:
     return out.selectExpr("market", "slot", f"(slot + 1) * {interval} AS t_end", "s.n", "s.epoch", "s.valid")
 
 
-def _meeting(sampled: DataFrame, levels: DataFrame) -> DataFrame:
+def meeting(sampled: DataFrame, levels: DataFrame) -> DataFrame:
     """Valid samples with the levels alive at them."""
     s = sampled.where("valid").withColumn("block", F.expr(f"n div {BLOCK}"))
     reach = s.groupBy("market", "epoch").agg(F.max("n").alias("last_n"))
@@ -67,7 +67,7 @@ def structure(bid: str = "best_bid", ask: str = "best_ask"):
 def best_prices(sampled: DataFrame, levels: DataFrame) -> DataFrame:
     """Every sample with its best prices, level counts, structure, quality and reason."""
     bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    tops = _meeting(sampled, levels).groupBy("market", "slot").agg(F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"))
+    tops = meeting(sampled, levels).groupBy("market", "slot").agg(F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"))
     out = sampled.join(tops, ["market", "slot"], "left").withColumn("structure", F.when(F.col("valid"), structure()))
     reason = F.when(F.col("epoch").isNull() & ~F.col("valid"), "not_valid").when(F.col("structure") != "NORMAL", F.lower("structure"))
     return out.withColumns({"bid_levels": F.coalesce("bid_levels", F.lit(0)), "ask_levels": F.coalesce("ask_levels", F.lit(0)), "quality": F.when(F.col("structure") == "NORMAL", "VALID").otherwise("INVALID"), "reason": reason})
@@ -79,7 +79,7 @@ def depth(sampled: DataFrame, levels: DataFrame, bands: DataFrame) -> DataFrame:
     [best (1 + lower), best (1 + upper)], both ends included; imbalance is null where there is none.
     Samples meet levels once; the best prices come from a window over a sample's own levels."""
     own = Window.partitionBy("market", "slot")
-    met = _meeting(sampled, levels).withColumns({"best_bid": F.max(F.when(F.col("side") == "bid", F.col("price"))).over(own), "best_ask": F.min(F.when(F.col("side") == "ask", F.col("price"))).over(own)})
+    met = meeting(sampled, levels).withColumns({"best_bid": F.max(F.when(F.col("side") == "bid", F.col("price"))).over(own), "best_ask": F.min(F.when(F.col("side") == "ask", F.col("price"))).over(own)})
     met = met.where("best_bid < best_ask").crossJoin(F.broadcast(bands))
     bid = (F.col("side") == "bid") & F.col("price").between(F.col("best_bid") * (1 - F.col("upper")), F.col("best_bid") * (1 - F.col("lower")))
     ask = (F.col("side") == "ask") & F.col("price").between(F.col("best_ask") * (1 + F.col("lower")), F.col("best_ask") * (1 + F.col("upper")))
@@ -96,7 +96,7 @@ def quality_summary(topped: DataFrame) -> DataFrame:
 def checkpoints(replayed: DataFrame, levels: DataFrame) -> DataFrame:
     """All levels alive at each valid hour end: bids from the best down, asks from the best up (``place``)."""
     ends = replayed.groupBy("market", "hour").agg(F.max_by(F.struct("n", "epoch", "valid", "final_id"), "n").alias("s")).selectExpr("market", "hour", "hour AS slot", "s.n", "s.epoch", "s.valid", "s.final_id AS last_id")
-    alive = _meeting(ends, levels)
+    alive = meeting(ends, levels)
     key = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
     return alive.withColumn("place", F.row_number().over(Window.partitionBy("market", "hour", "side").orderBy(key))).select("market", F.col("hour").alias("through_hour"), "last_id", "side", "price", "qty", "place")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ladderlens.operators import book as B
+from ladderlens.operators import replay as R
 from ladderlens.plans.event_queries import REPLAY, replayed
+from ladderlens.plans.staging import kept
 from ladderlens.sources import stand_in as S
 
 SLOT = 7 * 86400
@@ -34,8 +36,9 @@ CHECKPOINT = LIVE + """, ends AS (SELECT market, hour, max(n) AS n FROM replayed
 
 
 def _live(spark, d):
-    r = replayed(spark, d)
-    return r, B.valid_changes(S.changes(spark, d), r)
+    changes = kept(S.changes(spark, d))
+    r = kept(R.outcomes(changes.select("market", "hour", "n", "t", "kind", "final_id", "prev_id").distinct(), R.signatures(changes)))
+    return r, B.valid_changes(changes, r)
 
 
 def topped(spark, d):
@@ -49,6 +52,11 @@ def depth(spark, d):
     return B.depth(B.samples(r, SLOT), B.lifetimes(changes), spark.createDataFrame(BANDS, "band int, lower double, upper double"))
 
 
+def met(spark, d):
+    r, changes = _live(spark, d)
+    return B.meeting(B.samples(r, SLOT), B.lifetimes(changes))
+
+
 def checkpoints(spark, d):
     r, changes = _live(spark, d)
     return B.checkpoints(r, B.lifetimes(changes))
@@ -63,7 +71,7 @@ def checkpoint_plan(spark, d):
 QUERIES = {
     "b1_level_lifetimes": (lambda s, d: B.lifetimes(_live(s, d)[1]), f"WITH {LIVE} SELECT market, epoch, side, price, qty, from_n, to_n FROM lives"),
     "b4_best_prices": (lambda s, d: topped(s, d)[0], f"WITH {SAMPLED} SELECT * FROM topped"),
-    "b5_price_range": (lambda s, d: B._meeting(topped(s, d)[0].select("market", "slot", "n", "epoch", "valid"), topped(s, d)[1]).where("price BETWEEN 1800 AND 2400").groupBy("market", "slot").agg(F.count("*").alias("levels"), F.sum("qty").alias("qty")), f"WITH {SAMPLED} SELECT market, slot, count(*) AS levels, CAST(sum(qty) AS BIGINT) AS qty FROM meet WHERE price BETWEEN 1800 AND 2400 GROUP BY ALL"),
+    "b5_price_range": (lambda s, d: met(s, d).where("price BETWEEN 1800 AND 2400").groupBy("market", "slot").agg(F.count("*").alias("levels"), F.sum("qty").alias("qty")), f"WITH {SAMPLED} SELECT market, slot, count(*) AS levels, CAST(sum(qty) AS BIGINT) AS qty FROM meet WHERE price BETWEEN 1800 AND 2400 GROUP BY ALL"),
     "b6_change_counters": (lambda s, d: B.change_counters(_live(s, d)[1]), f"WITH {LIVE} SELECT market, count(*) AS changes, count(*) FILTER (qty = 0) AS zero_changes, count(*) FILTER (qty = 0 AND before > 0) AS removed FROM (SELECT *, lag(qty) OVER (PARTITION BY market, epoch, side, price ORDER BY n) AS before FROM vc) GROUP BY market"),
     "b7_sampling": (lambda s, d: B.samples(replayed(s, d), SLOT), f"WITH {SAMPLED} SELECT * FROM sampled"),
     "b12_depth_liquidity": (lambda s, d: depth(s, d).select("market", "slot", "band", "bid", "ask", "total", F.round("imbalance", 9).alias("imbalance")), f"WITH {DEPTH} SELECT market, slot, band, CAST(bid AS BIGINT) AS bid, CAST(ask AS BIGINT) AS ask, CAST(bid + ask AS BIGINT) AS total, CASE WHEN bid + ask <> 0 THEN round(CAST(bid - ask AS DOUBLE) / CAST(bid + ask AS DOUBLE), 9) END AS imbalance FROM dep"),
