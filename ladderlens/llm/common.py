@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage, so that Spark's cleaner drops the shuffle files of finished
+    jobs now and not at its next periodic run; needed only between steps that each shuffle much."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", owner: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about BLOCK_BYTES of text, and their texts as UTF-8 (null: empty)."""
     claim(owner)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import documents, shared_dir
+from ladderlens.llm.common import documents, let_go, shared_dir
 from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_saved, save_rows, write_parts
 
 LENGTH, SEED = 50, 18
@@ -315,6 +315,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield from tally.batches(part)
 
     save_rows(repeated(write_parts(docs, folder, seeds, RANKS)), parts, folder, SEEDS)
+    let_go(spark)
 
     def pairs(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         tally, known = Tally(), _ranks(saved[SEEDS])
@@ -325,6 +326,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield from tally.batches(part)
 
     save_rows(repeated(over_saved(spark, parts, folder, [SEEDS], pairs, RANKS)), parts, folder, PAIRS)
+    let_go(spark)
 
     def runs(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         found, known = Runs(), {x: _ranks(y) for x, y in saved.items()}
@@ -336,6 +338,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield from found.batches(part)
 
     save_rows(ranked_windows(over_saved(spark, parts, folder, [SEEDS, PAIRS], runs, RUNS)), parts, folder, WINDOWS)
+    let_go(spark)
 
     def cut(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         known = {x: _ranks(y) for x, y in saved.items()}
