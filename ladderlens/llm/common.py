@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +51,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Ask the driver to collect its garbage, so that Spark's cleaner drops the shuffle files of finished
-    jobs now and not at its next periodic run; needed only between steps that each shuffle much."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when the query ends; for steps whose results are written and
+    whose DataFrames are not run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", owner: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import documents, let_go, shared_dir
+from ladderlens.llm.common import documents, shared_dir, short_lived_shuffles
 from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_saved, save_rows, write_parts
 
 LENGTH, SEED = 50, 18
@@ -314,8 +314,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             tally.add(Block(texts, ids_of(batch)).seeds())
         yield from tally.batches(part)
 
-    save_rows(repeated(write_parts(docs, folder, seeds, RANKS)), parts, folder, SEEDS)
-    let_go(spark)
+    with short_lived_shuffles(spark):
+        save_rows(repeated(write_parts(docs, folder, seeds, RANKS)), parts, folder, SEEDS)
 
     def pairs(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         tally, known = Tally(), _ranks(saved[SEEDS])
@@ -325,8 +325,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             tally.add(block.pairs())
         yield from tally.batches(part)
 
-    save_rows(repeated(over_saved(spark, parts, folder, [SEEDS], pairs, RANKS)), parts, folder, PAIRS)
-    let_go(spark)
+    with short_lived_shuffles(spark):
+        save_rows(repeated(over_saved(spark, parts, folder, [SEEDS], pairs, RANKS)), parts, folder, PAIRS)
 
     def runs(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         found, known = Runs(), {x: _ranks(y) for x, y in saved.items()}
@@ -337,8 +337,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             found.add(block)
         yield from found.batches(part)
 
-    save_rows(ranked_windows(over_saved(spark, parts, folder, [SEEDS, PAIRS], runs, RUNS)), parts, folder, WINDOWS)
-    let_go(spark)
+    with short_lived_shuffles(spark):
+        save_rows(ranked_windows(over_saved(spark, parts, folder, [SEEDS, PAIRS], runs, RUNS)), parts, folder, WINDOWS)
 
     def cut(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         known = {x: _ranks(y) for x, y in saved.items()}
