@@ -212,6 +212,63 @@ def test_shared_passage_is_found(spark):
     assert all(30 <= start and end <= 130 for start, end in spans) and max(end - start for start, end in spans) >= passages.MIN_WORDS
 
 
+def changed(words: list[int], places: list[int], how: str, new) -> list[int]:
+    out = list(words)
+    for at in sorted(places, reverse=True):
+        out[at : at + (how != "insert")] = [] if how == "delete" else [new()]
+    return out
+
+
+def brute_alike(a: list[int], b: list[int]) -> float:
+    """The highest Jaccard resemblance of a stretch of a to one of b, both of MIN_SHINGLES or more."""
+    least, best = passages.MIN_SHINGLES, 0.0
+    for i in range(len(a) - least + 1):
+        for j in range(i + least, len(a) + 1):
+            mine = set(a[i:j])
+            held = np.concatenate([[0], np.cumsum([x in mine for x in b])])
+            for low in range(len(b) - least + 1):
+                both = held[low + least :] - held[low]
+                best = max(best, float((both / (len(mine) + np.arange(least, len(b) - low + 1) - both)).max()))
+    return best
+
+
+def grams(words: list[int]) -> list[int]:
+    return [xxhash.xxh64_intdigest(repr(words[i : i + passages.SHINGLE_WORDS])) for i in range(len(words) - passages.SHINGLE_WORDS + 1)]
+
+
+def test_changed_passages_are_verified():
+    """Copies of 50 to 200 words with words replaced, inserted or deleted, between other words."""
+    rng = np.random.default_rng(9)
+    new = lambda: int(rng.integers(1 << 60))
+    cases = [(n, [n // 2], how) for n in (50, 56, 80, 89) for how in ("replace", "insert", "delete")] + [(100, [33, 66], "replace"), (200, [40, 80, 120, 160], "replace"), (50, [2], "replace"), (60, [4], "delete")]
+    cases += [(n := int(rng.integers(50, 201)), sorted(rng.choice(n, int(rng.integers(1, 5)), replace=False).tolist()), str(rng.choice(["replace", "insert", "delete"]))) for _ in range(300)]
+    alike = 0
+    for n, places, how in cases:
+        a = [new() for _ in range(n)]
+        b = changed(a, places, how, new)
+        x, y = set(grams(a)), set(grams(b))
+        if min(len(x), len(y)) >= passages.MIN_SHINGLES and len(x & y) >= passages.SIMILARITY * len(x | y):
+            alike += 1
+            for one, two in ((a, b), (b, a)):
+                one, two = ([new() for _ in range(16)] + w + [new() for _ in range(16)] for w in (one, two))
+                found = passages.verified(*(np.array(grams(w), dtype=np.uint64) for w in (one, two)))
+                assert found and all(last - first + 1 >= passages.MIN_SHINGLES for first, last in found), (n, places, how)
+    assert alike > 100
+
+
+def test_verification_equals_brute_force():
+    rng = np.random.default_rng(10)
+    new = lambda: int(rng.integers(1 << 60))
+    results = []
+    for _ in range(30):
+        a = [new() for _ in range(int(rng.integers(48, 62)))]
+        b = changed(a, rng.choice(len(a), int(rng.integers(1, 3)), replace=False).tolist(), str(rng.choice(["replace", "insert", "delete"])), new)
+        a, b = grams(a + [new() for _ in range(4)]), grams([new() for _ in range(4)] + b)
+        results.append(brute_alike(a, b) >= passages.SIMILARITY)
+        assert bool(passages.verified(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64))) == results[-1]
+    assert {True, False} == set(results)
+
+
 def brute_base(text: str) -> list:
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
