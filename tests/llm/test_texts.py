@@ -269,6 +269,24 @@ def test_verification_equals_brute_force():
     assert {True, False} == set(results)
 
 
+def test_recall_of_short_changed_passages(spark):
+    """Passages near the minimum length with a change in the middle, each between other words."""
+    rng, rows, pairs = np.random.default_rng(11), [], []
+    new = lambda: int(rng.integers(1 << 40))
+    for i in range(600):
+        how = ("replace", "insert", "delete")[i % 3]
+        n = 51 if how == "delete" else 50
+        a = [new() for _ in range(n)]
+        for j, w in enumerate((a, changed(a, [n // 2], how, new))):
+            rows.append((2 * i + j, " ".join(f"w{x}" for x in [new() for _ in range(30)] + w + [new() for _ in range(30)])))
+        pairs.append((2 * i + 1, 2 * i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r["doc"], r["other"]) for r in passages.near_passages(docs)[1].collect()}
+    by_change = [sum(x in found for x in pairs[k::3]) / 200 for k in range(3)]
+    print("recall by change (replace, insert, delete):", by_change)
+    assert found <= set(pairs) and min(by_change) >= 0.98
+
+
 def brute_base(text: str) -> list:
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
