@@ -287,6 +287,32 @@ def test_recall_of_short_changed_passages(spark):
     assert found <= set(pairs) and min(by_change) >= 0.98
 
 
+def test_passages_reach_beyond_the_nearest_document(spark):
+    """Between two documents that share a passage there is one that holds too little of it; the class must not split."""
+    rng, rows = np.random.default_rng(12), []
+    new = lambda: int(rng.integers(1 << 40))
+    for i in range(0, 120, 3):
+        shared = [new() for _ in range(50)]
+        for j, w in enumerate((shared, shared[4:46], shared)):
+            rows.append((i + j, " ".join(f"w{x}" for x in [new() for _ in range(30)] + w + [new() for _ in range(30)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r["doc"], r["other"]) for r in passages.near_passages(docs)[1].collect()}
+    assert found == {(i + 2, i) for i in range(0, 120, 3)}
+
+
+def test_a_link_within_a_class_does_not_hide_another_class(spark):
+    """A passage is like two others that are not like each other: all three are one class."""
+    rng = np.random.default_rng(13)
+    new = lambda: f"w{rng.integers(1 << 40)}"
+    middle = [new() for _ in range(60)]
+    one, two = list(middle), list(middle)
+    one[20], two[40] = "one", "two"
+    filler = lambda: [new() for _ in range(30)]
+    rows = [(i, " ".join(filler() + w + filler())) for i, w in ((1, one), (2, two), (3, middle))]
+    found = {(r["doc"], r["other"]) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
+    assert found == {(3, 1), (3, 2)}
+
+
 def brute_base(text: str) -> list:
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
