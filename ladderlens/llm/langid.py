@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ladderlens.llm.common import claim, joined, text_blocks
 
 ORDER = 3
-#: Labelled rows per language that the trees are counted from, by ascending hash of their text.
+#: Different labelled texts per language that the trees are counted from, by ascending hash.
 ROWS_PER_LANG = 400
 START = b"\n" * ORDER
 HAS_LETTER = r"\p{L}"
@@ -105,13 +105,13 @@ class Model:
 def learn(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG):
     """Counts of 4-grams by language from a bounded sample of (text, lang); null texts or languages are left out.
 
-    The sample is the ``rows_per_lang`` rows of each language whose text hashes lowest. Only hashes
-    are ranked; the texts are then fetched by them and counted by Spark, and what reaches the driver
-    is one row per language and distinct 4-gram of the sample.
+    The sample is the ``rows_per_lang`` different texts of each language that hash lowest, each once
+    however many copies it has. Only distinct hashes are ranked; the texts are then fetched by them and
+    counted by Spark, and what reaches the driver is one row per language and distinct 4-gram of the sample.
     """
     known = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
-    least = known.select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_lang)
+    least = known.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_lang)
     limits = {r["lang"]: r["m"] for r in least.groupBy("lang").agg(F.max("h").alias("m")).collect()}
     if not limits:
         return {}
@@ -133,7 +133,7 @@ def learn(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG):
                 key, n = np.unique(key[keep], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n)], names=["lang", "gram", "n"])
 
-    found = known.where(wanted).select("text", "lang").mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = known.where(wanted).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang").mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {}
     for lang, one in found.groupby("lang"):
         one = one.sort_values("gram")

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ladderlens.llm import langid
 
@@ -64,3 +65,14 @@ def test_no_labels_and_no_letters(spark, odd):
     counts = langid.learn(odd.select("text", "lang"))
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, counts, ["doc_id"]).collect()}
     assert got[1] == got[2] == got[6] == "und" and got[5] == "en"
+
+
+def test_copies_count_once_in_the_sample(spark):
+    """The text that hashes lowest has thousands of copies: the sample still holds as many different texts."""
+    texts = spark.createDataFrame([(f"text number {i} of the sample", "en") for i in range(50)], "text string, lang string")
+    lowest = texts.orderBy(F.xxhash64("text")).first()["text"]
+    copies = spark.range(3000).select(F.lit(lowest).alias("text"), F.lit("en").alias("lang"))
+    want, got = langid.learn(texts, 20), langid.learn(texts.union(copies), 20)
+    assert got.keys() == want.keys() == {"en"}
+    assert all((x == y).all() for x, y in zip(got["en"], want["en"]))
+    assert got["en"][1].max() <= 20 * len(lowest)
