@@ -1,10 +1,12 @@
 """Personal data: base patterns plus terms that disclose the found entities (information-theoretic).
 
-An entity c is a found e-mail address, IP address, card or phone number. A term t near it reveals as
+An entity c is a found e-mail address, IP address, card or phone number. A term t in its documents reveals as
 much of it as their pointwise mutual information over the corpus, PMI(c, t) = log2(N n(c,t) / (n(c) n(t))),
 of the information content IC(c) = log2(N / n(c)) that it has (Sanchez and Batet, C-sanitized, 2016).
 Terms with PMI >= DISCLOSURE * IC are sanitised in the documents that hold the entity. To tell
-disclosure from mere copying, a pair must occur in at least MIN_CONTEXTS different surroundings.
+disclosure from mere copying, a pair must occur in at least MIN_CONTEXTS different surroundings: the
+WINDOW_WORDS words on either side of the entity, whichever document they are in, where the term is one of
+them; else the document's text. All three counts n are of whole documents.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import claim, documents, staged
+from ladderlens.llm.common import claim, documents, short_lived_shuffles, staged
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -27,6 +29,8 @@ MIN_CONTEXTS = 3
 DISCLOSURE = 0.95
 #: Terms counted in one pass over the corpus; more of them take more passes.
 TERMS_PER_PASS = 100_000
+#: Rows of pairs that a task holds before it passes them on.
+ROWS_PER_BATCH = 50_000
 EDGE = ".,;:!?()[]{}<>\"'`*#|=$%&"
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -108,28 +112,49 @@ def _around(text: str, start: int, end: int) -> list[str]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, entity, term, context) once per document, entity and nearby term; term is null in a row for the entity itself."""
+    """(doc_id, entity, term, context, first): a row for each document, entity, term of the document and
+    different surroundings of the pair in it; ``first`` in one of a pair's. In a row for the entity itself
+    the term is null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def pairs(text: str) -> Iterator[tuple[str, str | None, int, bool]]:
+        near: dict[str, dict[str, set[int]]] = {}
+        for span in base_spans(text):
+            words = _around(text, span[1], span[2])
+            context = xxhash.xxh64_intdigest("\n".join(words).encode()) - (1 << 63)
+            own = near.setdefault(entity(text, span), {})
+            for term in {term_of(x) for x in words} - {None}:
+                own.setdefault(term, set()).add(context)
+        if not near:
+            return
+        whole = xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+        terms = {term_of(x) for x in set(_WORD.findall(text))} - {None}
+        for name, own in near.items():
+            yield name, None, 0, True
+            for term in terms | own.keys():
+                for i, context in enumerate(own.get(term, (whole,))):
+                    yield name, term, context, i == 0
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("pii")
         for batch in batches:
-            ids, entities, terms, contexts = [], [], [], []
+            held = []
+
+            def full() -> pa.RecordBatch:
+                columns = list(zip(*held)) or [[]] * 5
+                types = (batch.column("doc_id").type, pa.string(), pa.string(), pa.int64(), pa.bool_())
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["doc_id", "entity", "term", "context", "first"])
+
             for i, text in zip(batch.column("doc_id"), batch.column("text")):
-                text, found = text.as_py() or "", {}
-                for span in base_spans(text):
-                    name = entity(text, span)
-                    found.setdefault((name, None), 0)
-                    words = _around(text, span[1], span[2])
-                    context = xxhash.xxh64_intdigest("\n".join(words).encode()) - (1 << 63)
-                    for word in words:
-                        if (term := term_of(word)) and (name, term) not in found:
-                            found[name, term] = context
-                for (name, term), context in found.items():
-                    ids.append(i.as_py()), entities.append(name), terms.append(term), contexts.append(context)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array(entities, pa.string()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64())], names=["doc_id", "entity", "term", "context"])
-
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, entity string, term string, context long")
+                i = i.as_py()
+                for row in pairs(text.as_py() or ""):
+                    held.append((i, *row))
+                    if len(held) >= ROWS_PER_BATCH:
+                        yield full()
+            yield full()
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, entity string, term string, context long, first boolean")
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -157,8 +182,10 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, pmi, ic) of the pairs over the disclosure threshold."""
-    pairs = found.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
-    pairs = staged(pairs, "pairs")
+    by_context = found.where("term is not null").groupBy("entity", "term", "context").agg(F.sum(F.col("first").cast("long")).alias("n"))
+    pairs = by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS).drop("contexts")
+    with short_lived_shuffles(docs.sparkSession):
+        pairs = staged(pairs, "pairs")
     entities = found.where("term is null").groupBy("entity").agg(F.count("*").alias("n_c"))
     terms = document_counts(docs, pairs.select("term"))
     n = docs.count()
@@ -201,7 +228,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 def with_flags(docs: DataFrame) -> DataFrame:
     """docs with ``flagged``: the (entity, term) pairs that may be sanitised in each document."""
     found = staged(occurrences(docs), "occurrences")
-    pairs = found.where("term is not null").join(disclosing(docs, found).select("entity", "term"), ["entity", "term"])
+    pairs = found.where("term is null").select("doc_id", "entity").join(disclosing(docs, found).select("entity", "term"), "entity")
     per_doc = pairs.groupBy("doc_id").agg(F.collect_set(F.struct("entity", "term")).alias("flagged"))
     return docs.join(per_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
 

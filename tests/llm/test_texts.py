@@ -342,3 +342,26 @@ def test_terms_that_disclose(spark):
     assert spans[0].split(",")[-1] == f"term:{at}:{at + 8}" and spans[100] == ""
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
     assert "a.b@c.org" not in clean[0] and "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and clean[100] == rows[6][1]
+
+
+def flagged_terms(spark, rows: list[tuple[int, str]]) -> dict[int, set[str]]:
+    rows = rows + [(1000 + i, f"filler{i} the about today is common text write to all of item{i}") for i in range(60)]
+    text = dict(rows)
+    spans = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    return {r["doc_id"]: {text[r["doc_id"]][int(x.split(":")[1]) : int(x.split(":")[2])] for x in r["spans"].split(",") if x.startswith("term:")} for r in spans}
+
+
+def test_one_long_document_discloses(spark):
+    """An archive with an address and its owner's name in ten different sentences."""
+    archive = " ".join(f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i} Zanzibar a.b@c.org j{i} k{i} l{i} m{i} n{i} o{i} p{i} q{i} r{i}" for i in range(10))
+    found = flagged_terms(spark, [(1, archive)])
+    assert found.pop(1) == {"Zanzibar"} and not any(found.values())
+
+
+def test_distant_terms_disclose_and_copies_do_not(spark):
+    """Letters with the name at the head and the address at the foot; the other letter has five exact copies."""
+    def letter(name: str, i: str, mail: str) -> str:
+        return f"{name} " + " ".join(f"{i}word{j}" for j in range(30)) + f" please write to all of the people at this address {mail}"
+
+    found = flagged_terms(spark, [(i, letter("Zanzibar", f"x{i}", "a.b@c.org")) for i in range(4)] + [(10 + i, letter("Quito", "same", "d.e@f.org")) for i in range(5)])
+    assert all("Zanzibar" in found[i] for i in range(4)) and not any(found[10 + i] for i in range(5))
