@@ -42,12 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later reads don't recompute it,
     and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,8 +67,8 @@ def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", owner: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about BLOCK_BYTES of text, and their texts as UTF-8 (null: empty)."""
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", owner: str = "", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``size`` bytes of text, and their texts as UTF-8 (null: empty)."""
     claim(owner)
     for batch in batches:
         texts = batch.column(column)
@@ -76,7 +76,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", owner:
         at = 0
         while at < len(ends):
             done = int(ends[at - 1]) if at else 0
-            n = max(1, int(np.searchsorted(ends, done + BLOCK_BYTES, side="right")) - at)
+            n = max(1, int(np.searchsorted(ends, done + size, side="right")) - at)
             part = batch.slice(at, n)
             yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
             at += n

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderlens.llm.common import documents, staged, text_blocks
-from ladderlens.llm.tokens import OWNER, default_path, encoder
+from ladderlens.llm.tokens import OWNER, WORDS_AT_ONCE, default_path, encoder
 
 SEQUENCE = 4096
 UNIT = 32
@@ -173,9 +173,9 @@ def measured(docs: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_blocks(batches, owner=OWNER):
+        for part, texts in text_blocks(batches, owner=OWNER, size=WORDS_AT_ONCE):
             n, full, size, crc, crumb = [], [], [], [], []
-            for ids in encoder(path).encode([x.decode() for x in texts]):
+            for ids in encoder(path).encode(texts):
                 raw, count = memoryview(ids.astype("<u4").tobytes()), len(ids)
                 at = count // SEQUENCE * SEQUENCE
                 end = count - count % UNIT

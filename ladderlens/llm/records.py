@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderlens.llm.common import documents, shared_dir, staged, text_blocks
-from ladderlens.llm.tokens import OWNER, default_path, encoder
+from ladderlens.llm.tokens import OWNER, WORDS_AT_ONCE, default_path, encoder
 
 NO_ID = -(1 << 63)
 INDEX = np.dtype([("offset", "<u8"), ("size", "<u4"), ("tokens", "<u4")])
@@ -120,11 +120,11 @@ def write_records(docs: DataFrame, folder: str, shards: int, path: str) -> DataF
         shard, attempt = context.partitionId(), context.taskAttemptId()
         store, base = _store(folder)
         name, records, tokens, offset, out = f"{base}/shard-{shard:06d}", 0, 0, 0, None
-        for part, texts in text_blocks(batches, owner=OWNER):
+        for part, texts in text_blocks(batches, owner=OWNER, size=WORDS_AT_ONCE):
             if out is None:
                 store.create_dir(base, recursive=True)
                 out, index = store.open_output_stream(f"{name}.records.{attempt}"), store.open_output_stream(f"{name}.index.{attempt}")
-            ids = encoder(path).encode([x.decode() for x in texts])
+            ids = encoder(path).encode(texts)
             numbers = [NO_ID if x is None else x for x in part.column("doc_id").to_pylist()]
             data = [i.to_bytes(8, "little", signed=True) + x.tobytes() for i, x in zip(numbers, ids)]
             out.write(b"".join(framed(data)))

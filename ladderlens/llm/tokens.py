@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer with word ends.
 
 The tokenizer drops white space and never merges across it, so a text's ids are those of its words
-in order. Words are encoded once per worker and kept, up to KEPT_WORDS of them; what is new in a block
-of texts is encoded together.
+in order. Arrow splits a block of texts and numbers its different words; only words that the worker has
+not met lately are encoded, all of a block together, and the ids are put in place by numbers.
 """
 
 from __future__ import annotations
@@ -10,14 +10,18 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ladderlens.llm.common import claim
 
 END_ID = 2
-KEPT_WORDS = 550_000
-#: Characters that Python's split takes for white space and the tokenizer doesn't.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
-TAIL = ".,!?;:"
+#: Words, and words without case and marks, that a worker keeps in each of two generations.
+KEPT_WORDS = 350_000
+#: Bytes of text whose words are numbered together.
+WORDS_AT_ONCE = 4 << 20
+#: Marks that may follow a word's letters; a run of them is one piece of its own.
+TAIL = ".,!?;:)]}\"|"
 
 OWNER = "tokens"
 
@@ -36,6 +40,25 @@ def encoder(path: str) -> "WordEncoder":
     return kept[path]
 
 
+class Recent(dict):
+    """A dictionary that lets go of what was not asked for during the last KEPT_WORDS additions."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def settle(self) -> None:
+        if len(self) > KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,22 +68,26 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.tails = {"": b""} | {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=self.kind).tobytes() for x in TAIL}
-
-    def _learn(self, words) -> None:
-        """A word of letters with at most one mark after it is one closed piece and the mark's ids, whatever
-        its case, so such words are encoded as one text and told apart by the pieces' ends; others are
-        encoded one by one."""
-        plain, rest, cores = [], [], self.cores
+        self.words, self.cores, self.tails = Recent(), Recent(), {"": b""}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """A word of letters and a run of marks is one closed piece, whatever its case, and the marks' ids, so
+        the letters of such words are encoded as one text and told apart by the pieces' ends; other words
+        are encoded one by one."""
+        plain, rest, fresh = [], [], {}
         for word in words:
-            core = word[:-1] if word[-1] in TAIL else word
+            core = word.rstrip(TAIL)
             if core.isalpha() and (core.isascii() or max(core) < "İ"):
-                plain.append((word, core.lower(), word[len(core) :]))
+                low = core.lower()
+                plain.append((word, low, word[len(core) :]))
+                if self.cores[low] is None:
+                    fresh[low] = None
             else:
                 rest.append(word)
-        fresh = list({core for _, core, _ in plain if core not in cores})
+        fresh = list(fresh)
         texts = [" ".join(fresh[i : i + 500]) for i in range(0, len(fresh), 500)]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype=self.kind)
@@ -69,35 +96,44 @@ class WordEncoder:
             raise ValueError("the tokenizer does not close each word once")
         raw, low = ids.tobytes(), 0
         for core, high in zip(fresh, (ends * self.kind.itemsize).tolist()):
-            cores[core] = raw[low:high]
+            self.cores[core] = raw[low:high]
             low = high
-        tails = self.tails
-        self.words.update((word, cores[core] + tails[tail]) for word, core, tail in plain)
-        for i in range(0, len(rest), 1000):
-            part = rest[i : i + 1000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[word] = np.array(e.ids, dtype=self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        new = [x for x in {tail for _, _, tail in plain} if x not in self.tails]
+        self.tails.update(zip(new, self._encoded(new)))
+        for word, core, tail in plain:
+            self.words[word] = self.cores[core] + self.tails[tail]
+        self.words.update(zip(rest, self._encoded(rest)))
+
+    @staticmethod
+    def _listed(words: pa.StringArray) -> list[str]:
+        """The words as Python strings: none has a line end, so one joined string is cut again."""
+        if not len(words):
+            return []
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n")
+
+    def encode(self, texts: list[bytes] | list[str]) -> list[np.ndarray]:
         """The ids of each text, each with END_ID appended."""
-        end = np.array([END_ID], dtype=self.kind).tobytes()
-        split, new = [], set()
-        for text in texts:
-            odd = any(x in text for x in ODD_SPACE)
-            words = None if odd else text.split()
-            split.append(words)
-            if words:
-                new.update(words)
-        new = [x for x in new if x not in self.words]
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words, self.cores = {}, {}
-            new = list({w for words in split if words for w in words})
-        self._learn(new)
-        out, known = [], self.words.__getitem__
-        for text, words in zip(texts, split):
-            if words is None:
-                raw = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-            else:
-                raw = b"".join(map(known, words))
-            out.append(np.frombuffer(raw + end, dtype=self.kind))
-        return out
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = self._listed(coded.dictionary)
+        known = self.words
+        ids = [known[x] for x in words]
+        lacking = [i for i, x in enumerate(ids) if x is None]
+        if lacking:
+            self._learn([words[i] for i in lacking])
+            for i in lacking:
+                ids[i] = known[words[i]]
+        known.settle()
+        self.cores.settle()
+        if len(self.tails) > KEPT_WORDS:
+            self.tails = {"": b""}
+        # each word's ids, one word after the other
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.kind.itemsize
+        flat, first = np.frombuffer(b"".join(ids), dtype=self.kind), np.cumsum(sizes) - sizes
+        code = coded.indices.to_numpy()
+        size = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        of_text = np.diff(ends[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])])
+        out = np.full(int(ends[-1]) + len(texts), END_ID, dtype=self.kind)
+        out[np.arange(ends[-1]) + np.repeat(np.arange(len(texts)), of_text)] = flat[np.arange(ends[-1]) + np.repeat(first[code] - ends[:-1], size)]
+        return np.split(out, np.cumsum(of_text + 1)[:-1]) if texts else []
