@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import text_blocks
+from ladderlens.llm.common import BLOCK_BYTES, text_blocks
 from ladderlens.llm.records import _store
 
 #: Stands for a null id: larger than all others.
@@ -32,9 +32,10 @@ def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
 
 
-def write_parts(docs: DataFrame, folder: str, work: Callable[[int, Blocks], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Write docs (doc_id, text; null text: empty) by partition, and return what ``work(part, blocks)``
-    yields. A task writes under its attempt's name and renames, so an attempt that is lost leaves nothing."""
+def write_parts(docs: DataFrame, folder: str, work: Callable[[int, Blocks], Iterator[pa.RecordBatch]], schema: str, about: Callable[[list[bytes]], dict[str, pa.Array]] | None = None, size: int = BLOCK_BYTES) -> DataFrame:
+    """Write docs (doc_id, text; null text: empty) by partition, with the columns that ``about`` makes of a
+    block of texts, and return what ``work(part, blocks)`` yields. A task writes under its attempt's name
+    and renames, so an attempt that is lost leaves nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -43,12 +44,13 @@ def write_parts(docs: DataFrame, folder: str, work: Callable[[int, Blocks], Iter
 
         def written() -> Blocks:
             out = None
-            for batch, texts in text_blocks(batches):
+            for batch, texts in text_blocks(batches, size=size):
+                rows = pa.table({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.binary())} | (about(texts) if about else {}))
                 if out is None:
                     store.create_dir(name.rpartition("/")[0], recursive=True)
                     sink = store.open_output_stream(f"{name}.{context.taskAttemptId()}")
-                    out = pq.ParquetWriter(sink, pa.schema([("doc_id", pa.int64()), ("text", pa.binary())]), compression="zstd", use_dictionary=False)
-                out.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"]))
+                    out = pq.ParquetWriter(sink, rows.schema, compression="zstd", use_dictionary=False)
+                out.write_table(rows)
                 yield batch, texts
             if out is not None:
                 out.close(), sink.close()
@@ -59,28 +61,36 @@ def write_parts(docs: DataFrame, folder: str, work: Callable[[int, Blocks], Iter
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def written_parts(folder: str) -> int:
+    """One more than the largest number of a part that was written; 0 if there is none."""
+    from pyarrow import fs
+
+    store, base = _store(folder)
+    names = [x.base_name for x in store.get_file_info(fs.FileSelector(base, allow_not_found=True))]
+    return 1 + max((int(x[5:11]) for x in names if x.startswith("part-") and x.endswith(".parquet")), default=-1)
+
+
+def table_of(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Columns of the parts that were written, with ``part``, without the texts."""
+    number = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("int").alias("part")
+    return spark.read.schema(schema).parquet(f"{folder}/part-*.parquet").select("*", number)
+
+
 def over_parts(rows: DataFrame, parts: int, folder: str, work: Callable[[int, pa.Table, Blocks], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run ``work(part, rows, blocks)`` for every part: the rows with its number in ``part``, and its texts."""
-    markers = rows.sparkSession.range(parts).select(*[F.col("id").cast("int").alias("part") if c == "part" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], F.lit(True).alias("__marker"))
-    dealt = rows.withColumn("__marker", F.lit(False)).union(markers).repartitionById(parts, F.col("part"))
+    """Run ``work(part, rows, blocks)`` for every part that rows name: the rows with its number in ``part``, and its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        got = list(batches)
+        got = [b for b in batches if b.num_rows]
         if not got:
             return
         table = pa.Table.from_batches(got)
         numbers = table.column("part").to_numpy()
-        real = ~table.column("__marker").to_numpy()
         for part in np.unique(numbers).tolist():
             store, name = _file(folder, part)
-            if store.get_file_info(name).type == fs.FileType.NotFound:
-                continue  # a partition without documents
             with store.open_input_file(name) as source:
-                yield from work(part, table.filter(pa.array((numbers == part) & real)), text_blocks(pq.ParquetFile(source).iter_batches(256)))
+                yield from work(part, table.filter(pa.array(numbers == part)), text_blocks(pq.ParquetFile(source).iter_batches(256, columns=["doc_id", "text"])))
 
-    return dealt.mapInArrow(run, schema)
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(run, schema)
 
 
 def _saved(folder: str, name: str, part: int) -> tuple:
@@ -108,7 +118,7 @@ def save_rows(rows: DataFrame, parts: int, folder: str, name: str) -> int:
     return rows.select(*columns).repartitionById(parts, F.col("part")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def over_saved(spark, parts: int, folder: str, names: list[str], work: Callable[[int, dict[str, pa.Table | None], Blocks], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def over_saved(spark, parts: int, folder: str, names: list[str], work: Callable[[int, dict[str, pa.Table | None], Blocks], Iterator[pa.RecordBatch]], schema: str, size: int = BLOCK_BYTES) -> DataFrame:
     """Run ``work(part, saved, blocks)`` for every part: its saved rows by name (None: it has none), and its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +137,6 @@ def over_saved(spark, parts: int, folder: str, names: list[str], work: Callable[
                     rows = read(*_saved(folder, name, part))
                     saved[name] = pq.read_table(rows) if rows is not None else None
                 with source:
-                    yield from work(part, saved, text_blocks(pq.ParquetFile(source).iter_batches(256)))
+                    yield from work(part, saved, text_blocks(pq.ParquetFile(source).iter_batches(256, columns=["doc_id", "text"]), size=size))
 
     return spark.range(0, parts, 1, parts).mapInArrow(run, schema)
