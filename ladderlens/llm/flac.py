@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderlens.llm.common import documents, text_blocks
+from ladderlens.llm.common import documents, staged, text_blocks
 
 BLOCK_SAMPLES = 576
 SAMPLE_RATE = 8000
@@ -363,7 +363,9 @@ def feature(pcm: bytes) -> str:
 
 
 def with_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text (null: empty) as a FLAC stream of its padded UTF-8 bytes."""
+    """(doc_id, n_bytes, media): each text (null: empty) as a FLAC stream of its padded UTF-8 bytes. Equal
+    texts have equal streams, repeated rows stay, a text of any length is one stream, and an empty table
+    gives an empty one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,4 +409,5 @@ def pcm_blocks(media: DataFrame, samples: int = BLOCK_SAMPLES) -> DataFrame:
 
 
 def op7_flac_media(spark, sf_dir):
-    return described(with_media(documents(spark, sf_dir)))
+    """The streams are stored in the shared folder and read back from there."""
+    return described(staged(with_media(documents(spark, sf_dir)), "media", compression="zstd"))
