@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ladderlens.llm.common import claim, joined, text_blocks
 
@@ -142,14 +144,17 @@ def learn(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG):
 
 
 def identify(docs: DataFrame, counts, columns: list[str]) -> DataFrame:
-    """``columns`` of docs with lang_pred, score (posterior of the predicted language under equal
-    priors) and bits_per_byte (of the best code). Null texts and texts without a letter: ``und``, score 0.
-    Ties go to the language first in order. Without any learned language, all are ``und``."""
+    """(row, lang_pred, score, bits_per_byte): ``columns`` of docs in one struct, whatever their names, with
+    the predicted language, its posterior under equal priors and the bits a byte of its code.
+
+    Null texts and texts without a letter: ``und``, score 0. Ties go to the language first in order, equal
+    texts have equal results, repeated rows stay. Without any learned language, all are ``und``. A text of
+    any length is scored whole.
+    """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(counts)
     key = f"{spark.sparkContext.applicationId}-{shipped._jbroadcast.id() if shipped._jbroadcast else id(shipped)}"
-    kept = [docs.schema[c] for c in columns if c != "text"]
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept])
+    inside = "text" in columns
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = claim(OWNER)
@@ -157,8 +162,10 @@ def identify(docs: DataFrame, counts, columns: list[str]) -> DataFrame:
             models.clear()
             models[key] = Model(shipped.value) if shipped.value else None
         model = models[key]
-        for part, texts in text_blocks(batches, "__text", OWNER):
-            lettered = np.array(part.column("__lettered").to_pylist(), dtype=bool)
+        if inside:
+            batches = (pa.RecordBatch.from_arrays([*b.columns, pc.struct_field(b.column("row"), "text")], names=[*b.schema.names, "text"]) for b in batches)
+        for part, texts in text_blocks(batches, "text", OWNER):
+            lettered = np.array(part.column("lettered").to_pylist(), dtype=bool)
             if model:
                 bits = model.bits(texts)
                 best = bits.argmin(1)
@@ -170,13 +177,12 @@ def identify(docs: DataFrame, counts, columns: list[str]) -> DataFrame:
             else:
                 pred, score, per = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 lettered[:] = False
-            out = [part.column(f.name) for f in kept] + [pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(np.where(lettered, per, 0.0))]
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in kept] + ["lang_pred", "score", "bits_per_byte"])
+            out = [part.column("row"), pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(np.where(lettered, per, 0.0))]
+            yield pa.RecordBatch.from_arrays(out, names=["row", "lang_pred", "score", "bits_per_byte"])
 
-    if "text" in columns:
-        raise ValueError("text is not carried; join on an id instead")
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False)).alias("__lettered"))
-    return source.mapInArrow(predict, ", ".join(x for x in (fields, "lang_pred string, score double, bits_per_byte double") if x))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    source = docs.select(row, *([] if inside else [F.col("text").alias("text")]), F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False)).alias("lettered"))
+    return source.mapInArrow(predict, StructType([source.schema["row"], *StructType.fromDDL("lang_pred string, score double, bits_per_byte double")]))
 
 
 def held_out():
@@ -189,4 +195,4 @@ def op1_language_id(spark, sf_dir):
 
     docs = documents(spark, sf_dir)
     counts = learn(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("text", "lang"))
-    return identify(docs.withColumn("held_out", held_out()), counts, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+    return identify(docs.withColumn("held_out", held_out()), counts, ["doc_id", "held_out"]).select("row.doc_id", "row.held_out", "lang_pred", "score", "bits_per_byte")

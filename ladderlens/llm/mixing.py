@@ -35,9 +35,11 @@ def topic(text: Column) -> Column:
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """docs with cell_source, cell_lang, cell_topic and cell_tokens (words). Nulls count as empty strings."""
+    """(row, source, lang, topic, tokens): the documents' columns in one struct, whatever their names, with
+    their cells and sizes in words. Nulls count as empty strings."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"cell_source": F.coalesce("source", F.lit("")), "cell_lang": F.coalesce("lang", F.lit("")), "cell_topic": topic(text), "cell_tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic(text).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"))
 
 
 def tempered(cells: DataFrame, dimension: str, power: float = TEMPER) -> DataFrame:
@@ -81,24 +83,24 @@ def draw(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, targets=tempered, rounds: int = ROUNDS) -> DataFrame:
-    """The drawn documents with all their columns and cell_*, weight and probability.
+    """The drawn documents: (row, source, lang, topic, tokens, weight, probability).
 
     ``targets`` gives (value, target) from the cells and a dimension's name. What is shuffled is one
     row per cell and task; the texts stay where they are unless there are more than BROADCAST_CELLS cells.
+    Rows of one doc_id are drawn together, repeated ones included; those without one are drawn as one. Texts of
+    no words are in a cell like any other. An empty table gives an empty one.
     """
     celled = with_cells(docs)
-    named = [F.col(f"cell_{x}").alias(x) for x in DIMENSIONS]
-    cells = staged(celled.groupBy(*[f"cell_{x}" for x in DIMENSIONS]).agg(F.sum("cell_tokens").alias("tokens")).select(*named, "tokens"), "cells")
+    cells = staged(celled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     chances = staged(probabilities(rake(cells, {x: targets(cells, x) for x in DIMENSIONS}, rounds)), "chances")
-    chances = chances.select(*[F.col(x).alias(f"cell_{x}") for x in DIMENSIONS], "weight", "probability")
     if chances.count() <= BROADCAST_CELLS:
         chances = F.broadcast(chances)
-    joined = celled.join(chances, [f"cell_{x}" for x in DIMENSIONS])
-    return joined.where(draw(F.col("doc_id")) < F.col("probability"))
+    return celled.join(chances, list(DIMENSIONS)).where(draw(F.col("row.doc_id")) < F.col("probability"))
 
 
 def op2_source_mixing(spark, sf_dir):
-    return sample(documents(spark, sf_dir).select("doc_id", "source", "lang", "text")).select("doc_id", F.col("cell_source").alias("source"), F.col("cell_lang").alias("lang"), F.col("cell_topic").alias("topic"), F.col("cell_tokens").alias("tokens"), "weight", "probability")
+    drawn = sample(documents(spark, sf_dir).select("doc_id", "source", "lang", "text"))
+    return drawn.select("row.doc_id", *DIMENSIONS, "tokens", "weight", "probability")
 
 
 def _sql() -> str:

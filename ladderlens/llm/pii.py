@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +28,8 @@ TERM = "term"
 WINDOW_WORDS = 8
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.95
-#: Terms counted in one pass over the corpus; more of them take more passes.
-TERMS_PER_PASS = 100_000
+#: Different terms that a task counts before it passes them on.
+TERMS_HELD = 400_000
 #: Rows of pairs that a task holds before it passes them on.
 ROWS_PER_BATCH = 50_000
 EDGE = ".,;:!?()[]{}<>\"'`*#|=$%&"
@@ -158,26 +159,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): in how many documents each of ``terms`` (term) occurs. Terms are broadcast in
-    blocks of at most TERMS_PER_PASS, and each block costs one pass over the texts."""
-    spark = docs.sparkSession
-    terms = staged(terms.distinct(), "terms")
-    # hashing deals the terms out evenly; a fifth more pieces keeps each below the bound
-    pieces = -(-terms.count() * 6 // (5 * TERMS_PER_PASS))
-    out = spark.createDataFrame([], "term string, n_t long")
-    for piece in range(pieces):
-        shipped = spark.sparkContext.broadcast(frozenset(r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(pieces)) == piece).collect()))
-
-        def count(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            wanted, total = shipped.value, {}
-            for batch in batches:
-                for text in batch.column("text"):
-                    for term in {term_of(x) for x in set(_WORD.findall(text.as_py() or ""))} & wanted:
-                        total[term] = total.get(term, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-        out = out.union(docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")))
-    return out
+    """(term, n_t): in how many documents each of ``terms`` (term) occurs, in one pass over the texts. A task
+    adds up its documents' terms, passes them on whenever it holds TERMS_HELD, and Spark sums them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+
+        def summed() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+            total.clear()
+            return rows
+
+        for batch in batches:
+            for text in batch.column("text"):
+                total.update({term_of(x) for x in set(_WORD.findall(text.as_py() or ""))} - {None})
+                if len(total) >= TERMS_HELD:
+                    yield summed()
+        yield summed()
+
+    counted = docs.select("text").mapInArrow(count, "term string, n long")
+    return counted.join(terms.distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -263,8 +264,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with personal data and disclosing terms in ``text`` generalised; null texts stay null, and all columns stay."""
-    columns = docs.columns
+    """docs with personal data and disclosing terms in ``text`` generalised. Null texts stay null, an empty
+    text stays empty, and all other columns stay, whatever their names; repeated rows stay, and rows
+    without a doc_id lose their personal data but no terms, as nothing says which documents they are in."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("pii")
@@ -272,9 +276,11 @@ def sanitised(docs: DataFrame) -> DataFrame:
             texts = []
             for text, flagged in zip(batch.column("text").to_pylist(), _flags(batch.column("flagged"))):
                 texts.append(None if text is None else redact(text, sum(all_spans(text, flagged), [])))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column("text").type) if c == "text" else batch.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, batch.column("text").type), batch.column("carried")], names=["doc_id", "text", "carried"])
 
-    return with_flags(docs).select(*columns, "flagged").mapInArrow(rows, docs.schema)
+    narrow = docs.select("doc_id", "text", carried.alias("carried"))
+    clean = with_flags(narrow).select("doc_id", "text", "carried", "flagged").mapInArrow(rows, narrow.schema)
+    return clean.select(*[F.col(c) if c in ("doc_id", "text") else F.col("carried").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark, sf_dir):

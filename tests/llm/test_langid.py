@@ -60,10 +60,10 @@ def test_held_out_accuracy(spark, smallest):
 
 def test_no_labels_and_no_letters(spark, odd):
     assert langid.learn(odd.select("text", "lang").where("false")) == {}
-    rows = langid.identify(odd, {}, ["doc_id"]).collect()
+    rows = langid.identify(odd, {}, ["doc_id"]).select("row.*", "lang_pred", "score").collect()
     assert {r["lang_pred"] for r in rows} == {"und"} and {r["score"] for r in rows} == {0.0}
     counts = langid.learn(odd.select("text", "lang"))
-    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, counts, ["doc_id"]).collect()}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, counts, ["doc_id"]).select("row.*", "lang_pred").collect()}
     assert got[1] == got[2] == got[6] == "und" and got[5] == "en"
 
 
