@@ -7,11 +7,16 @@ condition, so neither side is compared with the whole of the other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Samples per join block.
 BLOCK = 64
+#: Bands that may be broadcast.
+MOST_BANDS = 10_000
+MONEY, FRACTION = "decimal(18,8)", "decimal(9,8)"
 STRUCTURES = ("NORMAL", "LOCKED", "CROSSED", "EMPTY_BID", "EMPTY_ASK", "EMPTY_BOTH")
 
 
@@ -22,10 +27,10 @@ def valid_changes(changes: DataFrame, replayed: DataFrame) -> DataFrame:
 
 
 def lifetimes(changes: DataFrame) -> DataFrame:
-    """(market, epoch, side, price, qty, from_n, to_n): to_n is null while the level lives on."""
+    """(market, epoch, side, price, qty, from_n, to_n, from_t, to_t): to_n and to_t are null while the level lives on."""
     w = Window.partitionBy("market", "epoch", "side", "price").orderBy("n")
-    spans = changes.withColumns({"from_n": F.col("n"), "to_n": F.lead("n").over(w)})
-    return spans.where("qty > 0").select("market", "epoch", "side", "price", "qty", "from_n", "to_n")
+    spans = changes.withColumns({"from_n": F.col("n"), "to_n": F.lead("n").over(w), "from_t": F.col("t"), "to_t": F.lead("t").over(w)})
+    return spans.where("qty > 0").select("market", "epoch", "side", "price", "qty", "from_n", "to_n", "from_t", "to_t")
 
 
 def change_counters(changes: DataFrame) -> DataFrame:
@@ -35,10 +40,15 @@ def change_counters(changes: DataFrame) -> DataFrame:
     return seen.groupBy("market").agg(F.count("*").alias("changes"), F.count_if(F.col("qty") == 0).alias("zero_changes"), F.count_if((F.col("qty") == 0) & (F.col("before") > 0)).alias("removed"))
 
 
+def slot_of(t: str | Column, interval: int) -> Column:
+    """The sampling slot of a time: an event at a slot's end belongs to that slot."""
+    return F.floor(((F.col(t) if isinstance(t, str) else t) - 1) / interval).cast("long")
+
+
 def samples(replayed: DataFrame, interval: int) -> DataFrame:
-    """(market, slot, t_end, n, epoch, valid): the last event at or before each slot's end, on a dense grid
-    from each market's first slot to its last. An event at a slot's end belongs to that slot."""
-    last = replayed.withColumn("slot", F.expr(f"(t - 1) div {interval}")).groupBy("market", "slot").agg(F.max_by(F.struct("n", "epoch", "valid"), "n").alias("s"))
+    """(market, slot, t_end, n, epoch, valid, state): the last event at or before each slot's end, on a dense grid
+    from each market's first slot to its last."""
+    last = replayed.withColumn("slot", slot_of("t", interval)).groupBy("market", "slot").agg(F.max_by(F.struct("n", "epoch", "valid", "state"), "n").alias("s"))
     grid = last.groupBy("market").agg(F.min("slot").alias("a"), F.max("slot").alias("b")).select("market", F.explode(F.sequence("a", "b")).alias("slot"))
     # an empty slot takes the state of the last one with an event, found within groups of slots and then across them
     filled = grid.join(last, ["market", "slot"], "left").withColumn("group", F.expr("slot div 4096"))
@@ -47,16 +57,29 @@ def samples(replayed: DataFrame, interval: int) -> DataFrame:
     carried = ends.select("market", "group", F.last("e", ignorenulls=True).over(Window.partitionBy("market").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     state = F.coalesce(F.last("s", ignorenulls=True).over(inside), "carried")
     out = filled.join(carried, ["market", "group"]).withColumn("s", state)
-    return out.selectExpr("market", "slot", f"(slot + 1) * {interval} AS t_end", "s.n", "s.epoch", "s.valid")
+    return out.select("market", "slot", ((F.col("slot") + 1) * interval).alias("t_end"), "s.n", "s.epoch", "s.valid", "s.state")
+
+
+def meeting(sampled: DataFrame, levels: DataFrame, slot: Callable[[str], Column]) -> DataFrame:
+    """Valid samples with the levels alive at them; ``slot`` gives the slot of a time column. A level is dealt
+    out once for each block of slots that it lives through, and not at all if it changes within its slot."""
+    s = sampled.where("valid").withColumn("block", F.expr(f"slot div {BLOCK}"))
+    reach = s.groupBy("market", "epoch").agg(F.max("slot").alias("last_slot"), F.min("slot").alias("first_slot"))
+    spans = levels.withColumns({"a": slot("from_t"), "b": slot("to_t") - 1}).where("b IS NULL OR b >= a")
+    alive = spans.join(reach, ["market", "epoch"]).withColumns({"a": F.greatest("a", "first_slot"), "b": F.least(F.coalesce("b", "last_slot"), "last_slot")}).where("b >= a")
+    alive = alive.select("market", "epoch", "side", "price", "qty", "a", "b", F.explode(F.expr(f"sequence(a div {BLOCK}, b div {BLOCK})")).alias("block"))
+    return s.join(alive, ["market", "epoch", "block"]).where("slot BETWEEN a AND b").drop("block", "a", "b")
 
 
-def meeting(sampled: DataFrame, levels: DataFrame) -> DataFrame:
-    """Valid samples with the levels alive at them."""
-    s = sampled.where("valid").withColumn("block", F.expr(f"n div {BLOCK}"))
-    reach = s.groupBy("market", "epoch").agg(F.max("n").alias("last_n"))
-    alive = levels.join(reach, ["market", "epoch"]).withColumn("until", F.least(F.coalesce(F.col("to_n") - 1, "last_n"), "last_n")).where("until >= from_n")
-    alive = alive.withColumn("block", F.explode(F.expr(f"sequence(from_n div {BLOCK}, until div {BLOCK})")))
-    return s.join(alive, ["market", "epoch", "block"]).where("n BETWEEN from_n AND until").drop("block", "from_n", "to_n", "until", "last_n")
+def quantity_at(met: DataFrame, prices: DataFrame) -> DataFrame:
+    """The quantity at each asked (side, price) of every sample that has it."""
+    return met.join(prices, ["side", "price"]).select("market", "slot", "side", "price", "qty")
+
+
+def price_range(met: DataFrame, low, high) -> DataFrame:
+    """Levels and their quantity per sample and side within [low, high]."""
+    inside = met.where(F.col("price").between(low, high))
+    return inside.groupBy("market", "slot", "side").agg(F.count("*").alias("levels"), F.sum("qty").alias("qty"))
 
 
 def structure(bid: str = "best_bid", ask: str = "best_ask"):
@@ -64,39 +87,74 @@ def structure(bid: str = "best_bid", ask: str = "best_ask"):
     return F.when(b.isNull() & a.isNull(), "EMPTY_BOTH").when(b.isNull(), "EMPTY_BID").when(a.isNull(), "EMPTY_ASK").when(b < a, "NORMAL").when(b == a, "LOCKED").otherwise("CROSSED")
 
 
-def best_prices(sampled: DataFrame, levels: DataFrame) -> DataFrame:
+def best_prices(sampled: DataFrame, levels: DataFrame, slot: Callable[[str], Column]) -> DataFrame:
     """Every sample with its best prices, level counts, structure, quality and reason."""
     bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    tops = meeting(sampled, levels).groupBy("market", "slot").agg(F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"))
-    out = sampled.join(tops, ["market", "slot"], "left").withColumn("structure", F.when(F.col("valid"), structure()))
-    reason = F.when(F.col("epoch").isNull() & ~F.col("valid"), "not_valid").when(F.col("structure") != "NORMAL", F.lower("structure"))
+    tops = meeting(sampled, levels, slot).groupBy("market", "slot").agg(F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"))
+    return judged(sampled.join(tops, ["market", "slot"], "left"))
+
+
+def judged(topped: DataFrame) -> DataFrame:
+    """Samples (valid, state, best_bid, best_ask, bid_levels, ask_levels) with structure, quality and reason:
+    only a NORMAL book is VALID, and a book that isn't valid was never there or was invalidated."""
+    out = topped.withColumn("structure", F.when(F.col("valid"), structure()))
+    reason = F.when(~F.col("valid"), F.when(F.col("state") == "INVALIDATED", "replay_invalidated").otherwise("uninitialized")).when(F.col("structure") != "NORMAL", F.lower("structure"))
     return out.withColumns({"bid_levels": F.coalesce("bid_levels", F.lit(0)), "ask_levels": F.coalesce("ask_levels", F.lit(0)), "quality": F.when(F.col("structure") == "NORMAL", "VALID").otherwise("INVALID"), "reason": reason})
 
 
-def depth(sampled: DataFrame, levels: DataFrame, bands: DataFrame) -> DataFrame:
-    """Liquidity of each valid sample with a NORMAL book in each band (band, lower, upper as fractions of
-    the best price): the notional of bids in [best (1 - upper), best (1 - lower)] and of asks in
-    [best (1 + lower), best (1 + upper)], both ends included; imbalance is null where there is none.
+def intervals(bands: DataFrame, best: DataFrame) -> DataFrame:
+    """best (best_bid, best_ask) with every band's (band, lower, upper) price bounds, exact: bids in
+    [best (1 - upper), best (1 - lower)], asks in [best (1 + lower), best (1 + upper)], both ends included."""
+    if (n := bands.count()) > MOST_BANDS:
+        raise ValueError(f"{n} bands, at most {MOST_BANDS} are taken")
+    share = bands.select("band", F.col("lower").cast(FRACTION).alias("lower"), F.col("upper").cast(FRACTION).alias("upper"))
+    if share.where("NOT coalesce(0 <= lower AND lower <= upper AND upper < 1, false)").count():
+        raise ValueError("a band needs 0 <= lower <= upper < 1")
+    one, bid, ask = F.lit(1).cast(FRACTION), F.col("best_bid").cast(MONEY), F.col("best_ask").cast(MONEY)
+    bounds = {"bid_low": bid * (one - F.col("upper")).cast(FRACTION), "bid_high": bid * (one - F.col("lower")).cast(FRACTION), "ask_low": ask * (one + F.col("lower")).cast(FRACTION), "ask_high": ask * (one + F.col("upper")).cast(FRACTION)}
+    return best.crossJoin(F.broadcast(share)).withColumns(bounds).drop("lower", "upper")
+
+
+def depth(sampled: DataFrame, levels: DataFrame, bands: DataFrame, slot: Callable[[str], Column]) -> DataFrame:
+    """Liquidity of each valid sample with a NORMAL book in each band: the exact notional of the levels within
+    its bounds, per side, their numbers, the total and the imbalance, which is null where there is none.
     Samples meet levels once; the best prices come from a window over a sample's own levels."""
     own = Window.partitionBy("market", "slot")
-    met = meeting(sampled, levels).withColumns({"best_bid": F.max(F.when(F.col("side") == "bid", F.col("price"))).over(own), "best_ask": F.min(F.when(F.col("side") == "ask", F.col("price"))).over(own)})
-    met = met.where("best_bid < best_ask").crossJoin(F.broadcast(bands))
-    bid = (F.col("side") == "bid") & F.col("price").between(F.col("best_bid") * (1 - F.col("upper")), F.col("best_bid") * (1 - F.col("lower")))
-    ask = (F.col("side") == "ask") & F.col("price").between(F.col("best_ask") * (1 + F.col("lower")), F.col("best_ask") * (1 + F.col("upper")))
-    notional = F.col("price") * F.col("qty")
-    sums = met.groupBy("market", "slot", "band").agg(F.coalesce(F.sum(F.when(bid, notional)), F.lit(0)).alias("bid"), F.coalesce(F.sum(F.when(ask, notional)), F.lit(0)).alias("ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"))
-    total = F.col("bid") + F.col("ask")
+    met = meeting(sampled, levels, slot).withColumns({"best_bid": F.max(F.when(F.col("side") == "bid", F.col("price"))).over(own), "best_ask": F.min(F.when(F.col("side") == "ask", F.col("price"))).over(own)})
+    met = intervals(bands, met.where("best_bid < best_ask"))
+    bid = (F.col("side") == "bid") & F.col("price").cast(MONEY).between(F.col("bid_low"), F.col("bid_high"))
+    ask = (F.col("side") == "ask") & F.col("price").cast(MONEY).between(F.col("ask_low"), F.col("ask_high"))
+    notional, none = F.col("price").cast(MONEY) * F.col("qty").cast(MONEY), F.lit(0).cast("decimal(38,16)")
+    sums = met.groupBy("market", "slot", "band").agg(F.coalesce(F.sum(F.when(bid, notional)).cast("decimal(38,16)"), none).alias("bid"), F.coalesce(F.sum(F.when(ask, notional)).cast("decimal(38,16)"), none).alias("ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"))
+    total = (F.col("bid") + F.col("ask")).cast("decimal(38,16)")
     return sums.withColumns({"total": total, "imbalance": F.try_divide((F.col("bid") - F.col("ask")).cast("double"), total.cast("double"))})
 
 
-def quality_summary(topped: DataFrame) -> DataFrame:
-    return topped.groupBy("market").agg(F.count("*").alias("slots"), F.count_if(F.col("quality") == "VALID").alias("valid"), F.count_if(F.col("quality") != "VALID").alias("invalid"), F.count_if(F.col("reason") == "not_valid").alias("not_valid"))
+def liquidity_hours(sampled: DataFrame, levels: DataFrame, bands: DataFrame, slot: Callable[[str], Column]) -> DataFrame:
+    """Every sample in every band: values and source_count 1 where the book is NORMAL, else a reason."""
+    deep = depth(sampled, levels, bands, slot)
+    tops = best_prices(sampled, levels, slot).select("market", "slot", "quality", "reason")
+    every = tops.crossJoin(F.broadcast(bands.select("band"))).join(deep, ["market", "slot", "band"], "left")
+    return every.withColumn("source_count", F.when(F.col("quality") == "VALID", 1).otherwise(0))
+
+
+def sample_counts(topped: DataFrame, per_hour: int) -> DataFrame:
+    """Per market and hour of ``per_hour`` slots: slots by quality, and whether all of the hour is valid."""
+    hours = topped.groupBy("market", F.expr(f"slot div {per_hour}").alias("hour")).agg(F.count("*").alias("slots"), *[F.count_if(F.col("quality") == x).alias(x.lower()) for x in ("VALID", "DEGRADED", "INVALID")])
+    return hours.withColumn("fully_valid", F.col("valid") == per_hour)
 
 
-def checkpoints(replayed: DataFrame, levels: DataFrame) -> DataFrame:
+def quality_summary(liquid: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: slots by quality, the numbers of each reason as a map, and valid slots without any liquidity."""
+    counts = liquid.groupBy(*keys, "reason").agg(F.count("*").alias("slots"), *[F.count_if(F.col("quality") == x).alias(x.lower()) for x in ("VALID", "DEGRADED", "INVALID")], F.count_if(F.col("total") == 0).alias("zero_total"))
+    reasons = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "slots")))))
+    return counts.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("slots", "valid", "degraded", "invalid", "zero_total")], reasons.alias("reasons"))
+
+
+def checkpoints(replayed: DataFrame, levels: DataFrame, hour: Callable[[str], Column]) -> DataFrame:
     """All levels alive at each valid hour end: bids from the best down, asks from the best up (``place``)."""
-    ends = replayed.groupBy("market", "hour").agg(F.max_by(F.struct("n", "epoch", "valid", "final_id"), "n").alias("s")).selectExpr("market", "hour", "hour AS slot", "s.n", "s.epoch", "s.valid", "s.final_id AS last_id")
-    alive = meeting(ends, levels)
+    ends = replayed.groupBy("market", "hour").agg(F.max_by(F.struct("n", "epoch", "valid"), "n").alias("s"), F.max_by("final_id", F.when(F.col("final_id").isNotNull(), F.col("n"))).alias("last_id")).selectExpr("market", "hour", "hour AS slot", "s.n", "s.epoch", "s.valid", "last_id")
+    alive = meeting(ends, levels, hour)
     key = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
     return alive.withColumn("place", F.row_number().over(Window.partitionBy("market", "hour", "side").orderBy(key))).select("market", F.col("hour").alias("through_hour"), "last_id", "side", "price", "qty", "place")
 
@@ -108,14 +166,25 @@ def checkpoint_state(stored: DataFrame) -> DataFrame:
     return stored.groupBy("market", "through_hour").agg(F.count("*").alias("levels"), unique.alias("unique_levels"), (sides[0] & sides[1]).alias("both_sides"), (F.min("qty") > 0).alias("positive"), F.first("last_id").isNotNull().alias("has_frontier"))
 
 
+def eligible(stored: DataFrame) -> DataFrame:
+    """Checkpoints that a replay may begin with: intact, both sides there, the frontier known."""
+    ok = checkpoint_state(stored).where("unique_levels AND both_sides AND positive AND has_frontier")
+    return stored.join(ok.select("market", "through_hour"), ["market", "through_hour"], "left_semi")
+
+
 def checkpoint_plan(targets: DataFrame, checkpoints: DataFrame, sources: DataFrame, bound: int = 168) -> DataFrame:
     """For each target (market, hour): the nearest checkpoint at most ``bound`` hours back with every hour
-    between present in ``sources`` (market, hour), and why the search stopped."""
-    c = checkpoints.select("market", F.col("through_hour").alias("c")).distinct()
-    span = targets.join(c.withColumnRenamed("market", "m"), (F.col("market") == F.col("m")) & (F.col("c") < F.col("hour")) & (F.col("c") >= F.col("hour") - bound), "left")
-    nearest = span.groupBy("market", "hour").agg(F.max("c").alias("checkpoint"))
-    back = targets.select("market", "hour", F.explode(F.sequence(F.col("hour") - 1, F.col("hour") - bound, F.lit(-1).cast("bigint"))).alias("h"))
-    gaps = back.join(sources.select("market", F.col("hour").alias("h")).distinct(), ["market", "h"], "left_anti").groupBy("market", "hour").agg(F.max("h").alias("gap"))
-    plan = nearest.join(gaps, ["market", "hour"], "left")
+    between present in ``sources`` (market, hour), and why the search stopped. The last checkpoint and the
+    last gap before an hour are found by a running maximum over one row an hour."""
+    marks = targets.select("market", "hour", F.lit(True).alias("target"), F.lit(False).alias("c"), F.lit(False).alias("there"))
+    marks = marks.union(checkpoints.select("market", F.col("through_hour"), F.lit(False), F.lit(True), F.lit(False))).union(sources.select("market", "hour", F.lit(False), F.lit(False), F.lit(True)))
+    hours = marks.groupBy("market", "hour").agg(*[F.max(x).alias(x) for x in ("target", "c", "there")])
+    before = Window.partitionBy("market").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.lag("hour").over(Window.partitionBy("market").orderBy("hour"))
+    # a gap is an hour without a source, listed or not: the hour before one whose predecessor in the list is further back
+    hours = hours.withColumn("missing", F.when(~F.col("there"), F.col("hour"))).withColumn("skipped", F.when(previous < F.col("hour") - 1, F.col("hour") - 1))
+    hours = hours.withColumns({"checkpoint": F.last(F.when(F.col("c"), F.col("hour")), ignorenulls=True).over(before), "gap": F.greatest(F.last("missing", ignorenulls=True).over(before), F.last("skipped", ignorenulls=True).over(before), "skipped"), "first": F.min("hour").over(Window.partitionBy("market"))})
+    plan = hours.where("target").withColumns({"checkpoint": F.when(F.col("checkpoint") >= F.col("hour") - bound, F.col("checkpoint")), "gap": F.coalesce("gap", F.col("first") - 1)})
+    plan = plan.withColumn("gap", F.when(F.col("gap") >= F.col("hour") - bound, F.col("gap")))
     found = F.col("checkpoint").isNotNull() & (F.col("gap").isNull() | (F.col("gap") <= F.col("checkpoint")))
     return plan.select("market", "hour", F.when(found, F.col("checkpoint")).alias("checkpoint"), F.when(found, "found").when(F.col("gap").isNotNull(), "source_gap").otherwise("bound_reached").alias("stop"), F.when(found, F.col("hour") - F.col("checkpoint") - 1).alias("replay_hours"))

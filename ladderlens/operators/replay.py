@@ -1,9 +1,10 @@
 """Book replay as segmented running minima.
 
-A complete snapshot starts a segment; an event holds if its predecessor is the frontier before it. The
-book is valid while every event since the last complete snapshot holds. This is computed within each
-archive hour, and one row per hour carries validity on to the adjacent next hour, so no window spans a
-market's whole history of events.
+A complete snapshot with an update id starts a segment; an update holds if its predecessor is the frontier
+before it; a snapshot without an id holds only as an hour's first snapshot over a carried book, whose
+frontier it keeps. The book is valid while every event since its segment's start holds. This is computed
+within each archive hour with the incoming state unknown, and one row per hour carries state on to the
+adjacent next hour, so no window spans a market's whole history of events.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ladderlens.operators.events import ARCHIVE, in_archive, with_previous
 
 OUTCOMES = ("SNAPSHOT_APPLIED", "UPDATE_APPLIED", "SKIPPED_UNINITIALIZED", "DUPLICATE_SKIPPED", "INVALIDATED")
+STATES = ("UNINITIALIZED", "SNAPSHOT", "CARRIED", "INVALIDATED")
+RESTORED = "market long, hour long, frontier long, restored_epoch long"
 
 
 def signatures(rows: DataFrame) -> DataFrame:
@@ -23,41 +26,64 @@ def signatures(rows: DataFrame) -> DataFrame:
     return rows.groupBy("market", "n").agg(F.sha2(text, 256).alias("signature"), both.alias("complete"))
 
 
-def outcomes(events: DataFrame, marks: DataFrame) -> DataFrame:
-    """events with ``outcome`` and ``valid`` after it, and ``epoch``: the event number of the complete
-    snapshot that the book rests on. ``marks`` has signature and complete by (market, n)."""
-    e = with_previous(events.join(marks, ["market", "n"]), "final_id", "signature")
-    e = e.withColumn("duplicate", F.coalesce((F.col("kind") == "update") & (F.col("final_id") == F.col("previous_final_id")) & (F.col("signature") == F.col("previous_signature")), F.lit(False)))
-    starts = (F.col("kind") == "snapshot") & F.col("complete")
-    holds = F.when(F.col("kind") == "snapshot", F.col("complete")).otherwise(F.col("duplicate") | F.coalesce(F.col("prev_id") == F.col("previous_final_id"), F.lit(False)))
-    e = e.withColumns({"starts": starts, "holds": holds})
-    w = in_archive("n").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("segment", F.count_if("starts").over(w))
-    in_segment = Window.partitionBy(*ARCHIVE, "segment").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumns({"held": F.min("holds").over(in_segment), "own_epoch": F.max(F.when(F.col("starts"), F.col("n"))).over(w)})
-    # one row an hour: does it start a book itself, and does what it starts or inherits hold to its end
-    hours = e.groupBy(*ARCHIVE).agg(F.max("segment").alias("segments"), F.max_by("held", "n").alias("held"), F.max("own_epoch").alias("epoch"))
+def _incoming(e: DataFrame, restored: DataFrame | None) -> DataFrame:
+    """Per archive hour what it takes over: whether a valid book, its epoch and the frontier."""
+    waiting = F.when(F.col("waits"), F.struct("prev_id", "final_id", "duplicate"))
+    hours = e.groupBy(*ARCHIVE).agg(F.max("segment").alias("segments"), F.max_by("held", "n").alias("held"), F.max("own_epoch").alias("own"), F.max_by("final_id", F.when(F.col("final_id").isNotNull(), F.col("n"))).alias("last_id"), F.max(waiting).alias("w"))
+    hours = hours.join(restored, list(ARCHIVE), "left") if restored is not None else hours.withColumns({"frontier": F.lit(None).cast("long"), "restored_epoch": F.lit(None).cast("long")})
     over = Window.partitionBy("market").orderBy("hour")
-    hours = hours.withColumn("adjacent", F.coalesce(F.lag("hour").over(over) == F.col("hour") - 1, F.lit(False)))
-    # a run of hours that pass a book on: broken by a gap, or by an hour that starts its own
-    running = over.rowsBetween(Window.unboundedPreceding, 0)
-    hours = hours.withColumn("run", F.count_if((F.col("segments") > 0) | ~F.col("adjacent")).over(running))
-    in_run = Window.partitionBy("market", "run").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    hours = hours.withColumns({"end_valid": (F.first("segments").over(in_run) > 0) & F.min("held").over(in_run), "end_epoch": F.first("epoch").over(in_run)})
-    hours = hours.select(*ARCHIVE, F.when(F.col("adjacent"), F.lag("end_valid").over(over)).otherwise(False).alias("carried"), F.when(F.col("adjacent"), F.lag("end_epoch").over(over)).alias("carried_epoch"))
-    e = e.join(hours, list(ARCHIVE))
-    e = e.withColumn("valid", F.when(F.col("segment") > 0, F.col("held")).otherwise(F.coalesce("carried", F.lit(False)) & F.col("held")))
+    follows = F.coalesce(F.lag("hour").over(over) == F.col("hour") - 1, F.lit(False)) & F.col("frontier").isNull()
+    hours = hours.withColumn("follows", follows).withColumn("chain", F.count_if(~F.col("follows")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy("market", "chain").orderBy("hour")
+    until, before = chain.rowsBetween(Window.unboundedPreceding, 0), chain.rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumns({"run": F.count_if(F.col("segments") > 0).over(until), "base": F.first("frontier").over(until), "f_in": F.coalesce(F.last("last_id", ignorenulls=True).over(before), F.first("frontier").over(until)), "out_epoch": F.coalesce(F.last("own", ignorenulls=True).over(until), F.first("restored_epoch").over(until))})
+    head = F.when(F.col("w").isNotNull(), F.coalesce((F.col("w.prev_id") == F.col("f_in")) | (F.col("w.duplicate") & (F.col("w.final_id") == F.col("f_in"))), F.lit(False))).otherwise(True)
+    hours = hours.withColumn("head", head)
+    in_run = Window.partitionBy("market", "chain", "run").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    passes = F.when(F.col("segments") > 0, F.col("held")).otherwise(F.col("held") & F.col("head"))
+    hours = hours.withColumn("passes", passes).withColumn("out_valid", F.min("passes").over(in_run) & ((F.col("run") > 0) | F.col("base").isNotNull()))
+    return hours.select(*ARCHIVE, "f_in", "head", F.coalesce(F.lag("out_valid").over(chain), F.col("frontier").isNotNull()).alias("carried"), F.coalesce(F.lag("out_epoch").over(chain), "restored_epoch").alias("carried_epoch"))
+
+
+def outcomes(events: DataFrame, marks: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+    """events with ``outcome``, ``valid`` and ``was_valid``, ``epoch`` (the event number of the snapshot that the
+    book rests on), ``state`` and the ``issue`` of an invalidated one.
+
+    ``marks`` has signature and complete by (market, n). ``restored`` has (market, hour, frontier,
+    restored_epoch) of hours that begin with the book of a checkpoint.
+    """
+    snapshot, update = F.col("kind") == "snapshot", F.col("kind") == "update"
+    e = with_previous(events.join(marks, ["market", "n"]), "kind", "final_id", "signature")
+    again = update & (F.col("previous_kind") == "update") & (F.col("final_id") == F.col("previous_final_id")) & (F.col("signature") == F.col("previous_signature"))
+    e = e.withColumns({"duplicate": F.coalesce(again, F.lit(False)), "starts": snapshot & F.col("final_id").isNotNull()})
+    until = in_archive("n").rowsBetween(Window.unboundedPreceding, 0)
+    before = in_archive("n").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumns({"segment": F.count_if("starts").over(until), "place": F.count_if(snapshot & F.col("final_id").isNull()).over(until), "known": F.last("final_id", ignorenulls=True).over(before), "own_epoch": F.max(F.when(snapshot, F.col("n"))).over(until)})
+    e = e.withColumn("waits", update & F.col("known").isNull() & F.col("final_id").isNotNull())
+    follows = F.coalesce((F.col("prev_id") == F.col("known")) | (F.col("duplicate") & (F.col("final_id") == F.col("known"))), F.lit(False))
+    holds = F.when(F.col("starts"), F.col("complete")).when(snapshot, F.col("complete") & (F.col("segment") == 0) & (F.col("place") == 1)).when(F.col("waits"), True).otherwise(follows & F.col("final_id").isNotNull())
+    e = e.withColumns({"holds": F.coalesce(holds, F.lit(False)), "waited": F.max("waits").over(until)})
+    e = e.withColumn("held", F.min("holds").over(Window.partitionBy(*ARCHIVE, "segment").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.join(_incoming(e, restored), list(ARCHIVE))
+    e = e.withColumn("valid", F.when(F.col("segment") > 0, F.col("held")).otherwise(F.col("carried") & F.col("held") & (~F.col("waited") | F.col("head"))))
     at = in_archive("n")
-    before = F.when(F.lag("n").over(at).isNull(), F.coalesce("carried", F.lit(False))).otherwise(F.lag("valid").over(at))
-    e = e.withColumn("was_valid", before)
-    outcome = F.when(F.col("starts"), OUTCOMES[0]).when(F.col("valid") & F.col("duplicate"), OUTCOMES[3]).when(F.col("valid"), OUTCOMES[1]).when(F.col("was_valid") | (F.col("kind") == "snapshot"), OUTCOMES[4]).otherwise(OUTCOMES[2])
-    return e.select(*events.columns, "complete", outcome.alias("outcome"), "valid", "was_valid", F.when(F.col("valid"), F.coalesce("own_epoch", "carried_epoch")).alias("epoch"))
+    e = e.withColumns({"was_valid": F.when(F.lag("n").over(at).isNull(), F.col("carried")).otherwise(F.lag("valid").over(at)), "rests_on": F.coalesce("own_epoch", "carried_epoch"), "known": F.coalesce("known", "f_in")})
+    outcome = F.when(snapshot, F.when(F.col("valid"), OUTCOMES[0]).otherwise(OUTCOMES[4])).when(~F.col("was_valid"), OUTCOMES[2]).when(F.col("valid") & F.col("duplicate"), OUTCOMES[3]).when(F.col("valid"), OUTCOMES[1]).otherwise(OUTCOMES[4])
+    state = F.when(F.col("valid"), F.when(F.col("segment") > 0, STATES[1]).otherwise(STATES[2])).when(F.col("rests_on").isNotNull(), STATES[3]).otherwise(STATES[0])
+    issue = F.when(snapshot, F.when(F.col("complete"), "frontierless_snapshot").otherwise("incomplete_snapshot")).when(F.col("final_id") == F.col("known"), "conflicting_replayed_update").when(F.col("final_id") < F.col("known"), "update_frontier_regression").otherwise("update_continuity_mismatch")
+    return e.select(*events.columns, "complete", outcome.alias("outcome"), "valid", "was_valid", F.when(F.col("valid"), F.col("rests_on")).alias("epoch"), state.alias("state"), F.when(outcome == OUTCOMES[4], issue).alias("issue"))
+
+
+def issues(replayed: DataFrame, keep: int = 100) -> DataFrame:
+    """The first ``keep`` invalidations of each archive hour."""
+    bad = replayed.where("issue IS NOT NULL").withColumn("number", F.row_number().over(in_archive("n")))
+    return bad.where(F.col("number") <= keep).select(*ARCHIVE, "n", "kind", "issue", "number")
 
 
 def replay_report(replayed: DataFrame) -> DataFrame:
     """Per archive hour: outcomes, recoveries (a snapshot applied while there was no valid book) and the final state."""
     counts = [F.count_if(F.col("outcome") == x).alias(x.lower()) for x in OUTCOMES]
-    return replayed.groupBy(*ARCHIVE).agg(F.count("*").alias("n_events"), *counts, F.count_if((F.col("outcome") == OUTCOMES[0]) & ~F.col("was_valid")).alias("recoveries"), F.max_by("valid", "n").alias("finally_valid"), F.max_by("final_id", "n").alias("last_id"))
+    return replayed.groupBy(*ARCHIVE).agg(F.count("*").alias("n_events"), *counts, F.count_if((F.col("outcome") == OUTCOMES[0]) & ~F.col("was_valid")).alias("recoveries"), F.max_by("valid", "n").alias("finally_valid"), F.max_by("state", "n").alias("final_state"), F.max_by("final_id", "n").alias("last_id"))
 
 
 def chain_report(report: DataFrame) -> DataFrame:
@@ -65,3 +91,14 @@ def chain_report(report: DataFrame) -> DataFrame:
     over = Window.partitionBy("market").orderBy("hour")
     chained = report.withColumn("new", F.coalesce(F.lag("hour").over(over) != F.col("hour") - 1, F.lit(True))).withColumn("chain", F.count_if("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     return chained.groupBy("market", "chain").agg(F.min("hour").alias("first_hour"), F.count("*").alias("hours"), F.sum("n_events").alias("n_events"), F.sum("invalidated").alias("invalidated"), F.sum("recoveries").alias("recoveries"), F.max_by("finally_valid", "hour").alias("finally_valid"))
+
+
+def restored(events: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(starts, levels) for a replay that begins with the books of checkpoints (market, through_hour, last_id,
+    side, price, qty): where the very next hour has events, its frontier and epoch, and the levels as changes
+    of that epoch. The epoch is the number before the hour's first event."""
+    first = events.groupBy(*ARCHIVE).agg(F.min("n").alias("first_n"), F.min("t").alias("first_t"))
+    book = stored.withColumn("hour", F.col("through_hour") + 1).join(first, list(ARCHIVE))
+    starts = book.groupBy(*ARCHIVE).agg(F.first("last_id").alias("frontier"), (F.first("first_n") - 1).alias("restored_epoch"))
+    levels = book.select(*ARCHIVE, (F.col("first_n") - 1).alias("n"), (F.col("first_t") - 1).alias("t"), "side", "price", "qty", (F.col("first_n") - 1).alias("epoch"))
+    return starts, levels

@@ -14,18 +14,26 @@ LAGGED = S.EVENTS + ", lagged AS (SELECT *, lag(kind) OVER w AS pk, lag(final_id
 RELATION = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN 'uncheckable' WHEN {0} < {1} THEN 'regression' WHEN {0} = {1} THEN 'equal' WHEN {0} = {1} + 1 THEN 'increment_by_one' ELSE 'forward_gap' END"
 CHECKED = "(kind = 'update' AND pk = 'update')"
 
-REPLAY = (
-    S.CHANGES
-    + """, marks AS (SELECT market, n, bool_or(side = 'bid' AND qty > 0) AND bool_or(side = 'ask' AND qty > 0) AS complete FROM changes GROUP BY ALL),
- e1 AS (SELECT ev.*, complete, lag(final_id) OVER (PARTITION BY market ORDER BY n) AS pf FROM ev JOIN marks USING (market, n)),
- e2 AS (SELECT *, kind = 'snapshot' AND complete AS starts, CASE WHEN kind = 'snapshot' THEN complete ELSE coalesce(prev_id = pf, false) END AS holds FROM e1),
- e3 AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY market ORDER BY n) AS segment, max(CASE WHEN starts THEN n END) OVER (PARTITION BY market ORDER BY n) AS own FROM e2),
- e4 AS (SELECT *, segment > 0 AND bool_and(holds) OVER (PARTITION BY market, segment ORDER BY n) AS valid FROM e3),
- e5 AS (SELECT *, coalesce(lag(valid) OVER (PARTITION BY market ORDER BY n), false) AS was_valid FROM e4),
- replayed AS (SELECT market, hour, n, t, kind, final_id, prev_id, complete, CASE WHEN starts THEN 'SNAPSHOT_APPLIED' WHEN valid THEN 'UPDATE_APPLIED'
- WHEN was_valid OR kind = 'snapshot' THEN 'INVALIDATED' ELSE 'SKIPPED_UNINITIALIZED' END AS outcome, valid, was_valid, CASE WHEN valid THEN own END AS epoch FROM e5)"""
-)
-REPORT = ", report AS (SELECT market, hour, count(*) AS n_events, count(*) FILTER (outcome = 'SNAPSHOT_APPLIED') AS snapshot_applied, count(*) FILTER (outcome = 'UPDATE_APPLIED') AS update_applied, count(*) FILTER (outcome = 'SKIPPED_UNINITIALIZED') AS skipped_uninitialized, 0::BIGINT AS duplicate_skipped, count(*) FILTER (outcome = 'INVALIDATED') AS invalidated, count(*) FILTER (outcome = 'SNAPSHOT_APPLIED' AND NOT was_valid) AS recoveries, arg_max(valid, n) AS finally_valid, arg_max(final_id, n) AS last_id FROM replayed GROUP BY ALL)"
+
+
+def replay_sql(ev: str, marks: str, start: str = "(SELECT NULL::BIGINT AS market, NULL::BIGINT AS hour, NULL::BIGINT AS f0, NULL::BIGINT AS e0)", to: str = "replayed") -> str:
+    """The replay as windows over whole chains: ev (market, hour, n, t, kind, final_id, prev_id), marks (market,
+    n, complete, signature), start (market, hour, f0, e0) of chains that begin with a stored book."""
+    return f""" h_{to} AS (SELECT market, hour, f0, e0, count(*) FILTER (new) OVER (PARTITION BY market ORDER BY hour) AS chain FROM (SELECT h.market, h.hour, s.f0, s.e0, s.f0 IS NOT NULL OR coalesce(lag(h.hour) OVER (PARTITION BY h.market ORDER BY h.hour) <> h.hour - 1, true) AS new FROM (SELECT DISTINCT market, hour FROM {ev}) h LEFT JOIN {start} s ON s.market = h.market AND s.hour = h.hour)),
+ a_{to} AS (SELECT e.market, e.hour, e.n, e.t, e.kind, e.final_id, e.prev_id, complete, signature, chain, max(f0) OVER (PARTITION BY e.market, chain) AS f0, max(e0) OVER (PARTITION BY e.market, chain) AS e0, kind = 'snapshot' AND final_id IS NOT NULL AS fs, kind = 'snapshot' AND final_id IS NULL AS fls FROM {ev} e JOIN {marks} USING (market, n) JOIN h_{to} h ON h.market = e.market AND h.hour = e.hour),
+ b_{to} AS (SELECT *, count(*) FILTER (fs) OVER c AS ep, count(*) FILTER (fs) OVER h AS hep, count(*) FILTER (fls) OVER h AS fl, coalesce(kind = 'update' AND lag(kind) OVER c = 'update' AND final_id = lag(final_id) OVER c AND signature = lag(signature) OVER c, false) AS dup, max(CASE WHEN kind = 'snapshot' THEN n END) OVER c AS own FROM a_{to} WINDOW c AS (PARTITION BY market, chain ORDER BY n), h AS (PARTITION BY market, hour ORDER BY n)),
+ c_{to} AS (SELECT *, coalesce(last_value(final_id IGNORE NULLS) OVER (PARTITION BY market, chain, ep ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN ep = 0 THEN f0 END) AS pf FROM b_{to}),
+ d_{to} AS (SELECT *, coalesce(CASE WHEN fs THEN complete WHEN fls THEN complete AND hep = 0 AND fl = 1 AND (ep > 0 OR f0 IS NOT NULL) ELSE pf IS NOT NULL AND (prev_id = pf OR (dup AND final_id = pf)) END, false) AS ok FROM c_{to}),
+ e_{to} AS (SELECT *, (ep > 0 OR f0 IS NOT NULL) AND bool_and(ok) OVER (PARTITION BY market, chain, ep ORDER BY n) AS valid FROM d_{to}),
+ f_{to} AS (SELECT *, coalesce(lag(valid) OVER (PARTITION BY market, chain ORDER BY n), f0 IS NOT NULL) AS was_valid FROM e_{to}),
+ g_{to} AS (SELECT *, CASE WHEN kind = 'snapshot' THEN CASE WHEN valid THEN 'SNAPSHOT_APPLIED' ELSE 'INVALIDATED' END WHEN NOT was_valid THEN 'SKIPPED_UNINITIALIZED' WHEN valid AND dup THEN 'DUPLICATE_SKIPPED' WHEN valid THEN 'UPDATE_APPLIED' ELSE 'INVALIDATED' END AS outcome FROM f_{to}),
+ {to} AS (SELECT market, hour, n, t, kind, final_id, prev_id, complete, outcome, valid, was_valid, CASE WHEN valid THEN coalesce(own, e0) END AS epoch, CASE WHEN valid AND hep > 0 THEN 'SNAPSHOT' WHEN valid THEN 'CARRIED' WHEN own IS NOT NULL OR e0 IS NOT NULL THEN 'INVALIDATED' ELSE 'UNINITIALIZED' END AS state,
+ CASE WHEN outcome = 'INVALIDATED' THEN CASE WHEN kind = 'snapshot' AND complete THEN 'frontierless_snapshot' WHEN kind = 'snapshot' THEN 'incomplete_snapshot' WHEN final_id = pf THEN 'conflicting_replayed_update' WHEN final_id < pf THEN 'update_frontier_regression' ELSE 'update_continuity_mismatch' END END AS issue FROM g_{to})"""
+
+
+REPLAY = S.CHANGES + ", marks AS (SELECT market, n, bool_or(side = 'bid' AND qty > 0) AND bool_or(side = 'ask' AND qty > 0) AS complete, CAST(n AS VARCHAR) AS signature FROM changes GROUP BY ALL)," + replay_sql("ev", "marks")
+RICH = f"{S.CHANGES}, {S.REPLAY_EVENTS},{replay_sql('rich', 'rich_marks')}"
+REPORT = ", report AS (SELECT market, hour, count(*) AS n_events, count(*) FILTER (outcome = 'SNAPSHOT_APPLIED') AS snapshot_applied, count(*) FILTER (outcome = 'UPDATE_APPLIED') AS update_applied, count(*) FILTER (outcome = 'SKIPPED_UNINITIALIZED') AS skipped_uninitialized, count(*) FILTER (outcome = 'DUPLICATE_SKIPPED') AS duplicate_skipped, count(*) FILTER (outcome = 'INVALIDATED') AS invalidated, count(*) FILTER (outcome = 'SNAPSHOT_APPLIED' AND NOT was_valid) AS recoveries, arg_max(valid, n) AS finally_valid, arg_max(state, n) AS final_state, arg_max_null(final_id, n) AS last_id FROM replayed GROUP BY ALL)"
 
 
 def replayed(spark, d):
@@ -33,6 +41,12 @@ def replayed(spark, d):
     return R.outcomes(S.book_events(spark, d), R.signatures(changes))
 
 
+def rich(spark, d):
+    """Every outcome of a replay: see ``S.replay_events``."""
+    events = S.replay_events(S.book_events(spark, d))
+    return R.outcomes(events.drop("base", "other"), S.replay_marks(events, R.signatures(S.changes(spark, d))))
+
+
 def boundaries(spark, d):
     return E.hour_boundaries(S.book_events(spark, d))
 
@@ -56,11 +70,15 @@ QUERIES = {
     ),
     "e8_first_issues": (lambda s, d: E.first_issues(S.book_events(s, d), 1), f"WITH {LAGGED}, i AS (SELECT market, hour, n, prev_id, row_number() OVER (PARTITION BY market, hour ORDER BY n) AS issue FROM inhour WHERE {CHECKED} AND prev_id <> pf) SELECT * FROM i WHERE issue <= 1"),
     "e9_replay_outcomes": (replayed, f"WITH {REPLAY} SELECT * FROM replayed"),
+    "e10_issue_kinds": (lambda s, d: R.issues(rich(s, d), 5), f"WITH {RICH} SELECT market, hour, n, kind, issue, row_number() OVER w AS number FROM replayed WHERE issue IS NOT NULL WINDOW w AS (PARTITION BY market, hour ORDER BY n) QUALIFY row_number() OVER w <= 5"),
+    "e11_duplicate_updates": (lambda s, d: rich(s, d).where("kind = 'update'").groupBy("market", "outcome", F.col("issue")).agg(F.count("*").alias("n")), f"WITH {RICH} SELECT market, outcome, issue, count(*) AS n FROM replayed WHERE kind = 'update' GROUP BY ALL"),
+    "e13_frontierless_snapshots": (lambda s, d: rich(s, d).where("kind = 'snapshot' AND final_id IS NULL").select("market", "hour", "n", "outcome", "state", "epoch", "issue"), f"WITH {RICH} SELECT market, hour, n, outcome, state, epoch, issue FROM replayed WHERE kind = 'snapshot' AND final_id IS NULL"),
+    "e14_carried_books": (lambda s, d: rich(s, d).groupBy("market", "hour", "state").agg(F.count("*").alias("events"), F.min("n").alias("first_n")), f"WITH {RICH} SELECT market, hour, state, count(*) AS events, min(n) AS first_n FROM replayed GROUP BY ALL"),
     "e12_snapshot_completeness": (lambda s, d: R.signatures(S.changes(s, d)).join(S.book_events(s, d), ["market", "n"]).where("kind = 'snapshot'").groupBy("market", "complete").agg(F.count("*").alias("snapshots")), f"WITH {REPLAY} SELECT market, complete, count(*) AS snapshots FROM replayed WHERE kind = 'snapshot' GROUP BY ALL"),
-    "e15_replay_report": (lambda s, d: R.replay_report(replayed(s, d)), f"WITH {REPLAY}{REPORT} SELECT * FROM report"),
+    "e15_replay_report": (lambda s, d: R.replay_report(rich(s, d)), f"WITH {RICH}{REPORT} SELECT * FROM report"),
     "e16_chain_report": (
-        lambda s, d: R.chain_report(R.replay_report(replayed(s, d))),
-        f"WITH {REPLAY}{REPORT}, c AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY market ORDER BY hour) AS chain FROM (SELECT *, coalesce(lag(hour) OVER (PARTITION BY market ORDER BY hour) <> hour - 1, true) AS new FROM report)) SELECT market, chain, min(hour) AS first_hour, count(*) AS hours, CAST(sum(n_events) AS BIGINT) AS n_events, CAST(sum(invalidated) AS BIGINT) AS invalidated, CAST(sum(recoveries) AS BIGINT) AS recoveries, arg_max(finally_valid, hour) AS finally_valid FROM c GROUP BY ALL",
+        lambda s, d: R.chain_report(R.replay_report(rich(s, d))),
+        f"WITH {RICH}{REPORT}, c AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY market ORDER BY hour) AS chain FROM (SELECT *, coalesce(lag(hour) OVER (PARTITION BY market ORDER BY hour) <> hour - 1, true) AS new FROM report)) SELECT market, chain, min(hour) AS first_hour, count(*) AS hours, CAST(sum(n_events) AS BIGINT) AS n_events, CAST(sum(invalidated) AS BIGINT) AS invalidated, CAST(sum(recoveries) AS BIGINT) AS recoveries, arg_max(finally_valid, hour) AS finally_valid FROM c GROUP BY ALL",
     ),
     "q2_update_relations": (lambda s, d: E.update_relations(S.book_events(s, d)), f"WITH {LAGGED} SELECT market, {RELATION.format('final_id', 'pf')} AS final_relation, {RELATION.format('prev_id', 'pf')} AS predecessor_relation, count(*) AS n FROM lagged WHERE {CHECKED} GROUP BY ALL"),
     "q3_snapshot_relations": (lambda s, d: E.snapshot_relations(S.book_events(s, d)), f"WITH {LAGGED} SELECT market, {RELATION.format('prev_id', 'pf')} AS predecessor_relation, count(*) AS n FROM lagged WHERE kind = 'update' AND pk = 'snapshot' GROUP BY ALL"),

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ladderlens.functions import scalar
 from ladderlens.operators import bars as A
 from ladderlens.operators import catalog as O
+from ladderlens.operators import views as V
 from ladderlens.plans.bar_queries import VIEW, _view
 from ladderlens.plans.book_queries import CHECKPOINT, checkpoints
 from ladderlens.sources import archive as R
 from ladderlens.sources import stand_in as S
 
 SERIES = ["bid", "ask", "delta"]
+FIXED = tuple(x for x in A.TIMEFRAMES.values() if x < 604800)
 ZONE = "Europe/Berlin"
 STORED = CHECKPOINT + ", stored AS (SELECT DISTINCT market, through_hour FROM cp WHERE through_hour % 5 <> 0), hours AS (SELECT DISTINCT market, hour AS through_hour FROM ev WHERE hour % 7 <> 0)"
 
@@ -37,11 +39,9 @@ def inventory(s, d):
 
 def spans(s, d):
     """Each symbol's range snapped to the finest bar length that fits the budget."""
-    r = S.trades(s, d).groupBy("symbol").agg(F.expr("min(trade_ms) div 1000").alias("a"), F.expr("max(trade_ms) div 1000").alias("b"))
-    frames = s.createDataFrame([(x,) for x in A.TIMEFRAMES.values() if x < 604800], "seconds long")
-    fit = r.crossJoin(F.broadcast(frames)).where(F.ceil((F.col("b") + 1 - F.col("a")) / F.col("seconds")) <= 1200)
-    best = fit.groupBy("symbol", "a", "b").agg(F.min("seconds").alias("bar"))
-    return best.select("symbol", "bar", F.expr("a div bar * bar").alias("start"), F.expr("b div bar * bar + bar").alias("end"), F.expr("(b div bar * bar + bar - a div bar * bar) div bar").alias("bars"))
+    r = S.trades(s, d).groupBy("symbol").agg(F.expr("min(trade_ms) div 1000").alias("first"), F.expr("max(trade_ms) div 1000").alias("last"))
+    best = V.snapped(V.finest(r.withColumns({"start": F.col("first"), "end": F.col("last") + 1}), 1200, FIXED))
+    return best.select("symbol", "bar", "start", "end", F.expr("(end - start) div bar").alias("bars"))
 
 
 def local_times(s, d):

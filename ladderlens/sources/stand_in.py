@@ -42,14 +42,25 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEVELS = RAW_LEVELS + ", levels AS (SELECT market, t, side, price, arg_max(qty, rank) AS qty FROM raw GROUP BY ALL)"
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level changes with their archive hour and event number: counted within the hour and moved on by the
+    hours before, of which one row each is summed."""
+    rows = levels(spark, sf_dir).withColumn("hour", F.expr(f"t div {HOUR}"))
+    rows = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("market", "hour").orderBy("t")).cast("long"))
+    before = Window.partitionBy("market").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("market", "hour").agg(F.max("n").alias("events")).select("market", "hour", F.coalesce(F.sum("events").over(before), F.lit(0)).alias("before"))
+    return rows.join(hours, ["market", "hour"]).withColumn("n", F.col("n") + F.col("before")).drop("before")
+
+
+def _as_event(columns: str) -> list[str]:
+    """An event's kind and sequence ids, which break now and then, from its number."""
+    return [*columns.split(), f"CASE WHEN n % {SNAPSHOT_EVERY} = 0 THEN 'snapshot' ELSE 'update' END AS kind", "n AS final_id", f"CASE WHEN n % {BREAK_EVERY} = 0 THEN n - 2 ELSE n - 1 END AS prev_id"]
+
+
 def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(market, hour, n, t, kind, final_id, prev_id): numbered events with sequence ids that break now and then."""
-    number = F.row_number().over(Window.partitionBy("market").orderBy("t")).cast("long")
-    events = levels(spark, sf_dir).select("market", "t").distinct().withColumn("n", number)
-    return events.selectExpr(
-        "market", f"t div {HOUR} AS hour", "n", "t", f"CASE WHEN n % {SNAPSHOT_EVERY} = 0 THEN 'snapshot' ELSE 'update' END AS kind",
-        "n AS final_id", f"CASE WHEN n % {BREAK_EVERY} = 0 THEN n - 2 ELSE n - 1 END AS prev_id",
-    )
+    """(market, hour, n, t, kind, final_id, prev_id): numbered events."""
+    events = _numbered(spark, sf_dir).groupBy("market", "hour", "n").agg(F.first("t").alias("t"))
+    return events.selectExpr(*_as_event("market hour n t"))
 
 
 EVENTS = LEVELS + f""", ev AS (SELECT market, t // {HOUR} AS hour, n, t, CASE WHEN n % {SNAPSHOT_EVERY} = 0 THEN 'snapshot' ELSE 'update' END AS kind,
@@ -60,12 +71,32 @@ EVENTS = LEVELS + f""", ev AS (SELECT market, t // {HOUR} AS hour, n, t, CASE WH
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level changes with their event's columns and their place in the archive hour."""
     place = F.row_number().over(Window.partitionBy("market", "hour").orderBy("t", "side", "price")).cast("long")
-    return levels(spark, sf_dir).join(book_events(spark, sf_dir), ["market", "t"]).withColumn("row_index", place)
+    return _numbered(spark, sf_dir).selectExpr(*_as_event("market hour n t side price qty")).withColumn("row_index", place)
 
 
 CHANGES = EVENTS + ", changes AS (SELECT *, row_number() OVER (PARTITION BY market, hour ORDER BY t, side, price) AS row_index FROM levels JOIN ev USING (market, t))"
 
 
+def replay_events(events: DataFrame) -> DataFrame:
+    """Events for every outcome of a replay: snapshots without an id, ids that run back, updates that come
+    twice with equal or other content (``other``), and hours that are missing. ``base`` is the number before."""
+    one = events.where("(hour + market) % 11 <> 0").selectExpr("market", "hour", "2 * n AS n", "t", "kind", "CASE WHEN kind = 'snapshot' AND n % 60 = 0 THEN NULL WHEN n % 53 = 0 THEN n - 5 ELSE n END AS final_id", "prev_id", "n AS base", "false AS other")
+    again = one.where("kind = 'update' AND base % 7 = 0").selectExpr("market", "hour", "n + 1 AS n", "t", "kind", "final_id", "prev_id", "base", "base % 13 = 0 AS other")
+    return one.union(again)
+
+
+REPLAY_EVENTS = """r1 AS (SELECT market, hour, 2 * n AS n, t, kind, CASE WHEN kind = 'snapshot' AND n % 60 = 0 THEN NULL WHEN n % 53 = 0 THEN n - 5 ELSE n END AS final_id, prev_id, n AS base, false AS other FROM ev WHERE (hour + market) % 11 <> 0),
+ rich AS (SELECT * FROM r1 UNION ALL SELECT market, hour, n + 1, t, kind, final_id, prev_id, base, base % 13 = 0 FROM r1 WHERE kind = 'update' AND base % 7 = 0),
+ marks0 AS (SELECT market, n AS base, bool_or(side = 'bid' AND qty > 0) AND bool_or(side = 'ask' AND qty > 0) AS complete FROM changes GROUP BY ALL),
+ rich_marks AS (SELECT market, n, complete, base || CASE WHEN other THEN 'x' ELSE '' END AS signature FROM rich JOIN marks0 USING (market, base))"""
+
+
+def replay_marks(rich: DataFrame, marks: DataFrame) -> DataFrame:
+    """Signature and completeness of ``replay_events`` from those of the events that they are made of."""
+    of = rich.select("market", "n", "base", "other").join(marks.withColumnRenamed("n", "base"), ["market", "base"])
+    return of.select("market", "n", F.when(F.col("other"), F.concat("signature", F.lit("x"))).otherwise(F.col("signature")).alias("signature"), "complete")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, trade_id, ordinal, trade_ms, received_ns, price, qty); every 50th trade comes twice."""
     one = table(spark, sf_dir, "events").selectExpr(
