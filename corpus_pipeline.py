@@ -20,21 +20,26 @@ MIX_TEMPER = 0.95
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null, have no letter or are coded no better than noise by every learned
-    language; without any labelled language nothing can be judged and all stay."""
+    language; without any labelled language nothing can be judged and all stay. Repeated rows and all
+    columns stay, whatever their names."""
     counts = langid.learn(docs.select("text", "lang"))
     if not counts:
         return docs
-    columns = docs.columns
-    judged = langid.identify(docs.withColumn("__body", F.col("text")), counts, [c for c in columns if c != "text"] + ["__body"])
-    return judged.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).withColumnRenamed("__body", "text").select(*columns)
+    judged = langid.identify(docs, counts, docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest doc_id, once. Rows without a doc_id stay."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = simhash.near_duplicates(named.select("doc_id", "text"))
-    kept = named.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """Keeps of each group of linked texts the one with the smallest doc_id, once. Rows of one doc_id are
+    told apart by their texts: unlike ones are in groups of their own, repeated ones stay once. Rows without
+    a doc_id stay."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    rows = docs.select(key.alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.where("id.doc_id IS NOT NULL")
+    found = simhash.near_duplicates(named.select(F.col("id").alias("doc_id"), "text"))
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    kept = named.select("id", "row").join(first, "id", "left_semi").dropDuplicates(["id"])
+    return kept.select("row.*").union(rows.where("id.doc_id IS NULL").select("row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +50,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and topics approach their tempered shares."""
-    return mixing.sample(docs, partial(mixing.tempered, power=MIX_TEMPER)).select(*docs.columns)
+    return mixing.sample(docs, partial(mixing.tempered, power=MIX_TEMPER)).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all remaining documents in sequences of at most 4096 tokens."""
+    """The pieces of all remaining documents in sequences of at most 4096 tokens. A null or empty text has
+    its end id only; repeated rows are packed as often as they come; an empty table gives no pieces."""
     return packing.pack(docs.select("doc_id", "text"), default_path())
 
 
