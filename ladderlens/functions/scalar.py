@@ -41,3 +41,36 @@ def identity(*parts: Column) -> Column:
 def input_identity(rows_text: Column) -> Column:
     """A digest of a set of rows, whatever their order."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(rows_text)), "\n"), 256)
+
+
+def floored(at: Column, unit: str) -> Column:
+    """A timestamp down to its second, minute or hour."""
+    if unit not in ("second", "minute", "hour"):
+        raise ValueError(f"no such unit: {unit}")
+    return F.date_trunc(unit, at)
+
+
+def multiplied(a: Column, b: Column) -> Column:
+    """The exact product of two decimals of 8 digits: 16 digits."""
+    return a.cast("decimal(18,8)") * b.cast("decimal(18,8)")
+
+
+def added(a: Column, b: Column) -> Column:
+    return a.cast("decimal(18,8)") + b.cast("decimal(18,8)")
+
+
+def subtracted(a: Column, b: Column) -> Column:
+    return a.cast("decimal(18,8)") - b.cast("decimal(18,8)")
+
+
+def exact_json(fields: dict[str, Column]) -> Column:
+    """A JSON object whose decimals are text with all their digits and whose times are UTC with microseconds;
+    null fields stay, as null."""
+    text = []
+    for n, c in fields.items():
+        kind = F.typeof(c)
+        written = F.when(kind.startswith("timestamp"), F.date_format(F.to_timestamp(c.cast("string")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(c.cast("string"))
+        quoted, plain = F.to_json(F.array(written)), kind.isin("bigint", "int", "smallint", "boolean")
+        value = F.when(c.isNull(), "null").when(plain, c.cast("string")).otherwise(F.substring(quoted, 2, F.length(quoted) - 2))
+        text.append(F.concat(F.lit(f'"{n}":'), value))
+    return F.concat(F.lit("{"), F.concat_ws(",", *text), F.lit("}"))

@@ -46,12 +46,12 @@ def with_previous(events: DataFrame, *columns: str, order: str = "n") -> DataFra
     return joined.select(*events.columns, *[F.when(first, F.col(f"carried_{c}")).otherwise(F.lag(c).over(w)).alias(f"previous_{c}") for c in columns])
 
 
-def clock_regressions(rows: DataFrame, market: str, clock: str, order: str, hour_ms: int) -> DataFrame:
-    """Per market and hour: rows whose clock runs back against the row before, and adjacent repeated ids."""
-    w = Window.partitionBy(market, "hour").orderBy(order)
-    rows = rows.withColumn("hour", F.expr(f"{clock} div {hour_ms}"))
-    seen = rows.select(market, "hour", (F.col(clock) < F.lag(clock).over(w)).alias("back"), (F.col("trade_id") == F.lag("trade_id").over(w)).alias("again"))
-    return seen.groupBy(market, "hour").agg(F.count("*").alias("n_rows"), F.count_if("back").alias("regressions"), F.count_if("again").alias("adjacent_duplicates"))
+def clock_regressions(rows: DataFrame, keys: list[str], clocks: list[str], order: str, repeated: str | None = None) -> DataFrame:
+    """Per key (an archive): rows whose clocks run back against the row before, each clock for itself, and
+    adjacent rows that repeat an id."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    seen = {f"{c}_regressions": F.col(c) < F.lag(c).over(w) for c in clocks} | ({"adjacent_duplicates": F.col(repeated) == F.lag(repeated).over(w)} if repeated else {})
+    return rows.select(*keys, *[x.alias(n) for n, x in seen.items()]).groupBy(*keys).agg(F.count("*").alias("n_rows"), *[F.count_if(n).alias(n) for n in seen])
 
 
 def continuity(events: DataFrame) -> DataFrame:
@@ -115,21 +115,29 @@ def id_ranges(events: DataFrame) -> DataFrame:
     return steps.groupBy("market").agg(F.count("*").alias("n"), F.min("final_id").alias("least"), F.max("final_id").alias("most"), F.min_by("final_id", "n").alias("first_id"), F.max_by("final_id", "n").alias("last_id"), F.count_if(F.col("step") == 1).alias("plus_one"), F.count_if(F.col("step") != 1).alias("other_steps"))
 
 
+def id_steps(events: DataFrame) -> DataFrame:
+    """How often each increment between neighbouring ids occurs."""
+    steps = with_previous(events, "final_id").where("previous_final_id IS NOT NULL")
+    return steps.groupBy("market", (F.col("final_id") - F.col("previous_final_id")).alias("step")).agg(F.count("*").alias("n"))
+
+
 def predecessor_matches(events: DataFrame) -> DataFrame:
     pairs = with_previous(events, "final_id").where("previous_final_id IS NOT NULL")
     return pairs.groupBy("market", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("prev_id") == F.col("previous_final_id")).alias("matches"))
 
 
 def event_shapes(rows: DataFrame, event: list[str]) -> DataFrame:
-    """Rows per side, positive and removing rows, and whether the event could be a complete snapshot."""
-    positive = F.col("qty") > 0
-    return rows.groupBy(*event).agg(F.count_if(F.col("side") == "bid").alias("bid_rows"), F.count_if(F.col("side") == "ask").alias("ask_rows"), F.count_if(positive).alias("positive_rows"), F.count_if(F.col("qty") == 0).alias("zero_rows"), (F.count_if(positive & (F.col("side") == "bid")) * F.count_if(positive & (F.col("side") == "ask")) > 0).alias("complete"))
+    """Per event: rows per side, positive, removing and malformed (null) quantities, levels that come more than
+    once, and whether the event could be a complete snapshot."""
+    levels = rows.groupBy(*event, "side", "price").agg(F.count("*").alias("n"), F.count_if(F.col("qty") > 0).alias("positive"), F.count_if(F.col("qty") == 0).alias("zero"), F.count_if(F.col("qty").isNull()).alias("malformed"))
+    of = lambda side, c: F.sum(F.when(F.col("side") == side, F.col(c)).otherwise(0))
+    return levels.groupBy(*event).agg(of("bid", "n").alias("bid_rows"), of("ask", "n").alias("ask_rows"), F.sum("positive").alias("positive_rows"), F.sum("zero").alias("zero_rows"), F.sum("malformed").alias("malformed_rows"), F.count_if(F.col("n") > 1).alias("repeated_levels"), ((of("bid", "positive") > 0) & (of("ask", "positive") > 0)).alias("complete"))
 
 
 def ends(events: DataFrame, n: int = 5) -> DataFrame:
-    """The first and last n events of each hour."""
-    ranked = events.withColumns({"from_start": F.row_number().over(in_archive("n")), "from_end": F.row_number().over(Window.partitionBy(*ARCHIVE).orderBy(F.desc("n")))})
-    return ranked.where((F.col("from_start") <= n) | (F.col("from_end") <= n))
+    """The first and last n events of each hour, and its first n of either kind."""
+    ranked = events.withColumns({"from_start": F.row_number().over(in_archive("n")), "from_end": F.row_number().over(Window.partitionBy(*ARCHIVE).orderBy(F.desc("n"))), "of_kind": F.row_number().over(Window.partitionBy(*ARCHIVE, "kind").orderBy("n"))})
+    return ranked.where((F.col("from_start") <= n) | (F.col("from_end") <= n) | (F.col("of_kind") <= n))
 
 
 def kind_counts(rows: DataFrame) -> DataFrame:

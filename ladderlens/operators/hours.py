@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Blocks of stored hours that a write filters by; more of them are read without a filter.
+MOST_BLOCKS = 1000
 QUALITY_CODES = {"VALID": 0, "DEGRADED": 1, "INVALID": 2}
 
 
@@ -36,10 +38,15 @@ class HourConflict(ValueError):
     """A stored hour has the same key and other content."""
 
 
-def write_hours(new: DataFrame, path: str, keys: list[str]) -> int:
-    """Append hours that are not stored yet; equal ones are skipped, and any other content under a stored
-    key is an error before anything is written. Returns how many rows were written."""
+def write_hours(new: DataFrame, path: str, keys: list[str], block: int = 24 * 30) -> int:
+    """Append hours that are not stored yet, partitioned by blocks of ``block`` hours; equal ones are skipped, and
+    any other content under a stored key is an error before anything is written. Returns how many rows were
+    written. Only the blocks that the new hours are in are read, and of them only keys and digests.
+
+    One writer at a time: two that append the same hour at once both find it absent.
+    """
     spark = new.sparkSession
+    new = new.withColumn("block", F.expr(f"hour div {block}"))
     try:
         stored = spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001
@@ -47,11 +54,22 @@ def write_hours(new: DataFrame, path: str, keys: list[str]) -> int:
             raise
         stored = None
     if stored is not None:
+        blocks = [r["block"] for r in new.select("block").distinct().limit(MOST_BLOCKS + 1).collect()]
+        if len(blocks) <= MOST_BLOCKS:
+            stored = stored.where(F.col("block").isin(blocks))
         known = stored.select(*keys, F.col("content_sha256").alias("stored_sha256"))
-        if (n := new.join(known, keys).where("content_sha256 != stored_sha256").count()) > 0:
+        new = new.join(known, keys, "left").persist()
+        if (n := new.where("content_sha256 <> stored_sha256").count()) > 0:
+            new.unpersist()
             raise HourConflict(f"{n} hours are stored with other content")
-        new = new.join(known, keys, "left_anti")
+        new = new.where("stored_sha256 IS NULL").drop("stored_sha256")
     count = new.count()
     if count:
-        new.write.mode("append").parquet(path)
+        new.write.mode("append").partitionBy("block").parquet(path)
     return count
+
+
+def read_hours(spark, path: str, start: int, end: int, block: int = 24 * 30) -> DataFrame:
+    """Stored hours of [start, end): only the blocks that it touches are read."""
+    hours = spark.read.parquet(path)
+    return hours.where(F.col("block").between(start // block, (end - 1) // block) & (F.col("hour") >= start) & (F.col("hour") < end)).drop("block")

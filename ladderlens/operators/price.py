@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 8
@@ -16,17 +16,46 @@ def strict_decimal(text: str, positive: bool) -> tuple:
     return value, F.when(F.col(text).isNull(), "null").when(value.isNull() | ~plain, "not_decimal").when(low, "out_of_range")
 
 
-def normalised(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected) trades with text prices and quantities; a zero price is dropped only after the
-    whole row was validated, and is told apart as ``zero_price``."""
+def strict(rows: DataFrame, problem: str = "problem") -> DataFrame:
+    """rows without ``problem``; a row that has one fails the job with it."""
+    checked = F.when(F.col(problem).isNotNull(), F.raise_error(F.concat(F.lit("rejected row: "), F.col(problem)))).otherwise(F.lit(True))
+    return rows.where(checked).drop(problem)
+
+
+def judged_trades(trades: DataFrame, symbol: Column | None = None, zero_price: Column | None = None) -> DataFrame:
+    """Trades with text prices and quantities, normalised, and their first ``problem``. ``symbol`` is the expected
+    one of each row. Where ``zero_price`` holds, a price of zero, whatever the quantity, is the venue's mark for
+    no price, told as ``zero_price`` only after the whole row was validated; elsewhere prices and quantities
+    must be positive."""
+    special = F.lit(True) if zero_price is None else zero_price
     price, price_problem = strict_decimal("price", False)
     qty, qty_problem = strict_decimal("qty", False)
+    name = F.upper(F.trim("symbol"))
     id_problem = F.when(F.col("trade_id").isNull() | (F.trim("trade_id") == ""), "blank_id")
+    other = F.when(F.col("symbol").isNull() | (name == ""), "blank_symbol") if symbol is None else F.when(~F.coalesce(name == symbol, F.lit(False)), "other_symbol")
     clock_problem = F.when(F.col("trade_ms").isNull() | (F.col("trade_ms") < 0), "bad_clock")
-    zero = F.when((price == 0), "zero_price").when(qty == 0, "zero_quantity")
-    marked = trades.withColumns({"symbol": F.upper(F.trim("symbol")), "trade_id": F.trim("trade_id"), "problem": F.coalesce(id_problem, clock_problem, price_problem, qty_problem, zero)})
-    good = marked.where("problem IS NULL").withColumns({"price": price, "qty": qty}).drop("problem")
-    return good, marked.where("problem IS NOT NULL")
+    zero = F.when((price == 0) & special, "zero_price").when(price == 0, "out_of_range").when(qty == 0, "zero_quantity")
+    return trades.withColumns({"symbol": name, "trade_id": F.trim("trade_id"), "problem": F.coalesce(id_problem, other, clock_problem, price_problem, qty_problem, zero)}).withColumns({"price": price, "qty": qty})
+
+
+def normalised(trades: DataFrame, symbol: Column | None = None, zero_price: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) trades; see ``judged_trades``. The rejected ones keep their text."""
+    judged = judged_trades(trades.withColumns({"raw_price": F.col("price"), "raw_qty": F.col("qty")}), symbol, zero_price)
+    rejected = judged.where("problem IS NOT NULL").withColumns({"price": F.col("raw_price"), "qty": F.col("raw_qty")})
+    return judged.where("problem IS NULL").drop("problem", "raw_price", "raw_qty"), rejected.drop("raw_price", "raw_qty")
+
+
+def judged_book(rows: DataFrame, symbol: Column, ids: tuple[str, ...]) -> DataFrame:
+    """Level changes with text sides, kinds, prices and quantities, normalised, and their first ``problem``: enums
+    are lower-cased, ids and clocks are whole and not negative (a null id is no problem here), prices positive,
+    quantities not negative."""
+    price, price_problem = strict_decimal("price", True)
+    qty, qty_problem = strict_decimal("quantity", False)
+    side, kind, name = F.lower(F.trim("side")), F.lower(F.trim("event_type")), F.upper(F.trim("symbol"))
+    enums = F.coalesce(F.when(~F.coalesce(name == symbol, F.lit(False)), "other_symbol"), F.when(~F.coalesce(kind.isin("snapshot", "update"), F.lit(False)), "bad_event_type"), F.when(~F.coalesce(side.isin("bid", "ask"), F.lit(False)), "bad_side"))
+    clocks = [F.when(F.col(c).isNull() | (F.col(c) < 0), f"bad_{c}") for c in ("received_time", "event_time")]
+    negative = [F.when(F.col(c) < 0, f"negative_{c}") for c in ids]
+    return rows.withColumns({"symbol": name, "event_type": kind, "side": side, "problem": F.coalesce(enums, *clocks, *negative, price_problem, qty_problem)}).withColumns({"price": price, "quantity": qty})
 
 
 def deduplicated(trades: DataFrame) -> DataFrame:
@@ -53,8 +82,17 @@ def price_summary(slots: DataFrame) -> DataFrame:
 
 
 def routed(trades: DataFrame, hour_ms: int, received: str = "received_ns") -> DataFrame:
-    """Counters per archive hour (by receipt) and target hour (by trade time); adjacent hours are taken,
-    others are outside."""
+    """Counters per target hour (by trade time): trades of the archives of the hour and of its neighbours (by
+    receipt) are taken, others are outside; copies of a trade are duplicates; symbols that an archive of
+    another symbol holds and receipts that run back within an archive are counted as well."""
     rows = trades.withColumns({"archive_hour": F.expr(f"{received} div 1000000 div {hour_ms}"), "hour": F.expr(f"trade_ms div {hour_ms}")})
-    near = F.abs(F.col("archive_hour") - F.col("hour")) <= 1
-    return rows.groupBy("symbol", "hour").agg(F.count("*").alias("input"), F.count_if(near).alias("accepted"), F.count_if(~near).alias("outside"), F.count_if(near & (F.col("archive_hour") != F.col("hour"))).alias("from_neighbours"))
+    archive = Window.partitionBy("symbol", "archive_hour").orderBy("ordinal")
+    rows = rows.withColumns({"near": F.abs(F.col("archive_hour") - F.col("hour")) <= 1, "back": F.coalesce(F.col(received) < F.lag(received).over(archive), F.lit(False))})
+    once = rows.groupBy("symbol", "hour", "trade_id").agg(F.count("*").alias("n"), F.count_if("near").alias("near"), F.count_if(F.col("near") & (F.col("archive_hour") != F.col("hour"))).alias("neighbours"), F.count_if("back").alias("back"))
+    return once.groupBy("symbol", "hour").agg(F.sum("n").alias("input"), F.count_if(F.col("near") > 0).alias("accepted"), F.sum(F.greatest(F.col("near") - 1, F.lit(0))).alias("duplicates"), F.sum(F.col("n") - F.col("near")).alias("outside"), F.sum("neighbours").alias("from_neighbours"), F.sum("back").alias("receipts_back"))
+
+
+def mixed_archives(trades: DataFrame, hour_ms: int, received: str = "received_ns") -> DataFrame:
+    """Archives (by venue and hour of receipt) that hold more than one symbol."""
+    rows = trades.groupBy("venue", F.expr(f"{received} div 1000000 div {hour_ms}").alias("archive_hour")).agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    return rows.where(F.size("symbols") > 1)

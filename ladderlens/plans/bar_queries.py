@@ -193,14 +193,19 @@ OUT = f"SELECT {{0}}gap_start, gap_end, row_number() OVER ({{1}} ORDER BY gap_st
 QUERIES = {
     "n3_trade_rejects": (lambda s, d: P.normalised(text_trades(s, d))[1].groupBy("symbol", "problem").agg(F.count("*").alias("n")), f"WITH {REJECTED} SELECT symbol, problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY ALL"),
     "n7_trade_normalisation": (lambda s, d: P.normalised(text_trades(s, d))[0].groupBy("symbol").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("total")), f"WITH {REJECTED.replace('AS problem FROM', 'AS problem, CAST(value AS DECIMAL(18,2)) AS price FROM')} SELECT symbol, count(*) AS n, CAST(sum(price) AS DOUBLE) AS total FROM x WHERE problem IS NULL GROUP BY symbol"),
+    "n8_zero_prices_by_venue": (
+        lambda s, d: P.normalised(text_trades(s, d), F.upper(F.when(F.col("trade_id").cast("string").endswith("9"), F.lit("x")).otherwise(F.trim("symbol"))), F.trim("symbol").isin("click", "view"))[1].groupBy("symbol", "problem").agg(F.count("*").alias("n")),
+        f"WITH {REJECTED.replace('FROM events)', ', event_type, event_id FROM events)')}, y AS (SELECT symbol, CASE WHEN problem = 'blank_id' THEN problem WHEN event_id % 10 = 9 THEN 'other_symbol' WHEN problem = 'zero_price' AND event_type NOT IN ('click', 'view') THEN 'out_of_range' ELSE problem END AS problem FROM x) SELECT symbol, problem, count(*) AS n FROM y WHERE problem IS NOT NULL GROUP BY ALL",
+    ),
     "p1_trade_dedup": (lambda s, d: doubled(P.deduplicated(S.trades(s, d))), f"WITH {CANDLES} SELECT symbol, trade_id, ordinal, trade_ms, {D.format('price')} AS price, qty, copies, conflict FROM dd"),
     "p2_trade_ohlc": (lambda s, d: doubled(_candles(s, d)), f"WITH {CANDLES} SELECT symbol, slot, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in ('open', 'high', 'low', 'close'))}, trades FROM candles"),
     "p3_dense_slots": (lambda s, d: _dense(s, d).select("symbol", "hour", "slot", F.col("close").cast("double").alias("close"), "trades", "quality"), f"WITH {DENSE} SELECT symbol, hour, slot, CAST(close AS DOUBLE) AS close, trades, quality FROM dense"),
     "p4_price_summary": (lambda s, d: P.price_summary(_dense(s, d)), f"WITH {DENSE} SELECT symbol, hour, count(*) AS slots, count(*) FILTER (quality = 'VALID') AS valid, count(*) FILTER (quality = 'NO_TRADES') AS no_trades, CAST(sum(trades) AS BIGINT) AS trades FROM dense GROUP BY ALL"),
     "p5_archive_routing": (
         lambda s, d: P.routed(S.trades(s, d).withColumn("received_ns", F.col("received_ns") + F.col("qty") * 60_000_000_000), SLOT_MS),
-        f"WITH {S.TRADES}, r AS (SELECT symbol, trade_ms // {SLOT_MS} AS hour, (received_ns + qty * 60000000000) // 1000000 // {SLOT_MS} AS arc FROM trades) SELECT symbol, hour, count(*) AS input, count(*) FILTER (abs(arc - hour) <= 1) AS accepted, count(*) FILTER (abs(arc - hour) > 1) AS outside, count(*) FILTER (abs(arc - hour) <= 1 AND arc <> hour) AS from_neighbours FROM r GROUP BY ALL",
+        f"WITH {S.TRADES}, r AS (SELECT symbol, trade_id, trade_ms // {SLOT_MS} AS hour, (received_ns + qty * 60000000000) // 1000000 // {SLOT_MS} AS arc, received_ns + qty * 60000000000 AS rn, ordinal FROM trades), q AS (SELECT *, coalesce(rn < lag(rn) OVER (PARTITION BY symbol, arc ORDER BY ordinal), false) AS back, abs(arc - hour) <= 1 AS near FROM r), o AS (SELECT symbol, hour, trade_id, count(*) AS n, count(*) FILTER (near) AS near, count(*) FILTER (near AND arc <> hour) AS nb, count(*) FILTER (back) AS back FROM q GROUP BY ALL) SELECT symbol, hour, CAST(sum(n) AS BIGINT) AS input, count(*) FILTER (near > 0) AS accepted, CAST(sum(greatest(near - 1, 0)) AS BIGINT) AS duplicates, CAST(sum(n - near) AS BIGINT) AS outside, CAST(sum(nb) AS BIGINT) AS from_neighbours, CAST(sum(back) AS BIGINT) AS receipts_back FROM o GROUP BY ALL",
     ),
+    "p5_mixed_archives": (lambda s, d: P.mixed_archives(S.trades(s, d).withColumn("venue", F.when(F.col("symbol").isin("click", "view"), F.lit("mixed")).otherwise(F.col("symbol"))), SLOT_MS).select("venue", "archive_hour", F.array_join("symbols", ",").alias("symbols")), f"WITH {S.TRADES} SELECT CASE WHEN symbol IN ('click', 'view') THEN 'mixed' ELSE symbol END AS venue, received_ns // 1000000 // {SLOT_MS} AS archive_hour, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM trades GROUP BY 1, 2 HAVING count(DISTINCT symbol) > 1"),
     "a2_week_floor": (lambda s, d: S.market_seconds(s, d).groupBy(A.floor_to("ts", 604800).alias("week")).agg(F.count("*").alias("n")), f"WITH {S.SECONDS} SELECT (ts - {A.MONDAY}) // 604800 * 604800 + {A.MONDAY} AS week, count(*) AS n FROM seconds GROUP BY ALL"),
     "a8_liquidity_bars": (
         lambda s, d: doubled(_liquidity(s, d)),

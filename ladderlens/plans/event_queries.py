@@ -52,7 +52,7 @@ def boundaries(spark, d):
 
 
 QUERIES = {
-    "s1_archive_scan": (lambda s, d: S.levels(s, d).where("price >= 2000 AND qty > 0").select("market", "t", "side", "price", "qty"), f"WITH {S.LEVELS} SELECT market, t, side, price, qty FROM levels WHERE price >= 2000 AND qty > 0"),
+    "s1_level_filter": (lambda s, d: S.levels(s, d).where("price >= 2000 AND qty > 0").select("market", "t", "side", "price", "qty"), f"WITH {S.LEVELS} SELECT market, t, side, price, qty FROM levels WHERE price >= 2000 AND qty > 0"),
     "e1_event_grouping": (
         lambda s, d: E.assembled(S.changes(s, d), KEY).select("market", "hour", "event_seq", *KEY, "n_rows", "bid_rows", "ask_rows"),
         f"WITH {S.CHANGES} SELECT market, hour, CAST(row_number() OVER (PARTITION BY market, hour ORDER BY n) AS BIGINT) AS event_seq, t, kind, final_id, count(*) AS n_rows, count(*) FILTER (side = 'bid') AS bid_rows, count(*) FILTER (side = 'ask') AS ask_rows FROM changes GROUP BY market, hour, n, t, kind, final_id",
@@ -60,8 +60,8 @@ QUERIES = {
     "e2_duplicate_levels": (lambda s, d: E.duplicate_levels(S.raw_levels(s, d), ["market", "t"]), f"WITH {S.RAW_LEVELS} SELECT market, t, side, price, count(*) AS copies FROM raw GROUP BY ALL HAVING count(*) > 1"),
     "e3_oversized_events": (lambda s, d: E.oversized_events(S.changes(s, d), EVENT, 12), f"WITH {S.CHANGES} SELECT market, hour, n, count(*) AS n_rows FROM changes GROUP BY market, hour, n HAVING count(*) > 12"),
     "e4_clock_regressions": (
-        lambda s, d: E.clock_regressions(S.trades(s, d), "symbol", "trade_ms", "ordinal", 86_400_000),
-        f"WITH {S.TRADES}, x AS (SELECT symbol, trade_ms // 86400000 AS hour, trade_ms < lag(trade_ms) OVER w AS back, trade_id = lag(trade_id) OVER w AS again FROM trades WINDOW w AS (PARTITION BY symbol, trade_ms // 86400000 ORDER BY ordinal)) SELECT symbol, hour, count(*) AS n_rows, count(*) FILTER (back) AS regressions, count(*) FILTER (again) AS adjacent_duplicates FROM x GROUP BY ALL",
+        lambda s, d: E.clock_regressions(S.trades(s, d).withColumns({"day": F.expr("trade_ms div 86400000"), "event_ms": F.expr("trade_ms - trade_id % 3 * 3600000"), "received": F.expr("received_ns + qty * 60000000000")}), ["symbol", "day"], ["trade_ms", "event_ms", "received"], "ordinal", "trade_id"),
+        f"WITH {S.TRADES}, y AS (SELECT symbol, ordinal, trade_id, trade_ms // 86400000 AS day, trade_ms, trade_ms - trade_id % 3 * 3600000 AS event_ms, received_ns + qty * 60000000000 AS received FROM trades), x AS (SELECT symbol, day, {', '.join(f'{c} < lag({c}) OVER w AS {c}' for c in ('trade_ms', 'event_ms', 'received'))}, trade_id = lag(trade_id) OVER w AS again FROM y WINDOW w AS (PARTITION BY symbol, day ORDER BY ordinal)) SELECT symbol, day, count(*) AS n_rows, {', '.join(f'count(*) FILTER ({c}) AS {c}_regressions' for c in ('trade_ms', 'event_ms', 'received'))}, count(*) FILTER (again) AS adjacent_duplicates FROM x GROUP BY ALL",
     ),
     "e5_continuity": (lambda s, d: E.continuity(S.book_events(s, d)).where("mismatch").select("market", "hour", "n", "prev_id"), f"WITH {LAGGED} SELECT market, hour, n, prev_id FROM inhour WHERE {CHECKED} AND prev_id <> pf"),
     "e7_read_report": (
@@ -93,8 +93,12 @@ QUERIES = {
     "q6_null_profile": (lambda s, d: E.null_profile(S.market_seconds(s, d), ["bid", "ask", "reason"]), f"WITH {S.SECONDS} SELECT c AS column_name, n AS nulls, round(100.0 * n / t, 6) AS null_pct FROM (SELECT count(*) AS t, count(*) - count(bid) AS b, count(*) - count(ask) AS a, count(*) - count(reason) AS r FROM seconds) x, LATERAL (VALUES ('bid', x.b), ('ask', x.a), ('reason', x.r)) v(c, n)"),
     "q7_id_ranges": (lambda s, d: E.id_ranges(S.book_events(s, d)), f"WITH {LAGGED} SELECT market, count(*) AS n, min(final_id) AS least, max(final_id) AS most, arg_min(final_id, n) AS first_id, arg_max(final_id, n) AS last_id, count(*) FILTER (final_id - pf = 1) AS plus_one, count(*) FILTER (final_id - pf <> 1) AS other_steps FROM lagged GROUP BY market"),
     "q8_predecessor_matches": (lambda s, d: E.predecessor_matches(S.book_events(s, d)), f"WITH {LAGGED} SELECT market, kind, count(*) AS n, count(*) FILTER (prev_id = pf) AS matches FROM lagged WHERE pf IS NOT NULL GROUP BY ALL"),
-    "q9_event_shapes": (lambda s, d: E.event_shapes(S.changes(s, d), EVENT), f"WITH {S.CHANGES} SELECT market, hour, n, count(*) FILTER (side = 'bid') AS bid_rows, count(*) FILTER (side = 'ask') AS ask_rows, count(*) FILTER (qty > 0) AS positive_rows, count(*) FILTER (qty = 0) AS zero_rows, count(*) FILTER (qty > 0 AND side = 'bid') * count(*) FILTER (qty > 0 AND side = 'ask') > 0 AS complete FROM changes GROUP BY market, hour, n"),
-    "q10_first_last_events": (lambda s, d: E.ends(S.book_events(s, d), 2).select(*EVENT, "from_start", "from_end"), f"WITH {S.EVENTS} SELECT market, hour, n, row_number() OVER (PARTITION BY market, hour ORDER BY n) AS from_start, row_number() OVER (PARTITION BY market, hour ORDER BY n DESC) AS from_end FROM ev QUALIFY from_start <= 2 OR from_end <= 2"),
+    "q7_id_steps": (lambda s, d: E.id_steps(S.replay_events(S.book_events(s, d))), f"WITH {RICH}, x AS (SELECT market, hour, final_id, lag(final_id) OVER (PARTITION BY market ORDER BY n) AS f, lag(hour) OVER (PARTITION BY market ORDER BY n) AS h FROM rich) SELECT market, final_id - f AS step, count(*) AS n FROM x WHERE f IS NOT NULL AND hour - h <= 1 GROUP BY ALL"),
+    "q9_event_shapes": (
+        lambda s, d: E.event_shapes(S.raw_levels(s, d).withColumn("qty", F.expr("CASE WHEN price % 350 = 0 THEN NULL ELSE qty END")), ["market", "t"]),
+        f"WITH {S.RAW_LEVELS}, l AS (SELECT market, t, side, price, count(*) AS n, count(*) FILTER (price % 350 <> 0 AND qty > 0) AS p, count(*) FILTER (price % 350 <> 0 AND qty = 0) AS z, count(*) FILTER (price % 350 = 0) AS b FROM raw GROUP BY ALL) SELECT market, t, CAST(coalesce(sum(n) FILTER (side = 'bid'), 0) AS BIGINT) AS bid_rows, CAST(coalesce(sum(n) FILTER (side = 'ask'), 0) AS BIGINT) AS ask_rows, CAST(sum(p) AS BIGINT) AS positive_rows, CAST(sum(z) AS BIGINT) AS zero_rows, CAST(sum(b) AS BIGINT) AS malformed_rows, count(*) FILTER (n > 1) AS repeated_levels, coalesce(sum(p) FILTER (side = 'bid'), 0) > 0 AND coalesce(sum(p) FILTER (side = 'ask'), 0) > 0 AS complete FROM l GROUP BY market, t",
+    ),
+    "q10_first_last_events": (lambda s, d: E.ends(S.book_events(s, d), 2).select(*EVENT, "from_start", "from_end", "of_kind"), f"WITH {S.EVENTS} SELECT market, hour, n, row_number() OVER (PARTITION BY market, hour ORDER BY n) AS from_start, row_number() OVER (PARTITION BY market, hour ORDER BY n DESC) AS from_end, row_number() OVER (PARTITION BY market, hour, kind ORDER BY n) AS of_kind FROM ev QUALIFY from_start <= 2 OR from_end <= 2 OR of_kind <= 2"),
     "q11_snapshot_presence": (lambda s, d: S.book_events(s, d).groupBy("market", "hour").agg(F.count_if(F.col("kind") == "snapshot").alias("snapshots")), f"WITH {S.EVENTS} SELECT market, hour, count(*) FILTER (kind = 'snapshot') AS snapshots FROM ev GROUP BY ALL"),
     "q12_kind_counts": (lambda s, d: E.kind_counts(S.changes(s, d)), f"WITH {S.CHANGES} SELECT market, hour, kind, count(*) AS n_rows, count(DISTINCT n) AS n_events FROM changes GROUP BY ALL"),
 }

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ladderlens.functions import scalar
 from ladderlens.operators import contracts as C
+from ladderlens.operators import hours as H
+from ladderlens.operators import price as P
+from ladderlens.operators.bars import outages
+from ladderlens.plans.bar_queries import CANDLES, END, START, STEP, VIEW, _view
+from ladderlens.plans.book_queries import SAMPLED, SLOT
+from ladderlens.plans.staging import kept, new_folder, shared_dir
+from ladderlens.sources import archive
 from ladderlens.sources import stand_in as S
-from ladderlens.streaming import live
+from ladderlens.streaming import live, stateful
+
+HALF = 1704067200 + 15 * 86400
 
 
 def _venue_events(spark, d):
@@ -27,33 +34,129 @@ VENUES = S.EVENTS + """, ve AS (SELECT market, hour, n, kind, CASE market WHEN 0
  vc2 AS (SELECT *, CASE WHEN venue = 'binance' AND tt2 IS NULL THEN 'no_transaction_time' WHEN l < 0 THEN 'negative_id' WHEN f IS NULL THEN 'no_frontier' WHEN kind = 'update' AND pred IS NULL THEN 'no_predecessor' END AS err FROM vp)"""
 
 
-def _folder(spark):
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-
-
 def _events(spark, d):
     schema = S.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     return stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id", (F.col("user_id") % 3).alias("market"), F.round(F.col("value") * 100).cast("long").alias("price"))
 
 
+def _streamed(spark, df, parts):
+    """A stream of a table's parts (conditions), each in a file of its own, in order."""
+    folder = new_folder(spark, "stream-source")
+    for i, where in enumerate(parts):
+        df.where(where).coalesce(1).write.parquet(f"{folder}/part={i:03d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
 def stream_ohlc(spark, d):
     rows = live.trade_ohlc(_events(spark, d), "1 hour", ["event_type"], order="event_id")
-    out = live.drained(rows, _folder(spark), ["window", "event_type"])
+    out = live.drained(rows, shared_dir(spark), ["window", "event_type"])
     return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "open", "high", "low", "close", "trades")
 
 
 def stream_dedup(spark, d):
     rows = _events(spark, d)
     again = rows.union(rows.where("event_id % 50 = 0"))
-    return live.drained(live.deduplicated(again, ["event_id"]).select("event_id", "event_type"), _folder(spark), ["event_id"], "append").groupBy("event_type").agg(F.count("*").alias("n"))
+    return live.drained(live.deduplicated(again, ["event_id"]).select("event_id", "event_type"), shared_dir(spark), ["event_id"], "append").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def stream_replay(spark, d):
+    """Events with their changes, in two files, to a sample of each slot but the last."""
+    changes = S.changes(spark, d)
+    events = changes.groupBy("market", "hour", "n", "t", "kind", "final_id", "prev_id").agg(F.collect_list(F.struct("side", "price", "qty")).alias("changes"))
+    half = changes.agg(F.expr("percentile_approx(n, 0.5)")).first()[0] or 0
+    stream = _streamed(spark, kept(events), [f"n <= {half}", f"n > {half}"])
+    with stateful.keyed_state(spark):
+        return live.drained(stateful.book_samples(stream, SLOT), shared_dir(spark), ["market", "slot"], "append")
+
+
+def stream_outages(spark, d):
+    usable = S.market_seconds(spark, d).where("quality = 'VALID'").select("market", "ts")
+    stream = _streamed(spark, kept(usable), [f"ts < {HALF}", f"ts >= {HALF}"])
+    with stateful.keyed_state(spark):
+        return live.drained(stateful.outage_alarms(stream, 3600, 3600), shared_dir(spark), ["market", "gap_start"], "append")
+
+
+def stream_late(spark, d):
+    rows = S.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return live.late_rows(_streamed(spark, rows, ["event_id % 20 <> 0", "event_id % 20 = 0"]), shared_dir(spark)).select("batch", "n_rows", "late")
 
 
 def stream_market_sums(spark, d):
-    out = live.drained(live.market_sums(_events(spark, d).withColumnRenamed("price", "amount"), "1 hour", 3), _folder(spark), ["window"])
+    rows = _events(spark, d).withColumnRenamed("price", "amount").withColumns({"market": F.col("market") * 32, "valid": F.col("event_type") != "error"})
+    out = live.drained(live.market_sums(rows, "1 hour", 3), shared_dir(spark), ["window"])
     return out.select(F.unix_seconds("window.start").alias("start"), "amount", F.col("markets").cast("long").alias("markets"), "quality")
 
 
+def book_rows(spark, d):
+    """The stand-in changes as an archive has them: text prices, nanosecond clocks, some rows that must be rejected."""
+    r = S.changes(spark, d)
+    return r.selectExpr(
+        "t * 1000000000 AS received_time", "CASE WHEN n % 59 = 0 THEN -1 ELSE t * 1000 END AS event_time", "CASE WHEN kind = 'snapshot' THEN NULL ELSE t * 1000 END AS transaction_time", "concat(' sym', market) AS symbol",
+        "CASE WHEN price = 1850 THEN 'other' ELSE upper(kind) END AS event_type", "final_id AS first_update_id", "CASE WHEN n % 61 = 0 THEN -7 ELSE final_id END AS final_update_id", "prev_id AS prev_final_update_id", "CAST(NULL AS BIGINT) AS last_update_id",
+        "concat(' ', side) AS side", "CASE WHEN price % 450 = 0 THEN 'abc' ELSE CAST(CAST(price AS DECIMAL(18,2)) AS STRING) END AS price", "CAST(qty AS STRING) AS quantity", "CAST(NULL AS BIGINT) AS order_count", "concat('v', market) AS venue", "hour", "row_index",
+    )
+
+
+def _archive(spark, d):
+    root = new_folder(spark, "archive")
+    archive.write_archive(book_rows(spark, d), root, "orderbook", ["row_index"])
+    trades = S.trades(spark, d).selectExpr("received_ns AS received_time", "trade_ms AS event_time", "symbol", "CAST(trade_id AS STRING) AS trade_id", "CAST(price AS STRING) AS price", "CAST(qty AS STRING) AS quantity", "trade_ms AS trade_time", "trade_id % 2 = 0 AS is_buyer_maker", "CAST(NULL AS STRING) AS order_type", "symbol AS venue", "trade_ms div 86400000 AS hour", "ordinal")
+    archive.write_archive(trades, root, "trades", ["ordinal"])
+    return root
+
+
+def archive_book(spark, d):
+    """Archive files of a range of hours, with their place, from files of their own."""
+    rows = archive.read_source(spark, _archive(spark, d), "orderbook")
+    return rows.where("venue = 'v1' AND hour BETWEEN 310 AND 340").select("venue", "hour", "row_index", F.col("received_time").alias("ns"), F.trim("side").alias("side"), "price", "quantity")
+
+
+def archive_trades(spark, d):
+    rows = archive.read_source(spark, _archive(spark, d), "trades").where("hour >= 19730")
+    return rows.groupBy("venue", "hour").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("long")).alias("quantity"), F.max("row_index").alias("last_row"))
+
+
+def book_rejects(spark, d):
+    judged = P.judged_book(book_rows(spark, d), F.expr("CASE WHEN hour % 9 = 0 THEN 'SYM9' ELSE upper(concat('sym', substr(venue, 2))) END"), ("first_update_id", "final_update_id", "prev_final_update_id"))
+    return judged.groupBy("venue", "problem").agg(F.count("*").alias("n"))
+
+
+def stored_hours(spark, d):
+    """Packed hours written twice to a store, of which a range is read back."""
+    path, hours = new_folder(spark, "hours"), kept(H.packed(S.market_seconds(spark, d), ["market"], 86400, ["bid", "ask"]))
+    H.write_hours(hours.where("hour % 3 <> 0"), path, ["market", "hour"], 10)
+    H.write_hours(hours, path, ["market", "hour"], 10)
+    return H.unpacked(H.read_hours(spark, path, 19735, 19752, 10), ["market"], 86400).select("market", "ts", "bid", "ask", "quality")
+
+
+def stored_prices(spark, d):
+    path = new_folder(spark, "prices")
+    candles = P.ohlc(P.deduplicated(S.trades(spark, d)), 3_600_000).withColumns({"ts": F.col("slot") * 3600, "quality": F.lit("VALID"), "bid": F.col("open")})
+    H.write_hours(H.packed(candles, ["symbol"], 86400, ["bid", "open", "high", "low", "close", "trades"]), path, ["symbol", "hour"], 10)
+    out = H.unpacked(H.read_hours(spark, path, 19735, 19752, 10), ["symbol"], 86400)
+    return out.select("symbol", "ts", *[F.col(x).cast("double").alias(x) for x in ("open", "high", "low", "close")], "trades")
+
+
+def exported(spark, d):
+    """Bars, regions and scores as JSON files, read back."""
+    folder, bars = new_folder(spark, "export"), _view(spark, d)
+    expected = spark.range(3).select(F.col("id").alias("market"))
+    archive.export(bars, folder, ["valid"], outages(S.market_seconds(spark, d).where("quality = 'VALID'"), expected, START, END, 3600, STEP))
+    back, regions = spark.read.schema(bars.schema).json(f"{folder}/bars.json"), spark.read.json(f"{folder}/regions.json")
+    return back.select("bar_start", "valid", F.round("bid.c", 6).alias("bid_c")).crossJoin(F.broadcast(regions.agg(F.count("*").alias("regions"))))
+
+
+DEC = "CAST({0} AS DECIMAL(18,8))"
+
+
+def exact(spark, d):
+    """Sums of exact products, sums and differences."""
+    x = S.table(spark, d, "lineitem").select("l_returnflag", *[F.col(f"l_{a}").cast("decimal(18,8)").alias(b) for a, b in (("quantity", "q"), ("extendedprice", "p"), ("tax", "t"))])
+    q, p, t = F.col("q"), F.col("p"), F.col("t")
+    return x.groupBy("l_returnflag").agg(F.sum(scalar.multiplied(q, p)).cast("decimal(38,16)").cast("string").alias("product"), F.sum(scalar.added(p, t)).cast("decimal(38,8)").cast("string").alias("total"), F.sum(scalar.subtracted(p, q)).cast("decimal(38,8)").cast("string").alias("difference"))
+
+
 CENTS = "CAST(round(value * 100) AS BIGINT)"
 QUERIES = {
     "n9_sequence_contracts": (lambda s, d: C.under_contract(_venue_events(s, d), C.contracts(s)).groupBy("venue", "kind", "contract_error").agg(F.count("*").alias("n"), F.sum("frontier_id").alias("frontiers"), F.sum("predecessor_id").alias("predecessors")), f"WITH {VENUES} SELECT venue, kind, err AS contract_error, count(*) AS n, CAST(sum(f) AS BIGINT) AS frontiers, CAST(sum(pred) AS BIGINT) AS predecessors FROM vc2 GROUP BY ALL"),
@@ -66,5 +169,22 @@ QUERIES = {
     "a31_input_identity": (lambda s, d: S.market_seconds(s, d).groupBy("market", F.expr("ts div 86400").alias("day")).agg(scalar.input_identity(F.concat_ws(":", F.col("ts").cast("string"), "quality")).alias("digest")), f"WITH {S.SECONDS} SELECT market, ts // 86400 AS day, sha256(string_agg(CAST(ts AS VARCHAR) || ':' || quality, chr(10) ORDER BY CAST(ts AS VARCHAR) || ':' || quality)) AS digest FROM seconds GROUP BY ALL"),
     "t1_stream_ohlc": (stream_ohlc, f"SELECT epoch_us(ts) // 3600000000 * 3600 AS start, event_type, arg_min({CENTS}, (ts, event_id)) AS open, max({CENTS}) AS high, min({CENTS}) AS low, arg_max({CENTS}, (ts, event_id)) AS close, count(*) AS trades FROM events GROUP BY ALL"),
     "t2_stream_dedup": (stream_dedup, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
-    "t6_stream_market_sums": (stream_market_sums, f"SELECT epoch_us(ts) // 3600000000 * 3600 AS start, CAST(sum({CENTS}) AS BIGINT) AS amount, count(DISTINCT user_id % 3) AS markets, CASE WHEN count(DISTINCT user_id % 3) >= 3 THEN 'VALID' ELSE 'DEGRADED' END AS quality FROM events GROUP BY ALL"),
+    "t3_stream_replay": (stream_replay, f"WITH {SAMPLED} SELECT market, slot, n, valid, best_bid, best_ask, CAST(bid_levels AS BIGINT) AS bid_levels, CAST(ask_levels AS BIGINT) AS ask_levels FROM topped QUALIFY slot < max(slot) OVER (PARTITION BY market)"),
+    "t4_stream_outages": (stream_outages, f"WITH {S.SECONDS} SELECT market, ts + 3600 AS gap_start, next AS gap_end FROM (SELECT market, ts, lead(ts) OVER (PARTITION BY market ORDER BY ts) AS next FROM seconds WHERE quality = 'VALID') WHERE next - ts - 3600 > 3600"),
+    "t5_late_rows": (stream_late, "WITH a AS (SELECT max(epoch_us(ts)) AS newest, count(*) AS n FROM events WHERE event_id % 20 <> 0) SELECT 0 AS batch, n AS n_rows, 0::BIGINT AS late FROM a UNION ALL SELECT 1, count(*), count(*) FILTER (epoch_us(ts) < (SELECT newest FROM a) - 900000000) FROM events WHERE event_id % 20 = 0"),
+    "t6_stream_market_sums": (stream_market_sums, f"SELECT epoch_us(ts) // 3600000000 * 3600 AS start, CAST(sum({CENTS}) FILTER (event_type <> 'error') AS BIGINT) AS amount, count(DISTINCT user_id % 3) FILTER (event_type <> 'error') AS markets, CASE WHEN count(DISTINCT user_id % 3) FILTER (event_type <> 'error') >= 3 THEN 'VALID' WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'DEGRADED' ELSE 'INVALID' END AS quality FROM events GROUP BY ALL"),
+    "s1_archive_scan": (archive_book, f"WITH {S.CHANGES} SELECT 'v' || market AS venue, hour, row_index - 1 AS row_index, t * 1000000000 AS ns, side, CASE WHEN price % 450 = 0 THEN 'abc' ELSE CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) END AS price, CAST(qty AS VARCHAR) AS quantity FROM changes WHERE market = 1 AND hour BETWEEN 310 AND 340"),
+    "s2_trade_scan": (archive_trades, f"WITH {S.TRADES} SELECT symbol AS venue, trade_ms // 86400000 AS hour, count(*) AS n, CAST(sum(qty) AS BIGINT) AS quantity, count(*) - 1 AS last_row FROM trades WHERE trade_ms // 86400000 >= 19730 GROUP BY ALL"),
+    "s8_stored_hours": (stored_hours, f"WITH {S.SECONDS} SELECT market, ts, bid, ask, quality FROM seconds WHERE ts // 86400 >= 19735 AND ts // 86400 < 19752"),
+    "s9_stored_prices": (stored_prices, f"WITH {CANDLES} SELECT symbol, slot * 3600 AS ts, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in ('open', 'high', 'low', 'close'))}, trades FROM candles WHERE slot // 24 >= 19735 AND slot // 24 < 19752"),
+    "s11_json_export": (exported, f"WITH {VIEW}, u AS (SELECT market, ts FROM seconds WHERE quality = 'VALID' AND ts >= {START} AND ts < {END}), g AS (SELECT market, ts + {STEP} AS a, coalesce(lead(ts) OVER (PARTITION BY market ORDER BY ts), {END}) AS b FROM u UNION ALL SELECT CAST(m AS BIGINT), {START}, coalesce(min(ts), {END}) FROM generate_series(0, 2) t(m) LEFT JOIN u ON market = m GROUP BY m) SELECT bar_start, valid, round(bid_c, 6) AS bid_c, (SELECT count(*) FROM g WHERE b - a > 3600) AS regions FROM vb"),
+    "n1_book_rejects": (
+        book_rejects,
+        f"WITH {S.CHANGES}, x AS (SELECT 'v' || market AS venue, CASE WHEN hour % 9 = 0 THEN 'other_symbol' WHEN price = 1850 THEN 'bad_event_type' WHEN n % 59 = 0 THEN 'bad_event_time' WHEN n % 61 = 0 THEN 'negative_final_update_id' WHEN prev_id < 0 THEN 'negative_prev_final_update_id' WHEN price % 450 = 0 THEN 'not_decimal' END AS problem FROM changes) SELECT venue, problem, count(*) AS n FROM x GROUP BY ALL",
+    ),
+    "f2_utc_to_local": (lambda s, d: S.market_seconds(s, d).select("market", "ts", F.unix_seconds(scalar.utc_to_local(F.timestamp_seconds(F.col("ts") + 75 * 86400), "Europe/Berlin")).alias("local")), f"WITH {S.SECONDS} SELECT market, ts, ts + 75 * 86400 + CASE WHEN ts + 75 * 86400 < 1711846800 THEN 3600 ELSE 7200 END AS local FROM seconds"),
+    "f3_floors": (lambda s, d: S.trades(s, d).select(*[F.unix_seconds(scalar.floored(F.timestamp_millis("trade_ms"), x)).alias(x) for x in ("second", "minute", "hour")]).groupBy("second", "minute", "hour").agg(F.count("*").alias("n")), f"WITH {S.TRADES} SELECT trade_ms // 1000 AS second, trade_ms // 60000 * 60 AS minute, trade_ms // 3600000 * 3600 AS hour, count(*) AS n FROM trades GROUP BY ALL"),
+    "f5_exact_decimals": (exact, f"WITH x AS (SELECT l_returnflag, {DEC.format('l_quantity')} AS q, {DEC.format('l_extendedprice')} AS p, {DEC.format('l_tax')} AS t FROM lineitem) SELECT l_returnflag, CAST(CAST(sum(CAST(q AS DECIMAL(28,8)) * CAST(p AS DECIMAL(9,2))) AS DECIMAL(38,16)) AS VARCHAR) AS product, CAST(CAST(sum(p + t) AS DECIMAL(38,8)) AS VARCHAR) AS total, CAST(CAST(sum(p - q) AS DECIMAL(38,8)) AS VARCHAR) AS difference FROM x GROUP BY 1"),
+    "f6_canonical_text": (lambda s, d: S.table(s, d, "orders").select("o_orderkey", scalar.canonical_fraction(F.col("o_totalprice").cast("decimal(18,2)")).alias("text")), "SELECT o_orderkey, regexp_replace(regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS text FROM orders"),
+    "f7_exact_json": (lambda s, d: S.table(s, d, "orders").select("o_orderkey", scalar.exact_json({"price": F.col("o_totalprice").cast("decimal(18,2)"), "at": F.col("o_orderdate").cast("timestamp"), "n": F.col("o_custkey")}).alias("json")), """SELECT o_orderkey, '{"price":"' || CAST(o_totalprice AS DECIMAL(18,2)) || '","at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000000Z","n":' || o_custkey || '}' AS json FROM orders"""),
 }

@@ -1,16 +1,31 @@
-"""Intermediate tables that several branches of one query read."""
+"""Intermediate tables that several branches of one query read, and folders for what a query stores."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in the folder that the session names for checkpoints; a local one
-    is set only where none is configured."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints. A local one is set only where none is and Spark runs
+    on this machine alone; on a cluster, where tasks could not read it, that is an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-kept-"))
+        found = context.getCheckpointDir()
+    return found
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -11,6 +11,10 @@ TRADE_SCHEMA = "received_time long, event_time long, symbol string, trade_id str
 LAYOUT = r"([^/]+)/(\d{4}-\d{2}-\d{2})/(\d{2})/([^/]+)_(orderbook|trades)\.parquet$"
 
 
+#: Partition columns of an archive.
+PARTITIONS = ["venue", "hour"]
+
+
 class ContractError(ValueError):
     """A source lacks required columns or has them in another type."""
 
@@ -25,10 +29,29 @@ def require(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*wanted.names)
 
 
+SCHEMAS = {"orderbook": BOOK_SCHEMA, "trades": TRADE_SCHEMA}
+
+
 def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The required columns with the row's place: file and index in it."""
+    """The required columns with the partition columns and the row's place: file and index in it."""
     df = spark.read.parquet(path)
-    return require(df, schema).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    require(df, schema)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index")]
+    return df.select(*StructType.fromDDL(schema).names, *[c for c in PARTITIONS if c in df.columns], *place)
+
+
+def read_source(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """The archive files of one kind of data, each kind in its own folder and schema."""
+    if kind not in SCHEMAS:
+        raise ContractError(f"unknown kind of data: {kind}")
+    return scan(spark, f"{root}/kind={kind}", SCHEMAS[kind])
+
+
+def write_archive(rows: DataFrame, root: str, kind: str, order: list[str]) -> None:
+    """Rows (the kind's columns, venue, hour) as archive files, one for each venue and hour, in ``order``."""
+    columns = [*StructType.fromDDL(SCHEMAS[kind]).names, *PARTITIONS]
+    dealt = rows.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, *order).select(*columns)
+    dealt.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{root}/kind={kind}")
 
 
 def layout(path: Column) -> Column:
@@ -60,7 +83,9 @@ def long_rows(bars: DataFrame, series: list[str]) -> DataFrame:
     return bars.select("bar_start", *[F.col(c).cast("double").alias(c) for c in series]).unpivot(["bar_start"], series, "series", "value")
 
 
-def export(bars: DataFrame, folder: str, series: list[str]) -> None:
-    """Bars as JSON, structs and all, and as long CSV."""
-    bars.write.mode("overwrite").json(f"{folder}/bars.json")
+def export(bars: DataFrame, folder: str, series: list[str], regions: DataFrame | None = None, scores: DataFrame | None = None) -> None:
+    """Bars as JSON, structs and all, and as long CSV; outage regions and scores as JSON beside them."""
+    for name, table in (("bars", bars), ("regions", regions), ("scores", scores)):
+        if table is not None:
+            table.write.mode("overwrite").json(f"{folder}/{name}.json")
     long_rows(bars, series).write.mode("overwrite").option("header", True).option("nullValue", "").csv(f"{folder}/bars.csv")

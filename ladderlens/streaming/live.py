@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
+LATE = "batch int, n_rows long, late long, newest double"
+
+
 def deduplicated(trades: DataFrame, key: list[str], clock: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Each trade once, as long as its copies come within the watermark's delay."""
     return trades.withWatermark(clock, delay).dropDuplicatesWithinWatermark(key)
@@ -21,9 +24,29 @@ def trade_ohlc(trades: DataFrame, length: str, keys: list[str], clock: str = "ts
 
 
 def market_sums(seconds: DataFrame, length: str, expected: int, clock: str = "ts", delay: str = "15 minutes") -> DataFrame:
-    """Sums over markets per window, and how many of the expected ones contributed."""
-    sums = seconds.withWatermark(clock, delay).groupBy(F.window(clock, length)).agg(F.sum("amount").alias("amount"), F.bit_count(F.bit_or(F.expr("shiftleft(1, CAST(market AS INT))"))).alias("markets"))
-    return sums.withColumn("quality", F.when(F.col("markets") >= expected, "VALID").otherwise("DEGRADED"))
+    """Sums of the ``valid`` amounts over markets per window, and how many of the expected ones contributed."""
+    ok = F.col("valid")
+    sums = seconds.withWatermark(clock, delay).groupBy(F.window(clock, length)).agg(F.sum(F.when(ok, F.col("amount"))).alias("amount"), F.size(F.collect_set(F.when(ok, F.col("market")))).alias("markets"))
+    return sums.withColumn("quality", F.when(F.col("markets") >= expected, "VALID").when(F.col("markets") > 0, "DEGRADED").otherwise("INVALID"))
+
+
+def late_rows(stream: DataFrame, folder: str, clock: str = "ts", delay: int = 900) -> DataFrame:
+    """(batch, n_rows, late): rows per micro-batch, and those more than ``delay`` seconds behind the newest row of
+    the batches before, which a watermark of that delay lets drop. What came before is read from the batches
+    that were written, so a restart counts on."""
+    base = f"{folder}/late-{uuid.uuid4().hex}"
+    seconds = F.unix_micros(clock) / 1_000_000
+
+    def count(batch: DataFrame, number: int) -> None:
+        spark, newest = batch.sparkSession, None
+        if number:
+            newest = spark.read.schema(LATE).parquet(f"{base}/out/*").where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        late = F.count_if(seconds < newest - delay) if newest is not None else F.lit(0).cast("long")
+        batch.agg(F.lit(number).alias("batch"), F.count("*").alias("n_rows"), late.alias("late"), F.max(seconds).alias("newest")).write.mode("overwrite").parquet(f"{base}/out/number={number}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(count).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(LATE).parquet(f"{base}/out/*")
 
 
 def drained(stream: DataFrame, folder: str, keys: list[str], mode: str = "update") -> DataFrame:
