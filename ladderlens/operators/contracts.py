@@ -24,7 +24,7 @@ def under_contract(events: DataFrame, rules: DataFrame) -> DataFrame:
     A snapshot without transaction time takes its event time; the venue's reset sentinel in a snapshot
     stands for the final id; other negative ids are errors.
     """
-    e = events.join(F.broadcast(rules), "venue", "left")
+    e = events.join(rules, "venue", "left")
     sentinel = (F.col("kind") == "snapshot") & (F.col("last_id") == F.col("reset_sentinel"))
     e = e.withColumns({"transaction_time": F.when(F.col("transaction_time").isNull() & (F.col("kind") == "snapshot"), F.col("event_time")).otherwise(F.col("transaction_time")), "sentinel": F.coalesce(sentinel, F.lit(False)), "last_id": F.when(sentinel, F.col("final_id")).otherwise(F.col("last_id"))})
     frontier = F.when(F.col("frontier") == "final", F.col("final_id")).otherwise(F.col("last_id"))
@@ -44,10 +44,24 @@ def outside_hour(rows: DataFrame, clock: str, hour: int) -> DataFrame:
     return rows.groupBy("market", "hour").agg(F.count("*").alias("n_rows"), F.count_if(F.expr(f"{clock} div {hour}") != F.col("hour")).alias("outside"))
 
 
-def violations(seconds: DataFrame) -> DataFrame:
-    """Counts of broken second invariants: valid ones carry values and no reason, invalid ones the reverse."""
-    ok = F.col("quality") == "VALID"
-    return seconds.groupBy("market").agg(F.count_if(ok & (F.col("bid").isNull() | F.col("ask").isNull())).alias("valid_without_values"), F.count_if(ok & F.col("reason").isNotNull()).alias("valid_with_reason"), F.count_if(~ok & (F.col("bid").isNotNull() | F.col("ask").isNotNull())).alias("invalid_with_values"), F.count_if(~ok & F.col("reason").isNull()).alias("invalid_without_reason"))
+def violations(seconds: DataFrame, expected: int | None = None) -> DataFrame:
+    """Counts of broken second invariants: valid ones carry values and no reason, invalid ones the reverse;
+    values are not negative; where there is a source_count, it is all of ``expected`` for valid seconds, some for
+    degraded and none for invalid ones."""
+    ok, off = F.col("quality").isin("VALID", "DEGRADED"), F.col("quality") == "INVALID"
+    rules = {"unknown_quality": ~ok & ~off, "valid_without_values": ok & (F.col("bid").isNull() | F.col("ask").isNull()), "valid_with_reason": ok & F.col("reason").isNotNull(), "invalid_with_values": off & (F.col("bid").isNotNull() | F.col("ask").isNotNull()), "invalid_without_reason": off & F.col("reason").isNull(), "negative_values": (F.col("bid") < 0) | (F.col("ask") < 0)}
+    if expected is not None:
+        n, full = F.col("source_count"), F.col("quality") == "VALID"
+        rules["wrong_source_count"] = (full & (n != expected)) | (ok & ~full & ((n < 1) | (n >= expected))) | (off & (n != 0)) | n.isNull()
+    return seconds.groupBy("market").agg(*[F.count_if(x).alias(name) for name, x in rules.items()])
+
+
+def candle_violations(candles: DataFrame) -> DataFrame:
+    """Counts of broken candle invariants: valid ones have prices in order and trades, others neither."""
+    ok, prices = F.col("quality") == "VALID", ("open", "high", "low", "close")
+    some, every = [F.col(x).isNotNull() for x in prices], [F.col(x).isNull() for x in prices]
+    rules = {"valid_without_prices": ok & (every[0] | every[1] | every[2] | every[3]), "valid_without_trades": ok & (F.col("trades") < 1), "out_of_order": (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close")), "not_positive": F.col("low") <= 0, "empty_with_prices": ~ok & (some[0] | some[1] | some[2] | some[3]), "empty_with_trades": ~ok & (F.col("trades") > 0)}
+    return candles.groupBy("symbol").agg(*[F.count_if(x).alias(name) for name, x in rules.items()])
 
 
 def clamped_clock(rows: DataFrame, clock: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ladderlens.operators import contracts as C
 from ladderlens.operators import hours as H
 from ladderlens.operators import price as P
 from ladderlens.operators.bars import outages
-from ladderlens.plans.bar_queries import CANDLES, END, START, STEP, VIEW, _view
+from ladderlens.plans.bar_queries import CANDLES, DENSE, END, START, STEP, VIEW, _view
 from ladderlens.plans.book_queries import SAMPLED, SLOT
 from ladderlens.plans.staging import kept, new_folder, shared_dir
 from ladderlens.sources import archive
@@ -157,15 +157,25 @@ def exact(spark, d):
     return x.groupBy("l_returnflag").agg(F.sum(scalar.multiplied(q, p)).cast("decimal(38,16)").cast("string").alias("product"), F.sum(scalar.added(p, t)).cast("decimal(38,8)").cast("string").alias("total"), F.sum(scalar.subtracted(p, q)).cast("decimal(38,8)").cast("string").alias("difference"))
 
 
+def _defects(spark, d):
+    """Seconds of which some break every invariant."""
+    t = "ts div 3600"
+    return S.market_seconds(spark, d).selectExpr("market", "ts", f"CASE WHEN {t} % 29 = 0 THEN 'ODD' WHEN {t} % 5 = 0 AND quality = 'VALID' THEN 'DEGRADED' ELSE quality END AS quality", f"CASE WHEN {t} % 31 = 0 THEN NULL WHEN {t} % 37 = 0 THEN -1 ELSE bid END AS bid", f"CASE WHEN {t} % 41 = 0 THEN 7 ELSE ask END AS ask", f"CASE WHEN {t} % 43 = 0 THEN 'why' WHEN {t} % 47 = 0 THEN NULL ELSE reason END AS reason", f"CASE WHEN {t} % 53 = 0 THEN 1L WHEN quality = 'VALID' THEN 3L - CAST({t} % 5 = 0 AS INT) ELSE 0L END AS source_count")
+
+
+DEFECTS = S.SECONDS + """, de0 AS (SELECT market, CASE WHEN ts // 3600 % 29 = 0 THEN 'ODD' WHEN ts // 3600 % 5 = 0 AND quality = 'VALID' THEN 'DEGRADED' ELSE quality END AS quality, CASE WHEN ts // 3600 % 31 = 0 THEN NULL WHEN ts // 3600 % 37 = 0 THEN -1 ELSE bid END AS bid,
+ CASE WHEN ts // 3600 % 41 = 0 THEN 7 ELSE ask END AS ask, CASE WHEN ts // 3600 % 43 = 0 THEN 'why' WHEN ts // 3600 % 47 = 0 THEN NULL ELSE reason END AS reason, CASE WHEN ts // 3600 % 53 = 0 THEN 1 WHEN quality = 'VALID' THEN 3 - CAST(ts // 3600 % 5 = 0 AS INT) ELSE 0 END AS source_count FROM seconds),
+ de AS (SELECT *, quality IN ('VALID', 'DEGRADED') AS ok, quality = 'INVALID' AS off FROM de0)"""
 CENTS = "CAST(round(value * 100) AS BIGINT)"
 QUERIES = {
     "n9_sequence_contracts": (lambda s, d: C.under_contract(_venue_events(s, d), C.contracts(s)).groupBy("venue", "kind", "contract_error").agg(F.count("*").alias("n"), F.sum("frontier_id").alias("frontiers"), F.sum("predecessor_id").alias("predecessors")), f"WITH {VENUES} SELECT venue, kind, err AS contract_error, count(*) AS n, CAST(sum(f) AS BIGINT) AS frontiers, CAST(sum(pred) AS BIGINT) AS predecessors FROM vc2 GROUP BY ALL"),
     "n6_mixed_sentinels": (lambda s, d: C.mixed_sentinels(S.changes(s, d).withColumn("sentinel", (F.col("price") > 2000) & (F.col("kind") == "snapshot")), ["market", "n"]), f"WITH {S.CHANGES} SELECT market, n, count(*) FILTER (price > 2000 AND kind = 'snapshot') AS sentinels, count(*) AS n_rows FROM changes GROUP BY market, n HAVING sentinels > 0 AND sentinels < n_rows"),
     "n11_hour_ownership": (lambda s, d: C.outside_hour(S.book_events(s, d).withColumn("t", F.col("t") + F.col("n") % 5 * 86400), "t", S.HOUR), f"WITH {S.EVENTS} SELECT market, hour, count(*) AS n_rows, count(*) FILTER ((t + n % 5 * 86400) // {S.HOUR} <> hour) AS outside FROM ev GROUP BY ALL"),
-    "n12_second_invariants": (lambda s, d: C.violations(S.market_seconds(s, d)), f"WITH {S.SECONDS} SELECT market, count(*) FILTER (quality = 'VALID' AND (bid IS NULL OR ask IS NULL)) AS valid_without_values, count(*) FILTER (quality = 'VALID' AND reason IS NOT NULL) AS valid_with_reason, count(*) FILTER (quality <> 'VALID' AND (bid IS NOT NULL OR ask IS NOT NULL)) AS invalid_with_values, count(*) FILTER (quality <> 'VALID' AND reason IS NULL) AS invalid_without_reason FROM seconds GROUP BY market"),
+    "n12_second_invariants": (lambda s, d: C.violations(_defects(s, d), 3), f"WITH {DEFECTS} SELECT market, 0::BIGINT + count(*) FILTER (quality NOT IN ('VALID', 'DEGRADED', 'INVALID')) AS unknown_quality, count(*) FILTER (ok AND (bid IS NULL OR ask IS NULL)) AS valid_without_values, count(*) FILTER (ok AND reason IS NOT NULL) AS valid_with_reason, count(*) FILTER (off AND (bid IS NOT NULL OR ask IS NOT NULL)) AS invalid_with_values, count(*) FILTER (off AND reason IS NULL) AS invalid_without_reason, count(*) FILTER (bid < 0 OR ask < 0) AS negative_values, count(*) FILTER ((quality = 'VALID' AND source_count <> 3) OR (quality = 'DEGRADED' AND source_count NOT IN (1, 2)) OR (off AND source_count <> 0)) AS wrong_source_count FROM de GROUP BY market"),
+    "n12_candle_invariants": (lambda s, d: C.candle_violations(P.dense(P.ohlc(P.deduplicated(S.trades(s, d)), 3_600_000), 24).withColumns({"high": F.expr("CASE WHEN slot % 9 = 0 THEN low ELSE high END"), "trades": F.expr("CASE WHEN slot % 7 = 0 THEN 0 ELSE trades END"), "close": F.expr("CASE WHEN slot % 5 = 0 THEN coalesce(close, 1) ELSE close END")})), f"WITH {DENSE}, x AS (SELECT symbol, quality = 'VALID' AS ok, open, CASE WHEN slot % 9 = 0 THEN low ELSE high END AS high, low, CASE WHEN slot % 5 = 0 THEN coalesce(close, 1) ELSE close END AS close, CASE WHEN slot % 7 = 0 THEN 0 ELSE trades END AS trades FROM dense) SELECT symbol, count(*) FILTER (ok AND (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL)) AS valid_without_prices, count(*) FILTER (ok AND trades < 1) AS valid_without_trades, count(*) FILTER (low > least(open, close) OR high < greatest(open, close)) AS out_of_order, count(*) FILTER (low <= 0) AS not_positive, count(*) FILTER (NOT ok AND (open IS NOT NULL OR high IS NOT NULL OR low IS NOT NULL OR close IS NOT NULL)) AS empty_with_prices, count(*) FILTER (NOT ok AND trades > 0) AS empty_with_trades FROM x GROUP BY symbol"),
     "b9_clamped_clock": (lambda s, d: C.clamped_clock(S.book_events(s, d).withColumn("t", F.col("t") - F.col("n") % 7 * 86400), "t", "n").select("market", "n", "clamped", "ran_back"), f"WITH {S.EVENTS}, x AS (SELECT market, hour, n, t - n % 7 * 86400 AS t FROM ev) SELECT market, n, max(t) OVER w AS clamped, max(t) OVER w > t AS ran_back FROM x WINDOW w AS (PARTITION BY market, hour ORDER BY n)"),
     "f4_unix_units": (lambda s, d: S.trades(s, d).select("ordinal", scalar.unix_seconds_of(F.when(F.col("trade_id") % 3 == 0, F.col("received_ns")).when(F.col("trade_id") % 3 == 1, F.col("trade_ms")).otherwise(F.expr("trade_ms div 1000"))).alias("seconds")).groupBy("seconds").agg(F.count("*").alias("n")), f"WITH {S.TRADES} SELECT trade_ms // 1000 AS seconds, count(*) AS n FROM trades GROUP BY ALL"),
-    "f6_preset_identity": (lambda s, d: S.table(s, d, "nation").select("n_nationkey", scalar.identity(F.col("n_name"), F.col("n_regionkey")).alias("preset_hash")), "SELECT n_nationkey, sha256('=' || n_name || chr(10) || '=' || CAST(n_regionkey AS VARCHAR)) AS preset_hash FROM nation"),
+    "f6_preset_identity": (lambda s, d: S.table(s, d, "customer").select("c_custkey", scalar.identity(F.col("c_name"), F.col("c_nationkey")).alias("preset_hash")), "SELECT c_custkey, sha256('=' || c_name || chr(10) || '=' || CAST(c_nationkey AS VARCHAR)) AS preset_hash FROM customer"),
     "a31_input_identity": (lambda s, d: S.market_seconds(s, d).groupBy("market", F.expr("ts div 86400").alias("day")).agg(scalar.input_identity(F.concat_ws(":", F.col("ts").cast("string"), "quality")).alias("digest")), f"WITH {S.SECONDS} SELECT market, ts // 86400 AS day, sha256(string_agg(CAST(ts AS VARCHAR) || ':' || quality, chr(10) ORDER BY CAST(ts AS VARCHAR) || ':' || quality)) AS digest FROM seconds GROUP BY ALL"),
     "t1_stream_ohlc": (stream_ohlc, f"SELECT epoch_us(ts) // 3600000000 * 3600 AS start, event_type, arg_min({CENTS}, (ts, event_id)) AS open, max({CENTS}) AS high, min({CENTS}) AS low, arg_max({CENTS}, (ts, event_id)) AS close, count(*) AS trades FROM events GROUP BY ALL"),
     "t2_stream_dedup": (stream_dedup, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),

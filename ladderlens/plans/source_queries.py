@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ladderlens.functions import scalar
 from ladderlens.operators import bars as A
+from ladderlens.operators import book as B
 from ladderlens.operators import catalog as O
 from ladderlens.operators import views as V
 from ladderlens.plans.bar_queries import VIEW, _view
 from ladderlens.plans.book_queries import CHECKPOINT, checkpoints
+from ladderlens.plans.staging import kept
 from ladderlens.sources import archive as R
 from ladderlens.sources import stand_in as S
 
@@ -31,10 +33,10 @@ def paths(s, d):
 
 
 def inventory(s, d):
-    stored = checkpoints(s, d).where("through_hour % 5 <> 0").select("market", "through_hour").distinct()
+    """Some checkpoints are not stored, some hold a level without quantity, some hours expect none."""
+    stored = kept(checkpoints(s, d).where("through_hour % 5 <> 0").withColumn("qty", F.expr("CASE WHEN through_hour % 4 = 0 AND place = 1 THEN 0 ELSE qty END")))
     hours = S.book_events(s, d).where("hour % 7 <> 0").select("market", F.col("hour").alias("through_hour")).distinct()
-    orphan = stored.join(hours, ["market", "through_hour"], "left_anti").withColumn("problem", F.lit("orphan"))
-    return orphan.union(hours.join(stored, ["market", "through_hour"], "left_anti").withColumn("problem", F.lit("missing")))
+    return O.checkpoint_inventory(stored, B.checkpoint_state(stored), hours, 12)
 
 
 def spans(s, d):
@@ -46,7 +48,7 @@ def spans(s, d):
 
 def local_times(s, d):
     """Hours of a market taken as civil times of a zone: their UTC, or why there is none."""
-    local = F.timestamp_seconds(F.col("ts") + 75 * 86400)
+    local = F.timestamp_seconds(F.col("ts") + F.when(F.col("market") == 0, 285).otherwise(75) * 86400)
     utc, problem = scalar.local_to_utc(local, ZONE)
     return S.market_seconds(s, d).select("market", "ts", F.unix_seconds(utc).alias("utc"), problem.alias("problem"))
 
@@ -57,12 +59,12 @@ QUERIES = {
     "s12_long_export": (lambda s, d: R.long_rows(_view(s, d).select("bar_start", *[F.col(c)["c"].alias(c) for c in SERIES]), SERIES), f"WITH {VIEW} " + " UNION ALL ".join(f"SELECT bar_start, '{c}' AS series, {c}_c AS value FROM vb" for c in SERIES)),
     "s13_archive_profile": (lambda s, d: R.profile(S.changes(s, d), ["market", "hour"]), f"WITH {S.CHANGES} SELECT market, hour, count(*) AS n_rows, count(DISTINCT n) AS events, count(DISTINCT CASE WHEN kind = 'snapshot' THEN n END) AS snapshots, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (qty = 0) AS removals, min(final_id) AS least_id, max(final_id) AS most_id, min(t) AS first_t, max(t) AS last_t FROM changes GROUP BY ALL"),
     "a5_auto_timeframe": (spans, f"WITH {S.TRADES}, r AS (SELECT symbol, min(trade_ms) // 1000 AS a, max(trade_ms) // 1000 AS b FROM trades GROUP BY symbol), f(seconds) AS (VALUES {', '.join(f'({x}::BIGINT)' for x in A.TIMEFRAMES.values() if x < 604800)}), x AS (SELECT symbol, a, b, min(seconds) AS bar FROM r, f WHERE ceil((b + 1 - a) / seconds) <= 1200 GROUP BY ALL) SELECT symbol, bar, a // bar * bar AS start, b // bar * bar + bar AS \"end\", (b // bar * bar + bar - a // bar * bar) // bar AS bars FROM x"),
-    "a29_preset_components": (lambda s, d: S.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("markets")).select("n_regionkey", F.posexplode("markets").alias("place", "market")).withColumn("component", scalar.identity(F.col("n_regionkey"), F.col("market"))), "SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS INTEGER) AS place, n_name AS market, sha256('=' || CAST(n_regionkey AS VARCHAR) || chr(10) || '=' || n_name) AS component FROM nation"),
+    "a29_preset_components": (lambda s, d: S.table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("markets")).select("o_custkey", F.posexplode("markets").alias("place", "market")).withColumn("component", scalar.identity(F.col("o_custkey"), F.col("market"))), "SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1 AS INTEGER) AS place, o_orderpriority AS market, sha256('=' || CAST(o_custkey AS VARCHAR) || chr(10) || '=' || o_orderpriority) AS component FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)"),
     "o11_newest_release": (lambda s, d: S.trades(s, d).groupBy("symbol").agg(O.newest_release(F.expr("max(trade_ms) div 1000"), 900).alias("newest")), f"WITH {S.TRADES} SELECT symbol, (max(trade_ms) // 1000 - 900) // 3600 * 3600 - 3600 AS newest FROM trades GROUP BY symbol"),
-    "o16_checkpoint_inventory": (inventory, f"WITH {STORED} SELECT market, through_hour, 'orphan' AS problem FROM stored ANTI JOIN hours USING (market, through_hour) UNION ALL SELECT market, through_hour, 'missing' FROM hours ANTI JOIN stored USING (market, through_hour)"),
+    "o16_checkpoint_inventory": (inventory, f"WITH {STORED}, c AS (SELECT market, through_hour, count(*) AS n, bool_or(side = 'bid') AND bool_or(side = 'ask') AS two_sided, count(last_id) > 0 AS known FROM cp WHERE through_hour % 5 <> 0 GROUP BY ALL) SELECT market, through_hour, 'orphan' AS problem FROM stored ANTI JOIN hours USING (market, through_hour) UNION ALL SELECT market, through_hour, 'missing' FROM hours ANTI JOIN stored USING (market, through_hour) UNION ALL SELECT market, through_hour, 'invalid' FROM c WHERE NOT two_sided OR NOT known OR through_hour % 4 = 0 UNION ALL SELECT market, through_hour, 'oversized' FROM c WHERE n > 12"),
     "o18_stale_runs": (
         lambda s, d: O.stale(S.table(s, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", F.expr("unix_seconds(CAST(o_orderdate AS TIMESTAMP)) div 86400").alias("started")), ["started"], 10600, 800).select("o_orderkey", "age"),
         "SELECT o_orderkey, 10600 - CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS age FROM orders WHERE o_orderstatus = 'O' AND 10600 - CAST(epoch(o_orderdate) AS BIGINT) // 86400 > 800",
     ),
-    "f1_local_to_utc": (local_times, f"WITH {S.SECONDS}, x AS (SELECT market, ts, ts + 75 * 86400 AS l FROM seconds) SELECT market, ts, CASE WHEN l < 1711850400 THEN l - 3600 WHEN l >= 1711854000 THEN l - 7200 END AS utc, CASE WHEN l >= 1711850400 AND l < 1711854000 THEN 'nonexistent' END AS problem FROM x"),
+    "f1_local_to_utc": (local_times, f"WITH {S.SECONDS}, x AS (SELECT market, ts, ts + CASE WHEN market = 0 THEN 285 ELSE 75 END * 86400 AS l FROM seconds) SELECT market, ts, CASE WHEN l < 1711850400 THEN l - 3600 WHEN l >= 1711854000 AND l < 1729994400 THEN l - 7200 WHEN l >= 1729998000 THEN l - 3600 END AS utc, CASE WHEN l >= 1711850400 AND l < 1711854000 THEN 'nonexistent' WHEN l >= 1729994400 AND l < 1729998000 THEN 'ambiguous' END AS problem FROM x"),
 }

@@ -145,3 +145,30 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OUTPUTS = """outp AS (SELECT l_suppkey % 8 AS instrument, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS hour, least(3600, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) * 60) AS valid
  FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL)"""
+
+
+def source_records(sources: DataFrame) -> DataFrame:
+    """source_hours with a venue, a kind, JSON metadata, some of them malformed, and clocks of which some are missing."""
+    return sources.selectExpr("*", "CASE WHEN source_id % 3 = 0 THEN 'trades' ELSE 'orderbook' END AS kind", "concat('v', source_id % 2) AS venue", "CASE WHEN source_id % 13 = 0 THEN '{bad' WHEN source_id % 17 = 0 THEN '{\"content_sha256\": \"zz\"}' ELSE concat('{\"content_sha256\": \"', sha2(CAST(source_id AS STRING), 256), '\"}') END AS meta", "CASE WHEN source_id % 5 = 0 THEN NULL ELSE hour END AS downloaded_at", "hour - 2 AS discovered_at")
+
+
+SOURCE_RECORDS = SOURCE_HOURS + ", rec AS (SELECT *, CASE WHEN source_id % 3 = 0 THEN 'trades' ELSE 'orderbook' END AS kind, 'v' || source_id % 2 AS venue, NOT (source_id % 13 = 0 OR source_id % 17 = 0) AS sound, CASE WHEN source_id % 5 = 0 THEN NULL ELSE hour END AS downloaded_at, hour - 2 AS discovered_at FROM src)"
+
+
+def price_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instrument, hour) of stored price hours."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
+    return lines.selectExpr("l_suppkey % 8 AS instrument", "unix_seconds(CAST(l_shipdate AS TIMESTAMP)) div 86400 AS hour").distinct()
+
+
+PRICE_OUTPUTS = "pout AS (SELECT DISTINCT l_suppkey % 8 AS instrument, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS hour FROM lineitem WHERE l_returnflag = 'A')"
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, kind, status, started, ended): an order is a run that ends when its last line ships; open ones have no end."""
+    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.expr("unix_seconds(CAST(max(l_shipdate) AS TIMESTAMP))").alias("ended"))
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS run_id", "o_orderpriority AS kind", "o_orderstatus AS status", "unix_seconds(CAST(o_orderdate AS TIMESTAMP)) AS started")
+    return orders.join(ends, "run_id", "left").withColumn("ended", F.when(F.col("status") != "P", F.col("ended")))
+
+
+RUNS = "runs AS (SELECT o_orderkey AS run_id, o_orderpriority AS kind, o_orderstatus AS status, CAST(epoch(o_orderdate) AS BIGINT) AS started, CASE WHEN o_orderstatus <> 'P' THEN e END AS ended FROM orders LEFT JOIN (SELECT l_orderkey, CAST(epoch(max(l_shipdate)) AS BIGINT) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
