@@ -15,7 +15,13 @@ ranked, and a rank is named by the smallest document that has it:
    around one anchor are sent as one run of bytes to the anchor's task and spread out there.
 
 Each level sorts (rank, part) rows, aggregated before the shuffle; texts are written once and never
-shuffled. Strings are named by 64-bit hashes.
+shuffled. A string is named by a 64-bit hash of its bytes and a second number: a seed's by its first 8
+bytes, a span's and a window's by the hash of the seed that it is found by. Windows that meet in a task
+are compared byte by byte as well.
+
+This departs from plain doubling, which would sort a pair of ranks for each of a text's bytes at each of
+six offsets: the lengths named grow (SEED, the spans between anchors, LENGTH), but by hashing, not by
+pairing the ranks of the length before.
 """
 
 from __future__ import annotations
@@ -30,11 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderlens.llm.common import documents, shared_dir, short_lived_shuffles
-from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_saved, save_rows, write_parts
+from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_saved, save_rows, write_parts, written_parts
 
 LENGTH, SEED = 50, 18
 REACH = LENGTH - SEED  # from a window's start to its last seed's start
-POSITION_BITS = 28
+#: Bits for a place in a block; the others order the hashes of seeds.
+POSITION_BITS = 36
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LEVELS = SEEDS, PAIRS, WINDOWS = "seeds", "pairs", "windows"
 #: Runs that one numpy pass spreads out; a longer group of one anchor is spread out as a whole.
@@ -42,7 +49,8 @@ RUNS_AT_ONCE = 200_000
 #: Bytes of text that one numpy pass ranks; its numbers stay in the processor's cache.
 BLOCK = 1 << 18
 RUNS = "m long, part int, least long, most long, bytes binary"
-RANKS = "part int, h long, n long, least long, most long"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RANKS = "part int, h long, g long, n long, least long, most long"
 
 _rng = np.random.default_rng(20)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,17 +112,22 @@ class Block:
         self.before = np.concatenate([[0], np.cumsum(flag)])
         self.own = self.before[best]
         self.seed = self.hash(self.a, self.a + SEED)
+        self.head = self.words(self.a)
+
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """8 bytes from each place on as a number."""
+        return np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))[at] if len(at) else at.astype(np.uint64)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.seed, self.id_of[self.a] if len(self.a) else self.a
+    def seeds(self) -> tuple[np.ndarray, ...]:
+        return self.seed, self.head, self.id_of[self.a] if len(self.a) else self.a
 
     def look_at(self, seeds: "Ranks") -> None:
         """Windows whose own anchors repeat, and the pairs of anchors around them."""
-        n, _ = seeds.of(self.seed)
+        n, _ = seeds.of(self.seed, self.head)
         left, right = self.before[self.p + 1] - 1, self.before[self.p + REACH]
         inside = (left >= 0) & (right < len(self.a))
         left, right = np.where(inside, left, 0), np.where(inside, right, 0)
@@ -139,12 +152,12 @@ class Block:
         self.p, self.anchor, self.pair_of = self.p[shared], self.own[shared], self.pair_of[shared]
         self.own = n[self.anchor]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.pair, self.id_of[self.a[self.left]] if len(self.pair) else self.pair.astype(np.int64)
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        return self.pair, self.seed[self.left], self.id_of[self.a[self.left]] if len(self.pair) else self.pair.astype(np.int64)
 
     def decide(self, pairs: "Ranks") -> None:
         """Windows that a smaller document has by their pair, and those still to be ranked."""
-        n, least = pairs.of(self.pair)
+        n, least = pairs.of(self.pair, self.seed[self.left])
         at = np.flatnonzero(self.pair_of >= 0)
         self.gone, closed = np.zeros(len(self.p), dtype=bool), np.zeros(len(self.p), dtype=bool)
         self.gone[at] = least[self.pair_of[at]] < self.id_of[self.p[at]]
@@ -164,7 +177,7 @@ class Block:
     def removed(self, windows: "Ranks") -> np.ndarray:
         """Which bytes a window covers that a smaller document has."""
         if len(self.open):
-            _, least = windows.of(self.open_hash)
+            _, least = windows.of(self.open_hash, self.seed[self.anchor[self.open]])
             self.gone[self.open] = least < self.id_of[self.p[self.open]]
         edge = np.zeros(len(self.data) + 1, dtype=np.int64)
         start = self.p[self.gone]
@@ -176,44 +189,59 @@ class Block:
 class Ranks:
     """How often a string occurs, and the smallest document that has it, for those of several documents."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray, least: np.ndarray):
+    def __init__(self, h: np.ndarray, g: np.ndarray, n: np.ndarray, least: np.ndarray):
         order = np.argsort(h.view(np.uint64), kind="stable")
-        self.h, self.n, self.least = h.view(np.uint64)[order], n[order], least[order]
+        self.h, self.g, self.n, self.least = h.view(np.uint64)[order], g.view(np.uint64)[order], n[order], least[order]
+        same = np.flatnonzero(np.diff(np.flatnonzero(np.concatenate([[True], self.h[1:] != self.h[:-1], [True]]))) > 1)
+        self.shared = len(same) > 0  # different strings of one hash
 
-    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """1 and the largest id for strings that don't repeat."""
         if not len(self.h):
             return np.ones(len(h), dtype=np.int64), np.full(len(h), NO_ID)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = self.h[at] == h
+        hit = (self.h[at] == h) & (self.g[at] == g)
+        if self.shared:
+            for i in np.flatnonzero((self.h[at] == h) & ~hit).tolist():
+                low, high = np.searchsorted(self.h, h[i]), np.searchsorted(self.h, h[i], side="right")
+                if len(found := np.flatnonzero(self.g[low:high] == g[i])):
+                    at[i], hit[i] = low + found[0], True
         return np.where(hit, self.n[at], 1), np.where(hit, self.least[at], NO_ID)
 
 
+def by_name(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal names together, and where in it each name begins."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    if (g[order][1:] != g[order][:-1])[same].any():
+        order = np.lexsort((g, h))
+        same = h[order][1:] == h[order][:-1]
+    return order, np.flatnonzero(np.concatenate([[True], ~(same & (g[order][1:] == g[order][:-1]))]))
+
+
 class Tally:
     """How often each string occurs in a part, and the smallest and largest documents that have it."""
 
     def __init__(self):
         self.found: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, found: tuple[np.ndarray, np.ndarray]) -> None:
-        h, ids = found
+    def add(self, found: tuple[np.ndarray, ...]) -> None:
+        h, g, ids = found
         if len(h):
-            self.found.append(self._summed(h, np.ones(len(h), dtype=np.int64), ids, ids))
+            self.found.append(self._summed(h, g, np.ones(len(h), dtype=np.int64), ids, ids))
 
     @staticmethod
-    def _summed(h, n, least, most) -> tuple[np.ndarray, ...]:
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        return h[first], np.add.reduceat(n[order], first), np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+    def _summed(h, g, n, least, most) -> tuple[np.ndarray, ...]:
+        order, first = by_name(h, g)
+        return h[order[first]], g[order[first]], np.add.reduceat(n[order], first), np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
 
     def batches(self, part: int) -> Iterator[pa.RecordBatch]:
         if not self.found:
             return
-        h, *rest = self._summed(*map(np.concatenate, zip(*self.found)))
+        h, g, *rest = self._summed(*map(np.concatenate, zip(*self.found)))
         for low in range(0, len(h), 1 << 16):
             to = slice(low, low + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[to]), part, dtype=np.int32)), pa.array(h[to].view(np.int64)), *[pa.array(x[to].astype(np.int64)) for x in rest]], names=["part", "h", "n", "least", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[to]), part, dtype=np.int32)), pa.array(h[to].view(np.int64)), pa.array(g[to].view(np.int64)), *[pa.array(x[to].astype(np.int64)) for x in rest]], names=["part", "h", "g", "n", "least", "most"])
 
 
 class Runs:
@@ -226,19 +254,16 @@ class Runs:
         m, h, ids, start, end = block.runs()
         if not len(m):
             return
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        order, first = by_name(h, m)
         pick = order[first]
-        self.found.append((h[first], m[pick], np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)))
+        self.found.append((h[pick], m[pick], np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)))
         self.bytes += [block.data[x:y].tobytes() for x, y in zip(start[pick].tolist(), end[pick].tolist())]
 
     def batches(self, part: int) -> Iterator[pa.RecordBatch]:
         if not self.found:
             return
         h, m, least, most = map(np.concatenate, zip(*self.found))
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        order, first = by_name(h, m)
         least, most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
         pick = order[first]
         for low in range(0, len(pick), 1 << 15):
@@ -247,27 +272,33 @@ class Runs:
 
 
 def ranked_windows(runs: DataFrame) -> DataFrame:
-    """(part, h, n, least) of the windows that a smaller document has, for the parts whose documents have them.
+    """(part, h, g, n, least) of the windows that a smaller document has, for the parts whose documents have them.
     Equal windows have equal anchors, so they meet in the task of their anchor's rank."""
 
     def spread(group: pa.Table) -> pa.RecordBatch:
         texts = group.column("bytes").to_pylist()
-        part, least, most = (group.column(x).to_numpy() for x in ("part", "least", "most"))
+        part, least, most, m = (group.column(x).to_numpy() for x in ("part", "least", "most", "m"))
         block = Block(texts, least, windows=False)
         count = np.array([len(x) for x in texts]) - LENGTH + 1
         row = np.repeat(np.arange(len(texts)), count)
         p = np.arange(len(row)) + row * (LENGTH - 1)
-        h = block.hash(p, p + LENGTH)
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        h, g = block.hash(p, p + LENGTH), m.view(np.uint64)[row]
+        order, first = by_name(h, g)
         size = np.diff(np.append(first, len(h)))
+        again = np.flatnonzero(np.repeat(size, size) > 1)  # windows that have company: are they the same bytes?
+        mine, theirs = p[order[again]], p[order[np.repeat(first, size)[again]]]
+        for step in (0, 8, 16, 24, 32, 40, LENGTH - 8):
+            if (block.words(mine + step) != block.words(theirs + step)).any():
+                raise ValueError("two windows have one name")
         lowest = np.repeat(np.minimum.reduceat(least[row[order]], first), size)
         hit = order[lowest < most[row[order]]]
         key = np.empty(len(h), dtype=np.int64)
         key[order] = lowest
-        _, once = np.unique(np.stack([h[hit].view(np.int64), part[row[hit]].astype(np.int64)]), axis=1, return_index=True) if len(hit) else (None, hit)
-        hit = hit[once]
-        return pa.RecordBatch.from_arrays([pa.array(part[row[hit]].astype(np.int32)), pa.array(h[hit].view(np.int64)), pa.array(np.full(len(hit), 2)), pa.array(key[hit])], names=["part", "h", "n", "least"])
+        if len(hit):
+            by_part = np.lexsort((part[row[hit]], g[hit], h[hit]))
+            hit = hit[by_part]
+            hit = hit[np.concatenate([[True], (h[hit][1:] != h[hit][:-1]) | (g[hit][1:] != g[hit][:-1]) | (part[row[hit]][1:] != part[row[hit]][:-1])])]
+        return pa.RecordBatch.from_arrays([pa.array(part[row[hit]].astype(np.int32)), pa.array(h[hit].view(np.int64)), pa.array(g[hit].view(np.int64)), pa.array(np.full(len(hit), 2)), pa.array(key[hit])], names=["part", "h", "g", "n", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -284,20 +315,20 @@ def ranked_windows(runs: DataFrame) -> DataFrame:
         if held and (table := pa.Table.from_batches(held)).num_rows:
             yield spread(table)
 
-    return runs.repartition("m").sortWithinPartitions("m").mapInArrow(run, "part int, h long, n long, least long")
+    return runs.repartition("m").sortWithinPartitions("m").mapInArrow(run, "part int, h long, g long, n long, least long")
 
 
 def repeated(ranks: DataFrame) -> DataFrame:
-    """Of rows (part, h, n, least, most), those whose string more than one document has, with the totals
+    """Of rows (part, h, g, n, least, most), those whose string more than one document has, with the totals
     over all parts. A string has at most one row a part, whatever the number of its copies."""
-    same = Window.partitionBy("h")
-    totals = ranks.select("part", "h", F.sum("n").over(same).alias("n"), F.min("least").over(same).alias("least"), F.max("most").over(same).alias("most"))
-    return totals.where("least != most").select("part", "h", "n", "least")
+    same = Window.partitionBy("h", "g")
+    totals = ranks.select("part", "h", "g", F.sum("n").over(same).alias("n"), F.min("least").over(same).alias("least"), F.max("most").over(same).alias("most"))
+    return totals.where("least != most").select("part", "h", "g", "n", "least")
 
 
 def _ranks(rows: pa.Table | None) -> Ranks:
     empty = np.zeros(0, dtype=np.int64)
-    return Ranks(*(rows.column(x).to_numpy() for x in ("h", "n", "least"))) if rows is not None else Ranks(empty, empty, empty)
+    return Ranks(*(rows.column(x).to_numpy() for x in ("h", "g", "n", "least"))) if rows is not None else Ranks(empty, empty, empty, empty)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -305,10 +336,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by a LENGTH-byte string that also starts in a document with a smaller doc_id.
 
     A null text counts as empty and stays empty. Documents of the same id don't remove each other's
-    bytes; a null id counts as larger than all others. An empty table gives an empty one.
+    bytes; a null id counts as larger than all others. Equal texts of one id keep the same bytes. A text is
+    taken whole, whatever its length (up to 2 GB, Arrow's limit). An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    folder, parts = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}", max(docs.rdd.getNumPartitions(), 1)
+    folder, dealt = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}", max(docs.rdd.getNumPartitions(), 1)
 
     def seeds(part: int, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         tally = Tally()
@@ -317,7 +349,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield from tally.batches(part)
 
     with short_lived_shuffles(spark):
-        save_rows(repeated(write_parts(docs, folder, seeds, RANKS, size=BLOCK)), parts, folder, SEEDS)
+        save_rows(repeated(write_parts(docs, folder, seeds, RANKS, size=BLOCK)), dealt, folder, SEEDS)
+    parts = written_parts(folder)
+    if not parts:
+        return spark.createDataFrame([], RESULT)
 
     def pairs(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         tally, known = Tally(), _ranks(saved[SEEDS])
@@ -357,7 +392,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             n, removed, spans, digest, kept = zip(*out)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return over_saved(spark, parts, folder, list(LEVELS), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", BLOCK)
+    return over_saved(spark, parts, folder, list(LEVELS), cut, RESULT, BLOCK)
 
 
 def op6_suffix_dedup(spark, sf_dir):

@@ -60,19 +60,121 @@ def test_dense_ball_of_fingerprints_is_one_component(spark):
     assert seen == fps
 
 
+def sequential_chunks(data: bytes) -> dict[int, int]:
+    """Digests and lengths of the distinct chunks, byte by byte."""
+    out, start = {}, 0
+    while start < len(data):
+        h, end = 0, min(len(data), start + chunking.MAX_BYTES)
+        for i in range(start, min(len(data), start + chunking.MAX_BYTES)):
+            h = ((h << 1) + int(chunking.GEAR[data[i]])) & 0xFFFFFFFF
+            size = i + 1 - start
+            if size >= chunking.MIN_BYTES:
+                # the gear hash of the last 16 bytes: what is older has been shifted out only after 32, so take it afresh
+                near = 0
+                for x in data[i - 15 : i + 1]:
+                    near = ((near << 1) + int(chunking.GEAR[x])) & 0xFFFFFFFF
+                bits = chunking.STRICT_BITS if size < chunking.NORMAL_BYTES else chunking.LOOSE_BITS
+                if near >> (32 - bits) == 0:
+                    end = i + 1
+                    break
+        out[xxhash.xxh64_intdigest(data[start:end])] = end - start
+        start = end
+    return out
+
+
 def test_chunks(docs, texts):
     ordered = sorted(texts.items(), reverse=True)
     rows = {r["doc_id"]: r for r in chunking.fingerprint_pairs(docs, 5).collect()}
     assert len(rows) == len(ordered)
+    share = lambda a, b: sum(n for x, n in a.items() if x in b) / sum(a.values()) if a else float(not b)
     for k, (i, t) in enumerate(ordered):
         following = ordered[(k + 1) % len(ordered)][1]
         e = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-        a, b = (chunking.chunk_sets([x.encode()])[0] for x in (t, e))
-        assert rows[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and rows[i]["fingerprint"] == chunking.encoded(a)
-        assert rows[i]["near_edited"] == chunking.containment(a, b)
-        assert (chunking.decoded(rows[i]["fingerprint"]) == a).all()
-    shifted = chunking.chunk_sets([b"x" + ordered[3][1].encode()])[0]
-    assert chunking.containment(chunking.chunk_sets([ordered[3][1].encode()])[0], shifted) > 0.5
+        own, changed, after = (sequential_chunks(x.encode()) for x in (t[:20_000], e, following)) if len(t) <= 20_000 else (None, None, None)
+        assert rows[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and rows[i]["n_chars"] == len(t)
+        if own is not None:
+            assert {int(x["digest"]): int(x["length"]) for x in chunking.decoded(rows[i]["fingerprint"])} == own
+            assert {int(x["digest"]): int(x["length"]) for x in chunking.decoded(rows[i]["edited_fingerprint"])} == changed
+            assert abs(rows[i]["near_edited"] - share(own, changed)) < 1e-12 and abs(rows[i]["near_next"] - share(own, after)) < 1e-12
+    shifted = sequential_chunks(b"x" + ordered[3][1].encode())
+    assert share(sequential_chunks(ordered[3][1].encode()), shifted) > 0.5
+
+
+class Bits:
+    """A plain reader of big-endian bits."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, 8 * at
+
+    def take(self, n: int) -> int:
+        x = 0
+        for _ in range(n):
+            x, self.at = x << 1 | self.data[self.at >> 3] >> (7 - (self.at & 7)) & 1, self.at + 1
+        return x
+
+    def signed(self, n: int) -> int:
+        x = self.take(n)
+        return x - (1 << n) if n and x >> (n - 1) else x
+
+    def unary(self) -> int:
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def plain_flac(media: bytes) -> bytes:
+    """A second decoder, bit by bit, from the format's description; only for what a mono 8-bit stream needs."""
+    assert media[:4] == b"fLaC"
+    at, last, out = 4, False, []
+    while not last:
+        last, size = bool(media[at] & 128), int.from_bytes(media[at + 1 : at + 4], "big")
+        at += 4 + size
+    while at < len(media):
+        r = Bits(media, at)
+        assert r.take(14) == 0b11111111111110
+        r.take(2), r.take(16)
+        lead = r.take(8)
+        for _ in range(max(0, len(f"{lead:08b}".split("0")[0]) - 1)):
+            r.take(8)
+        assert flac.CRC8(np.frombuffer(media, dtype=np.uint8), np.array([at]), np.array([r.at // 8]))[0] == r.take(8)
+        assert r.take(1) == 0
+        kind, _ = r.take(6), r.take(1)
+        n = flac.BLOCK_SAMPLES
+        if kind == 0:
+            s = [r.signed(8)] * n
+        elif kind == 1:
+            s = [r.signed(8) for _ in range(n)]
+        else:
+            order = kind - 31 if kind >= 32 else kind - 8
+            s = [r.signed(8) for _ in range(order)]
+            weights, shift = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}.get(order, []), 0
+            if kind >= 32:
+                precision, shift = r.take(4) + 1, r.signed(5)
+                weights = [r.signed(precision) for _ in range(order)]
+            wide, parts = (5 if r.take(2) else 4), r.take(4)
+            for part in range(1 << parts):
+                k = r.take(wide)
+                for _ in range((n >> parts) - (order if part == 0 else 0)):
+                    u = r.unary() << k | r.take(k)
+                    s.append((u >> 1 ^ -(u & 1)) + (sum(w * s[-1 - j] for j, w in enumerate(weights)) >> shift))
+        out += s
+        at = -(-r.at // 8) + 2
+    return bytes((x + 128) & 255 for x in out)
+
+
+def test_flac_query_against_a_second_decoder(spark, folder, texts):
+    rows = {r["doc_id"]: r for r in flac.op7_flac_media(spark, f"{folder}/docs").collect()}
+    media = {r["doc_id"]: bytes(r["media"]) for r in flac.with_media(spark.read.parquet(f"{folder}/docs/documents.parquet")).collect()}
+    assert rows.keys() == texts.keys()
+    for i, t in texts.items():
+        raw = t.encode()
+        payload = raw + bytes([255]) * (-len(raw) % 576 if raw else 576)
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
+        if len(raw) < 6000:
+            assert plain_flac(media[i]) == payload
 
 
 def test_flac_round_trip_seek_and_corruption(texts):
@@ -365,3 +467,33 @@ def test_distant_terms_disclose_and_copies_do_not(spark):
 
     found = flagged_terms(spark, [(i, letter("Zanzibar", f"x{i}", "a.b@c.org")) for i in range(4)] + [(10 + i, letter("Quito", "same", "d.e@f.org")) for i in range(5)])
     assert all("Zanzibar" in found[i] for i in range(4)) and not any(found[10 + i] for i in range(5))
+
+
+def test_recall_by_length_and_changes(spark):
+    """Passages of 50 to 200 words with words replaced at random places, each between other words; only pairs that
+    are alike enough count. Every line of the table must reach 0.95."""
+    rng, rows, pairs = np.random.default_rng(14), [], {}
+    new = lambda: int(rng.integers(1 << 40))
+    for n, changes in ((50, 0), (60, 1), (80, 1), (100, 2), (150, 3), (200, 4)):
+        for _ in range(120):
+            a = [new() for _ in range(n)]
+            b = changed(a, rng.choice(n, changes, replace=False).tolist(), "replace", new)
+            x, y = set(grams(a)), set(grams(b))
+            if len(x & y) >= passages.SIMILARITY * len(x | y):
+                i = len(rows)
+                rows += [(i + j, " ".join(f"w{v}" for v in [new() for _ in range(60)] + w + [new() for _ in range(60)])) for j, w in enumerate((a, b))]
+                pairs.setdefault((n, changes), []).append((i + 1, i))
+    found = {(r["doc"], r["other"]) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))[1].collect()}
+    recall = {k: sum(p in found for p in v) / len(v) for k, v in pairs.items()}
+    print("recall by words and changes:", recall)
+    assert min(recall.values()) >= 0.95 and found <= {p for v in pairs.values() for p in v}
+
+
+def test_repeated_words_and_copies_are_one_class(spark):
+    """Documents of one word over and over, copies of a text, and texts that differ in case only."""
+    rng = np.random.default_rng(15)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 80))
+    rows = [(1, "spam " * 70), (2, f"head {'spam ' * 60} tail"), (3, text), (4, text.upper()), (5, text), (6, "too short"), (7, "too short"), (8, None), (9, "")]
+    sizes, links = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc"], r["other"]) for r in links.collect()} == {(2, 1), (4, 3), (5, 3)}
+    assert {r["doc"]: r["n_words"] for r in sizes.collect()} == {1: 70, 2: 62, 3: 80, 4: 80, 5: 80, 6: 2, 7: 2, 8: 0, 9: 0}
