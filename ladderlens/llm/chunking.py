@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,23 +93,27 @@ def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
     followed by the next one of the whole table: buckets are ranges of doc_id, and a bucket also gets a
     ghost copy of the document that follows its last one (after the very last: of the first).
 
-    One shuffle of the texts; what is broadcast has a row for each bucket. Equal ids are ordered by
-    their text's hash; null ids come last.
+    One shuffle of the texts; what is broadcast has a bound and a row for each bucket, whatever the number of
+    documents in it. Equal ids are ordered by their text's hash; null ids come last.
     """
     lowest = -(1 << 63)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("ord"))
     bounds = sorted({int(x) for x in keyed.approxQuantile("ord", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
-    own = F.lit(0)
-    if bounds:
-        own = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("ord")))
-    keyed = keyed.withColumn("bucket", own)
+    shipped = docs.sparkSession.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def own(ord: pd.Series) -> pd.Series:
+        """The number of bounds at or below each id."""
+        return pd.Series(np.searchsorted(shipped.value, ord.to_numpy(), side="right").astype(np.int32))
+
+    keyed = keyed.withColumn("bucket", own("ord") if bounds else F.lit(0))
     tops = sorted((r["bucket"], r["top"]) for r in keyed.groupBy("bucket").agg(F.max("ord").alias("top")).collect())
     to = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
     edges = F.broadcast(docs.sparkSession.createDataFrame(to or [(0, 0)], "ord long, target int"))
     homes = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ghost")))
     ghosts = F.when(F.col("target").isNotNull(), F.array(F.struct(F.col("target").alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.expr("array()"))
     spread = keyed.join(edges, "ord", "left").select("doc_id", "text", "ord", F.explode(F.concat(homes, ghosts)).alias("to"))
-    return spread.select("to.bucket", "to.ghost", "doc_id", "text", "ord").repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "ghost", F.col("ord").desc(), F.xxhash64("text")).drop("ord")
+    return spread.select("to.bucket", "to.ghost", "doc_id", "text", "ord").repartitionById(max(buckets, 1), F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.col("ord").desc(), F.xxhash64("text")).drop("ord")
 
 
 def edited(text: str, following: str) -> str:

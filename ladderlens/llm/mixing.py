@@ -68,6 +68,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return now
 
 
+def margins(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, share, target) after raking: how far each margin is from its target."""
+    found = None
+    for dimension, target in targets.items():
+        own = raked.groupBy(dimension).agg(F.sum("weight").alias("share")).join(target, dimension, "full").select(F.lit(dimension).alias("dimension"), F.col(dimension).alias("value"), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("target", F.lit(0.0)).alias("target"))
+        found = own if found is None else found.union(own)
+    return found
+
+
 def probabilities(raked: DataFrame) -> DataFrame:
     """(dimensions, weight, probability): the raked share over the actual one, the largest being kept whole."""
     total = raked.agg(F.sum("tokens").alias("all"))

@@ -193,7 +193,9 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
     Each document is tokenised once; afterwards only narrow rows move. Ranks and places are counted
     within chunks of documents and moved on by the totals of the chunks before. Null texts count as
-    empty (their one id is the end id); an empty table gives no pieces.
+    empty (their one id is the end id); repeated rows and equal ids are packed as often as they come, and rows
+    that are equal in all that ranks them may change places; a text of any length is cut into as many
+    sequences as it needs; an empty table gives no pieces.
     """
     spark = docs.sparkSession
     rows = staged(measured(docs, path), "measured")

@@ -240,7 +240,8 @@ def _flags(column) -> list[list[tuple[str, str]]]:
 
 def find(docs: DataFrame) -> DataFrame:
     """Counts per kind, the digest of the base spans and all spans of every document; a null text counts
-    as empty, and an empty one has no spans."""
+    as empty, and an empty one has no spans. Repeated rows stay, each with all its spans, and equal texts have
+    equal base spans; rows without a doc_id get no term spans. A text of any length is searched whole."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *[f"n_{x}" for x in KINDS], "base_sha256", "spans"]
 

@@ -27,6 +27,8 @@ INDEX = np.dtype([("offset", "<u8"), ("size", "<u4"), ("tokens", "<u4")])
 FRAME = 16
 READ_BYTES = 1 << 22
 CHUNK = 512
+#: Shards that a task keeps open while it reads out of order.
+OPEN_FILES = 64
 # Fixed values of the format.
 CRC32C_POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 
@@ -179,6 +181,49 @@ def read_records(manifest: DataFrame, folder: str, wide: bool = False) -> DataFr
     return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, offset long")
 
 
+def index_of(manifest: DataFrame, folder: str) -> DataFrame:
+    """(shard, offset, size, tokens) of every record, from the index files alone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        for batch in batches:
+            for shard in batch.column("shard").to_pylist():
+                with store.open_input_stream(f"{base}/shard-{shard:06d}.index") as f:
+                    index = np.frombuffer(f.read(), dtype=INDEX)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), shard)), *[pa.array(index[x].astype(np.int64)) for x in INDEX.names]], names=["shard", *INDEX.names])
+
+    return manifest.select("shard").mapInArrow(read, "shard long, offset long, size long, tokens long")
+
+
+def read_shuffled(manifest: DataFrame, folder: str, seed: int, tasks: int, wide: bool = False) -> DataFrame:
+    """(task, place, doc_id, ids) in an order that ``seed`` decides: the index entries are dealt to tasks and put in
+    order by hash, and each task seeks to its records, wherever they are."""
+    order = F.xxhash64(F.lit(seed), "shard", "offset")
+    dealt = index_of(manifest, folder).withColumn("order", order).repartition(tasks, "order").sortWithinPartitions("order")
+    kind = np.dtype("<u4" if wide else "<u2")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, base), task, place = _store(folder), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids, tokens, files = [], [], {}
+            for shard, offset, size in zip(*(batch.column(x).to_pylist() for x in ("shard", "offset", "size"))):
+                if shard not in files:
+                    if len(files) >= OPEN_FILES:
+                        files.pop(next(iter(files))).close()
+                    files[shard] = store.open_input_file(f"{base}/shard-{shard:06d}.records")
+                files[shard].seek(offset)
+                data = unframed(files[shard].read(size + FRAME), [size])[0]
+                number = int.from_bytes(data[:8], "little", signed=True)
+                ids.append(None if number == NO_ID else number)
+                tokens.append(np.frombuffer(data, dtype=kind, offset=8).astype(np.int64))
+            for f in files.values():
+                f.close()
+            yield pa.RecordBatch.from_arrays([pa.array([task] * len(ids), pa.int32()), pa.array(range(place, place + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["task", "place", "doc_id", "ids"])
+            place += len(ids)
+
+    return dealt.mapInArrow(read, "task int, place long, doc_id long, ids array<long>")
+
+
 def op3_token_records(spark, sf_dir):
     docs, path = documents(spark, sf_dir), default_path()
     folder = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"

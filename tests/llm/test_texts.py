@@ -497,3 +497,24 @@ def test_repeated_words_and_copies_are_one_class(spark):
     sizes, links = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r["doc"], r["other"]) for r in links.collect()} == {(2, 1), (4, 3), (5, 3)}
     assert {r["doc"]: r["n_words"] for r in sizes.collect()} == {1: 70, 2: 62, 3: 80, 4: 80, 5: 80, 6: 2, 7: 2, 8: 0, 9: 0}
+
+
+def test_records_in_shuffled_order(spark, docs, texts, tmp_path):
+    path, folder = tokens.default_path(), f"file://{tmp_path}/s"
+    manifest = records.write_records(docs, folder, 4, path)
+    want = {i: x.tolist() for i, x in zip(sorted(texts), tokens.encoder(path).encode([texts[i] for i in sorted(texts)]))}
+    orders = []
+    for seed in (1, 2, 1):
+        rows = sorted(records.read_shuffled(manifest, folder, seed, 3).collect(), key=lambda r: (r["task"], r["place"]))
+        assert {r["doc_id"]: r["ids"] for r in rows} == want and len(rows) == len(want)
+        orders.append([r["doc_id"] for r in rows])
+    assert orders[0] == orders[2] != orders[1] and orders[0] != sorted(orders[0])
+
+
+def test_raked_margins_meet_their_targets(spark, docs):
+    from ladderlens.llm import mixing
+
+    cells = mixing.with_cells(docs.select("doc_id", "source", "lang", "text")).groupBy(*mixing.DIMENSIONS).agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "tokens")
+    targets = {x: mixing.tempered(cells, x) for x in mixing.DIMENSIONS}
+    rows = mixing.margins(mixing.rake(cells, targets), targets).collect()
+    assert len(rows) > 5 and max(abs(r["share"] - r["target"]) for r in rows) < 5e-3
