@@ -66,14 +66,14 @@ def stream_replay(spark, d):
     events = changes.groupBy("market", "hour", "n", "t", "kind", "final_id", "prev_id").agg(F.collect_list(F.struct("side", "price", "qty")).alias("changes"))
     half = changes.agg(F.expr("percentile_approx(n, 0.5)")).first()[0] or 0
     stream = _streamed(spark, kept(events), [f"n <= {half}", f"n > {half}"])
-    with stateful.keyed_state(spark):
+    with stateful.keyed_state(spark, 4):
         return live.drained(stateful.book_samples(stream, SLOT), shared_dir(spark), ["market", "slot"], "append")
 
 
 def stream_outages(spark, d):
     usable = S.market_seconds(spark, d).where("quality = 'VALID'").select("market", "ts")
     stream = _streamed(spark, kept(usable), [f"ts < {HALF}", f"ts >= {HALF}"])
-    with stateful.keyed_state(spark):
+    with stateful.keyed_state(spark, 4):
         return live.drained(stateful.outage_alarms(stream, 3600, 3600), shared_dir(spark), ["market", "gap_start"], "append")
 
 

@@ -21,14 +21,18 @@ GAPS = "market long, gap_start long, gap_end long"
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """The state store that map and value states need, for the streams that start within it."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+def keyed_state(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """The state store that map and value states need, in ``partitions`` parts, for the streams that start within
+    it; there are no more keys than markets, so more parts than these would stay empty."""
+    wanted = {STORE: ROCKS, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Replay(StatefulProcessor):
