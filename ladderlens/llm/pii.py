@@ -29,7 +29,8 @@ WINDOW_WORDS = 8
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.95
 #: Different terms that a task counts before it passes them on.
-TERMS_HELD = 400_000
+TERMS_HELD = 100_000
+TERM_BITS = 1 << 20
 #: Rows of pairs that a task holds before it passes them on.
 ROWS_PER_BATCH = 50_000
 EDGE = ".,;:!?()[]{}<>\"'`*#|=$%&"
@@ -158,12 +159,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, entity string, term string, context long, first boolean")
 
 
+def _bit(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode()) % TERM_BITS
+
+
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): in how many documents each of ``terms`` (term) occurs, in one pass over the texts. A task
-    adds up its documents' terms, passes them on whenever it holds TERMS_HELD, and Spark sums them."""
+    """(term, n_t): in how many documents each of ``terms`` (term) occurs, in one pass over the texts. Tasks pass
+    on what a set of TERM_BITS bits, broadcast whatever the number of terms, does not exclude, added up over up
+    to TERMS_HELD terms; Spark keeps the terms asked for and sums them."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_bit(x) for x in batch.column("term").to_pylist()], pa.int64())], names=["bit"])
+
+    terms = staged(terms.distinct(), "terms")
+    marked = bytearray(TERM_BITS)
+    for r in terms.mapInArrow(bits, "bit long").distinct().collect():
+        marked[r["bit"]] = 1
+    shipped = docs.sparkSession.sparkContext.broadcast(bytes(marked))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total, known = Counter(), shipped.value
 
         def summed() -> pa.RecordBatch:
             rows = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
@@ -172,13 +188,13 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text"):
-                total.update({term_of(x) for x in set(_WORD.findall(text.as_py() or ""))} - {None})
+                total.update(x for x in {term_of(x) for x in set(_WORD.findall(text.as_py() or ""))} - {None} if known[_bit(x)])
                 if len(total) >= TERMS_HELD:
                     yield summed()
         yield summed()
 
     counted = docs.select("text").mapInArrow(count, "term string, n long")
-    return counted.join(terms.distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ from ladderlens.llm.common import claim
 
 END_ID = 2
 #: Words, and words without case and marks, that a worker keeps in each of two generations.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 120_000
 #: Bytes of text whose words are numbered together.
-WORDS_AT_ONCE = 4 << 20
+WORDS_AT_ONCE = 2 << 20
 #: Marks that may follow a word's letters; a run of them is one piece of its own.
 TAIL = ".,!?;:)]}\"|"
 
