@@ -134,13 +134,17 @@ def outages(usable: DataFrame, expected: DataFrame, start: int, end: int, thresh
     return ranked.where(F.col("number") <= keep)
 
 
-def load_counters(seconds: DataFrame, price: DataFrame, corrupt: Column | None = None) -> DataFrame:
+def load_counters(seconds: DataFrame, price: DataFrame, corrupt: Column | None = None, failed: Column | None = None) -> DataFrame:
     """Usable, unusable and partial seconds, how many have a price, and the price's status; liquidity never
-    depends on price."""
-    bad = corrupt if corrupt is not None else F.lit(False)
-    both = seconds.join(price.select("ts", bad.alias("bad"), F.lit(True).alias("priced")), "ts", "left")
-    status = F.when(F.coalesce(F.bool_or("bad"), F.lit(False)), "corrupt").when(F.count_if("priced") > 0, "loaded").otherwise("missing")
-    return both.agg(F.count_if(F.col("quality") != "INVALID").alias("usable"), F.count_if(F.col("quality") == "INVALID").alias("unusable"), F.count_if(F.col("quality") == "DEGRADED").alias("partial"), F.count_if("priced").alias("priced"), status.alias("price_status"))
+    depends on price. ``corrupt`` marks price rows whose content is not what was stored, ``failed`` rows that stand
+    for a price that could not be read or decoded (they have no value); the first kind that there is, in the
+    order corrupt, failed, loaded, missing, is the status."""
+    no = F.lit(False)
+    bad, lost = (F.coalesce(x, no) if x is not None else no for x in (corrupt, failed))
+    both = seconds.join(price.select("ts", bad.alias("bad"), lost.alias("lost"), (~lost).alias("priced")), "ts", "left")
+    any_of = lambda c: F.coalesce(F.bool_or(c), no)
+    status = F.when(any_of("bad"), "corrupt").when(any_of("lost"), "failed").when(F.count_if("priced") > 0, "loaded").otherwise("missing")
+    return both.agg(F.count_if(F.col("quality") != "INVALID").alias("usable"), F.count_if(F.col("quality") == "INVALID").alias("unusable"), F.count_if(F.col("quality") == "DEGRADED").alias("partial"), F.count_if("priced").alias("priced"), F.count_if("lost").alias("failed"), status.alias("price_status"))
 
 
 def trusted_prices(price: DataFrame, keys: list[str], corrupt: Column) -> DataFrame:

@@ -1,8 +1,9 @@
 """Book state: level lifetimes, sampling, depth liquidity and checkpoints.
 
 A level lives from the change that sets it to the next change of the same price in the same epoch, or
-the epoch's end. Samples meet lifetimes by an equi-join on (market, block of samples) with a range
-condition, so neither side is compared with the whole of the other.
+the epoch's end. Best prices and depth come from books that are kept while lifetimes stream by (``ladder``).
+Where all levels of a sample are asked for, samples meet lifetimes by an equi-join on (market, block of
+samples) with a range condition, so neither side is compared with the whole of the other.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Samples per join block.
-BLOCK = 64
-#: Bands that may be broadcast.
+from ladderlens.operators.ladder import STRUCTURES, from_units, sampled_books, units
+
+#: Samples per join block, and per block that one task keeps a book for.
+BLOCK, SWEPT = 64, 512
+#: Bands up to which they are broadcast.
 MOST_BANDS = 10_000
 MONEY, FRACTION = "decimal(18,8)", "decimal(9,8)"
-STRUCTURES = ("NORMAL", "LOCKED", "CROSSED", "EMPTY_BID", "EMPTY_ASK", "EMPTY_BOTH")
 
 
 def valid_changes(changes: DataFrame, replayed: DataFrame) -> DataFrame:
@@ -45,30 +47,80 @@ def slot_of(t: str | Column, interval: int) -> Column:
     return F.floor(((F.col(t) if isinstance(t, str) else t) - 1) / interval).cast("long")
 
 
+GRID = 4096
+_LAST = ("n", "epoch", "valid", "state")
+
+
+def _at_ends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the last event as ``s``, and the last id that any of its events has as ``id``."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*_LAST), "n").alias("s"), F.max_by("final_id", F.when(F.col("final_id").isNotNull(), F.col("n"))).alias("id"))
+
+
 def samples(replayed: DataFrame, interval: int) -> DataFrame:
-    """(market, slot, t_end, n, epoch, valid, state): the last event at or before each slot's end, on a dense grid
-    from each market's first slot to its last."""
-    last = replayed.withColumn("slot", slot_of("t", interval)).groupBy("market", "slot").agg(F.max_by(F.struct("n", "epoch", "valid", "state"), "n").alias("s"))
-    grid = last.groupBy("market").agg(F.min("slot").alias("a"), F.max("slot").alias("b")).select("market", F.explode(F.sequence("a", "b")).alias("slot"))
+    """(market, slot, t_end, n, epoch, valid, state, last_id): the last event at or before each slot's end, on a dense grid
+    from each market's first slot to its last; last_id is a valid book's frontier."""
+    last = _at_ends(replayed.withColumn("slot", slot_of("t", interval)), ["market", "slot"])
+    # groups of slots are dealt out first, so no task lays out a market's whole history
+    reach = last.groupBy("market").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
+    groups = reach.select("market", "a", "b", F.explode(F.expr(f"sequence(a div {GRID}, b div {GRID})")).alias("group")).repartition("market", "group")
+    grid = groups.select("market", "group", F.explode(F.sequence(F.greatest("a", F.col("group") * GRID), F.least("b", F.col("group") * GRID + (GRID - 1)))).alias("slot"))
     # an empty slot takes the state of the last one with an event, found within groups of slots and then across them
-    filled = grid.join(last, ["market", "slot"], "left").withColumn("group", F.expr("slot div 4096"))
+    filled = grid.join(last.withColumn("group", F.expr(f"slot div {GRID}")), ["market", "group", "slot"], "left")
     inside = Window.partitionBy("market", "group").orderBy("slot")
-    ends = filled.groupBy("market", "group").agg(F.max_by("s", F.when(F.col("s").isNotNull(), F.col("slot"))).alias("e"))
-    carried = ends.select("market", "group", F.last("e", ignorenulls=True).over(Window.partitionBy("market").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    state = F.coalesce(F.last("s", ignorenulls=True).over(inside), "carried")
-    out = filled.join(carried, ["market", "group"]).withColumn("s", state)
-    return out.select("market", "slot", ((F.col("slot") + 1) * interval).alias("t_end"), "s.n", "s.epoch", "s.valid", "s.state")
+    ends = filled.groupBy("market", "group").agg(*[F.max_by(x, F.when(F.col(x).isNotNull(), F.col("slot"))).alias(x) for x in ("s", "id")])
+    before = Window.partitionBy("market").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("market", "group", *[F.last(x, ignorenulls=True).over(before).alias(f"carried_{x}") for x in ("s", "id")])
+    out = filled.join(carried, ["market", "group"]).select("market", "slot", *[F.coalesce(F.last(x, ignorenulls=True).over(inside), f"carried_{x}").alias(x) for x in ("s", "id")])
+    return out.select("market", "slot", ((F.col("slot") + 1) * interval).alias("t_end"), "s.*", F.when(F.col("s.valid"), F.col("id")).alias("last_id"))
+
+
+def hour_samples(replayed: DataFrame, interval: int, hour: int) -> DataFrame:
+    """(market, hour, slot, t_end, n, epoch, valid, state, last_id): every slot of every archive hour that there is. An hour
+    begins with the book of the hour right before (CARRIED if it is valid), after a missing hour with none; an
+    event belongs to the slot that ends with its time or after, one at the hour's very start to the first."""
+    start, per_hour = F.col("hour") * hour, hour // interval
+    own = F.greatest(F.lit(0), F.floor((F.col("t") - start - 1) / interval)).cast("long")
+    last = _at_ends(replayed.withColumn("slot", own), ["market", "hour", "slot"])
+    over = Window.partitionBy("market").orderBy("hour")
+    ends = _at_ends(replayed, ["market", "hour"])
+    follows = F.lag("hour").over(over) == F.col("hour") - 1
+    begins = ends.select("market", "hour", F.when(follows, F.lag("s").over(over)).alias("b"), F.when(follows, F.lag("id").over(over)).alias("b_id"))
+    carried = F.struct(F.col("b.n").alias("n"), F.col("b.epoch").alias("epoch"), F.coalesce("b.valid", F.lit(False)).alias("valid"), F.when(F.col("b.valid"), "CARRIED").otherwise(F.coalesce("b.state", F.lit("UNINITIALIZED"))).alias("state"))
+    grid = begins.select("market", "hour", carried.alias("b"), "b_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per_hour - 1).cast("long"))).alias("slot"))
+    inside = Window.partitionBy("market", "hour").orderBy("slot")
+    out = grid.join(last, ["market", "hour", "slot"], "left").withColumns({"s": F.coalesce(F.last("s", ignorenulls=True).over(inside), "b"), "id": F.coalesce(F.last("id", ignorenulls=True).over(inside), "b_id")})
+    return out.select("market", "hour", "slot", (start + (F.col("slot") + 1) * interval).alias("t_end"), "s.*", F.when(F.col("s.valid"), F.col("id")).alias("last_id"))
+
+
+def alive(sampled: DataFrame, levels: DataFrame, slot: Callable[[str], Column], size: int) -> DataFrame:
+    """Levels with the slots a to b that they live through, in every ``block`` of ``size`` slots between the first and
+    last valid sample of their epoch; a level that changes within its slot is in none."""
+    reach = sampled.where("valid").groupBy("market", "epoch").agg(F.max("slot").alias("last_slot"), F.min("slot").alias("first_slot"))
+    spans = levels.withColumns({"a": slot("from_t"), "b": slot("to_t") - 1}).where("b IS NULL OR b >= a")
+    spans = spans.join(reach, ["market", "epoch"]).withColumns({"a": F.greatest("a", "first_slot"), "b": F.least(F.coalesce("b", "last_slot"), "last_slot")}).where("b >= a")
+    return spans.select("market", "epoch", "side", "price", "qty", "a", "b", F.explode(F.expr(f"sequence(a div {size}, b div {size})")).alias("block"))
 
 
 def meeting(sampled: DataFrame, levels: DataFrame, slot: Callable[[str], Column]) -> DataFrame:
-    """Valid samples with the levels alive at them; ``slot`` gives the slot of a time column. A level is dealt
-    out once for each block of slots that it lives through, and not at all if it changes within its slot."""
+    """Valid samples with the levels alive at them; ``slot`` gives the slot of a time column."""
     s = sampled.where("valid").withColumn("block", F.expr(f"slot div {BLOCK}"))
-    reach = s.groupBy("market", "epoch").agg(F.max("slot").alias("last_slot"), F.min("slot").alias("first_slot"))
-    spans = levels.withColumns({"a": slot("from_t"), "b": slot("to_t") - 1}).where("b IS NULL OR b >= a")
-    alive = spans.join(reach, ["market", "epoch"]).withColumns({"a": F.greatest("a", "first_slot"), "b": F.least(F.coalesce("b", "last_slot"), "last_slot")}).where("b >= a")
-    alive = alive.select("market", "epoch", "side", "price", "qty", "a", "b", F.explode(F.expr(f"sequence(a div {BLOCK}, b div {BLOCK})")).alias("block"))
-    return s.join(alive, ["market", "epoch", "block"]).where("slot BETWEEN a AND b").drop("block", "a", "b")
+    return s.join(alive(sampled, levels, slot, BLOCK), ["market", "epoch", "block"]).where("slot BETWEEN a AND b").drop("block", "a", "b")
+
+
+def swept(sampled: DataFrame, levels: DataFrame, slot: Callable[[str], Column], bands: DataFrame | None = None) -> DataFrame:
+    """(market, slot, best_bid, best_ask, bid_levels, ask_levels, bands) of every valid sample, from books that are
+    kept over blocks of SWEPT slots. Prices and quantities have at most 8 decimals."""
+    shares = [(r["band"], r["lower"], r["upper"]) for r in _shares(bands).select("band", units("lower").alias("lower"), units("upper").alias("upper")).toLocalIterator()] if bands is not None else []
+    own = ["market", "epoch", "block"]
+    move = lambda at, what, qty: F.struct(at.alias("slot"), F.lit(what).alias("what"), qty.alias("qty"))
+    begins, ends = move(F.greatest("a", F.col("block") * SWEPT), 1, units("qty")), move(F.col("b") + 1, 0, F.lit(0).cast("long"))
+    last = (F.col("b") + 1) < (F.col("block") + 1) * SWEPT  # else the block ends first
+    moves = alive(sampled, levels, slot, SWEPT).where("price IS NOT NULL").select(*own, (F.col("side") == "bid").alias("is_bid"), units("price").alias("price"), F.explode(F.when(last, F.array(begins, ends)).otherwise(F.array(begins))).alias("m"))
+    moves = moves.select(*own, "m.slot", "m.what", "is_bid", "price", "m.qty")
+    none = F.lit(None).cast("long")
+    asked = sampled.where("valid").select("market", "epoch", F.expr(f"slot div {SWEPT}").alias("block"), "slot", F.lit(2).alias("what"), F.lit(None).cast("boolean").alias("is_bid"), none.alias("price"), none.alias("qty"))
+    kind = levels.schema["price"].dataType.simpleString()
+    return sampled_books(moves.union(asked), shares).withColumns({x: from_units(x, kind) for x in ("best_bid", "best_ask")})
 
 
 def quantity_at(met: DataFrame, prices: DataFrame) -> DataFrame:
@@ -89,9 +141,7 @@ def structure(bid: str = "best_bid", ask: str = "best_ask"):
 
 def best_prices(sampled: DataFrame, levels: DataFrame, slot: Callable[[str], Column]) -> DataFrame:
     """Every sample with its best prices, level counts, structure, quality and reason."""
-    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    tops = meeting(sampled, levels, slot).groupBy("market", "slot").agg(F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"))
-    return judged(sampled.join(tops, ["market", "slot"], "left"))
+    return judged(sampled.join(swept(sampled, levels, slot).drop("bands"), ["market", "slot"], "left"))
 
 
 def judged(topped: DataFrame) -> DataFrame:
@@ -102,40 +152,43 @@ def judged(topped: DataFrame) -> DataFrame:
     return out.withColumns({"bid_levels": F.coalesce("bid_levels", F.lit(0)), "ask_levels": F.coalesce("ask_levels", F.lit(0)), "quality": F.when(F.col("structure") == "NORMAL", "VALID").otherwise("INVALID"), "reason": reason})
 
 
-def intervals(bands: DataFrame, best: DataFrame) -> DataFrame:
-    """best (best_bid, best_ask) with every band's (band, lower, upper) price bounds, exact: bids in
-    [best (1 - upper), best (1 - lower)], asks in [best (1 + lower), best (1 + upper)], both ends included."""
-    if (n := bands.count()) > MOST_BANDS:
-        raise ValueError(f"{n} bands, at most {MOST_BANDS} are taken")
+def _shares(bands: DataFrame) -> DataFrame:
     share = bands.select("band", F.col("lower").cast(FRACTION).alias("lower"), F.col("upper").cast(FRACTION).alias("upper"))
     if share.where("NOT coalesce(0 <= lower AND lower <= upper AND upper < 1, false)").count():
         raise ValueError("a band needs 0 <= lower <= upper < 1")
+    return share
+
+
+def intervals(bands: DataFrame, best: DataFrame) -> DataFrame:
+    """best (best_bid, best_ask) with every band's (band, lower, upper) price bounds, exact: bids in
+    [best (1 - upper), best (1 - lower)], asks in [best (1 + lower), best (1 + upper)], both ends included."""
+    share = _shares(bands)
+    if bands.count() <= MOST_BANDS:
+        share = F.broadcast(share)
     one, bid, ask = F.lit(1).cast(FRACTION), F.col("best_bid").cast(MONEY), F.col("best_ask").cast(MONEY)
     bounds = {"bid_low": bid * (one - F.col("upper")).cast(FRACTION), "bid_high": bid * (one - F.col("lower")).cast(FRACTION), "ask_low": ask * (one + F.col("lower")).cast(FRACTION), "ask_high": ask * (one + F.col("upper")).cast(FRACTION)}
-    return best.crossJoin(F.broadcast(share)).withColumns(bounds).drop("lower", "upper")
+    return best.crossJoin(share).withColumns(bounds).drop("lower", "upper")
+
+
+def _liquid(tops: DataFrame) -> DataFrame:
+    """One row a band of ``tops``, with the total and the imbalance, which is null where there is nothing."""
+    total = (F.col("bid") + F.col("ask")).cast("decimal(38,16)")
+    return tops.withColumns({"total": total, "imbalance": F.try_divide((F.col("bid") - F.col("ask")).cast("double"), total.cast("double"))})
 
 
 def depth(sampled: DataFrame, levels: DataFrame, bands: DataFrame, slot: Callable[[str], Column]) -> DataFrame:
     """Liquidity of each valid sample with a NORMAL book in each band: the exact notional of the levels within
-    its bounds, per side, their numbers, the total and the imbalance, which is null where there is none.
-    Samples meet levels once; the best prices come from a window over a sample's own levels."""
-    own = Window.partitionBy("market", "slot")
-    met = meeting(sampled, levels, slot).withColumns({"best_bid": F.max(F.when(F.col("side") == "bid", F.col("price"))).over(own), "best_ask": F.min(F.when(F.col("side") == "ask", F.col("price"))).over(own)})
-    met = intervals(bands, met.where("best_bid < best_ask"))
-    bid = (F.col("side") == "bid") & F.col("price").cast(MONEY).between(F.col("bid_low"), F.col("bid_high"))
-    ask = (F.col("side") == "ask") & F.col("price").cast(MONEY).between(F.col("ask_low"), F.col("ask_high"))
-    notional, none = F.col("price").cast(MONEY) * F.col("qty").cast(MONEY), F.lit(0).cast("decimal(38,16)")
-    sums = met.groupBy("market", "slot", "band").agg(F.coalesce(F.sum(F.when(bid, notional)).cast("decimal(38,16)"), none).alias("bid"), F.coalesce(F.sum(F.when(ask, notional)).cast("decimal(38,16)"), none).alias("ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"))
-    total = (F.col("bid") + F.col("ask")).cast("decimal(38,16)")
-    return sums.withColumns({"total": total, "imbalance": F.try_divide((F.col("bid") - F.col("ask")).cast("double"), total.cast("double"))})
+    its bounds (see ``intervals``), per side, their numbers, the total and the imbalance."""
+    return _liquid(swept(sampled, levels, slot, bands).select("market", "slot", F.inline("bands")))
 
 
 def liquidity_hours(sampled: DataFrame, levels: DataFrame, bands: DataFrame, slot: Callable[[str], Column]) -> DataFrame:
     """Every sample in every band: values and source_count 1 where the book is NORMAL, else a reason."""
-    deep = depth(sampled, levels, bands, slot)
-    tops = best_prices(sampled, levels, slot).select("market", "slot", "quality", "reason")
-    every = tops.crossJoin(F.broadcast(bands.select("band"))).join(deep, ["market", "slot", "band"], "left")
-    return every.withColumn("source_count", F.when(F.col("quality") == "VALID", 1).otherwise(0))
+    names = F.array(*[F.lit(r["band"]) for r in bands.select("band").toLocalIterator()])
+    none = F.transform(names, lambda b: F.struct(b.alias("band"), *[F.lit(None).cast(t).alias(x) for x, t in (("bid", "decimal(38,16)"), ("ask", "decimal(38,16)"), ("bid_levels", "long"), ("ask_levels", "long"))]))
+    tops = judged(sampled.join(swept(sampled, levels, slot, bands), ["market", "slot"], "left"))
+    every = tops.select("market", "slot", "quality", "reason", F.inline(F.when(F.col("quality") == "VALID", F.col("bands")).otherwise(none)))
+    return _liquid(every).withColumn("source_count", F.when(F.col("quality") == "VALID", 1).otherwise(0))
 
 
 def sample_counts(topped: DataFrame, per_hour: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Venue sequence contracts as rows of a small table, and event rules that depend on them.
 
-A contract row has venue, needs_transaction_time, frontier ('final' or 'last'), predecessor
-('prev_final', 'final_minus_one' or 'last') and reset_sentinel; users add venues by adding rows.
+A contract row has venue, needs_transaction_time, snapshot_takes_event_time (a snapshot without transaction
+time takes its event time), frontier ('final' or 'last'), predecessor ('prev_final', 'final_minus_one' or
+'last') and reset_sentinel; users add venues by adding rows.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "venue string, needs_transaction_time boolean, frontier string, predecessor string, reset_sentinel long"
-DEFAULT = [("binance", True, "final", "prev_final", None), ("bybit", False, "final", "final_minus_one", None), ("okx", False, "final", "last", -1)]
+SCHEMA = "venue string, needs_transaction_time boolean, snapshot_takes_event_time boolean, frontier string, predecessor string, reset_sentinel long"
+DEFAULT = [("binance", True, True, "final", "prev_final", None), ("bybit", False, False, "final", "final_minus_one", None), ("okx", False, False, "final", "last", -1)]
 
 
 def contracts(spark: SparkSession, rows=DEFAULT) -> DataFrame:
@@ -21,17 +22,18 @@ def under_contract(events: DataFrame, rules: DataFrame) -> DataFrame:
     """events (venue, kind, event_time, transaction_time, final_id, prev_final_id, last_id) with the
     projected ``frontier_id`` and ``predecessor_id`` and a ``contract_error``.
 
-    A snapshot without transaction time takes its event time; the venue's reset sentinel in a snapshot
-    stands for the final id; other negative ids are errors.
+    Where the venue says so, a snapshot without transaction time takes its event time; the venue's reset
+    sentinel in a snapshot stands for the final id; other negative ids are errors.
     """
     e = events.join(rules, "venue", "left")
     sentinel = (F.col("kind") == "snapshot") & (F.col("last_id") == F.col("reset_sentinel"))
-    e = e.withColumns({"transaction_time": F.when(F.col("transaction_time").isNull() & (F.col("kind") == "snapshot"), F.col("event_time")).otherwise(F.col("transaction_time")), "sentinel": F.coalesce(sentinel, F.lit(False)), "last_id": F.when(sentinel, F.col("final_id")).otherwise(F.col("last_id"))})
+    falls_back = F.col("snapshot_takes_event_time") & F.col("transaction_time").isNull() & (F.col("kind") == "snapshot")
+    e = e.withColumns({"transaction_time": F.when(falls_back, F.col("event_time")).otherwise(F.col("transaction_time")), "sentinel": F.coalesce(sentinel, F.lit(False)), "last_id": F.when(sentinel, F.col("final_id")).otherwise(F.col("last_id"))})
     frontier = F.when(F.col("frontier") == "final", F.col("final_id")).otherwise(F.col("last_id"))
     predecessor = F.when(F.col("kind") == "snapshot", None).when(F.col("predecessor") == "prev_final", F.col("prev_final_id")).when(F.col("predecessor") == "final_minus_one", F.col("final_id") - 1).otherwise(F.col("last_id"))
     e = e.withColumns({"frontier_id": frontier, "predecessor_id": predecessor})
     error = F.when(F.col("frontier").isNull(), "unknown_venue").when(F.col("needs_transaction_time") & F.col("transaction_time").isNull(), "no_transaction_time").when(F.col("last_id") < 0, "negative_id").when(F.col("frontier_id").isNull(), "no_frontier").when((F.col("kind") == "update") & F.col("predecessor_id").isNull(), "no_predecessor")
-    return e.withColumn("contract_error", error).drop("needs_transaction_time", "frontier", "predecessor", "reset_sentinel")
+    return e.withColumn("contract_error", error).drop("needs_transaction_time", "snapshot_takes_event_time", "frontier", "predecessor", "reset_sentinel")
 
 
 def mixed_sentinels(rows: DataFrame, event: list[str], flag: str = "sentinel") -> DataFrame:

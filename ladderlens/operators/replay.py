@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderlens.operators.events import ARCHIVE, in_archive, with_previous
+from ladderlens.operators.ladder import structure_counts
 
 OUTCOMES = ("SNAPSHOT_APPLIED", "UPDATE_APPLIED", "SKIPPED_UNINITIALIZED", "DUPLICATE_SKIPPED", "INVALIDATED")
 STATES = ("UNINITIALIZED", "SNAPSHOT", "CARRIED", "INVALIDATED")
@@ -86,6 +87,14 @@ def replay_report(replayed: DataFrame) -> DataFrame:
     return replayed.groupBy(*ARCHIVE).agg(F.count("*").alias("n_events"), *counts, F.count_if((F.col("outcome") == OUTCOMES[0]) & ~F.col("was_valid")).alias("recoveries"), F.max_by("valid", "n").alias("finally_valid"), F.max_by("state", "n").alias("final_state"), F.max_by("final_id", "n").alias("last_id"))
 
 
+def archive_report(replayed: DataFrame, changes: DataFrame) -> DataFrame:
+    """``replay_report`` with what each hour's applied changes (market, hour, n, epoch, side, price, qty) did: changes to
+    zero, levels removed, and after how many applied events the book had which structure."""
+    did = structure_counts(changes)
+    counts = [c for c in did.columns if c not in ARCHIVE]
+    return replay_report(replayed).join(did, list(ARCHIVE), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+
 def chain_report(report: DataFrame) -> DataFrame:
     """Totals over each run of adjacent hours of a market."""
     over = Window.partitionBy("market").orderBy("hour")

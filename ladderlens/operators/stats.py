@@ -7,22 +7,54 @@ from pyspark.sql import functions as F
 
 MAD_TO_SIGMA, MEAN_AD_TO_SIGMA = 0.6744897501960817, 1.2533141373155003
 HALF_POINT, LEAST_BARS = 3.5, 20
+#: Buckets that the values of a key are dealt out to.
+BUCKETS = 64
+
+
+def _bucketed(values: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values (keys, value, ties) with their bucket, and per bucket how many values it holds, how many are in lower
+    ones (``before``) and how many the key has (``total``). Buckets lie between approximate quantiles of a key's
+    distinct values, so none holds much more than its share; nothing but bucket rows meets by key alone."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    splits = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 100 * BUCKETS).alias("splits"))
+    dealt = counts.join(splits, keys).withColumn("bucket", F.size(F.filter("splits", lambda s: s <= F.col(value)))).drop("splits")
+    w = Window.partitionBy(*keys)
+    held = dealt.groupBy(*keys, "bucket").agg(F.sum("ties").alias("held"))
+    before = F.coalesce(F.sum("held").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt, held.withColumns({"before": before, "total": F.sum("held").over(w)})
+
+
+def _below(keys: list[str], value: str):
+    """How many values of the key are smaller, for rows with ``before`` and ``ties`` of the buckets."""
+    w = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return F.col("before") + F.coalesce(F.sum("ties").over(w), F.lit(0))
+
+
+def medians(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median, n): the exact median by selection. Bucket counts tell which bucket holds it (of an even number
+    of values, which hold the middle two), and only those buckets' values are put in order."""
+    dealt, held = _bucketed(values, keys, value)
+    low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
+    there = lambda rank, at, n: (F.col(at) <= rank) & (rank < F.col(at) + F.col(n))
+    middle = held.where(there(low, "before", "held") | there(high, "before", "held"))
+    ranked = dealt.join(middle, [*keys, "bucket"]).withColumn("below", _below(keys, value))
+    halves = [0.5 * F.max(F.when(there(rank, "below", "ties"), F.col(value).cast("double"))) for rank in (low, high)]
+    return ranked.groupBy(*keys).agg((halves[0] + halves[1]).alias("median"), F.first("total").alias("n"))
 
 
 def robust_scale(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key: exact median, and its scale: MAD, else the mean absolute deviation, else ZERO."""
-    medians = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias("median"), F.count("*").alias("n"))
-    away = values.where(F.col(value).isNotNull()).join(medians, keys).withColumn("d", F.abs(F.col(value) - F.col("median")))
-    scales = away.groupBy(*keys, "median", "n").agg(F.median("d").alias("mad"), F.avg("d").alias("mean_ad"))
+    away = values.join(medians(values, keys, value), keys).select(*keys, "median", "n", F.abs(F.col(value) - F.col("median")).alias("d")).where("d IS NOT NULL")
+    mean = away.groupBy(*keys, "median", "n").agg(F.avg("d").alias("mean_ad"))
+    scales = mean.join(medians(away, keys, "d").select(*keys, F.col("median").alias("mad")), keys).select(*keys, "median", "n", "mad", "mean_ad")
     return scales.withColumn("scale_kind", F.when(F.col("mad") > 0, "MAD").when(F.col("mean_ad") > 0, "MEAN_AD").otherwise("ZERO"))
 
 
 def tail_fractions(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per distinct value: the share of the other values above and below it, ties counting half."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
-    below = F.coalesce(F.sum("ties").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("ties").over(Window.partitionBy(*keys))
-    ranked = counts.withColumns({"below": below, "total": total})
+    """Per distinct value: the share of the other values above and below it, ties counting half; values are counted
+    within buckets, and over buckets."""
+    dealt, held = _bucketed(values, keys, value)
+    ranked = dealt.join(held, [*keys, "bucket"]).withColumn("below", _below(keys, value))
     others = F.col("total") - 1
     half = (F.col("ties") - 1) / 2
     return ranked.select(*keys, value, F.try_divide(F.col("below") + half, others).alias("lower_tail"), F.try_divide(F.col("total") - F.col("below") - F.col("ties") + half, others).alias("upper_tail"))

@@ -237,7 +237,7 @@ QUERIES = {
         lambda s, d: A.outages(A.whole_seconds(_summed(s, d)).select("ts", F.lit("l2").alias("channel")), s.range(1).select(F.lit("l2").alias("channel")), START, END, 3600, STEP),
         f"WITH {SUMMED}, u AS (SELECT ts FROM ms WHERE quality = 'VALID' AND ts >= {START} AND ts < {END}), g AS (SELECT ts + {STEP} AS gap_start, coalesce(lead(ts) OVER (ORDER BY ts), {END}) AS gap_end FROM u UNION ALL SELECT {START}, coalesce(min(ts), {END}) FROM u) {OUT.format(chr(39) + 'l2' + chr(39) + ' AS channel, ', '')}",
     ),
-    "a24_load_counters": (lambda s, d: A.load_counters(_summed(s, d), _clicks(s, d), F.col("trades") > 7), f"WITH {SUMMED}, {CANDLES} SELECT count(*) FILTER (quality <> 'INVALID') AS usable, count(*) FILTER (quality = 'INVALID') AS unusable, count(*) FILTER (quality = 'DEGRADED') AS partial, count(slot) AS priced, CASE WHEN coalesce(bool_or(trades > 7), false) THEN 'corrupt' WHEN count(slot) > 0 THEN 'loaded' ELSE 'missing' END AS price_status FROM ms LEFT JOIN (SELECT slot, trades FROM candles WHERE symbol = 'click') c ON c.slot * 3600 = ts"),
+    "a24_load_counters": (lambda s, d: A.load_counters(_summed(s, d), _clicks(s, d), F.col("trades") > 7, F.col("trades") == 6), f"WITH {SUMMED}, {CANDLES} SELECT count(*) FILTER (quality <> 'INVALID') AS usable, count(*) FILTER (quality = 'INVALID') AS unusable, count(*) FILTER (quality = 'DEGRADED') AS partial, count(slot) FILTER (trades <> 6) AS priced, count(slot) FILTER (trades = 6) AS failed, CASE WHEN coalesce(bool_or(trades > 7), false) THEN 'corrupt' WHEN coalesce(bool_or(trades = 6), false) THEN 'failed' WHEN count(slot) > 0 THEN 'loaded' ELSE 'missing' END AS price_status FROM ms LEFT JOIN (SELECT slot, trades FROM candles WHERE symbol = 'click') c ON c.slot * 3600 = ts"),
     "a25_optional_price": (lambda s, d: doubled(_summed(s, d).join(_clicks(s, d).select("ts", "close"), "ts", "left")).select("ts", "quality", "source_count", "close"), f"WITH {SUMMED}, {CANDLES} SELECT ts, quality, source_count, CAST(close AS DOUBLE) AS close FROM ms LEFT JOIN (SELECT slot, close FROM candles WHERE symbol = 'click') c ON c.slot * 3600 = ts"),
     "a26_price_trust": (lambda s, d: doubled(A.trusted_prices(_candles(s, d).withColumn("ts", F.col("slot")), ["symbol"], F.expr("trades > 2 AND slot % 5 = 0"))).select("symbol", "slot", "close"), f"WITH {CANDLES} SELECT symbol, slot, CAST(close AS DOUBLE) AS close FROM candles LEFT JOIN (SELECT symbol, min(slot) AS bad FROM candles WHERE trades > 2 AND slot % 5 = 0 GROUP BY symbol) b USING (symbol) WHERE bad IS NULL OR slot < bad"),
     "a26_price_regions": (

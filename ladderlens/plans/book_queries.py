@@ -6,26 +6,26 @@ from pyspark.sql import functions as F
 
 from ladderlens.operators import book as B
 from ladderlens.operators import replay as R
-from ladderlens.plans.event_queries import REPLAY, replay_sql, replayed
+from ladderlens.plans.event_queries import LIVES, REPLAY, RICH, replay_sql, replayed, rich
 from ladderlens.plans.staging import kept
 from ladderlens.sources import stand_in as S
 
-SLOT, PER_HOUR = 7 * 86400, 4
+SLOT, PER_HOUR, DAY = 7 * 86400, 4, 86400
 BANDS = [(0, "0", "0.25"), (1, "0.25", "0.75"), (2, "0", "0.15"), (3, "0.05", "0.1")]
 SIDE_PRICES = [("bid", 2000), ("ask", 2150)]
 
-LIVE = REPLAY + ", vc AS (SELECT c.*, r.epoch FROM changes c JOIN replayed r USING (market, n) WHERE r.valid), lives AS (SELECT * FROM (SELECT market, epoch, side, price, qty, n AS from_n, lead(n) OVER w AS to_n, t AS from_t, lead(t) OVER w AS to_t FROM vc WINDOW w AS (PARTITION BY market, epoch, side, price ORDER BY n)) WHERE qty > 0)"
-SAMPLED = (
-    LIVE
-    + f""", ls AS (SELECT market, (t - 1) // {SLOT} AS slot, max(n) AS n FROM replayed GROUP BY ALL),
+LIVE = REPLAY + ", vc AS (SELECT c.*, r.epoch FROM changes c JOIN replayed r USING (market, n) WHERE r.valid), " + LIVES
+SAMPLES = (
+    f""", ls AS (SELECT market, (t - 1) // {SLOT} AS slot, max(n) AS n FROM replayed GROUP BY ALL),
  grid AS (SELECT market, unnest(generate_series(a, b)) AS slot FROM (SELECT market, min(slot) AS a, max(slot) AS b FROM ls GROUP BY market)),
- sampled AS (SELECT g.market, g.slot, (g.slot + 1) * {SLOT} AS t_end, r.n, r.epoch, r.valid, r.state FROM grid g ASOF JOIN ls USING (market, slot) JOIN replayed r ON r.market = ls.market AND r.n = ls.n),
+ sampled AS (SELECT g.market, g.slot, (g.slot + 1) * {SLOT} AS t_end, r.n, r.epoch, r.valid, r.state, CASE WHEN r.valid THEN r.known_id END AS last_id FROM grid g ASOF JOIN ls USING (market, slot) JOIN (SELECT *, last_value(final_id IGNORE NULLS) OVER (PARTITION BY market ORDER BY n) AS known_id FROM replayed) r ON r.market = ls.market AND r.n = ls.n),
  meet AS (SELECT s.market, s.slot, l.side, l.price, l.qty FROM sampled s JOIN lives l ON s.market = l.market AND s.epoch = l.epoch AND s.n >= l.from_n AND (l.to_n IS NULL OR s.n < l.to_n) WHERE s.valid),
  tops AS (SELECT market, slot, max(price) FILTER (side = 'bid') AS best_bid, min(price) FILTER (side = 'ask') AS best_ask, count(*) FILTER (side = 'bid') AS bid_levels, count(*) FILTER (side = 'ask') AS ask_levels FROM meet GROUP BY ALL),
  st AS (SELECT s.*, best_bid, best_ask, coalesce(bid_levels, 0) AS bid_levels, coalesce(ask_levels, 0) AS ask_levels, CASE WHEN s.valid THEN CASE WHEN best_bid IS NULL AND best_ask IS NULL THEN 'EMPTY_BOTH'
  WHEN best_bid IS NULL THEN 'EMPTY_BID' WHEN best_ask IS NULL THEN 'EMPTY_ASK' WHEN best_bid < best_ask THEN 'NORMAL' WHEN best_bid = best_ask THEN 'LOCKED' ELSE 'CROSSED' END END AS structure FROM sampled s LEFT JOIN tops USING (market, slot)),
  topped AS (SELECT *, CASE WHEN structure = 'NORMAL' THEN 'VALID' ELSE 'INVALID' END AS quality, CASE WHEN NOT valid AND state = 'INVALIDATED' THEN 'replay_invalidated' WHEN NOT valid THEN 'uninitialized' WHEN structure <> 'NORMAL' THEN lower(structure) END AS reason FROM st)"""
 )
+SAMPLED = LIVE + SAMPLES
 FRACTION = "CAST({0} AS DECIMAL(9,8))"
 MONEY = "CAST({0} AS DECIMAL(28,8))"
 DEPTH = SAMPLED + (
@@ -120,6 +120,13 @@ QUERIES = {
     "b5_quantity_at_price": (lambda s, d: B.quantity_at(met(s, d), s.createDataFrame(SIDE_PRICES, "side string, price long")), f"WITH {SAMPLED} SELECT market, slot, side, price, qty FROM meet WHERE (side, price) IN (('bid', 2000), ('ask', 2150))"),
     "b6_change_counters": (lambda s, d: B.change_counters(_live(s, d)[1]), f"WITH {LIVE} SELECT market, count(*) AS changes, count(*) FILTER (qty = 0) AS zero_changes, count(*) FILTER (qty = 0 AND before > 0) AS removed FROM (SELECT *, lag(qty) OVER (PARTITION BY market, epoch, side, price ORDER BY n) AS before FROM vc) GROUP BY market"),
     "b7_sampling": (lambda s, d: B.samples(replayed(s, d), SLOT), f"WITH {SAMPLED} SELECT * FROM sampled"),
+    "b7_hour_samples": (
+        lambda s, d: B.hour_samples(rich(s, d), DAY, S.HOUR),
+        f"""WITH {RICH}, r AS (SELECT *, last_value(final_id IGNORE NULLS) OVER (PARTITION BY market ORDER BY n) AS known_id, greatest(0, (t - hour * {S.HOUR} - 1) // {DAY}) AS slot FROM replayed), h AS (SELECT market, hour, max(n) AS last_n FROM r GROUP BY ALL),
+ grid AS (SELECT h.market, h.hour, CAST(s AS BIGINT) AS slot, p.last_n FROM h LEFT JOIN h p ON p.market = h.market AND p.hour = h.hour - 1, generate_series(0, {S.HOUR // DAY - 1}) x(s)),
+ held AS (SELECT g.market, g.hour, g.slot, max(r.n) AS own, any_value(last_n) AS before FROM grid g LEFT JOIN r ON r.market = g.market AND r.hour = g.hour AND r.slot <= g.slot GROUP BY ALL)
+ SELECT a.market, a.hour, a.slot, a.hour * {S.HOUR} + (a.slot + 1) * {DAY} AS t_end, r.n, r.epoch, coalesce(r.valid, false) AS valid, CASE WHEN own IS NULL AND r.valid THEN 'CARRIED' ELSE coalesce(r.state, 'UNINITIALIZED') END AS state, CASE WHEN r.valid THEN known_id END AS last_id FROM held a LEFT JOIN r ON r.market = a.market AND r.n = coalesce(own, before)""",
+    ),
     "b10_sample_counts": (lambda s, d: B.sample_counts(topped(s, d), PER_HOUR), f"WITH {SAMPLED} SELECT market, slot // {PER_HOUR} AS hour, count(*) AS slots, count(*) FILTER (quality = 'VALID') AS valid, 0::BIGINT + count(*) FILTER (quality = 'DEGRADED') AS degraded, count(*) FILTER (quality = 'INVALID') AS invalid, count(*) FILTER (quality = 'VALID') = {PER_HOUR} AS fully_valid FROM topped GROUP BY ALL"),
     "b11_depth_intervals": (lambda s, d: B.intervals(bands(s), topped(s, d).where("structure = 'NORMAL'").select("market", "slot", "best_bid", "best_ask")).select("market", "slot", "band", *[F.col(x).cast("string").alias(x) for x in BOUNDS]), f"WITH {DEPTH} SELECT market, slot, band, {', '.join(f'CAST({x} AS VARCHAR) AS {x}' for x in BOUNDS)} FROM bounds"),
     "b12_depth_liquidity": (lambda s, d: depth(s, d).select("market", "slot", "band", *[F.col(x).cast("long").alias(x) for x in ("bid", "ask", "total")], "bid_levels", "ask_levels", F.round("imbalance", 9).alias("imbalance")), f"WITH {DEPTH} SELECT market, slot, band, bid, ask, bid + ask AS total, bid_levels, ask_levels, CASE WHEN bid + ask <> 0 THEN round(CAST(bid - ask AS DOUBLE) / CAST(bid + ask AS DOUBLE), 9) END AS imbalance FROM dep"),

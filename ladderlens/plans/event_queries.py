@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ladderlens.operators import book as B
 from ladderlens.operators import events as E
 from ladderlens.operators import replay as R
+from ladderlens.operators.ladder import STRUCTURES
+from ladderlens.plans.staging import kept
 from ladderlens.sources import stand_in as S
 
 EVENT = ["market", "hour", "n"]
@@ -14,6 +17,7 @@ LAGGED = S.EVENTS + ", lagged AS (SELECT *, lag(kind) OVER w AS pk, lag(final_id
 RELATION = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN 'uncheckable' WHEN {0} < {1} THEN 'regression' WHEN {0} = {1} THEN 'equal' WHEN {0} = {1} + 1 THEN 'increment_by_one' ELSE 'forward_gap' END"
 CHECKED = "(kind = 'update' AND pk = 'update')"
 
+COUNTED = ", ".join(f"coalesce({x}, 0) AS {x}" for x in ("zero_changes", "removed", *[y.lower() for y in STRUCTURES], "bid_levels", "ask_levels"))
 
 
 def replay_sql(ev: str, marks: str, start: str = "(SELECT NULL::BIGINT AS market, NULL::BIGINT AS hour, NULL::BIGINT AS f0, NULL::BIGINT AS e0)", to: str = "replayed") -> str:
@@ -33,6 +37,13 @@ def replay_sql(ev: str, marks: str, start: str = "(SELECT NULL::BIGINT AS market
 
 REPLAY = S.CHANGES + ", marks AS (SELECT market, n, bool_or(side = 'bid' AND qty > 0) AND bool_or(side = 'ask' AND qty > 0) AS complete, CAST(n AS VARCHAR) AS signature FROM changes GROUP BY ALL)," + replay_sql("ev", "marks")
 RICH = f"{S.CHANGES}, {S.REPLAY_EVENTS},{replay_sql('rich', 'rich_marks')}"
+LIVES = "lives AS (SELECT * FROM (SELECT market, epoch, side, price, qty, n AS from_n, lead(n) OVER w AS to_n, t AS from_t, lead(t) OVER w AS to_t FROM vc WINDOW w AS (PARTITION BY market, epoch, side, price ORDER BY n)) WHERE qty > 0)"
+RICH_LIVE = f"""{RICH}, {S.RICH_CHANGES}, vc AS (SELECT c.*, r.epoch, r.kind FROM rich_changes c JOIN replayed r USING (market, n) WHERE r.outcome IN ('SNAPSHOT_APPLIED', 'UPDATE_APPLIED')), {LIVES}"""
+STRUCTURE = "CASE WHEN bb IS NULL AND ba IS NULL THEN 'EMPTY_BOTH' WHEN bb IS NULL THEN 'EMPTY_BID' WHEN ba IS NULL THEN 'EMPTY_ASK' WHEN bb < ba THEN 'NORMAL' WHEN bb = ba THEN 'LOCKED' ELSE 'CROSSED' END"
+DID = f""", tops0 AS (SELECT e.market, e.hour, e.n, max(price) FILTER (side = 'bid') AS bb, min(price) FILTER (side = 'ask') AS ba, count(*) FILTER (side = 'bid') AS bl, count(*) FILTER (side = 'ask') AS al
+ FROM (SELECT DISTINCT market, hour, n, epoch FROM vc) e LEFT JOIN lives l ON l.market = e.market AND l.epoch = e.epoch AND e.n >= l.from_n AND (l.to_n IS NULL OR e.n < l.to_n) GROUP BY ALL),
+ tops1 AS (SELECT *, {STRUCTURE} AS s FROM tops0), gone AS (SELECT market, hour, count(*) FILTER (qty = 0) AS zero_changes, count(*) FILTER (qty = 0 AND before > 0 AND kind = 'update') AS removed FROM (SELECT *, lag(qty) OVER (PARTITION BY market, epoch, side, price ORDER BY n) AS before FROM vc) GROUP BY ALL),
+ did AS (SELECT market, hour, {', '.join(f"count(*) FILTER (s = '{x}') AS {x.lower()}" for x in STRUCTURES)}, arg_max(bl, n) AS bid_levels, arg_max(al, n) AS ask_levels FROM tops1 GROUP BY ALL)"""
 REPORT = ", report AS (SELECT market, hour, count(*) AS n_events, count(*) FILTER (outcome = 'SNAPSHOT_APPLIED') AS snapshot_applied, count(*) FILTER (outcome = 'UPDATE_APPLIED') AS update_applied, count(*) FILTER (outcome = 'SKIPPED_UNINITIALIZED') AS skipped_uninitialized, count(*) FILTER (outcome = 'DUPLICATE_SKIPPED') AS duplicate_skipped, count(*) FILTER (outcome = 'INVALIDATED') AS invalidated, count(*) FILTER (outcome = 'SNAPSHOT_APPLIED' AND NOT was_valid) AS recoveries, arg_max(valid, n) AS finally_valid, arg_max(state, n) AS final_state, arg_max_null(final_id, n) AS last_id FROM replayed GROUP BY ALL)"
 
 
@@ -47,6 +58,13 @@ def rich(spark, d):
     return R.outcomes(events.drop("base", "other"), S.replay_marks(events, R.signatures(S.changes(spark, d))))
 
 
+def rich_report(spark, d):
+    changes = S.changes(spark, d)
+    events = S.replay_events(S.book_events(spark, d))
+    replayed = kept(R.outcomes(events.drop("base", "other"), S.replay_marks(events, R.signatures(changes))))
+    return R.archive_report(replayed, B.valid_changes(S.replay_changes(events, changes), replayed))
+
+
 def boundaries(spark, d):
     return E.hour_boundaries(S.book_events(spark, d))
 
@@ -75,7 +93,7 @@ QUERIES = {
     "e13_frontierless_snapshots": (lambda s, d: rich(s, d).where("kind = 'snapshot' AND final_id IS NULL").select("market", "hour", "n", "outcome", "state", "epoch", "issue"), f"WITH {RICH} SELECT market, hour, n, outcome, state, epoch, issue FROM replayed WHERE kind = 'snapshot' AND final_id IS NULL"),
     "e14_carried_books": (lambda s, d: rich(s, d).groupBy("market", "hour", "state").agg(F.count("*").alias("events"), F.min("n").alias("first_n")), f"WITH {RICH} SELECT market, hour, state, count(*) AS events, min(n) AS first_n FROM replayed GROUP BY ALL"),
     "e12_snapshot_completeness": (lambda s, d: R.signatures(S.changes(s, d)).join(S.book_events(s, d), ["market", "n"]).where("kind = 'snapshot'").groupBy("market", "complete").agg(F.count("*").alias("snapshots")), f"WITH {REPLAY} SELECT market, complete, count(*) AS snapshots FROM replayed WHERE kind = 'snapshot' GROUP BY ALL"),
-    "e15_replay_report": (lambda s, d: R.replay_report(rich(s, d)), f"WITH {RICH}{REPORT} SELECT * FROM report"),
+    "e15_replay_report": (rich_report, f"WITH {RICH_LIVE}{REPORT}{DID} SELECT report.*, {COUNTED} FROM report LEFT JOIN did USING (market, hour) LEFT JOIN gone USING (market, hour)"),
     "e16_chain_report": (
         lambda s, d: R.chain_report(R.replay_report(rich(s, d))),
         f"WITH {RICH}{REPORT}, c AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY market ORDER BY hour) AS chain FROM (SELECT *, coalesce(lag(hour) OVER (PARTITION BY market ORDER BY hour) <> hour - 1, true) AS new FROM report)) SELECT market, chain, min(hour) AS first_hour, count(*) AS hours, CAST(sum(n_events) AS BIGINT) AS n_events, CAST(sum(invalidated) AS BIGINT) AS invalidated, CAST(sum(recoveries) AS BIGINT) AS recoveries, arg_max(finally_valid, hour) AS finally_valid FROM c GROUP BY ALL",

@@ -59,7 +59,7 @@ QUERIES = {
     "s12_long_export": (lambda s, d: R.long_rows(_view(s, d).select("bar_start", *[F.col(c)["c"].alias(c) for c in SERIES]), SERIES), f"WITH {VIEW} " + " UNION ALL ".join(f"SELECT bar_start, '{c}' AS series, {c}_c AS value FROM vb" for c in SERIES)),
     "s13_archive_profile": (lambda s, d: R.profile(S.changes(s, d), ["market", "hour"]), f"WITH {S.CHANGES} SELECT market, hour, count(*) AS n_rows, count(DISTINCT n) AS events, count(DISTINCT CASE WHEN kind = 'snapshot' THEN n END) AS snapshots, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (qty = 0) AS removals, min(final_id) AS least_id, max(final_id) AS most_id, min(t) AS first_t, max(t) AS last_t FROM changes GROUP BY ALL"),
     "a5_auto_timeframe": (spans, f"WITH {S.TRADES}, r AS (SELECT symbol, min(trade_ms) // 1000 AS a, max(trade_ms) // 1000 AS b FROM trades GROUP BY symbol), f(seconds) AS (VALUES {', '.join(f'({x}::BIGINT)' for x in A.TIMEFRAMES.values() if x < 604800)}), x AS (SELECT symbol, a, b, min(seconds) AS bar FROM r, f WHERE ceil((b + 1 - a) / seconds) <= 1200 GROUP BY ALL) SELECT symbol, bar, a // bar * bar AS start, b // bar * bar + bar AS \"end\", (b // bar * bar + bar - a // bar * bar) // bar AS bars FROM x"),
-    "a29_preset_components": (lambda s, d: S.table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("markets")).select("o_custkey", F.posexplode("markets").alias("place", "market")).withColumn("component", scalar.identity(F.col("o_custkey"), F.col("market"))), "SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1 AS INTEGER) AS place, o_orderpriority AS market, sha256('=' || CAST(o_custkey AS VARCHAR) || chr(10) || '=' || o_orderpriority) AS component FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)"),
+    "a29_preset_components": (lambda s, d: S.table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("markets")).select("o_custkey", F.posexplode("markets").alias("place", "market")).withColumn("component", scalar.identity(F.col("o_custkey"), F.col("market"))), "SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1 AS INTEGER) AS place, o_orderpriority AS market, sha256(length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey || ',' || length(o_orderpriority) || ':' || o_orderpriority || ',') AS component FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)"),
     "o11_newest_release": (lambda s, d: S.trades(s, d).groupBy("symbol").agg(O.newest_release(F.expr("max(trade_ms) div 1000"), 900).alias("newest")), f"WITH {S.TRADES} SELECT symbol, (max(trade_ms) // 1000 - 900) // 3600 * 3600 - 3600 AS newest FROM trades GROUP BY symbol"),
     "o16_checkpoint_inventory": (inventory, f"WITH {STORED}, c AS (SELECT market, through_hour, count(*) AS n, bool_or(side = 'bid') AND bool_or(side = 'ask') AS two_sided, count(last_id) > 0 AS known FROM cp WHERE through_hour % 5 <> 0 GROUP BY ALL) SELECT market, through_hour, 'orphan' AS problem FROM stored ANTI JOIN hours USING (market, through_hour) UNION ALL SELECT market, through_hour, 'missing' FROM hours ANTI JOIN stored USING (market, through_hour) UNION ALL SELECT market, through_hour, 'invalid' FROM c WHERE NOT two_sided OR NOT known OR through_hour % 4 = 0 UNION ALL SELECT market, through_hour, 'oversized' FROM c WHERE n > 12"),
     "o18_stale_runs": (

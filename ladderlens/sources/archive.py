@@ -55,15 +55,18 @@ def write_archive(rows: DataFrame, root: str, kind: str, order: list[str]) -> No
 
 
 def layout(path: Column) -> Column:
-    """Venue, hour start (unix seconds), symbol and kind from a file's place."""
+    """Venue, hour start (unix seconds), symbol and kind from a file's place, in any session's zone; a path of another
+    form has no start."""
     part = lambda i: F.regexp_extract(path, LAYOUT, i)
-    start = F.unix_timestamp(F.concat_ws(" ", part(2), part(3)), "yyyy-MM-dd HH")
+    start = F.unix_date(part(2).try_cast("date")).cast("long") * 86400 + part(3).try_cast("long") * 3600
     return F.struct(part(1).alias("venue"), start.alias("start"), part(4).alias("symbol"), part(5).alias("kind"))
 
 
 def path_of(venue: Column, start: Column, symbol: Column, kind: Column) -> Column:
-    t = F.timestamp_seconds(start)
-    return F.concat(F.concat_ws("/", venue, F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "HH"), symbol), F.lit("_"), kind, F.lit(".parquet"))
+    """A file's place from its venue, UTC hour start (unix seconds), symbol and kind."""
+    day, hour = F.floor(start / 86400), F.floor(F.pmod(start, F.lit(86400)) / 3600)
+    date = F.date_from_unix_date(day.cast("int")).cast("string")
+    return F.concat(F.concat_ws("/", venue, date, F.lpad(hour.cast("string"), 2, "0"), symbol), F.lit("_"), kind, F.lit(".parquet"))
 
 
 def reconciled(rows: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:

@@ -97,6 +97,15 @@ def replay_marks(rich: DataFrame, marks: DataFrame) -> DataFrame:
     return of.select("market", "n", F.when(F.col("other"), F.concat("signature", F.lit("x"))).otherwise(F.col("signature")).alias("signature"), "complete")
 
 
+def replay_changes(rich: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes of ``replay_events``; a copy with other content has other quantities."""
+    of = rich.select("market", "hour", "n", "t", "base", "other").join(changes.select("market", F.col("n").alias("base"), "side", "price", "qty", "row_index"), ["market", "base"])
+    return of.withColumn("qty", F.col("qty") + F.when(F.col("other") & (F.col("qty") > 0), 1).otherwise(0)).drop("base", "other")
+
+
+RICH_CHANGES = "rich_changes AS (SELECT x.market, x.hour, x.n, x.t, c.side, c.price, c.qty + CASE WHEN x.other AND c.qty > 0 THEN 1 ELSE 0 END AS qty FROM rich x JOIN changes c ON c.market = x.market AND c.n = x.base)"
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, trade_id, ordinal, trade_ms, received_ns, price, qty); every 50th trade comes twice."""
     one = table(spark, sf_dir, "events").selectExpr(

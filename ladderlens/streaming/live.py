@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-LATE = "batch int, n_rows long, late long, newest double"
-
-
 def deduplicated(trades: DataFrame, key: list[str], clock: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Each trade once, as long as its copies come within the watermark's delay."""
     return trades.withWatermark(clock, delay).dropDuplicatesWithinWatermark(key)
@@ -30,35 +29,43 @@ def market_sums(seconds: DataFrame, length: str, expected: int, clock: str = "ts
     return sums.withColumn("quality", F.when(F.col("markets") >= expected, "VALID").when(F.col("markets") > 0, "DEGRADED").otherwise("INVALID"))
 
 
-def late_rows(stream: DataFrame, folder: str, clock: str = "ts", delay: int = 900) -> DataFrame:
-    """(batch, n_rows, late): rows per micro-batch, and those more than ``delay`` seconds behind the newest row of
-    the batches before, which a watermark of that delay lets drop. What came before is read from the batches
-    that were written, so a restart counts on."""
-    base = f"{folder}/late-{uuid.uuid4().hex}"
-    seconds = F.unix_micros(clock) / 1_000_000
+def dropped(progress: list) -> list[tuple[int, int, int]]:
+    """(batch, rows read, rows that stateful operators dropped as later than the watermark) of a query's progress."""
+    return [(p["batchId"], p["numInputRows"], sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])) for p in progress if p["numInputRows"]]
 
-    def count(batch: DataFrame, number: int) -> None:
-        spark, newest = batch.sparkSession, None
-        if number:
-            newest = spark.read.schema(LATE).parquet(f"{base}/out/*").where(F.col("batch") < number).agg(F.max("newest")).first()[0]
-        late = F.count_if(seconds < newest - delay) if newest is not None else F.lit(0).cast("long")
-        batch.agg(F.lit(number).alias("batch"), F.count("*").alias("n_rows"), late.alias("late"), F.max(seconds).alias("newest")).write.mode("overwrite").parquet(f"{base}/out/number={number}")
 
-    query = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(count).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(LATE).parquet(f"{base}/out/*")
+def late_rows(stream: DataFrame, folder: str, key: list[str], clock: str = "ts", delay: str = "15 minutes", feeds: Sequence[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+    """(batch, n_rows, late, kept) per micro-batch of a stream whose rows are kept once per key: rows read, rows that the
+    watermark dropped, as Spark counted them, and rows kept."""
+    spark, counts = stream.sparkSession, []
+    base = f"{folder}/late-{uuid.uuid4().hex}"
+    rows = deduplicated(stream, key, clock, delay).select(*key)
+    for query in _runs(rows, base, "append", feeds):
+        counts += dropped(query.recentProgress)
+    told = spark.createDataFrame(counts, "batch long, n_rows long, late long")
+    kept = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", IntegerType())])).parquet(f"{base}/out/*").groupBy("batch").agg(F.count("*").alias("kept"))
+    return told.join(kept, "batch", "left").select("batch", "n_rows", "late", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-def drained(stream: DataFrame, folder: str, keys: list[str], mode: str = "update") -> DataFrame:
-    """Run a stream over all that is available, keeping each batch's rows, and read the last state per key.
-    A batch that is retried writes the same folder again."""
-    base = f"{folder}/stream-{uuid.uuid4().hex}"
+def _runs(stream: DataFrame, base: str, mode: str, feeds: Sequence[Callable[[], None]]) -> Iterator[StreamingQuery]:
+    """Run a stream over all that is available after each feed, from where the run before ended, keeping each
+    batch's rows. A batch that is retried writes the same folder again."""
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/number={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
+    for feed in feeds:
+        feed()
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
+        yield query
+
+
+def drained(stream: DataFrame, folder: str, keys: list[str], mode: str = "update", feeds: Sequence[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+    """Run a stream over all that is available after each of ``feeds``, and read the last state per key."""
+    base = f"{folder}/stream-{uuid.uuid4().hex}"
+    for _ in _runs(stream, base, mode, feeds):
+        pass
     schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
     rows = stream.sparkSession.read.schema(schema).parquet(f"{base}/out/*")
     values = [c for c in stream.columns if c not in keys]
