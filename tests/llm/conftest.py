@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, other string, fp string"
 
@@ -34,4 +35,7 @@ def folder(spark, docs, odd, none, tmp_path_factory):
     base = tmp_path_factory.mktemp("tables")
     for name, df in (("docs", docs), ("odd", odd), ("none", none)):
         df.write.parquet(f"{base}/{name}/documents.parquet")
+        ids = df.where("doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+        ids.write.parquet(f"{base}/{name}/labels.parquet")
+        df.selectExpr("doc_id AS vec_id", "array(CAST(doc_id AS FLOAT), CAST(1 AS FLOAT)) AS embedding").write.parquet(f"{base}/{name}/embeddings.parquet")
     return base

@@ -11,6 +11,8 @@ from ladderlens.llm import registry
 
 
 ROWS = {name: 9 for name in registry.QUERIES} | {"op2_source_mixing": None, "op9_packing": None}
+#: These return no row per document; test_words_vectors has their values.
+OTHER = {"op11_filter_audit": 600 * 3, "op12_exact_topk": 0, "op13_spelling_variants": None}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -18,6 +20,9 @@ def test_odd_and_empty_tables(spark, folder, name):
     """Nulls, an empty and a long text, equal ids, repeated rows and clashing names: a row for each row."""
     assert registry.QUERIES[name](spark, f"{folder}/none").count() == 0
     rows = registry.QUERIES[name](spark, f"{folder}/odd").collect()
+    if name in OTHER:
+        assert OTHER[name] in (None, len(rows))
+        return
     ids = sorted((r["doc_id"] for r in rows), key=repr)
     every = [1, 2, 3, 4, 4, 5, 6, 7, None]
     if ROWS[name]:
