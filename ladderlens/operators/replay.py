@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderlens.operators.events import ARCHIVE, in_archive, with_previous
+from ladderlens.operators.events import ARCHIVE, in_archive
 from ladderlens.operators.ladder import structure_counts
 
 OUTCOMES = ("SNAPSHOT_APPLIED", "UPDATE_APPLIED", "SKIPPED_UNINITIALIZED", "DUPLICATE_SKIPPED", "INVALIDATED")
@@ -20,59 +20,76 @@ STATES = ("UNINITIALIZED", "SNAPSHOT", "CARRIED", "INVALIDATED")
 RESTORED = "market long, hour long, frontier long, restored_epoch long"
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """Per event a digest of its changes and whether both sides have a positive level."""
+def _marks() -> list:
     text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "side", F.col("price").cast("string"), F.col("qty").cast("string")))), ",")
     both = F.bool_or((F.col("side") == "bid") & (F.col("qty") > 0)) & F.bool_or((F.col("side") == "ask") & (F.col("qty") > 0))
-    return rows.groupBy("market", "n").agg(F.sha2(text, 256).alias("signature"), both.alias("complete"))
+    return [F.sha2(text, 256).alias("signature"), both.alias("complete")]
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """Per event a digest of its changes and whether both sides have a positive level."""
+    return rows.groupBy("market", "n").agg(*_marks())
+
+
+def marked_events(changes: DataFrame) -> DataFrame:
+    """The events (market, hour, n, t, kind, final_id, prev_id) of level changes with their signature and completeness, in
+    one pass; changes that lie together by market and hour stay so."""
+    return changes.groupBy(*ARCHIVE, "n", "t", "kind", "final_id", "prev_id").agg(*_marks())
 
 
-def _incoming(e: DataFrame, restored: DataFrame | None) -> DataFrame:
-    """Per archive hour what it takes over: whether a valid book, its epoch and the frontier."""
-    waiting = F.when(F.col("waits"), F.struct("prev_id", "final_id", "duplicate"))
-    hours = e.groupBy(*ARCHIVE).agg(F.max("segment").alias("segments"), F.max_by("held", "n").alias("held"), F.max("own_epoch").alias("own"), F.max_by("final_id", F.when(F.col("final_id").isNotNull(), F.col("n"))).alias("last_id"), F.max(waiting).alias("w"))
+def _over_hours(e: DataFrame, restored: DataFrame | None) -> DataFrame:
+    """One row per archive hour with what it takes over: whether a valid book (``carried``), its epoch and the frontier
+    (``f_in``), and whether its first update that waits for that frontier follows it (``head``)."""
+    waiting = F.when(F.col("waits"), F.struct("n", "prev_id", "final_id", "signature", "duplicate"))
+    event = F.struct("n", "kind", "final_id", "signature")
+    hours = e.groupBy(*ARCHIVE).agg(F.max("segment").alias("segments"), F.max_by("held", "n").alias("held"), F.max("own_epoch").alias("own"), F.max_by("final_id", F.when(F.col("final_id").isNotNull(), F.col("n"))).alias("last_id"), F.max(waiting).alias("w"), F.min("n").alias("first_n"), F.max(event).alias("end"))
     hours = hours.join(restored, list(ARCHIVE), "left") if restored is not None else hours.withColumns({"frontier": F.lit(None).cast("long"), "restored_epoch": F.lit(None).cast("long")})
     over = Window.partitionBy("market").orderBy("hour")
     follows = F.coalesce(F.lag("hour").over(over) == F.col("hour") - 1, F.lit(False)) & F.col("frontier").isNull()
-    hours = hours.withColumn("follows", follows).withColumn("chain", F.count_if(~F.col("follows")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    hours = hours.withColumns({"follows": follows, "b": F.when(follows, F.lag("end").over(over))}).withColumn("chain", F.count_if(~F.col("follows")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    # the hour's very first event may repeat the last one of the hour before
+    again = (F.col("w.n") == F.col("first_n")) & (F.col("b.kind") == "update") & (F.col("w.final_id") == F.col("b.final_id")) & (F.col("w.signature") == F.col("b.signature"))
+    hours = hours.withColumn("again", F.coalesce(again, F.lit(False)))
     chain = Window.partitionBy("market", "chain").orderBy("hour")
     until, before = chain.rowsBetween(Window.unboundedPreceding, 0), chain.rowsBetween(Window.unboundedPreceding, -1)
     hours = hours.withColumns({"run": F.count_if(F.col("segments") > 0).over(until), "base": F.first("frontier").over(until), "f_in": F.coalesce(F.last("last_id", ignorenulls=True).over(before), F.first("frontier").over(until)), "out_epoch": F.coalesce(F.last("own", ignorenulls=True).over(until), F.first("restored_epoch").over(until))})
-    head = F.when(F.col("w").isNotNull(), F.coalesce((F.col("w.prev_id") == F.col("f_in")) | (F.col("w.duplicate") & (F.col("w.final_id") == F.col("f_in"))), F.lit(False))).otherwise(True)
+    head = F.when(F.col("w").isNotNull(), F.coalesce((F.col("w.prev_id") == F.col("f_in")) | ((F.col("w.duplicate") | F.col("again")) & (F.col("w.final_id") == F.col("f_in"))), F.lit(False))).otherwise(True)
     hours = hours.withColumn("head", head)
     in_run = Window.partitionBy("market", "chain", "run").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     passes = F.when(F.col("segments") > 0, F.col("held")).otherwise(F.col("held") & F.col("head"))
     hours = hours.withColumn("passes", passes).withColumn("out_valid", F.min("passes").over(in_run) & ((F.col("run") > 0) | F.col("base").isNotNull()))
-    return hours.select(*ARCHIVE, "f_in", "head", F.coalesce(F.lag("out_valid").over(chain), F.col("frontier").isNotNull()).alias("carried"), F.coalesce(F.lag("out_epoch").over(chain), "restored_epoch").alias("carried_epoch"))
+    return hours.select(*ARCHIVE, "f_in", "head", "again", "first_n", F.coalesce(F.lag("out_valid").over(chain), F.col("frontier").isNotNull()).alias("carried"), F.coalesce(F.lag("out_epoch").over(chain), "restored_epoch").alias("carried_epoch"))
 
 
-def outcomes(events: DataFrame, marks: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+def outcomes(events: DataFrame, marks: DataFrame | None = None, restored: DataFrame | None = None) -> DataFrame:
     """events with ``outcome``, ``valid`` and ``was_valid``, ``epoch`` (the event number of the snapshot that the
     book rests on), ``state`` and the ``issue`` of an invalidated one.
 
-    ``marks`` has signature and complete by (market, n). ``restored`` has (market, hour, frontier,
-    restored_epoch) of hours that begin with the book of a checkpoint.
+    ``marks`` has signature and complete by (market, n); without it events have them (``marked_events``), and their rows
+    are dealt out once, by market and hour: all windows are over these, and what crosses hours comes from one
+    row an hour. ``restored`` has (market, hour, frontier, restored_epoch) of hours that begin with the book
+    of a checkpoint.
     """
     snapshot, update = F.col("kind") == "snapshot", F.col("kind") == "update"
-    e = with_previous(events.join(marks, ["market", "n"]), "kind", "final_id", "signature")
-    again = update & (F.col("previous_kind") == "update") & (F.col("final_id") == F.col("previous_final_id")) & (F.col("signature") == F.col("previous_signature"))
+    e = events.join(marks, ["market", "n"]) if marks is not None else events
+    at = in_archive("n")
+    again = update & (F.lag("kind").over(at) == "update") & (F.col("final_id") == F.lag("final_id").over(at)) & (F.col("signature") == F.lag("signature").over(at))
     e = e.withColumns({"duplicate": F.coalesce(again, F.lit(False)), "starts": snapshot & F.col("final_id").isNotNull()})
-    until = in_archive("n").rowsBetween(Window.unboundedPreceding, 0)
-    before = in_archive("n").rowsBetween(Window.unboundedPreceding, -1)
+    until, before = at.rowsBetween(Window.unboundedPreceding, 0), at.rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumns({"segment": F.count_if("starts").over(until), "place": F.count_if(snapshot & F.col("final_id").isNull()).over(until), "known": F.last("final_id", ignorenulls=True).over(before), "own_epoch": F.max(F.when(snapshot, F.col("n"))).over(until)})
     e = e.withColumn("waits", update & F.col("known").isNull() & F.col("final_id").isNotNull())
     follows = F.coalesce((F.col("prev_id") == F.col("known")) | (F.col("duplicate") & (F.col("final_id") == F.col("known"))), F.lit(False))
     holds = F.when(F.col("starts"), F.col("complete")).when(snapshot, F.col("complete") & (F.col("segment") == 0) & (F.col("place") == 1)).when(F.col("waits"), True).otherwise(follows & F.col("final_id").isNotNull())
     e = e.withColumns({"holds": F.coalesce(holds, F.lit(False)), "waited": F.max("waits").over(until)})
     e = e.withColumn("held", F.min("holds").over(Window.partitionBy(*ARCHIVE, "segment").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.join(_incoming(e, restored), list(ARCHIVE))
-    e = e.withColumn("valid", F.when(F.col("segment") > 0, F.col("held")).otherwise(F.col("carried") & F.col("held") & (~F.col("waited") | F.col("head"))))
-    at = in_archive("n")
-    e = e.withColumns({"was_valid": F.when(F.lag("n").over(at).isNull(), F.col("carried")).otherwise(F.lag("valid").over(at)), "rests_on": F.coalesce("own_epoch", "carried_epoch"), "known": F.coalesce("known", "f_in")})
+    e = e.join(_over_hours(e, restored), list(ARCHIVE))
+    e = e.withColumns({"valid": F.when(F.col("segment") > 0, F.col("held")).otherwise(F.col("carried") & F.col("held") & (~F.col("waited") | F.col("head"))), "duplicate": F.col("duplicate") | (F.col("again") & (F.col("n") == F.col("first_n")))})
+    e = e.withColumns({"was_valid": F.when(F.col("n") == F.col("first_n"), F.col("carried")).otherwise(F.lag("valid").over(at)), "rests_on": F.coalesce("own_epoch", "carried_epoch"), "known": F.coalesce("known", "f_in")})
     outcome = F.when(snapshot, F.when(F.col("valid"), OUTCOMES[0]).otherwise(OUTCOMES[4])).when(~F.col("was_valid"), OUTCOMES[2]).when(F.col("valid") & F.col("duplicate"), OUTCOMES[3]).when(F.col("valid"), OUTCOMES[1]).otherwise(OUTCOMES[4])
     state = F.when(F.col("valid"), F.when(F.col("segment") > 0, STATES[1]).otherwise(STATES[2])).when(F.col("rests_on").isNotNull(), STATES[3]).otherwise(STATES[0])
     issue = F.when(snapshot, F.when(F.col("complete"), "frontierless_snapshot").otherwise("incomplete_snapshot")).when(F.col("final_id") == F.col("known"), "conflicting_replayed_update").when(F.col("final_id") < F.col("known"), "update_frontier_regression").otherwise("update_continuity_mismatch")
-    return e.select(*events.columns, "complete", outcome.alias("outcome"), "valid", "was_valid", F.when(F.col("valid"), F.col("rests_on")).alias("epoch"), state.alias("state"), F.when(outcome == OUTCOMES[4], issue).alias("issue"))
+    kept = [c for c in events.columns if c not in ("signature", "complete")]
+    return e.select(*kept, "complete", outcome.alias("outcome"), "valid", "was_valid", F.when(F.col("valid"), F.col("rests_on")).alias("epoch"), state.alias("state"), F.when(outcome == OUTCOMES[4], issue).alias("issue"))
 
 
 def issues(replayed: DataFrame, keep: int = 100) -> DataFrame:

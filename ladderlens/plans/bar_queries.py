@@ -9,6 +9,7 @@ from ladderlens.operators import hours as H
 from ladderlens.operators import price as P
 from ladderlens.operators import stats as X
 from ladderlens.operators import views as V
+from ladderlens.plans.staging import kept
 from ladderlens.sources import stand_in as S
 
 STEP, DAY, START, END = 3600, 86400, 1704067200 + 5 * 3600, 1704067200 + 20 * 86400 + 7 * 3600
@@ -250,9 +251,9 @@ QUERIES = {
         lambda s, d: rounded(_metrics(s, d)),
         f"WITH {METRICS} SELECT bar_start, {', '.join(f'round({n}_{x}, 6) AS {m}_{x}' for n, m in (('delta', 'delta'), ('total', 'total'), ('share', 'bid_share')) for x in 'ohlc')}, {', '.join(f'round(2 * share_{x} - 100, 6) AS imbalance_{x}' for x in 'ohlc')}, {', '.join(f'round(100 - share_{y}, 6) AS ask_share_{x}' for x, y in zip('ohlc', 'olhc'))}, {', '.join(f'round({e}, 6) AS {n}' for n, e in METRIC_SQL.items())} FROM p",
     ),
-    "x2_robust_scale": (lambda s, d: rounded(X.robust_scale(_scan(s, d), ["market"], "share")), f"WITH {SCALE} SELECT market, round(median, 6) AS median, n, round(mad, 6) AS mad, round(mean_ad, 6) AS mean_ad, CASE WHEN mad > 0 THEN 'MAD' WHEN mean_ad > 0 THEN 'MEAN_AD' ELSE 'ZERO' END AS scale_kind FROM sc"),
-    "x3_tail_fractions": (lambda s, d: rounded(X.tail_fractions(_scan(s, d), ["market"], "share"), 9), f"WITH {SCAN}{TAILS} SELECT market, share, round(lower_tail, 9) AS lower_tail, round(upper_tail, 9) AS upper_tail FROM tl"),
-    "x6_extremeness": (lambda s, d: rounded(X.extremeness(_scan(s, d), ["market"], "share", "ts")), f"WITH {SCORE} SELECT market, ts, share, round(greatest(high, low), 6) AS score, CASE WHEN high = 0 AND low = 0 THEN NULL WHEN high > low THEN 'BID_DOMINANT' WHEN high < low THEN 'ASK_DOMINANT' ELSE 'BOTH' END AS dominance FROM hl"),
+    "x2_robust_scale": (lambda s, d: rounded(X.robust_scale(kept(_scan(s, d)), ["market"], "share")), f"WITH {SCALE} SELECT market, round(median, 6) AS median, n, round(mad, 6) AS mad, round(mean_ad, 6) AS mean_ad, CASE WHEN mad > 0 THEN 'MAD' WHEN mean_ad > 0 THEN 'MEAN_AD' ELSE 'ZERO' END AS scale_kind FROM sc"),
+    "x3_tail_fractions": (lambda s, d: rounded(X.tail_fractions(kept(_scan(s, d)), ["market"], "share"), 9), f"WITH {SCAN}{TAILS} SELECT market, share, round(lower_tail, 9) AS lower_tail, round(upper_tail, 9) AS upper_tail FROM tl"),
+    "x6_extremeness": (lambda s, d: rounded(X.extremeness(kept(_scan(s, d)), ["market"], "share", "ts")), f"WITH {SCORE} SELECT market, ts, share, round(greatest(high, low), 6) AS score, CASE WHEN high = 0 AND low = 0 THEN NULL WHEN high > low THEN 'BID_DOMINANT' WHEN high < low THEN 'ASK_DOMINANT' ELSE 'BOTH' END AS dominance FROM hl"),
     "x7_duration_summary": (
         lambda s, d: X.duration_summary(_durations(s, d), ["o_orderpriority", "o_orderstatus"], "seconds"),
         "WITH e AS (SELECT l_orderkey AS o_orderkey, max(l_shipdate) AS ended FROM lineitem GROUP BY 1), x AS (SELECT o_orderpriority, o_orderstatus, CAST(greatest(0, epoch(ended) - epoch(o_orderdate)) AS DOUBLE) AS s FROM orders JOIN e USING (o_orderkey)) SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(min(s), 6) AS least, round(max(s), 6) AS most, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95 FROM x GROUP BY ALL",

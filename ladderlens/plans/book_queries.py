@@ -48,7 +48,7 @@ BOUNDS = ("bid_low", "bid_high", "ask_low", "ask_high")
 
 def _live(spark, d):
     changes = kept(S.changes(spark, d))
-    r = kept(R.outcomes(changes.select("market", "hour", "n", "t", "kind", "final_id", "prev_id").distinct(), R.signatures(changes)))
+    r = kept(R.outcomes(R.marked_events(changes)))
     return r, B.valid_changes(changes, r)
 
 
@@ -101,8 +101,7 @@ def from_checkpoints(spark, d):
     stored = B.eligible(kept(B.checkpoints(r, B.lifetimes(changes), by_hour).where("through_hour % 3 = 0")))
     starts, levels = R.restored(r, stored)
     after = changes.where("hour % 3 <> 0").drop("epoch")
-    events = r.where("hour % 3 <> 0").select("market", "hour", "n", "t", "kind", "final_id", "prev_id")
-    again = R.outcomes(events, R.signatures(kept(S.changes(spark, d)).where("hour % 3 <> 0")), starts)
+    again = R.outcomes(R.marked_events(kept(S.changes(spark, d)).where("hour % 3 <> 0")), restored=starts)
     return again, B.valid_changes(after, again), levels
 
 

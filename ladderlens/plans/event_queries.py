@@ -48,8 +48,7 @@ REPORT = ", report AS (SELECT market, hour, count(*) AS n_events, count(*) FILTE
 
 
 def replayed(spark, d):
-    changes = S.changes(spark, d)
-    return R.outcomes(S.book_events(spark, d), R.signatures(changes))
+    return R.outcomes(R.marked_events(S.changes(spark, d)))
 
 
 def rich(spark, d):
