@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +22,24 @@ BLOCK_BYTES = 1 << 20
 _held: dict[str, dict] = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine: a worker lives on after its task, and would keep its largest size."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
 def claim(owner: str) -> dict:
     """What a worker keeps for ``owner`` between tasks (models, caches); what others kept is let go, so a
     worker that serves several operators in turn holds one operator's memory at a time."""
-    for name in [x for x in _held if x != owner]:
+    others = [x for x in _held if x != owner]
+    for name in others:
         del _held[name]
+    if others:
+        _give_back()
     return _held.setdefault(owner, {})
 
 
