@@ -113,70 +113,102 @@ def _around(text: str, start: int, end: int) -> list[str]:
         size *= 4
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, entity, term, context, first): a row for each document, entity, term of the document and
-    different surroundings of the pair in it; ``first`` in one of a pair's. In a row for the entity itself
-    the term is null."""
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
+def _surroundings(text: str) -> dict[str, list[list[str]]]:
+    """The words around each occurrence of each entity."""
+    near: dict[str, list[list[str]]] = {}
+    for span in base_spans(text):
+        near.setdefault(entity(text, span), []).append(_around(text, span[1], span[2]))
+    return near
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """(doc_id, entity, contexts): a row for each document and entity, with the hashes of all surroundings that a pair of it
+    with a term can have there: the words around the entity, and the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def pairs(text: str) -> Iterator[tuple[str, str | None, int, bool]]:
-        near: dict[str, dict[str, set[int]]] = {}
-        for span in base_spans(text):
-            words = _around(text, span[1], span[2])
-            context = xxhash.xxh64_intdigest("\n".join(words).encode()) - (1 << 63)
-            own = near.setdefault(entity(text, span), {})
-            for term in {term_of(x) for x in words} - {None}:
-                own.setdefault(term, set()).add(context)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
+        for batch in batches:
+            held = []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                text = text.as_py() or ""
+                near = _surroundings(text)
+                whole = _hash(text) if near else 0
+                held += [(i, name, [whole, *{_hash("\n".join(x)) for x in own}]) for name, own in near.items()]
+            columns = list(zip(*held)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column("doc_id").type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int64()))], names=["doc_id", "entity", "contexts"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, entity string, contexts array<long>")
+
+
+def occurrences(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """(entity, term, context, first): a row for each document, entity of ``live`` (entity), term of the document and
+    different surroundings of the pair in it; ``first`` in one of a pair's. Entities that are not asked for, as
+    nearly all are that occur once, cost no row."""
+    known = _asked(docs, live, "entity")
+
+    def pairs(text: str) -> Iterator[tuple[str, str, int, bool]]:
+        near = {name: own for name, own in _surroundings(text).items() if known.value[_bit(name)]}
         if not near:
             return
-        whole = xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
-        terms = {term_of(x) for x in set(_WORD.findall(text))} - {None}
-        for name, own in near.items():
-            yield name, None, 0, True
+        whole, terms = _hash(text), {term_of(x) for x in set(_WORD.findall(text))} - {None}
+        for name, windows in near.items():
+            own: dict[str, set[int]] = {}
+            for words in windows:
+                context = _hash("\n".join(words))
+                for term in {term_of(x) for x in words} - {None}:
+                    own.setdefault(term, set()).add(context)
             for term in terms | own.keys():
                 for i, context in enumerate(own.get(term, (whole,))):
                     yield name, term, context, i == 0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("pii")
-        for batch in batches:
-            held = []
+        held: list[tuple] = []
 
-            def full() -> pa.RecordBatch:
-                columns = list(zip(*held)) or [[]] * 5
-                types = (batch.column("doc_id").type, pa.string(), pa.string(), pa.int64(), pa.bool_())
-                held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["doc_id", "entity", "term", "context", "first"])
+        def full() -> pa.RecordBatch:
+            columns = list(zip(*held)) or [[]] * 4
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["entity", "term", "context", "first"])
 
-            for i, text in zip(batch.column("doc_id"), batch.column("text")):
-                i = i.as_py()
+        for batch in batches:
+            for text in batch.column("text"):
                 for row in pairs(text.as_py() or ""):
-                    held.append((i, *row))
+                    held.append(row)
                     if len(held) >= ROWS_PER_BATCH:
                         yield full()
-            yield full()
+        yield full()
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, entity string, term string, context long, first boolean")
+    return docs.select("text").mapInArrow(rows, "entity string, term string, context long, first boolean").join(live, "entity", "left_semi")
 
 
 def _bit(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode()) % TERM_BITS
 
 
-def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): in how many documents each of ``terms`` (term) occurs, in one pass over the texts. Tasks pass
-    on what a set of TERM_BITS bits, broadcast whatever the number of terms, does not exclude, added up over up
-    to TERMS_HELD terms; Spark keeps the terms asked for and sums them."""
+def _asked(docs: DataFrame, names: DataFrame, column: str):
+    """A set of TERM_BITS bits of the names asked for, broadcast, whatever their number."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_bit(x) for x in batch.column("term").to_pylist()], pa.int64())], names=["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array([_bit(x) for x in batch.column(column).to_pylist()], pa.int64())], names=["bit"])
 
-    terms = staged(terms.distinct(), "terms")
     marked = bytearray(TERM_BITS)
-    for r in terms.mapInArrow(bits, "bit long").distinct().collect():
+    for r in names.mapInArrow(bits, "bit long").distinct().toLocalIterator():
         marked[r["bit"]] = 1
-    shipped = docs.sparkSession.sparkContext.broadcast(bytes(marked))
+    return docs.sparkSession.sparkContext.broadcast(bytes(marked))
+
+
+def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_t): in how many documents each of ``terms`` (term) occurs, in one pass over the texts. Tasks pass
+    on what a set of TERM_BITS bits does not exclude, added up over up to TERMS_HELD terms; Spark keeps the terms
+    asked for and sums them."""
+    terms = staged(terms.distinct(), "terms")
+    shipped = _asked(docs, terms, "term")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, known = Counter(), shipped.value
@@ -198,12 +230,18 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, pmi, ic) of the pairs over the disclosure threshold."""
-    by_context = found.where("term is not null").groupBy("entity", "term", "context").agg(F.sum(F.col("first").cast("long")).alias("n"))
+    """(entity, term, pmi, ic) of the pairs over the disclosure threshold; found: ``mentions``.
+
+    An entity that all its documents together show in fewer than MIN_CONTEXTS surroundings has no pair that is
+    seen in as many; the others' pairs are counted."""
+    contexts = found.select("entity", F.explode("contexts").alias("context")).distinct()
+    with short_lived_shuffles(docs.sparkSession):
+        live = staged(contexts.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CONTEXTS).select("entity"), "live")
+    by_context = occurrences(docs, live).groupBy("entity", "term", "context").agg(F.sum(F.col("first").cast("long")).alias("n"))
     pairs = by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS).drop("contexts")
     with short_lived_shuffles(docs.sparkSession):
         pairs = staged(pairs, "pairs")
-    entities = found.where("term is null").groupBy("entity").agg(F.count("*").alias("n_c"))
+    entities = found.groupBy("entity").agg(F.count("*").alias("n_c"))
     terms = document_counts(docs, pairs.select("term"))
     n = docs.count()
     scored = pairs.join(entities, "entity").join(terms, "term")
@@ -244,8 +282,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def with_flags(docs: DataFrame) -> DataFrame:
     """docs with ``flagged``: the (entity, term) pairs that may be sanitised in each document."""
-    found = staged(occurrences(docs), "occurrences")
-    pairs = found.where("term is null").select("doc_id", "entity").join(disclosing(docs, found).select("entity", "term"), "entity")
+    found = staged(mentions(docs), "mentions")
+    pairs = found.select("doc_id", "entity").join(disclosing(docs, found).select("entity", "term"), "entity")
     per_doc = pairs.groupBy("doc_id").agg(F.collect_set(F.struct("entity", "term")).alias("flagged"))
     return docs.join(per_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
 
