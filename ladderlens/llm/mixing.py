@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ladderlens.llm.common import documents, staged
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Raking ends when every margin is this close to its target, or no sweep brings them closer any more.
-TOLERANCE = 1e-11
+#: Sweeps over the dimensions. Where cells are missing that the targets need, margins come closer ever more slowly, or not
+#: at all; the residual tells how far they came.
+SWEEPS = 8
 #: Targets of the query: each value's share is its share of tokens to this power, made to sum to 1.
 TEMPER = 0.7
 #: The first mark that a text holds decides its topic.
@@ -49,29 +50,26 @@ def tempered(cells: DataFrame, dimension: str, power: float = TEMPER) -> DataFra
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("n").alias("all")))).select(dimension, (F.col("n") / F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """cells (dimensions, tokens) with ``weight``: shares whose margins meet the targets (value, target), and
     ``residual``, how far the furthest margin still is from its target.
 
-    Sweeps over the dimensions, each written to the shared folder so that plans stay short, go on until the
-    residual is within ``tolerance``, or until it no longer shrinks, as where cells are missing that the targets
-    need. Values without a target keep no weight; cells without tokens keep none either.
+    ``sweeps`` sweeps over the dimensions, each written to the shared folder so that plans stay short. Values
+    without a target keep no weight; cells without tokens keep none either.
     """
     total = cells.agg(F.sum("tokens").alias("all"))
     now = cells.crossJoin(F.broadcast(total)).withColumn("weight", F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0))).drop("all")
     for dimension, target in targets.items():
         now = now.join(target.withColumnRenamed("target", f"target_{dimension}"), dimension, "left")
-    now, before = staged(now, "cells"), float("inf")
-    while True:
+    now = staged(now, "cells")
+    for _ in range(sweeps):
         for dimension in targets:
             margin = F.sum("weight").over(Window.partitionBy(dimension))
             share = F.coalesce(F.col(f"target_{dimension}"), F.lit(0.0))
             now = now.withColumn("weight", F.when(margin > 0, F.col("weight") * share / margin).otherwise(0.0))
         now = staged(now, "cells")
-        off = margins(now, targets).agg(F.max(F.abs(F.col("share") - F.col("target")))).first()[0] or 0.0
-        if off <= tolerance or off >= before * (1 - 1e-6):
-            return now.withColumn("residual", F.lit(off))
-        before = off
+    off = margins(now, targets).agg(F.max(F.abs(F.col("share") - F.col("target"))).alias("off"))
+    return now.crossJoin(F.broadcast(off.select(F.coalesce("off", F.lit(0.0)).alias("residual"))))
 
 
 def margins(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
@@ -97,7 +95,7 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(key.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def sample(docs: DataFrame, targets=tempered, tolerance: float = TOLERANCE) -> DataFrame:
+def sample(docs: DataFrame, targets=tempered, sweeps: int = SWEEPS) -> DataFrame:
     """The drawn documents: (row, source, lang, topic, tokens, weight, residual, probability).
 
     ``targets`` gives (value, target) from the cells and a dimension's name. What is shuffled is one
@@ -107,7 +105,7 @@ def sample(docs: DataFrame, targets=tempered, tolerance: float = TOLERANCE) -> D
     """
     celled = with_cells(docs)
     cells = staged(celled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    chances = staged(probabilities(rake(cells, {x: targets(cells, x) for x in DIMENSIONS}, tolerance)), "chances")
+    chances = staged(probabilities(rake(cells, {x: targets(cells, x) for x in DIMENSIONS}, sweeps)), "chances")
     if chances.count() <= BROADCAST_CELLS:
         chances = F.broadcast(chances)
     return celled.join(chances, list(DIMENSIONS)).where(draw(F.col("row.doc_id")) < F.col("probability"))
@@ -118,10 +116,6 @@ def op2_source_mixing(spark, sf_dir):
     return drawn.select("row.doc_id", *DIMENSIONS, "tokens", "weight", "residual", "probability")
 
 
-#: Sweeps of the SQL, which can't ask whether it is done: enough for every digit of the result on these tables.
-SQL_SWEEPS = 16
-
-
 def _sql() -> str:
     marks = " ".join(f"WHEN contains(coalesce(text, ''), '{mark}') THEN '{name}'" for mark, name in TOPICS)
     parts = [
@@ -132,14 +126,16 @@ def _sql() -> str:
         parts.append(f"t_{x} AS MATERIALIZED (SELECT {x}, n / sum(n) OVER () AS target_{x} FROM (SELECT {x}, power(CAST(sum(tokens) AS DOUBLE), {TEMPER}) AS n FROM cells GROUP BY {x}))")
     parts.append("w0 AS MATERIALIZED (SELECT cells.*, target_source, target_lang, target_topic, CAST(tokens AS DOUBLE) / sum(tokens) OVER () AS weight FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
     step = 0
-    for _ in range(SQL_SWEEPS):
+    for _ in range(SWEEPS):
         for x in DIMENSIONS:
             step += 1
             parts.append(f"w{step} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN margin > 0 THEN weight * target_{x} / margin ELSE 0.0 END AS weight) EXCLUDE (margin) FROM (SELECT *, sum(weight) OVER (PARTITION BY {x}) AS margin FROM w{step - 1}))".replace("SELECT * REPLACE (CASE", "SELECT * EXCLUDE (margin) REPLACE (CASE").replace(" EXCLUDE (margin) FROM (", " FROM ("))
+    off = " UNION ALL ".join(f"SELECT max(abs(s - t)) AS off FROM (SELECT sum(weight) AS s, any_value(target_{x}) AS t FROM w{step} GROUP BY {x})" for x in DIMENSIONS)
+    parts.append(f"o AS MATERIALIZED (SELECT round(coalesce(max(off), 0.0), {DIGITS}) AS residual FROM ({off}))")
     parts.append(f"r AS MATERIALIZED (SELECT source, lang, topic, weight, CASE WHEN tokens > 0 THEN weight * sum(tokens) OVER () / tokens ELSE 0.0 END AS ratio FROM w{step})")
     parts.append(f"p AS MATERIALIZED (SELECT source, lang, topic, round(weight, {DIGITS}) AS weight, round(CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 0.0 END, {DIGITS}) AS probability FROM r)")
     chosen = f"CAST(('0x' || substr(md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / {float(1 << 48)} < probability"
-    return f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, tokens, weight, 0.0::DOUBLE AS residual, probability FROM d JOIN p USING (source, lang, topic) WHERE {chosen}"
+    return f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, tokens, weight, residual, probability FROM d JOIN p USING (source, lang, topic), o WHERE {chosen}"
 
 
 OP2_SQL = _sql()
