@@ -415,6 +415,37 @@ def test_a_link_within_a_class_does_not_hide_another_class(spark):
     assert found == {(3, 1), (3, 2)}
 
 
+def test_windows_of_a_common_phrase_meet_by_their_surroundings(spark, monkeypatch):
+    """A phrase of 30 words in 40 texts of which some go on alike, far from the nearest smaller one: the same links whether
+    all windows of a key are compared or, as in keys of many, those with a rarer shingle in common."""
+    rng = np.random.default_rng(21)
+    new = lambda n: [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+    phrase, rows, tails = new(30), [], {}
+    for i in range(40):
+        group = i % 9 if i % 2 else None
+        tail = tails.setdefault(group, new(45)) if group is not None else new(45)
+        if group is not None:
+            tail = [*tail[:20], f"x{i}", *tail[21:]]
+        rows.append((i, " ".join(new(40) + phrase + tail + new(20))))
+    docs, found = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for most in (1000, 3):
+        monkeypatch.setattr(passages, "PER_TASK", most)
+        found.append({(r["doc"], r["other"]) for r in passages.near_passages(docs)[1].collect()})
+    groups: dict[int, list[int]] = {}
+    for i in range(1, 40, 2):
+        groups.setdefault(i % 9, []).append(i)
+    want = {frozenset(g) for g in groups.values() if len(g) > 1}
+    for links in found:
+        name = {i: i for i in range(40)}
+        for a, b in sorted(links):
+            x, y = name[a], name[b]
+            name = {k: min(x, y) if v in (x, y) else v for k, v in name.items()}
+        classes: dict[int, set[int]] = {}
+        for k, v in name.items():
+            classes.setdefault(v, set()).add(k)
+        assert {frozenset(c) for c in classes.values() if len(c) > 1} == want
+
+
 def brute_base(text: str) -> list:
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
