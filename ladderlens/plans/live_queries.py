@@ -150,6 +150,20 @@ def archive_trades(spark, d):
     return rows.groupBy("venue", "hour").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("long")).alias("quantity"), F.max("row_index").alias("last_row"))
 
 
+def required_columns(spark, d):
+    """An archive with more columns than its kind requires: what a scan takes of it."""
+    root = new_folder(spark, "wide")
+    _trade_rows(spark, d).withColumns({"note": F.lit("x"), "ordinal": F.col("ordinal")}).write.partitionBy("venue").parquet(root)
+    rows = archive.require(spark.read.parquet(root), archive.TRADE_SCHEMA)
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.max("received_time").alias("newest"), F.lit(len(rows.columns)).alias("columns"))
+
+
+def strict_trades(spark, d):
+    """Trades with text prices, of which none may be rejected: one that is would fail the query."""
+    text = S.trades(spark, d).where("price > 0").selectExpr("symbol", "CAST(trade_id AS STRING) AS trade_id", "trade_ms", "CAST(price AS STRING) AS price", "CAST(qty AS STRING) AS qty")
+    return P.strict(P.judged_trades(text)).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("price").cast("decimal(28,8)").cast("string").alias("prices"))
+
+
 def book_rejects(spark, d):
     judged = P.judged_book(book_rows(spark, d), F.expr("CASE WHEN hour % 9 = 0 THEN 'SYM9' ELSE upper(concat('sym', substr(venue, 2))) END"), ("first_update_id", "final_update_id", "prev_final_update_id"))
     return judged.groupBy("venue", "problem").agg(F.count("*").alias("n"))
@@ -230,6 +244,8 @@ QUERIES = {
     "s8_stored_hours": (stored_hours, f"WITH {S.SECONDS} SELECT market, ts, bid, ask, quality, reason, CASE WHEN quality = 'VALID' THEN 2 ELSE 0 END AS source_count FROM seconds WHERE ts // 86400 >= 19735 AND ts // 86400 < 19752"),
     "s9_stored_prices": (stored_prices, f"WITH {CANDLES} SELECT symbol, slot * 3600 AS ts, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in ('open', 'high', 'low', 'close'))}, trades FROM candles WHERE slot // 24 >= 19735 AND slot // 24 < 19752"),
     "s11_json_export": (exported, f"WITH {VIEW}, u AS (SELECT market, ts FROM seconds WHERE quality = 'VALID' AND ts >= {START} AND ts < {END}), g AS (SELECT market, ts + {STEP} AS a, coalesce(lead(ts) OVER (PARTITION BY market ORDER BY ts), {END}) AS b FROM u UNION ALL SELECT CAST(m AS BIGINT), {START}, coalesce(min(ts), {END}) FROM generate_series(0, 2) t(m) LEFT JOIN u ON market = m GROUP BY m) SELECT bar_start, valid, round(bid_c, 6) AS bid_c, (SELECT count(*) FROM g WHERE b - a > 3600) AS regions FROM vb"),
+    "s4_required_columns": (required_columns, f"WITH {S.TRADES} SELECT symbol, count(*) AS n, max(received_ns) AS newest, 9 AS columns FROM trades GROUP BY ALL"),
+    "n13_strict_trades": (strict_trades, f"WITH {S.TRADES} SELECT upper(symbol) AS symbol, count(*) AS n, CAST(CAST(sum(price) AS DECIMAL(28,8)) AS VARCHAR) AS prices FROM trades WHERE price > 0 GROUP BY 1"),
     "n1_book_rejects": (
         book_rejects,
         f"WITH {S.CHANGES}, x AS (SELECT 'v' || market AS venue, CASE WHEN hour % 9 = 0 THEN 'other_symbol' WHEN price = 1850 THEN 'bad_event_type' WHEN n % 59 = 0 THEN 'bad_event_time' WHEN n % 61 = 0 THEN 'negative_final_update_id' WHEN prev_id < 0 THEN 'negative_prev_final_update_id' WHEN price % 450 = 0 THEN 'not_decimal' END AS problem FROM changes) SELECT venue, problem, count(*) AS n FROM x GROUP BY ALL",
