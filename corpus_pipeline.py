@@ -31,14 +31,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked texts the one with the smallest doc_id, once. Rows of one doc_id are
-    told apart by their texts: unlike ones are in groups of their own, repeated ones stay once. Rows without
-    a doc_id stay."""
+    told apart by their texts: unlike ones are in groups of their own, repeated ones stay once, the one whose
+    other columns hash lowest. Rows without a doc_id stay."""
     key = F.struct("doc_id", F.xxhash64("text").alias("h"))
     rows = docs.select(key.alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     named = rows.where("id.doc_id IS NOT NULL")
     found = simhash.near_duplicates(named.select(F.col("id").alias("doc_id"), "text"))
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("id"))
-    kept = named.select("id", "row").join(first, "id", "left_semi").dropDuplicates(["id"])
+    kept = named.select("id", "row").join(first, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return kept.select("row.*").union(rows.where("id.doc_id IS NULL").select("row.*"))
 
 

@@ -1,8 +1,9 @@
-"""Removal of repeated 50-byte strings by prefix doubling over positions that Spark sorts.
+"""Removal of repeated 50-byte strings, found by sorting positions at three growing lengths.
 
-Full prefix doubling ranks every position by its first bytes, then by pairs of ranks at growing
-offsets, until ranks are unique or pass the threshold. Here only positions that can still matter are
-ranked, and a rank is named by the smallest document that has it:
+This is not prefix doubling, which ranks every position by its first bytes and then by pairs of ranks at
+doubling offsets: no ranks are paired here. As there, what is unique at one length drops out before the
+next; but only sampled positions are sorted, and a string is named by a hash and the smallest document that
+has it:
 
 1. *Seeds.* Of each LENGTH-byte window the SEED-byte string with the least hash is an anchor, so equal
    windows have equal anchors of their own at equal offsets. Anchors are ranked by their first SEED
