@@ -46,8 +46,8 @@ RESTORED = CHECKPOINT + f""", good AS (SELECT market, through_hour, max(last_id)
 BOUNDS = ("bid_low", "bid_high", "ask_low", "ask_high")
 
 
-def _live(spark, d):
-    changes = kept(S.changes(spark, d))
+def _live(spark, d, changes=None):
+    changes = changes or kept(S.changes(spark, d))
     r = kept(R.outcomes(R.marked_events(changes)))
     return r, B.valid_changes(changes, r)
 
@@ -84,24 +84,26 @@ def met(spark, d):
     return B.meeting(B.samples(r, SLOT), B.lifetimes(changes), by_slot)
 
 
-def checkpoints(spark, d):
-    r, changes = _live(spark, d)
+def checkpoints(spark, d, changes=None):
+    r, changes = _live(spark, d, changes)
     return B.checkpoints(r, B.lifetimes(changes), by_hour)
 
 
 def checkpoint_plan(spark, d):
-    c = checkpoints(spark, d).where("through_hour % 3 = 0").select("market", "through_hour").distinct()
-    hours = S.book_events(spark, d).select("market", "hour").distinct()
+    every = kept(S.changes(spark, d))
+    c = checkpoints(spark, d, every).where("through_hour % 3 = 0").select("market", "through_hour").distinct()
+    hours = every.select("market", "hour").distinct()
     return B.checkpoint_plan(hours, c, hours.where("hour % 17 <> 0"), 6)
 
 
 def from_checkpoints(spark, d):
     """Replays of every third hour and the one after it that begin with the checkpoint of the hour before."""
-    r, changes = _live(spark, d)
+    every = kept(S.changes(spark, d))
+    r, changes = _live(spark, d, every)
     stored = B.eligible(kept(B.checkpoints(r, B.lifetimes(changes), by_hour).where("through_hour % 3 = 0")))
     starts, levels = R.restored(r, stored)
     after = changes.where("hour % 3 <> 0").drop("epoch")
-    again = R.outcomes(R.marked_events(kept(S.changes(spark, d)).where("hour % 3 <> 0")), restored=starts)
+    again = R.outcomes(R.marked_events(every.where("hour % 3 <> 0")), restored=starts)
     return again, B.valid_changes(after, again), levels
 
 

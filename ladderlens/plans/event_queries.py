@@ -53,13 +53,14 @@ def replayed(spark, d):
 
 def rich(spark, d):
     """Every outcome of a replay: see ``S.replay_events``."""
-    events = S.replay_events(S.book_events(spark, d))
-    return R.outcomes(events.drop("base", "other"), S.replay_marks(events, R.signatures(S.changes(spark, d))))
+    changes = kept(S.changes(spark, d))
+    events = S.replay_events(S.events_of(changes))
+    return R.outcomes(events.drop("base", "other"), S.replay_marks(events, R.signatures(changes)))
 
 
 def rich_report(spark, d):
-    changes = S.changes(spark, d)
-    events = S.replay_events(S.book_events(spark, d))
+    changes = kept(S.changes(spark, d))
+    events = S.replay_events(S.events_of(changes))
     replayed = kept(R.outcomes(events.drop("base", "other"), S.replay_marks(events, R.signatures(changes))))
     return R.archive_report(replayed, B.valid_changes(S.replay_changes(events, changes), replayed))
 

@@ -34,8 +34,9 @@ def paths(s, d):
 
 def inventory(s, d):
     """Some checkpoints are not stored, some hold a level without quantity, some hours expect none."""
-    stored = kept(checkpoints(s, d).where("through_hour % 5 <> 0").withColumn("qty", F.expr("CASE WHEN through_hour % 4 = 0 AND place = 1 THEN 0 ELSE qty END")))
-    hours = S.book_events(s, d).where("hour % 7 <> 0").select("market", F.col("hour").alias("through_hour")).distinct()
+    changes = kept(S.changes(s, d))
+    stored = kept(checkpoints(s, d, changes).where("through_hour % 5 <> 0").withColumn("qty", F.expr("CASE WHEN through_hour % 4 = 0 AND place = 1 THEN 0 ELSE qty END")))
+    hours = changes.where("hour % 7 <> 0").select("market", F.col("hour").alias("through_hour")).distinct()
     return O.checkpoint_inventory(stored, B.checkpoint_state(stored), hours, 12)
 
 

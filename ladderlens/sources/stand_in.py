@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ladderlens.plans.staging import kept
+
 HOUR = 30 * 86400
 SNAPSHOT_EVERY, BREAK_EVERY = 30, 37
 
@@ -44,11 +46,11 @@ LEVELS = RAW_LEVELS + ", levels AS (SELECT market, t, side, price, arg_max(qty,
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level changes with their archive hour and event number: counted within the hour and moved on by the
-    hours before, of which one row each is summed."""
-    rows = levels(spark, sf_dir).withColumn("hour", F.expr(f"t div {HOUR}"))
-    rows = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("market", "hour").orderBy("t")).cast("long"))
+    hours before, of which one row each is summed. The archive is read once, for the levels."""
+    levels_ = kept(levels(spark, sf_dir)).withColumn("hour", F.expr(f"t div {HOUR}"))
+    rows = levels_.withColumn("n", F.dense_rank().over(Window.partitionBy("market", "hour").orderBy("t")).cast("long"))
     before = Window.partitionBy("market").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = rows.groupBy("market", "hour").agg(F.max("n").alias("events")).select("market", "hour", F.coalesce(F.sum("events").over(before), F.lit(0)).alias("before"))
+    hours = levels_.groupBy("market", "hour").agg(F.count_distinct("t").alias("events")).select("market", "hour", F.coalesce(F.sum("events").over(before), F.lit(0)).alias("before"))
     return rows.join(hours, ["market", "hour"]).withColumn("n", F.col("n") + F.col("before")).drop("before")
 
 
@@ -63,6 +65,11 @@ def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr(*_as_event("market hour n t"))
 
 
+def events_of(changes: DataFrame) -> DataFrame:
+    """``book_events`` of ``changes``, without reading the archive again."""
+    return changes.select("market", "hour", "n", "t", "kind", "final_id", "prev_id").distinct()
+
+
 EVENTS = LEVELS + f""", ev AS (SELECT market, t // {HOUR} AS hour, n, t, CASE WHEN n % {SNAPSHOT_EVERY} = 0 THEN 'snapshot' ELSE 'update' END AS kind,
  n AS final_id, CASE WHEN n % {BREAK_EVERY} = 0 THEN n - 2 ELSE n - 1 END AS prev_id
  FROM (SELECT market, t, row_number() OVER (PARTITION BY market ORDER BY t) AS n FROM (SELECT DISTINCT market, t FROM levels)))"""
