@@ -66,7 +66,8 @@ def stream_dedup(spark, d):
 
 def _rich_events(spark, d):
     """Events for every outcome of a replay, with their changes, and the time that halves them."""
-    changes, events = S.changes(spark, d), S.replay_events(S.book_events(spark, d))
+    changes = kept(S.changes(spark, d))
+    events = S.replay_events(S.events_of(changes))
     rich = kept(stateful.with_changes(events.drop("base", "other"), S.replay_changes(events, changes)))
     return rich, rich.agg(F.expr("percentile_approx(t, 0.5)")).first()[0] or 0
 
@@ -88,13 +89,16 @@ def stream_outcomes(spark, d):
 
 def stream_restored(spark, d):
     """Hours after every third one, with the checkpoints of those as initial state."""
-    changes, stored = S.changes(spark, d), B.eligible(kept(checkpoints(spark, d).where("through_hour % 3 = 0")))
-    starts, levels = R.restored(S.book_events(spark, d), stored)
-    events = kept(stateful.with_changes(S.book_events(spark, d).where("hour % 3 <> 0"), changes))
+    changes = kept(S.changes(spark, d))
+    book = kept(S.events_of(changes))
+    stored = B.eligible(kept(checkpoints(spark, d, changes).where("through_hour % 3 = 0")))
+    starts, levels = R.restored(book, stored)
+    initial = kept(starts.join(levels.select("market", "hour", "side", "price", "qty"), ["market", "hour"]))
+    events = kept(stateful.with_changes(book.where("hour % 3 <> 0"), changes))
     half = events.agg(F.expr("percentile_approx(t, 0.5)")).first()[0] or 0
     stream, feeds = _in_parts(spark, events, [f"t <= {half}", f"t > {half}"])
     with stateful.keyed_state(spark, 4):
-        rows = stateful.replay_outcomes(stream, starts.join(levels.select("market", "hour", "side", "price", "qty"), ["market", "hour"]))
+        rows = stateful.replay_outcomes(stream, initial)
         return live.drained(rows, shared_dir(spark), ["market", "n"], "append", feeds).drop("issue")
 
 
