@@ -64,6 +64,12 @@ def test_exact_duplicates_and_null_ids_keep_the_stream_running(spark, tmp_path):
     assert samples == [(9, 1, True, 10, 1), (10, 2, True, 11, 1), (11, 3, True, 11, 1), (12, 4, True, 10, 1), (13, 5, False, None, 0), (14, 6, False, None, 0)]
 
 
+def test_a_worker_holds_a_text_an_event(spark):
+    """What a replay takes of an event is one text, not a row a change; an event without changes has an empty one."""
+    events = spark.createDataFrame(events_of([(0, 1, 10, "snapshot", 1, None, [*BOTH, ("bid", 11, 0)]), (0, 2, 11, "update", 2, 1, [])]), EVENTS)
+    assert [r["changes"] for r in stateful.packed(stateful.marked(events)).orderBy("n").collect()] == ["b:10:5,a:12:5,b:11:0", ""]
+
+
 def test_timers_tell_quiet_slots(spark, tmp_path):
     """Market 0 falls silent; market 1 moves the watermark on, and with it market 0's samples, but not past it."""
     rows = [[(0, 0, 1, 5, "snapshot", 1, None, BOTH), (1, 0, 1, 5, "snapshot", 1, None, BOTH)], [(1, 0, 2, 38, "update", 2, 1, [("bid", 11, 1)])]]
