@@ -17,9 +17,9 @@ from ladderlens.llm.common import claim
 
 END_ID = 2
 #: Words, and words without case and marks, that a worker keeps in each of two generations.
-KEPT_WORDS = 120_000
+KEPT_WORDS = 300_000
 #: Bytes of text whose words are numbered together.
-WORDS_AT_ONCE = 2 << 20
+WORDS_AT_ONCE = 3 << 20
 #: Marks that may follow a word's letters; a run of them is one piece of its own.
 TAIL = ".,!?;:)]}\"|"
 
@@ -47,11 +47,16 @@ class Recent(dict):
         super().__init__()
         self.old: dict = {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self[key] = value
-        return value
+    def found(self, keys: list[str]) -> tuple[list, list[int]]:
+        """The value of each key, and the places of keys that have none."""
+        values, old, lacking = list(map(self.get, keys)), self.old.get, []
+        for i in [i for i, x in enumerate(values) if x is None]:
+            value = old(keys[i])
+            if value is None:
+                lacking.append(i)
+            else:
+                values[i] = self[keys[i]] = value
+        return values, lacking
 
     def settle(self) -> None:
         if len(self) > KEPT_WORDS:
@@ -77,16 +82,17 @@ class WordEncoder:
         """A word of letters and a run of marks is one closed piece, whatever its case, and the marks' ids, so
         the letters of such words are encoded as one text and told apart by the pieces' ends; other words
         are encoded one by one."""
-        plain, rest, fresh = [], [], {}
+        plain, rest, lows = [], [], []
         for word in words:
             core = word.rstrip(TAIL)
             if core.isalpha() and (core.isascii() or max(core) < "İ"):
+                plain.append(word)
                 low = core.lower()
-                plain.append((word, low, word[len(core) :]))
-                if self.cores[low] is None:
-                    fresh[low] = None
+                lows.append(word if low == word else low)  # a word that is its own core shares the string
             else:
                 rest.append(word)
+        _, lacking = self.cores.found(lows)
+        fresh = dict.fromkeys([lows[i] for i in lacking])
         fresh = list(fresh)
         texts = [" ".join(fresh[i : i + 500]) for i in range(0, len(fresh), 500)]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
@@ -98,10 +104,11 @@ class WordEncoder:
         for core, high in zip(fresh, (ends * self.kind.itemsize).tolist()):
             self.cores[core] = raw[low:high]
             low = high
-        new = [x for x in {tail for _, _, tail in plain} if x not in self.tails]
+        tails = [word[len(low) :] for word, low in zip(plain, lows)]
+        new = [x for x in set(tails) if x not in self.tails]
         self.tails.update(zip(new, self._encoded(new)))
-        for word, core, tail in plain:
-            self.words[word] = self.cores[core] + self.tails[tail]
+        cores, known = self.cores, self.tails
+        self.words.update((word, cores[low] + known[tail] if tail else cores[low]) for word, low, tail in zip(plain, lows, tails))
         self.words.update(zip(rest, self._encoded(rest)))
 
     @staticmethod
@@ -117,8 +124,7 @@ class WordEncoder:
         coded = split.flatten().dictionary_encode()
         words = self._listed(coded.dictionary)
         known = self.words
-        ids = [known[x] for x in words]
-        lacking = [i for i, x in enumerate(ids) if x is None]
+        ids, lacking = known.found(words)
         if lacking:
             self._learn([words[i] for i in lacking])
             for i in lacking:
