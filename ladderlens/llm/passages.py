@@ -394,7 +394,8 @@ def candidates(rows: DataFrame, *more: str) -> DataFrame:
 
 def with_surroundings(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.RecordBatch]:
     """rows (doc, c, many and others) with ``near``: a byte for each of the shingles of ``doc`` less than MIN_SHINGLES from
-    c, 0 beyond the text's ends; and, of those that are one of ``many``, ``bag``: 32 bits of each different one of them."""
+    c, 0 beyond the text's ends; and, of those that are one of ``many``, ``bag``: 32 bits of each different one of them,
+    and ``least``: how many different ones of any MIN_SHINGLES in a row a passage like it has in common with them."""
     wanted: dict[int, list[int]] = {}
     for i, x in enumerate(rows.column("doc").to_pylist()):
         wanted.setdefault(x, []).append(i)
@@ -403,7 +404,7 @@ def with_surroundings(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.
         ids = ids_of(batch).tolist()
         some = [i for i, x in enumerate(ids) if x in wanted]
         h, n = shingle_hashes([texts[i] for i in some])
-        small, picked, near, bag = (h >> np.uint64(56)).astype(np.uint8) | np.uint8(1), [], [], []
+        small, picked, near, bag, least = (h >> np.uint64(56)).astype(np.uint8) | np.uint8(1), [], [], [], []
         edge = bytes(MIN_SHINGLES)
         for i, begin, count in zip(some, (np.cumsum(n) - n).tolist(), n.tolist()):
             own = edge + small[begin : begin + count].tobytes() + edge
@@ -411,9 +412,11 @@ def with_surroundings(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.
                 at = max(c[row], 0)
                 picked.append(row)
                 near.append(own[at + 1 : at + 2 * MIN_SHINGLES])
-                bag.append(np.unique(h[begin + max(0, at - MIN_SHINGLES + 1) : begin + min(count, at + MIN_SHINGLES)].astype(np.uint32)).view(np.int32) if many[row] else ())
+                around = h[begin + max(0, at - MIN_SHINGLES + 1) : begin + min(count, at + MIN_SHINGLES)].astype(np.uint32) if many[row] else h[:0].astype(np.uint32)
+                bag.append(np.unique(around).view(np.int32))
+                least.append(max(1, int(np.ceil(SIMILARITY * (MIN_SHINGLES - (len(around) - len(bag[-1])))))))
         chosen = rows.take(pa.array(picked, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(chosen.column(x).to_pylist(), rows.schema.field(x).type) for x in rows.column_names] + [pa.array(near, pa.binary()), pa.array(bag, pa.list_(pa.int32()))], names=[*rows.column_names, "near", "bag"])
+        yield pa.RecordBatch.from_arrays([pa.array(chosen.column(x).to_pylist(), rows.schema.field(x).type) for x in rows.column_names] + [pa.array(near, pa.binary()), pa.array(bag, pa.list_(pa.int32())), pa.array(least, pa.int32())], names=[*rows.column_names, "near", "bag", "least"])
 
 
 def surroundings_agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,17 +436,37 @@ def surroundings_agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield batch.drop_columns(["near", "o_near"]).filter(pa.array(keep))
 
 
+def by_shingles(windows: DataFrame) -> DataFrame:
+    """Pairs (key, doc, c, o_doc, o_c) of windows (key, n, doc, c, component, bag, least) of one key and different classes.
+
+    Only shingles that several classes have count. Two windows with at least t of these in common, taken from the one
+    that most windows have down, share one that is the t-th or a later one of both; so a window with fewer than
+    ``least`` meets nobody, and the others go by those from the ``least``-th on: by all pairs of the windows that have it
+    if these are at most PER_TASK, else with the nearest one before of another class. The same goes, for more such
+    neighbours, for each shingle that at most half of the key's windows have.
+    """
+    worded = windows.select("key", "n", "doc", "c", "component", "least", F.explode("bag").alias("shingle"))
+    telling = worded.groupBy("key", "shingle").agg(F.count("*").alias("m"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key", "shingle", "m")
+    own = Window.partitionBy("key", "doc", "c")
+    ranked = worded.join(telling, ["key", "shingle"]).withColumns({"place": F.row_number().over(own.orderBy(F.desc("m"), "shingle")), "total": F.count("*").over(own)})
+    members = ranked.where("total >= least AND (place >= least OR 2 * m <= n)").select("key", "shingle", "doc", "c", "component", "m", (F.col("place") >= F.col("least")).alias("later"))
+    row = Window.partitionBy("key", "shingle").orderBy("doc", "c")
+    edge = F.when(F.lag("component").over(row) != F.col("component"), F.lag(F.struct("doc", "c")).over(row))
+    nearest = F.last("edge", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
+    pairs = members.withColumn("edge", edge).withColumn("o", nearest).where("o.doc < doc").select("key", "doc", "c", F.col("o.doc").alias("o_doc"), F.col("o.c").alias("o_c"))
+    few = members.where((F.col("m") <= PER_TASK) & F.col("later"))
+    before = few.select("key", "shingle", F.col("doc").alias("o_doc"), F.col("c").alias("o_c"), F.col("component").alias("theirs"))
+    return pairs.union(few.join(before, ["key", "shingle"]).where("o_doc < doc AND component != theirs").select("key", "doc", "c", "o_doc", "o_c")).distinct()
+
+
 def remaining(shared: DataFrame, links: DataFrame, parts: int, folder: str) -> DataFrame:
     """Candidates beyond the nearest smaller document, given the links to those: all pairs of windows of one
     key whose documents are not in one class yet, so that documents alike in any pair of their windows end in
     one; and, with the smallest document of its key, each window that lies in no linked passage.
 
     Pairs whose surroundings of c differ too much for a passage there are not passed on. Of a key with more than
-    PER_TASK windows, as phrases of 13 to 49 words in very many documents have, a window meets, for each shingle
-    nearby that at most half of the key's windows have, the nearest one before it that has this shingle and is in
-    another class: what more windows have is the phrase, and two passages need more than that in common; as they
-    need many shingles in common, one that comes between them for all of these is like both. Windows of repeated
-    words have no one place and meet all, in blocks.
+    PER_TASK windows, as phrases of 13 to 49 words in very many documents have, windows meet by shingles nearby (see
+    ``by_shingles``). Windows of repeated words have no one place and meet all, in blocks.
     """
     component = connected_components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
     with short_lived_shuffles(shared.sparkSession):
@@ -451,7 +474,7 @@ def remaining(shared: DataFrame, links: DataFrame, parts: int, folder: str) -> D
         mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.count_if("several").alias("repeated")).where("a != b")
         rows = shared.join(mixed.select("key", "n", "repeated"), "key").join(component, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
         rows = rows.select("key", "doc", "part", "k", "l", "c", "r", "component", "n", "repeated", (F.col("n") > PER_TASK).alias("many"), F.col("o").isNotNull().alias("later"))
-        rows = staged(over_parts(rows, parts, folder, with_surroundings, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", near binary, bag array<int>"), "mixed")
+        rows = staged(over_parts(rows, parts, folder, with_surroundings, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", near binary, bag array<int>, least int"), "mixed")
         spans = links.groupBy(F.col("doc").alias("node")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
         low, high = F.when(F.col("c") == SEVERAL, F.col("l")).otherwise(F.col("c")), F.when(F.col("c") == SEVERAL, F.col("r")).otherwise(F.col("c"))
         inside = F.exists("spans", lambda x: (x["start"] <= low) & (high + SHINGLE_WORDS <= x["end"]))
@@ -467,13 +490,7 @@ def remaining(shared: DataFrame, links: DataFrame, parts: int, folder: str) -> D
     earlier = earlier.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
     across = candidates(later.join(earlier, ["key", "meets", "piece"]).where("o.doc < doc AND component != theirs"), "near", "o_near")
     plain = rows.where(big & ~several)
-    worded = plain.select("key", "n", "doc", "c", "component", F.explode("bag").alias("shingle"))
-    telling = worded.groupBy("key", "shingle").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("m > 1 AND 2 * m <= n AND a != b").select("key", "shingle")
-    members = worded.join(telling, ["key", "shingle"], "left_semi")
-    row = Window.partitionBy("key", "shingle").orderBy("doc", "c")
-    edge = F.when(F.lag("component").over(row) != F.col("component"), F.lag(F.struct("doc", "c")).over(row))
-    nearest = F.last("edge", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    pairs = members.withColumn("edge", edge).withColumn("o", nearest).where("o.doc < doc").select("key", "doc", "c", F.col("o.doc").alias("o_doc"), F.col("o.c").alias("o_c")).distinct()
+    pairs = by_shingles(plain.select("key", "n", "doc", "c", "component", "bag", "least"))
     others = plain.select("key", F.col("doc").alias("o_doc"), F.col("c").alias("o_c"), F.struct("doc", "part", "l", "c", "r").alias("o"), F.col("near").alias("o_near"))
     met = pairs.join(plain.select(*WINDOW, "near"), ["key", "doc", "c"]).join(others, ["key", "o_doc", "o_c"])
     across = across.union(candidates(met, "near", "o_near"))
