@@ -48,8 +48,12 @@ REACH = 2 * (SHINGLE_WORDS - 1)
 COSTS = (2 * SIMILARITY / (1 - SIMILARITY), SIMILARITY / (1 - SIMILARITY))
 #: Intervals whose offsets between the two documents differ by no more may be of one passage.
 DRIFT = 16
-#: Windows of one key that are all compared with each other; of more, neighbours that have a rarer shingle nearby in common.
+#: Windows of one key that are joined with each other; of more, blocks of so many are compared by their shingles.
 PER_TASK = 100
+#: Windows of a class that a window of another meets at first, of each block that agrees with it.
+FIRST = 3
+#: Parts of the shingles of large keys.
+BUCKETS = 256
 SALTS = [np.uint64(int(x)) for x in np.random.default_rng(8).integers(1, 1 << 63, HASHES)]
 SEVERAL = -1
 #: Windows of one key that a text has up to which each is one of its own.
@@ -419,54 +423,207 @@ def with_surroundings(part: int, rows: pa.Table, blocks: Blocks) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(chosen.column(x).to_pylist(), rows.schema.field(x).type) for x in rows.column_names] + [pa.array(near, pa.binary()), pa.array(bag, pa.list_(pa.int32())), pa.array(least, pa.int32())], names=[*rows.column_names, "near", "bag", "least"])
 
 
-def surroundings_agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (with near and o_near) of which MIN_SHINGLES shingles in a row, c among them, have LEAST_COMMON in
-    common within a few words' shift, without these columns; those without one offset stay."""
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of a and b (``near``), whether MIN_SHINGLES shingles in a row, c among them, have LEAST_COMMON in
+    common within a few words' shift."""
     width = 2 * MIN_SHINGLES - 1
+    hit = a == b
+    for step in range(1, SHIFT + 1):
+        hit[:, step:] |= a[:, step:] == b[:, :-step]
+        hit[:, :-step] |= a[:, :-step] == b[:, step:]
+    sums = np.zeros((len(a), width + 1), dtype=np.uint8)
+    np.cumsum(hit & (a > 0), axis=1, dtype=np.uint8, out=sums[:, 1:])
+    return (sums[:, MIN_SHINGLES:] - sums[:, :MIN_SHINGLES]).max(axis=1, initial=0) >= LEAST_COMMON
+
+
+def _near(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 2 * MIN_SHINGLES - 1)
+
+
+def surroundings_agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (with near and o_near) whose surroundings agree, without these columns; those without one offset stay."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), dtype=np.uint8).reshape(-1, width) for x in ("near", "o_near"))
-        hit = a == b
-        for step in range(1, SHIFT + 1):
-            hit[:, step:] |= a[:, step:] == b[:, :-step]
-            hit[:, :-step] |= a[:, :-step] == b[:, step:]
-        sums = np.zeros((len(a), width + 1), dtype=np.uint8)
-        np.cumsum(hit & (a > 0), axis=1, dtype=np.uint8, out=sums[:, 1:])
-        keep = (sums[:, MIN_SHINGLES:] - sums[:, :MIN_SHINGLES]).max(axis=1, initial=0) >= LEAST_COMMON
+        keep = _agree(_near(batch.column("near")), _near(batch.column("o_near")))
         keep |= batch.column("offset").is_null().to_numpy(zero_copy_only=False)
         yield batch.drop_columns(["near", "o_near"]).filter(pa.array(keep))
 
 
-def by_shingles(windows: DataFrame) -> DataFrame:
-    """Pairs (key, doc, c, o_doc, o_c) of windows (key, n, doc, c, component, bag, least) of one key and different classes.
+def telling_shingles(windows: DataFrame) -> DataFrame:
+    """(key, shingles) of windows (key, component, bag): shingles, packed, that windows of several classes of the key have.
+
+    A task sends each shingle once for all of its windows of one class, packed by bucket of key and shingle.
+    """
+
+    def distinct(key: np.ndarray, shingle: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((component, shingle, key))
+        key, shingle, component = key[order], shingle[order], component[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (shingle[1:] != shingle[:-1]) | (component[1:] != component[:-1])
+        return key[new], shingle[new], component[new]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bag = batch.column("bag")
+            row = np.repeat(np.arange(len(bag)), bag.value_lengths().to_numpy())
+            key, shingle, component = distinct(batch.column("key").to_numpy()[row], bag.flatten().to_numpy(), batch.column("component").to_numpy()[row])
+            with np.errstate(over="ignore"):
+                bucket = (_mixed((key ^ shingle).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BUCKETS)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            parts = [[x.tobytes() for x in np.split(y[order], first[1:])] if len(first) else [] for y in (key, shingle, component)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first].astype(np.int32)), *[pa.array(x, pa.binary()) for x in parts]], names=["bucket", "key", "shingle", "component"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(np.frombuffer(b"".join(batch.column(x).to_pylist()), dtype=t) for x, t in (("key", np.int64), ("shingle", np.int32), ("component", np.int64))) for batch in batches]
+        if not held:
+            return
+        key, shingle, _ = distinct(*map(np.concatenate, zip(*held)))
+        again = np.zeros(len(key), dtype=bool)  # the second of a shingle's classes
+        again[1:] = (key[1:] == key[:-1]) & (shingle[1:] == shingle[:-1])
+        again[2:] &= (key[2:] != key[:-2]) | (shingle[2:] != shingle[:-2])
+        key, shingle = key[again], shingle[again]
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([x.tobytes() for x in np.split(shingle, first[1:])] if len(first) else [], pa.binary())], names=["key", "shingles"])
+
+    return windows.select("key", "component", "bag").mapInArrow(packed, "bucket int, key binary, shingle binary, component binary").repartition("bucket").mapInArrow(told, "key long, shingles binary")
 
-    Only shingles that several classes have count. Two windows with at least t of these in common, taken from the one
-    that most windows have down, share one that is the t-th or a later one of both; so a window with fewer than
-    ``least`` meets nobody, and the others go by those from the ``least``-th on: by all pairs of the windows that have it
-    if these are at most PER_TASK, else with the nearest one before of another class. The same goes, for more such
-    neighbours, for each shingle that at most half of the key's windows have.
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, piece), which come one group after the other."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        key, piece = batch.column("key").to_numpy(), batch.column("piece").to_numpy()
+        for low, high in zip(*(lambda x: (x, np.append(x[1:], len(key))))(np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(piece, prepend=piece[:1]) != 0)))):
+            if held and (held[0].column("key")[0].as_py(), held[0].column("piece")[0].as_py()) != (key[low], piece[low]):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def qualified(windows: DataFrame) -> DataFrame:
+    """Windows that have at least ``least`` shingles in common with other classes of their key."""
+    pieces, columns = F.ceil(F.col("n") / (10 * PER_TASK)).cast("int"), windows.columns
+    told = telling_shingles(windows).join(windows.groupBy("key").agg(F.max("n").alias("n")), "key").select("key", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), "shingles")
+    rows = windows.withColumn("piece", F.pmod(F.hash("doc", "c"), pieces)).unionByName(told, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_group(batches):
+            words = [x for x in group.column("shingles").to_pylist() if x is not None]
+            group = group.filter(group.column("bag").is_valid()).combine_chunks()
+            if not words or not group.num_rows:
+                continue
+            vocabulary, bag = np.sort(np.frombuffer(b"".join(words), dtype=np.int32)), group.column("bag").combine_chunks()
+            flat = bag.flatten().to_numpy()
+            hit = vocabulary[np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)] == flat
+            row = np.repeat(np.arange(len(bag)), bag.value_lengths().to_numpy())
+            some = group.filter(pa.array(np.bincount(row[hit], minlength=len(bag)) >= group.column("least").to_numpy()))
+            yield from some.select(columns).combine_chunks().to_batches()
+
+    return rows.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(run, windows.schema)
+
+
+def meetings(windows: DataFrame) -> DataFrame:
+    """(key, doc, c, component, theirs, found) of windows (key, n, doc, c, component, bag, least) of large keys: the windows
+    ``found`` of class ``theirs`` (doc, c; smallest doc first) that have at least ``least`` different shingles in common
+    with one of a class ``component``, and, where windows have ``near``, whose surroundings agree with its.
+
+    All pairs of windows of different classes count, in blocks of PER_TASK; but a window that shares too few shingles
+    with all other classes together is alike to none. A key's largest class, which has most windows of copied passages,
+    asks nobody: it is asked by the others. So the work is a key's windows times those outside of its largest class.
     """
-    worded = windows.select("key", "n", "doc", "c", "component", "least", F.explode("bag").alias("shingle"))
-    telling = worded.groupBy("key", "shingle").agg(F.count("*").alias("m"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key", "shingle", "m")
-    own = Window.partitionBy("key", "doc", "c")
-    ranked = worded.join(telling, ["key", "shingle"]).withColumns({"place": F.row_number().over(own.orderBy(F.desc("m"), "shingle")), "total": F.count("*").over(own)})
-    members = ranked.where("total >= least AND (place >= least OR 2 * m <= n)").select("key", "shingle", "doc", "c", "component", "m", (F.col("place") >= F.col("least")).alias("later"))
-    row = Window.partitionBy("key", "shingle").orderBy("doc", "c")
-    edge = F.when(F.lag("component").over(row) != F.col("component"), F.lag(F.struct("doc", "c")).over(row))
-    nearest = F.last("edge", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    pairs = members.withColumn("edge", edge).withColumn("o", nearest).where("o.doc < doc").select("key", "doc", "c", F.col("o.doc").alias("o_doc"), F.col("o.c").alias("o_c"))
-    few = members.where((F.col("m") <= PER_TASK) & F.col("later"))
-    before = few.select("key", "shingle", F.col("doc").alias("o_doc"), F.col("c").alias("o_c"), F.col("component").alias("theirs"))
-    return pairs.union(few.join(before, ["key", "shingle"]).where("o_doc < doc AND component != theirs").select("key", "doc", "c", "o_doc", "o_c")).distinct()
-
-
-def remaining(shared: DataFrame, links: DataFrame, parts: int, folder: str) -> DataFrame:
+    spark, names = windows.sparkSession, ["key", "doc", "c", "component", "bag", "least", *[x for x in windows.columns if x == "near"]]
+    with short_lived_shuffles(spark):
+        rows = staged(qualified(windows.select(*names, "n")).select(*names), "qualified")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.sum("size").alias("windows"), F.max_by("component", F.struct("size", "component")).alias("top"), F.count("*").alias("classes"))
+    rows = rows.join(sizes.where("classes > 1").select("key", "top", F.ceil(F.col("windows") / PER_TASK).cast("int").alias("pieces")), "key")
+    asked = rows.select(*names, "top", F.pmod(F.hash("doc"), "pieces").alias("piece"), F.lit(False).alias("asks"))
+    asking = rows.where("component != top").select(*names, "top", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("asks"))
+
+    def matrix(bag: pa.ListArray, vocabulary: np.ndarray) -> np.ndarray:
+        flat, row = bag.flatten().to_numpy(), np.repeat(np.arange(len(bag)), bag.value_lengths().to_numpy())
+        at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+        hit, out = vocabulary[at] == flat, np.zeros((len(bag), len(vocabulary)), dtype=np.float32)
+        out[row[hit], at[hit]] = 1
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_group(batches):
+            every = group.filter(group.column("asks")).combine_chunks()
+            theirs = group.filter(pa.array(~group.column("asks").to_numpy())).sort_by("doc").combine_chunks()
+            for low in range(0, every.num_rows if theirs.num_rows else 0, PER_TASK):
+                mine = every.slice(low, PER_TASK).combine_chunks()
+                vocabulary = np.unique(mine.column("bag").combine_chunks().flatten().to_numpy())
+                if not len(vocabulary):
+                    continue
+                common = matrix(mine.column("bag").combine_chunks(), vocabulary) @ matrix(theirs.column("bag").combine_chunks(), vocabulary).T
+                ours, other, top = mine.column("component").to_numpy()[:, None], theirs.column("component").to_numpy()[None, :], mine.column("top").to_numpy()[:, None]
+                ok = (common >= np.maximum(mine.column("least").to_numpy()[:, None], theirs.column("least").to_numpy()[None, :])) & (ours != other) & ((other == top) | (other < ours))
+                i, j = np.nonzero(ok)
+                if "near" in names:
+                    a, b = _near(mine.column("near").combine_chunks()), _near(theirs.column("near").combine_chunks())
+                    keep = np.concatenate([np.zeros(0, dtype=bool), *[_agree(a[i[x : x + 4096]], b[j[x : x + 4096]]) for x in range(0, len(i), 4096)]])
+                    i, j = i[keep], j[keep]
+                order = np.lexsort((j, other[0, j], i))
+                i, j = i[order], j[order]
+                first = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(other[0, j], prepend=other[0, j[:1]]) != 0))
+                found = pa.ListArray.from_arrays(pa.array(np.append(first, len(i)).astype(np.int32)), pa.StructArray.from_arrays([theirs.column(x).combine_chunks().take(pa.array(j)) for x in ("doc", "c")], ["doc", "c"]))
+                chosen = mine.take(pa.array(i[first]))
+                yield pa.RecordBatch.from_arrays([*[chosen.column(x).combine_chunks() for x in ("key", "doc", "c", "component")], pa.array(other[0, j[first]]), found], names=["key", "doc", "c", "component", "theirs", "found"])
+
+    return asked.union(asking).repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(run, "key long, doc long, c int, component long, theirs long, found array<struct<doc: bigint, c: int>>")
+
+
+def unfolded(met: DataFrame) -> DataFrame:
+    """Pairs (key, doc, c, o_doc, o_c), the smaller document second, of ``meetings``."""
+    pairs = met.select("key", "doc", "c", F.explode("found").alias("o"))
+    mine, later = F.struct("doc", "c"), F.col("doc") > F.col("o.doc")
+    pairs = pairs.select("key", F.when(later, mine).otherwise(F.col("o")).alias("a"), F.when(later, F.col("o")).otherwise(mine).alias("b"))
+    return pairs.select("key", "a.doc", "a.c", F.col("b.doc").alias("o_doc"), F.col("b.c").alias("o_c")).distinct()
+
+
+def by_shingles(windows: DataFrame) -> DataFrame:
+    """Pairs (key, doc, c, o_doc, o_c) of windows (key, n, doc, c, component, bag, least) of one key and different classes that
+    have at least ``least`` different shingles in common: see ``meetings``."""
+    return unfolded(meetings(windows))
+
+
+class Remaining(NamedTuple):
+    """Candidates beyond the nearest smaller document; of large keys, windows that met, and their rows; and the classes
+    (node, component) from before."""
+
+    first: DataFrame
+    met: DataFrame
+    windows: DataFrame
+    classes: DataFrame
+
+    def of(self, met: DataFrame) -> DataFrame:
+        pairs = unfolded(met)
+        others = self.windows.select("key", F.col("doc").alias("o_doc"), F.col("c").alias("o_c"), F.struct("doc", "part", "l", "c", "r").alias("o"))
+        return candidates(pairs.join(self.windows.select(*WINDOW), ["key", "doc", "c"]).join(others, ["key", "o_doc", "o_c"]))
+
+    def rest(self, links: DataFrame) -> DataFrame | None:
+        """All pairs of ``met`` whose classes ``links``, which ``first`` has led to, have not made one; None if there are none."""
+        if self.met.isEmpty():
+            return None
+        of = [self.classes.select(F.col("node").alias(x), F.col("component").alias(f"{x}_class")) for x in ("doc", "other")]
+        ends = links.join(of[0], "doc", "left").join(of[1], "other", "left")
+        now = connected_components(ends.select(F.coalesce("doc_class", "doc").alias("a"), F.coalesce("other_class", "other").alias("b")))
+        mine, other = (now.select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("component", "mine"), ("theirs", "other")))
+        met = staged(self.met.join(mine, "component", "left").join(other, "theirs", "left").where("coalesce(mine, component) != coalesce(other, theirs)").select(*self.met.columns), "rest")
+        return None if met.isEmpty() else self.of(met)
+
+
+def remaining(shared: DataFrame, links: DataFrame, parts: int, folder: str) -> Remaining:
     """Candidates beyond the nearest smaller document, given the links to those: all pairs of windows of one
     key whose documents are not in one class yet, so that documents alike in any pair of their windows end in
     one; and, with the smallest document of its key, each window that lies in no linked passage.
 
     Pairs whose surroundings of c differ too much for a passage there are not passed on. Of a key with more than
-    PER_TASK windows, as phrases of 13 to 49 words in very many documents have, windows meet by shingles nearby (see
-    ``by_shingles``). Windows of repeated words have no one place and meet all, in blocks.
+    PER_TASK windows, as phrases of 13 to 49 words in very many documents have, windows meet in blocks (see ``meetings``),
+    at first up to FIRST of each class and block: one link makes one class of two, and only pairs of classes that have
+    none by then need the others (``Remaining.rest``). Windows of repeated words have no one place and meet all, in blocks.
     """
     component = connected_components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
     with short_lived_shuffles(shared.sparkSession):
@@ -490,12 +647,11 @@ def remaining(shared: DataFrame, links: DataFrame, parts: int, folder: str) -> D
     earlier = earlier.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
     across = candidates(later.join(earlier, ["key", "meets", "piece"]).where("o.doc < doc AND component != theirs"), "near", "o_near")
     plain = rows.where(big & ~several)
-    pairs = by_shingles(plain.select("key", "n", "doc", "c", "component", "bag", "least"))
-    others = plain.select("key", F.col("doc").alias("o_doc"), F.col("c").alias("o_c"), F.struct("doc", "part", "l", "c", "r").alias("o"), F.col("near").alias("o_near"))
-    met = pairs.join(plain.select(*WINDOW, "near"), ["key", "doc", "c"]).join(others, ["key", "o_doc", "o_c"])
-    across = across.union(candidates(met, "near", "o_near"))
+    met = staged(meetings(plain), "met")
     alone = candidates(lone.drop("o").withColumnRenamed("f", "o"))
-    return across.mapInArrow(surroundings_agree, alone.schema).union(alone).distinct()
+    out = Remaining(across, met, plain, component)
+    first = out.of(met.withColumn("found", F.slice("found", 1, FIRST)))
+    return out._replace(first=across.mapInArrow(surroundings_agree, alone.schema).union(first).union(alone).distinct())
 
 
 def near_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -629,7 +785,11 @@ def near_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     whole = copies.where(F.col("n_words") >= MIN_WORDS).select("doc", F.col("first").alias("other"), F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))
     links = confirmed(candidates(shared.where("o is not null")))
-    more = confirmed(remaining(shared, links, parts, folder))
+    left = remaining(shared, links, parts, folder)
+    more = confirmed(left.first)
+    rest = left.rest(more)
+    if rest is not None:
+        more = more.union(confirmed(rest))
     return listed.select(F.col("doc_id").alias("doc"), "n_words"), links.union(more).union(whole).distinct()
 
 
