@@ -5,20 +5,21 @@ doubling offsets: no ranks are paired here. As there, what is unique at one leng
 next; but only sampled positions are sorted, and a string is named by a hash and the smallest document that
 has it:
 
-1. *Seeds.* Of each LENGTH-byte window the SEED-byte string with the least hash is an anchor, so equal
-   windows have equal anchors of their own at equal offsets. Anchors are ranked by their first SEED
-   bytes. A window whose own anchor no other document has is unique and drops out.
+1. *Seeds.* Of each LENGTH-byte window the place whose first 8 bytes hash least is an anchor (of equal hashes the
+   leftmost), so equal windows have equal anchors of their own at equal offsets. Anchors are ranked by their first
+   SEED bytes. A window whose own anchor no other document has is unique and drops out.
 2. *Pairs.* The anchors around a window are paired: the rank of the string from one to the other, which
-   covers the window, and of where the next anchors inside stand. If a smaller document has the same
+   covers the window, and of where the anchors inside stand. If a smaller document has the same
    pair, it has the window. If the pair occurs as often as the window's own anchor, every place that
    has the window has the pair, and so the pair's rank is the window's.
 3. *Windows.* What is left (near the ends of repeated passages) is ranked by all LENGTH bytes. Windows
    around one anchor are sent as one run of bytes to the anchor's task and spread out there.
 
 Each level sorts (rank, part) rows, aggregated before the shuffle; texts are written once and never
-shuffled. A string is named by a 64-bit hash of its bytes and a second number: a seed's by its first 8
-bytes, a span's and a window's by the hash of the seed that it is found by. Windows that meet in a task
-are compared byte by byte as well.
+shuffled. A string is named by a 64-bit hash of its bytes and a second number: a seed's and a span's by 32 bits of
+another hash, a window's by the hash of the seed that it is found by. Windows that meet in a task are compared
+byte by byte as well. Windows of one own anchor with the same anchors around them are one range of places; single
+ones are looked at only in ranges that no pair decides.
 
 This departs from plain doubling, which would sort a pair of ranks for each of a text's bytes at each of
 six offsets: the lengths named grow (SEED, the spans between anchors, LENGTH), but by hashing, not by
@@ -41,20 +42,25 @@ from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_saved, save_rows, w
 
 LENGTH, SEED = 50, 18
 REACH = LENGTH - SEED  # from a window's start to its last seed's start
-#: Bits for a place in a block; the others order the hashes of seeds.
-POSITION_BITS = 36
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LEVELS = SEEDS, PAIRS, WINDOWS = "seeds", "pairs", "windows"
 #: Runs that one numpy pass spreads out; a longer group of one anchor is spread out as a whole.
 RUNS_AT_ONCE = 200_000
 #: Bytes of text that one numpy pass ranks; its numbers stay in the processor's cache.
 BLOCK = 1 << 18
+#: Bits of a key that order seeds, the same for all blocks; the others are for its place.
+ORDER_BITS = 14
+#: So many bytes can be read from any place of a block on.
+SPARE = bytes(64)
 RUNS = "m long, part int, least long, most long, bytes binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-RANKS = "part int, h long, g long, n long, least long, most long"
+RANKS = "h long, g int, least long, spread long, n long, part int"
 
 _rng = np.random.default_rng(20)
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ODD = _rng.integers(1, 1 << 63, 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Of the 16 bytes behind a seed, those that stand before an anchor at some distance from the seed's own.
+_behind = [(1 << 8 * max(0, d - SEED)) - 1 for d in range(REACH + 2)]
+BEHIND = [np.array([x >> shift & (1 << 64) - 1 for x in _behind], dtype=np.uint64) for shift in (0, 64)]
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -81,168 +87,221 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _chained(words: list[np.ndarray]) -> np.ndarray:
+    """One hash of the words in their order; each word's bits reach all others before the next one comes, as
+    else differences in bytes that stand 8 apart could cancel."""
+    x = _mixed(words[0])
+    for word in words[1:]:
+        x = _mixed(x + word)
+    return x
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    np.any([x[1:] != x[:-1] for x in columns], axis=0, out=out[1:])
+    return out
+
+
+def _bytes(data: np.ndarray) -> np.ndarray:
+    """8 bytes from each place on as a number; SPARE stands behind the data."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+
+
+def window_hash(words: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The hash of the LENGTH bytes from each place on."""
+    return _chained([words[p + k] for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)])
+
+
+def together(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([*texts, SPARE]), dtype=np.uint8)
+
+
+def _places(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, and each one's range."""
+    size = end - first
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (first - np.cumsum(size) + size)[of], of
+
+
 class Block:
-    """The anchors and windows of a block of texts, as positions in their concatenation."""
-
-    def __init__(self, texts: list[bytes], ids: np.ndarray, windows: bool = True):
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self.ends = np.cumsum([len(x) for x in texts])
-        n = len(self.data)
-        up, self.down = _power(n)
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE[self.data] * up[:n], dtype=np.uint64)])
-        if not windows:
-            return  # only hashes are asked for
-        room = np.repeat(self.ends, np.diff(self.ends, prepend=0)) - np.arange(n)
-        self.p = np.flatnonzero(room >= LENGTH)
-        self.id_of = np.repeat(ids, np.diff(self.ends, prepend=0))
-        if len(self.p):
-            at = np.arange(n - SEED + 1)
-            key = self.hash(at, at + SEED) >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS) | at.astype(np.uint64)
-            low, width = key, 1
-            while width * 2 <= REACH + 1:
-                low = np.minimum(low[:-width], low[width:])
-                width *= 2
-            low = np.minimum(low[: len(low) - (REACH + 1 - width)], low[REACH + 1 - width :])
-            best = (low[self.p] & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
+    """The anchors of a block of texts, and the windows that each one is the own anchor of, as positions in the
+    texts' concatenation. Own anchors never go back, so these windows are a range, ``first`` to ``end``."""
+
+    def __init__(self, texts: list[bytes], ids: np.ndarray):
+        self.data, self.ids = together(texts), ids
+        self.words, self.ends = _bytes(self.data), np.cumsum([len(x) for x in texts])
+        n = len(self.data) - len(SPARE)
+        if n < LENGTH:
+            self.first = self.end = self.a = self.text = np.zeros(0, dtype=np.int64)
+        else:
+            self._find(n)
+        words = [self.words[self.a + k] for k in (0, 8, SEED - 8)]
+        self.seed = _chained(words)
+        self.check = (_chained([x ^ y for x, y in zip(words, ODD)]) >> np.uint64(32)).astype(np.uint32)
+
+    def _find(self, n: int) -> None:
+        key = self.words[:n] * BASE
+        if n <= 1 << 32 - ORDER_BITS:
+            low, place = key.view("<u4")[1::2] & np.uint32((1 << ORDER_BITS) - 1 << 32 - ORDER_BITS), np.uint32((1 << 32 - ORDER_BITS) - 1)
         else:
-            best = self.p
-        flag = np.zeros(n + 1, dtype=bool)
-        flag[best] = True
-        self.a = np.flatnonzero(flag)
-        self.before = np.concatenate([[0], np.cumsum(flag)])
-        self.own = self.before[best]
-        self.seed = self.hash(self.a, self.a + SEED)
-        self.head = self.words(self.a)
-
-    def words(self, at: np.ndarray) -> np.ndarray:
-        """8 bytes from each place on as a number."""
-        return np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))[at] if len(at) else at.astype(np.uint64)
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            low, place = key & np.uint64((1 << ORDER_BITS) - 1 << 64 - ORDER_BITS), np.uint64((1 << 64 - ORDER_BITS) - 1)
+        low |= np.arange(n, dtype=low.dtype)
+        width = 1
+        while width * 2 <= REACH + 1:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[: len(low) - (REACH + 1 - width)], low[REACH + 1 - width :])
+        change = np.ones(len(low), dtype=bool)
+        np.not_equal(low[1:], low[:-1], out=change[1:])
+        begin = np.concatenate([[0], self.ends[:-1]])
+        change[begin[begin < len(low)]] = True
+        change[np.maximum(begin, self.ends - LENGTH + 1)[begin < len(low)]] = True  # here no window begins any more
+        first = np.flatnonzero(change)
+        text = np.searchsorted(self.ends, first, side="right")
+        whole = first <= self.ends[text] - LENGTH
+        self.first, self.end, self.text = first[whole], np.append(first[1:], len(low))[whole], text[whole]
+        self.a = (low[self.first] & place).astype(np.int64)
 
     def seeds(self) -> tuple[np.ndarray, ...]:
-        return self.seed, self.head, self.id_of[self.a] if len(self.a) else self.a
+        return self.seed, self.check, self.ids[self.text]
 
     def look_at(self, seeds: "Ranks") -> None:
-        """Windows whose own anchors repeat, and the pairs of anchors around them."""
-        n, _ = seeds.of(self.seed, self.head)
-        left, right = self.before[self.p + 1] - 1, self.before[self.p + REACH]
+        """Windows whose own anchors repeat, in ranges that have the same anchors around them, and the pairs of these."""
+        n, _ = seeds.of(self.seed, self.check)
+        mark = np.zeros(len(self.data) + 1, dtype=np.uint8)
+        mark[self.end] = 8
+        mark[self.first] = 1
+        mark[self.a] |= 2
+        after = self.a - REACH + 1  # from here on, a window's last seed stands behind this anchor
+        mark[after[after > 0]] |= 4
+        p = np.flatnonzero(mark)
+        kind = mark[p]
+        own, left = np.cumsum(kind & 1, dtype=np.int64) - 1, np.cumsum(kind >> 1 & 1, dtype=np.int64) - 1
+        right = np.cumsum(kind >> 2 & 1, dtype=np.int64) + int((after <= 0).sum())
+        at = np.flatnonzero((own >= 0) & (p < self.end[own]) & (n[own] > 1)) if len(n) else own[:0]
+        self.p, self.to, self.anchor = p[at], np.append(p[1:], len(mark))[at], own[at]
+        self.own, left, right, text = n[self.anchor], left[at], right[at], self.text[self.anchor]
         inside = (left >= 0) & (right < len(self.a))
-        left, right = np.where(inside, left, 0), np.where(inside, right, 0)
-        if len(self.p):
-            end = np.repeat(self.ends, np.diff(self.ends, prepend=0))
-            inside &= (end[self.a[left]] == end[self.p]) & (end[self.a[right]] == end[self.p])
-        shared = n[self.own] > 1
-        at = np.flatnonzero(inside)
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (left[at][1:] != left[at][:-1]) | (right[at][1:] != right[at][:-1])
-        run = np.cumsum(new) - 1
-        wanted = np.zeros(int(new.sum()), dtype=bool)
-        wanted[run[shared[at]]] = True
-        number = np.cumsum(wanted) - 1
-        self.pair_of = np.full(len(self.p), -1)
-        self.pair_of[at] = np.where(wanted[run], number[run], -1) if len(at) else -1
-        self.left, self.right = left[at][new][wanted], right[at][new][wanted]
-        low, high = self.a[self.left], self.a[self.right]
-        step = (self.a[np.minimum(self.left + 1, len(self.a) - 1)] - low << 32 | high - self.a[np.maximum(self.right - 1, 0)]).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            self.pair = _mixed(self.hash(low, high + SEED) + step * np.uint64(0xA0761D6478BD642F))
-        self.p, self.anchor, self.pair_of = self.p[shared], self.own[shared], self.pair_of[shared]
-        self.own = n[self.anchor]
+        if len(at):
+            inside &= (self.text[np.where(inside, left, 0)] == text) & (self.text[np.where(inside, right, 0)] == text)
+        self.inside = np.flatnonzero(inside)
+        left, right = left[inside], right[inside]
+        new = _new(left, right)
+        self.pair_of = np.cumsum(new) - 1
+        self.left, self.right = left[new], right[new]
+        self._name_pairs()
+
+    def _name_pairs(self) -> None:
+        """A pair's name is made of the seeds from its first to its last anchor and what stands between them."""
+        step = np.clip(np.diff(self.a, append=0), 0, REACH + 1)  # of a text's last anchor it is not used
+        link = _chained([self.seed + step.astype(np.uint64) * ODD[3], *(self.words[self.a + SEED + 8 * k] & BEHIND[k][step] for k in (0, 1))])
+        up, down = _power(len(link))
+        up, down, zero = up[: len(link)], down[self.left], np.zeros(1, dtype=np.uint64)
+        sums, checks = (np.concatenate([zero, np.cumsum(x * up, dtype=np.uint64)]) for x in (link, self.check * ODD[4]))
+        self.pair = _mixed((sums[self.right] - sums[self.left]) * down + self.seed[self.right] * ODD[5])
+        check = (checks[self.right] - checks[self.left]) * down + self.check[self.right] * ODD[6]
+        self.pair_check = (_mixed(check) >> np.uint64(32)).astype(np.uint32)
 
     def pairs(self) -> tuple[np.ndarray, ...]:
-        return self.pair, self.seed[self.left], self.id_of[self.a[self.left]] if len(self.pair) else self.pair.astype(np.int64)
+        return self.pair, self.pair_check, self.ids[self.text[self.left]]
 
     def decide(self, pairs: "Ranks") -> None:
-        """Windows that a smaller document has by their pair, and those still to be ranked."""
-        n, least = pairs.of(self.pair, self.seed[self.left])
-        at = np.flatnonzero(self.pair_of >= 0)
+        """Ranges of windows that a smaller document has by their pair, and those still to be ranked."""
+        n, least = pairs.of(self.pair, self.pair_check)
         self.gone, closed = np.zeros(len(self.p), dtype=bool), np.zeros(len(self.p), dtype=bool)
-        self.gone[at] = least[self.pair_of[at]] < self.id_of[self.p[at]]
-        closed[at] = n[self.pair_of[at]] == self.own[at]
+        self.gone[self.inside] = least[self.pair_of] < self.ids[self.text[self.left]][self.pair_of]
+        closed[self.inside] = n[self.pair_of] == self.own[self.inside]
         self.open = np.flatnonzero(~self.gone & ~closed)
-        self.open_hash = self.hash(self.p[self.open], self.p[self.open] + LENGTH)
 
     def runs(self) -> tuple[np.ndarray, ...]:
         """Open windows as runs around one anchor: the anchor's rank, the run's hash, id, start and end."""
-        q, a = self.p[self.open], self.anchor[self.open]
-        new = np.ones(len(q), dtype=bool)
-        new[1:] = (q[1:] != q[:-1] + 1) | (a[1:] != a[:-1])
-        first = np.flatnonzero(new)
-        start, end = q[first], q[np.append(first[1:], len(q)) - 1] + LENGTH if len(q) else q
-        return self.seed[a[first]], self.hash(start, end), self.id_of[start] if len(start) else start, start, end
-
-    def removed(self, windows: "Ranks") -> np.ndarray:
-        """Which bytes a window covers that a smaller document has."""
-        if len(self.open):
-            _, least = windows.of(self.open_hash, self.seed[self.anchor[self.open]])
-            self.gone[self.open] = least < self.id_of[self.p[self.open]]
-        edge = np.zeros(len(self.data) + 1, dtype=np.int64)
-        start = self.p[self.gone]
-        edge[start] += 1
-        edge[start + LENGTH] -= 1  # starts are distinct, so neither line meets an index twice
-        return np.cumsum(edge)[:-1] > 0
+        p, to, a = self.p[self.open], self.to[self.open], self.anchor[self.open]
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = (p[1:] != to[:-1]) | (a[1:] != a[:-1])
+        at = np.flatnonzero(new)
+        start, last, a = p[at], to[np.append(at[1:], len(p)) - 1] - 1 if len(p) else p, a[at]
+        name = _mixed(window_hash(self.words, start) * ODD[7] + window_hash(self.words, last) * ODD[8] + (last - start).astype(np.uint64))  # the two cover the run
+        return self.seed[a], name, self.ids[self.text[a]], start, last + LENGTH
+
+    def removed(self, windows: "Ranks") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of bytes that windows cover which a smaller document has: text, start and end."""
+        p, of = _places(self.p[self.open], self.to[self.open])
+        a = self.anchor[self.open][of]
+        _, least = windows.of(window_hash(self.words, p), self.seed[a])
+        p = p[least < self.ids[self.text[a]]]
+        start, end = np.concatenate([self.p[self.gone], p]), np.concatenate([self.to[self.gone], p + 1])
+        order = np.argsort(start)
+        start, end = start[order], end[order] - 1 + LENGTH
+        text = np.searchsorted(self.ends, start, side="right")
+        new = np.ones(len(start), dtype=bool)
+        new[1:] = (start[1:] > end[:-1]) | (text[1:] != text[:-1])
+        at = np.flatnonzero(new)
+        return text[at], start[at], end[np.append(at[1:], len(end)) - 1] if len(end) else end
 
 
 class Ranks:
     """How often a string occurs, and the smallest document that has it, for those of several documents."""
 
     def __init__(self, h: np.ndarray, g: np.ndarray, n: np.ndarray, least: np.ndarray):
-        order = np.argsort(h.view(np.uint64), kind="stable")
-        self.h, self.g, self.n, self.least = h.view(np.uint64)[order], g.view(np.uint64)[order], n[order], least[order]
-        same = np.flatnonzero(np.diff(np.flatnonzero(np.concatenate([[True], self.h[1:] != self.h[:-1], [True]]))) > 1)
-        self.shared = len(same) > 0  # different strings of one hash
+        g = g.view(np.uint32 if g.itemsize == 4 else np.uint64)
+        order = np.argsort(h.view(np.uint64))
+        self.h, self.g, self.n, self.least = h.view(np.uint64)[order], g[order], n[order], least[order]
+        self.shared = bool((self.h[1:] == self.h[:-1]).any())  # different strings of one hash
+        bits = max(1, len(h).bit_length())
+        self.shift = np.uint64(64 - bits)
+        size = np.bincount((self.h >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = (np.cumsum(size) - size).astype(np.int32 if len(h) < 1 << 31 else np.int64)
 
     def of(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """1 and the largest id for strings that don't repeat."""
+        n, least = np.ones(len(h), dtype=np.int64), np.full(len(h), NO_ID)
         if not len(self.h):
-            return np.ones(len(h), dtype=np.int64), np.full(len(h), NO_ID)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = (self.h[at] == h) & (self.g[at] == g)
-        if self.shared:
-            for i in np.flatnonzero((self.h[at] == h) & ~hit).tolist():
-                low, high = np.searchsorted(self.h, h[i]), np.searchsorted(self.h, h[i], side="right")
-                if len(found := np.flatnonzero(self.g[low:high] == g[i])):
-                    at[i], hit[i] = low + found[0], True
-        return np.where(hit, self.n[at], 1), np.where(hit, self.least[at], NO_ID)
+            return n, least
+        at, todo = self.start[h >> self.shift].astype(np.int64), np.arange(len(h))
+        while len(todo):  # hashes are spread evenly, so few stand before the one looked for
+            inside = at < len(self.h)
+            at, todo = at[inside], todo[inside]
+            found = self.h[at]
+            hit = (found == h[todo]) & (self.g[at] == g[todo])
+            n[todo[hit]], least[todo[hit]] = self.n[at[hit]], self.least[at[hit]]
+            more = (found <= h[todo]) & ~hit if self.shared else found < h[todo]
+            at, todo = at[more] + 1, todo[more]
+        return n, least
 
 
 def by_name(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that brings equal names together, and where in it each name begins."""
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    if (g[order][1:] != g[order][:-1])[same].any():
+    order = np.argsort(h)
+    new = _new(h[order])
+    if (g[order][1:] != g[order][:-1])[~new[1:]].any():
         order = np.lexsort((g, h))
-        same = h[order][1:] == h[order][:-1]
-    return order, np.flatnonzero(np.concatenate([[True], ~(same & (g[order][1:] == g[order][:-1]))]))
+        new = _new(h[order], g[order])
+    return order, np.flatnonzero(new)
 
 
 class Tally:
-    """How often each string occurs in a part, and the smallest and largest documents that have it."""
+    """How often each string occurs in a part, the smallest document that has it, and how far off the largest is."""
 
     def __init__(self):
         self.found: list[tuple[np.ndarray, ...]] = []
 
     def add(self, found: tuple[np.ndarray, ...]) -> None:
-        h, g, ids = found
-        if len(h):
-            self.found.append(self._summed(h, g, np.ones(len(h), dtype=np.int64), ids, ids))
-
-    @staticmethod
-    def _summed(h, g, n, least, most) -> tuple[np.ndarray, ...]:
-        order, first = by_name(h, g)
-        return h[order[first]], g[order[first]], np.add.reduceat(n[order], first), np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+        self.found.append(found)
 
     def batches(self, part: int) -> Iterator[pa.RecordBatch]:
         if not self.found:
             return
-        h, g, *rest = self._summed(*map(np.concatenate, zip(*self.found)))
-        for low in range(0, len(h), 1 << 16):
+        h, g, ids = map(np.concatenate, zip(*self.found))
+        self.found.clear()
+        order, first = by_name(h, g)
+        ids, n, names = ids[order], np.diff(first, append=len(order)), order[first]
+        for low in range(0, len(first), 1 << 16):
             to = slice(low, low + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[to]), part, dtype=np.int32)), pa.array(h[to].view(np.int64)), pa.array(g[to].view(np.int64)), *[pa.array(x[to].astype(np.int64)) for x in rest]], names=["part", "h", "g", "n", "least", "most"])
+            own, end = first[to], len(order) if low + (1 << 16) >= len(first) else first[low + (1 << 16)]
+            least, most = (x.reduceat(ids[own[0] : end], own - own[0]) for x in (np.minimum, np.maximum))
+            columns = h[names[to]].view(np.int64), g[names[to]].view(np.int32), least, most - least, n[to], np.full(len(own), part, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["h", "g", "least", "spread", "n", "part"])
 
 
 class Runs:
@@ -279,17 +338,15 @@ def ranked_windows(runs: DataFrame) -> DataFrame:
     def spread(group: pa.Table) -> pa.RecordBatch:
         texts = group.column("bytes").to_pylist()
         part, least, most, m = (group.column(x).to_numpy() for x in ("part", "least", "most", "m"))
-        block = Block(texts, least, windows=False)
-        count = np.array([len(x) for x in texts]) - LENGTH + 1
-        row = np.repeat(np.arange(len(texts)), count)
-        p = np.arange(len(row)) + row * (LENGTH - 1)
-        h, g = block.hash(p, p + LENGTH), m.view(np.uint64)[row]
+        words, size = _bytes(together(texts)), np.array([len(x) for x in texts])
+        p, row = _places(np.cumsum(size) - size, np.cumsum(size) - LENGTH + 1)
+        h, g = window_hash(words, p), m.view(np.uint64)[row]
         order, first = by_name(h, g)
         size = np.diff(np.append(first, len(h)))
         again = np.flatnonzero(np.repeat(size, size) > 1)  # windows that have company: are they the same bytes?
         mine, theirs = p[order[again]], p[order[np.repeat(first, size)[again]]]
         for step in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-            if (block.words(mine + step) != block.words(theirs + step)).any():
+            if (words[mine + step] != words[theirs + step]).any():
                 raise ValueError("two windows have one name")
         lowest = np.repeat(np.minimum.reduceat(least[row[order]], first), size)
         hit = order[lowest < most[row[order]]]
@@ -320,10 +377,10 @@ def ranked_windows(runs: DataFrame) -> DataFrame:
 
 
 def repeated(ranks: DataFrame) -> DataFrame:
-    """Of rows (part, h, g, n, least, most), those whose string more than one document has, with the totals
+    """Of rows RANKS, those whose string more than one document has, with the totals
     over all parts. A string has at most one row a part, whatever the number of its copies."""
     same = Window.partitionBy("h", "g")
-    totals = ranks.select("part", "h", "g", F.sum("n").over(same).alias("n"), F.min("least").over(same).alias("least"), F.max("most").over(same).alias("most"))
+    totals = ranks.select("part", "h", "g", F.sum("n").over(same).alias("n"), F.min("least").over(same).alias("least"), F.max(F.col("least") + F.col("spread")).over(same).alias("most"))
     return totals.where("least != most").select("part", "h", "g", "n", "least")
 
 
@@ -332,9 +389,10 @@ def _ranks(rows: pa.Table | None) -> Ranks:
     return Ranks(*(rows.column(x).to_numpy() for x in ("h", "g", "n", "least"))) if rows is not None else Ranks(empty, empty, empty, empty)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, bytes_too: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): every document without the bytes covered
-    by a LENGTH-byte string that also starts in a document with a smaller doc_id.
+    by a LENGTH-byte string that also starts in a document with a smaller doc_id. Without ``bytes_too`` there is no
+    ``kept``, which then does not leave the tasks.
 
     A null text counts as empty and stays empty. Documents of the same id don't remove each other's
     bytes; a null id counts as larger than all others. Equal texts of one id keep the same bytes. A text is
@@ -378,23 +436,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     with short_lived_shuffles(spark):
         save_rows(ranked_windows(over_saved(spark, parts, folder, [SEEDS, PAIRS], runs, RUNS, BLOCK)), parts, folder, WINDOWS)
 
+    names = [x.split()[0] for x in RESULT.split(", ")][: 6 if bytes_too else 5]
+
     def cut(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
         known = {x: _ranks(y) for x, y in saved.items()}
         for batch, texts in blocks:
             block = Block(texts, ids_of(batch))
             block.look_at(known[SEEDS])
             block.decide(known[PAIRS])
-            gone, out, low = block.removed(known[WINDOWS]), [], 0
-            for text, high in zip(texts, block.ends.tolist()):
-                one = gone[low:high]
-                kept = block.data[low:high][~one].tobytes()
-                out.append((len(text), int(one.sum()), int((one[1:] & ~one[:-1]).sum() + one[:1].sum()), hashlib.sha256(kept).hexdigest(), kept))
-                low = high
-            n, removed, spans, digest, kept = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            text, start, end = block.removed(known[WINDOWS])
+            begin, size = np.concatenate([[0], block.ends[:-1]]), np.diff(block.ends, prepend=0)
+            removed, spans = np.zeros(len(texts), dtype=np.int64), np.bincount(text, minlength=len(texts))
+            np.add.at(removed, text, end - start)
+            kept, last = list(texts), np.cumsum(spans)
+            for i in np.flatnonzero(spans).tolist():
+                own = slice(last[i] - spans[i], last[i])
+                edges = [0, *np.stack([start[own], end[own]], axis=1).ravel() - begin[i], size[i]]
+                kept[i] = b"".join([texts[i][x:y] for x, y in zip(edges[::2], edges[1::2])])
+            columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if bytes_too else columns, names=names)
 
-    return over_saved(spark, parts, folder, list(LEVELS), cut, RESULT, BLOCK)
+    return over_saved(spark, parts, folder, list(LEVELS), cut, RESULT if bytes_too else RESULT.rpartition(",")[0], BLOCK)
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return remove_repeats(documents(spark, sf_dir), bytes_too=False)
