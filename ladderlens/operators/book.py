@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladderlens.operators.events import dealt
 from ladderlens.operators.ladder import STRUCTURES, from_units, sampled_books, units
 
 #: Samples per join block, and per block that one task keeps a book for.
@@ -25,7 +26,7 @@ MONEY, FRACTION = "decimal(18,8)", "decimal(9,8)"
 def valid_changes(changes: DataFrame, replayed: DataFrame) -> DataFrame:
     """Changes of applied events with their epoch; a snapshot starts its own."""
     applied = replayed.where("valid AND outcome IN ('SNAPSHOT_APPLIED', 'UPDATE_APPLIED')").select("market", "n", "epoch")
-    return changes.join(applied, ["market", "n"])
+    return changes.join(dealt(applied), ["market", "n"])
 
 
 def lifetimes(changes: DataFrame) -> DataFrame:

@@ -15,6 +15,12 @@ def in_archive(*order: str):
     return Window.partitionBy(*ARCHIVE).orderBy(*order)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of which there is one an event or more, for a join: both sides are dealt out by its keys. Left to sizes, such rows
+    of a kept table go whole through the driver, as files are many times smaller than the rows that they hold."""
+    return rows.hint("merge")
+
+
 def group_events(rows: DataFrame, key: list[str], order: str = "row_index") -> DataFrame:
     """Number the runs of consecutive rows with equal keys (nulls are equal) as ``event_seq``."""
     w = in_archive(order)

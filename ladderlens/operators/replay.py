@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderlens.operators.events import ARCHIVE, in_archive
+from ladderlens.operators.events import ARCHIVE, dealt, in_archive
 from ladderlens.operators.ladder import structure_counts
 
 OUTCOMES = ("SNAPSHOT_APPLIED", "UPDATE_APPLIED", "SKIPPED_UNINITIALIZED", "DUPLICATE_SKIPPED", "INVALIDATED")
@@ -71,7 +71,7 @@ def outcomes(events: DataFrame, marks: DataFrame | None = None, restored: DataFr
     of a checkpoint.
     """
     snapshot, update = F.col("kind") == "snapshot", F.col("kind") == "update"
-    e = events.join(marks, ["market", "n"]) if marks is not None else events
+    e = events.join(dealt(marks), ["market", "n"]) if marks is not None else events
     at = in_archive("n")
     again = update & (F.lag("kind").over(at) == "update") & (F.col("final_id") == F.lag("final_id").over(at)) & (F.col("signature") == F.lag("signature").over(at))
     e = e.withColumns({"duplicate": F.coalesce(again, F.lit(False)), "starts": snapshot & F.col("final_id").isNotNull()})

@@ -62,7 +62,7 @@ def rich_report(spark, d):
     changes = kept(S.changes(spark, d))
     events = S.replay_events(S.events_of(changes))
     replayed = kept(R.outcomes(events.drop("base", "other"), S.replay_marks(events, R.signatures(changes))))
-    return R.archive_report(replayed, B.valid_changes(S.replay_changes(events, changes), replayed))
+    return R.archive_report(replayed, kept(B.valid_changes(S.replay_changes(events, changes), replayed)))
 
 
 def boundaries(spark, d):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ladderlens.operators.events import dealt
 from ladderlens.plans.staging import kept
 
 HOUR = 30 * 86400
@@ -100,13 +101,13 @@ REPLAY_EVENTS = """r1 AS (SELECT market, hour, 2 * n AS n, t, kind, CASE WHEN ki
 
 def replay_marks(rich: DataFrame, marks: DataFrame) -> DataFrame:
     """Signature and completeness of ``replay_events`` from those of the events that they are made of."""
-    of = rich.select("market", "n", "base", "other").join(marks.withColumnRenamed("n", "base"), ["market", "base"])
+    of = rich.select("market", "n", "base", "other").join(dealt(marks.withColumnRenamed("n", "base")), ["market", "base"])
     return of.select("market", "n", F.when(F.col("other"), F.concat("signature", F.lit("x"))).otherwise(F.col("signature")).alias("signature"), "complete")
 
 
 def replay_changes(rich: DataFrame, changes: DataFrame) -> DataFrame:
     """The changes of ``replay_events``; a copy with other content has other quantities."""
-    of = rich.select("market", "hour", "n", "t", "base", "other").join(changes.select("market", F.col("n").alias("base"), "side", "price", "qty", "row_index"), ["market", "base"])
+    of = rich.select("market", "hour", "n", "t", "base", "other").join(dealt(changes.select("market", F.col("n").alias("base"), "side", "price", "qty", "row_index")), ["market", "base"])
     return of.withColumn("qty", F.col("qty") + F.when(F.col("other") & (F.col("qty") > 0), 1).otherwise(0)).drop("base", "other")
 
 

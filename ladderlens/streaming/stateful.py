@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ladderlens.operators.events import dealt
 from ladderlens.operators.ladder import Book
 from ladderlens.operators.replay import OUTCOMES, STATES
 
@@ -248,7 +249,7 @@ def with_changes(events: DataFrame, changes: DataFrame) -> DataFrame:
     """Events with their ``changes`` (side, price, qty) as a list and their time as ``at``, as the replay streams take
     them. Their signature and completeness follow from the list (``marked``)."""
     lists = changes.groupBy("market", "n").agg(F.collect_list(F.struct("side", "price", "qty")).alias("changes"))
-    return events.join(lists, ["market", "n"]).withColumn("at", F.timestamp_seconds("t"))
+    return events.join(dealt(lists), ["market", "n"]).withColumn("at", F.timestamp_seconds("t"))
 
 
 def _any_level(side: str) -> Column:
