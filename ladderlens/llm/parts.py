@@ -98,6 +98,14 @@ def _saved(folder: str, name: str, part: int) -> tuple:
     return store, f"{base}/{name}-{part:06d}.parquet"
 
 
+def keep_rows(folder: str, name: str, part: int, rows: pa.Table) -> None:
+    """In a task: write rows that a later pass over the same part needs. An attempt that is lost leaves nothing."""
+    (store, path), attempt = _saved(folder, name, part), TaskContext.get().taskAttemptId()
+    with store.open_output_stream(f"{path}.{attempt}") as sink:
+        pq.write_table(rows, sink, compression="zstd", use_dictionary=False)
+    store.move(f"{path}.{attempt}", path)
+
+
 def save_rows(rows: DataFrame, parts: int, folder: str, name: str) -> int:
     """Write rows (with ``part``) to one file a part, for passes that need them more than once; returns their number."""
     columns = rows.columns
@@ -107,12 +115,9 @@ def save_rows(rows: DataFrame, parts: int, folder: str, name: str) -> int:
         if not got:
             return
         table = pa.Table.from_batches(got)
-        numbers, attempt = table.column("part").to_numpy(), TaskContext.get().taskAttemptId()
+        numbers = table.column("part").to_numpy()
         for part in np.unique(numbers).tolist():
-            store, path = _saved(folder, name, part)
-            with store.open_output_stream(f"{path}.{attempt}") as sink:
-                pq.write_table(table.filter(pa.array(numbers == part)).drop_columns(["part"]), sink, compression="zstd", use_dictionary=False)
-            store.move(f"{path}.{attempt}", path)
+            keep_rows(folder, name, part, table.filter(pa.array(numbers == part)).drop_columns(["part"]))
         yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64())], names=["n"])
 
     return rows.select(*columns).repartitionById(parts, F.col("part")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -13,7 +13,8 @@ has it:
    pair, it has the window. If the pair occurs as often as the window's own anchor, every place that
    has the window has the pair, and so the pair's rank is the window's.
 3. *Windows.* What is left (near the ends of repeated passages) is ranked by all LENGTH bytes. Windows
-   around one anchor are sent as one run of bytes to the anchor's task and spread out there.
+   around one anchor are sent as one run of bytes to the anchor's task and spread out there. Where runs stand
+   is kept by part, so the last pass only ranks their windows and cuts.
 
 Each level sorts (rank, part) rows, aggregated before the shuffle; texts are written once and never
 shuffled. A string is named by a 64-bit hash of its bytes and a second number: a seed's and a span's by 32 bits of
@@ -38,12 +39,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderlens.llm.common import documents, shared_dir, short_lived_shuffles
-from ladderlens.llm.parts import NO_ID, Blocks, ids_of, over_saved, save_rows, write_parts, written_parts
+from ladderlens.llm.parts import NO_ID, Blocks, ids_of, keep_rows, over_saved, save_rows, write_parts, written_parts
 
 LENGTH, SEED = 50, 18
 REACH = LENGTH - SEED  # from a window's start to its last seed's start
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LEVELS = SEEDS, PAIRS, WINDOWS = "seeds", "pairs", "windows"
+SEEDS, PAIRS, WINDOWS, CUTS = "seeds", "pairs", "windows", "cuts"
 #: Runs that one numpy pass spreads out; a longer group of one anchor is spread out as a whole.
 RUNS_AT_ONCE = 200_000
 #: Bytes of text that one numpy pass ranks; its numbers stay in the processor's cache.
@@ -175,18 +176,18 @@ class Block:
         mark[self.a] |= 2
         after = self.a - REACH + 1  # from here on, a window's last seed stands behind this anchor
         mark[after[after > 0]] |= 4
-        p = np.flatnonzero(mark)
+        p = np.flatnonzero(mark != 0)
         kind = mark[p]
         own, left = np.cumsum(kind & 1, dtype=np.int64) - 1, np.cumsum(kind >> 1 & 1, dtype=np.int64) - 1
         right = np.cumsum(kind >> 2 & 1, dtype=np.int64) + int((after <= 0).sum())
         at = np.flatnonzero((own >= 0) & (p < self.end[own]) & (n[own] > 1)) if len(n) else own[:0]
         self.p, self.to, self.anchor = p[at], np.append(p[1:], len(mark))[at], own[at]
         self.own, left, right, text = n[self.anchor], left[at], right[at], self.text[self.anchor]
-        inside = (left >= 0) & (right < len(self.a))
-        if len(at):
-            inside &= (self.text[np.where(inside, left, 0)] == text) & (self.text[np.where(inside, right, 0)] == text)
-        self.inside = np.flatnonzero(inside)
-        left, right = left[inside], right[inside]
+        at = np.flatnonzero((left >= 0) & (right < len(self.a)))
+        left, right, text = left[at], right[at], text[at]
+        lone = np.concatenate([[0], np.cumsum(n == 1)])  # a pair with an anchor that no other document has is unique too
+        inside = (self.text[left] == text) & (self.text[right] == text) & (lone[right + 1] == lone[left])
+        self.inside, left, right = at[inside], left[inside], right[inside]
         new = _new(left, right)
         self.pair_of = np.cumsum(new) - 1
         self.left, self.right = left[new], right[new]
@@ -224,20 +225,31 @@ class Block:
         name = _mixed(window_hash(self.words, start) * ODD[7] + window_hash(self.words, last) * ODD[8] + (last - start).astype(np.uint64))  # the two cover the run
         return self.seed[a], name, self.ids[self.text[a]], start, last + LENGTH
 
-    def removed(self, windows: "Ranks") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The runs of bytes that windows cover which a smaller document has: text, start and end."""
-        p, of = _places(self.p[self.open], self.to[self.open])
-        a = self.anchor[self.open][of]
-        _, least = windows.of(window_hash(self.words, p), self.seed[a])
-        p = p[least < self.ids[self.text[a]]]
-        start, end = np.concatenate([self.p[self.gone], p]), np.concatenate([self.to[self.gone], p + 1])
-        order = np.argsort(start)
-        start, end = start[order], end[order] - 1 + LENGTH
-        text = np.searchsorted(self.ends, start, side="right")
-        new = np.ones(len(start), dtype=bool)
-        new[1:] = (start[1:] > end[:-1]) | (text[1:] != text[:-1])
-        at = np.flatnonzero(new)
-        return text[at], start[at], end[np.append(at[1:], len(end)) - 1] if len(end) else end
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the runs of bytes that windows cover which a smaller document has by their pair."""
+        return merged(self.ends, self.p[self.gone], self.to[self.gone] - 1 + LENGTH)[1:]
+
+
+def merged(ends: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of what ranges in the order of their starts, each within a text, cover together."""
+    text, end = np.searchsorted(ends, start, side="right"), np.maximum.accumulate(end)
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (start[1:] > end[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    return text[at], start[at], end[np.append(at[1:], len(end)) - 1] if len(end) else end
+
+
+def removed(texts: list[bytes], ids: np.ndarray, cuts: tuple[np.ndarray, ...], windows: "Ranks") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the runs of bytes that windows cover which a smaller document has. cuts: (start, end, m, open) of
+    runs that it has, and of open ones around anchors of rank m."""
+    start, end, m, opened = cuts
+    words, ends = _bytes(together(texts)), np.cumsum([len(x) for x in texts])
+    p, of = _places(start[opened], end[opened] - LENGTH + 1)
+    own = ids[np.searchsorted(ends, start[opened], side="right")] if opened.any() else start[opened]
+    p = p[windows.of(window_hash(words, p), m[opened][of])[1] < own[of]]
+    start, end = np.concatenate([start[~opened], p]), np.concatenate([end[~opened], p + LENGTH])
+    order = np.argsort(start)
+    return merged(ends, start[order], end[order])
 
 
 class Ranks:
@@ -258,14 +270,18 @@ class Ranks:
         n, least = np.ones(len(h), dtype=np.int64), np.full(len(h), NO_ID)
         if not len(self.h):
             return n, least
-        at, todo = self.start[h >> self.shift].astype(np.int64), np.arange(len(h))
+        at, todo, last = self.start[h >> self.shift], np.arange(len(h)), len(self.h) - 1
+        at = np.minimum(at, last)
         while len(todo):  # hashes are spread evenly, so few stand before the one looked for
-            inside = at < len(self.h)
-            at, todo = at[inside], todo[inside]
-            found = self.h[at]
-            hit = (found == h[todo]) & (self.g[at] == g[todo])
+            found, own = self.h[at], h[todo]
+            hit = np.flatnonzero(found == own)
+            hit = hit[self.g[at[hit]] == g[todo[hit]]]
             n[todo[hit]], least[todo[hit]] = self.n[at[hit]], self.least[at[hit]]
-            more = (found <= h[todo]) & ~hit if self.shared else found < h[todo]
+            more = found < own
+            if self.shared:
+                more |= found == own
+                more[hit] = False
+            more = np.flatnonzero(more & (at < last))
             at, todo = at[more] + 1, todo[more]
         return n, least
 
@@ -305,13 +321,21 @@ class Tally:
 
 
 class Runs:
-    """The runs of a part, equal ones once, with the smallest and largest documents that have them."""
+    """The runs of a part, equal ones once, with the smallest and largest documents that have them; and where runs stand in
+    the concatenation of the part's texts, with those that a smaller document has by their pairs."""
 
     def __init__(self):
-        self.found, self.bytes = [], []
+        self.found, self.bytes, self.cuts, self.base = [], [], [], 0
 
     def add(self, block: Block) -> None:
         m, h, ids, start, end = block.runs()
+        taken, until = block.taken()
+        opened = np.repeat([True, False], [len(start), len(taken)])
+        at = np.concatenate([start, taken])
+        order = np.argsort(at)
+        columns = at + self.base, np.concatenate([end, until]) + self.base, np.concatenate([m, np.zeros(len(taken), dtype=np.uint64)]), opened
+        self.cuts.append([x[order] for x in columns])
+        self.base += len(block.data) - len(SPARE)
         if not len(m):
             return
         order, first = by_name(h, m)
@@ -319,6 +343,9 @@ class Runs:
         self.found.append((h[pick], m[pick], np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)))
         self.bytes += [block.data[x:y].tobytes() for x, y in zip(start[pick].tolist(), end[pick].tolist())]
 
+    def places(self) -> pa.Table:
+        return pa.table([np.concatenate(x) for x in zip(*self.cuts)], names=["start", "end", "m", "open"])
+
     def batches(self, part: int) -> Iterator[pa.RecordBatch]:
         if not self.found:
             return
@@ -431,6 +458,7 @@ def remove_repeats(docs: DataFrame, bytes_too: bool = True) -> DataFrame:
             block.look_at(known[SEEDS])
             block.decide(known[PAIRS])
             found.add(block)
+        keep_rows(folder, CUTS, part, found.places())
         yield from found.batches(part)
 
     with short_lived_shuffles(spark):
@@ -439,24 +467,24 @@ def remove_repeats(docs: DataFrame, bytes_too: bool = True) -> DataFrame:
     names = [x.split()[0] for x in RESULT.split(", ")][: 6 if bytes_too else 5]
 
     def cut(part: int, saved: dict, blocks: Blocks) -> Iterator[pa.RecordBatch]:
-        known = {x: _ranks(y) for x, y in saved.items()}
+        windows, cuts, base, low = _ranks(saved[WINDOWS]), [saved[CUTS].column(x).to_numpy() for x in ("start", "end", "m", "open")], 0, 0
         for batch, texts in blocks:
-            block = Block(texts, ids_of(batch))
-            block.look_at(known[SEEDS])
-            block.decide(known[PAIRS])
-            text, start, end = block.removed(known[WINDOWS])
-            begin, size = np.concatenate([[0], block.ends[:-1]]), np.diff(block.ends, prepend=0)
-            removed, spans = np.zeros(len(texts), dtype=np.int64), np.bincount(text, minlength=len(texts))
-            np.add.at(removed, text, end - start)
+            size = np.array([len(x) for x in texts], dtype=np.int64)
+            high = int(np.searchsorted(cuts[0], base + size.sum()))
+            start, end, m, opened = (x[low:high] for x in cuts)
+            text, start, end = removed(texts, ids_of(batch), (start - base, end - base, m, opened), windows)
+            base, low, begin = base + int(size.sum()), high, np.cumsum(size) - size
+            gone, spans = np.zeros(len(texts), dtype=np.int64), np.bincount(text, minlength=len(texts))
+            np.add.at(gone, text, end - start)
             kept, last = list(texts), np.cumsum(spans)
             for i in np.flatnonzero(spans).tolist():
                 own = slice(last[i] - spans[i], last[i])
                 edges = [0, *np.stack([start[own], end[own]], axis=1).ravel() - begin[i], size[i]]
                 kept[i] = b"".join([texts[i][x:y] for x, y in zip(edges[::2], edges[1::2])])
-            columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+            columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if bytes_too else columns, names=names)
 
-    return over_saved(spark, parts, folder, list(LEVELS), cut, RESULT if bytes_too else RESULT.rpartition(",")[0], BLOCK)
+    return over_saved(spark, parts, folder, [WINDOWS, CUTS], cut, RESULT if bytes_too else RESULT.rpartition(",")[0], BLOCK)
 
 
 def op6_suffix_dedup(spark, sf_dir):
